@@ -17,6 +17,8 @@ from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lakesync.workspace import fresh_dir
+
 SLICE = "__slice"
 COLD = -1  # slice number of rows whose key is not hot
 MAX_HOT_KEYS = 1000
@@ -204,23 +206,29 @@ def with_frame(
     return done.where(F.col("__home") == F.col("__block")).drop("__pos", "__home", "__block")
 
 
-def row_index(df: DataFrame, order: str, tie: Sequence[str] = (), out: str = "row_index",
-              slices: int | None = None) -> DataFrame:
-    """0-based index over the whole table without a one-task window.
+def row_index(df: DataFrame, order: Sequence[str | Column], out: str = "row_index") -> DataFrame:
+    """0-based index over the whole table in the given order, without a one-task window.
 
-    Rows are cut into equal slices along ``order``; a table of one count per
-    slice gives each slice its offset.
+    The rows are range-sorted and written once, so that a lost task cannot move
+    a row to another range; the count of each range then gives its offset.
+    ``order`` should be unique: rows that compare equal cannot be split.
     """
-    cut = df.withColumn(SLICE, slice_number(df, order, slices))
-    counts = cut.groupBy(SLICE).agg(F.count("*").alias("__n"))
-    # One row per slice: a window over the whole of it is as small as the slice list.
-    offsets = counts.select(
-        SLICE, (F.sum("__n").over(Window.orderBy(SLICE)) - F.col("__n")).alias("__offset")
+    spark = df.sparkSession
+    path = fresh_dir(spark, "row_index")
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(
+        "__id", F.monotonically_increasing_id()
+    )
+    placed.write.parquet(path)
+    stored = spark.read.schema(placed.schema).parquet(path)
+    # The id holds the range number above 33 bits of position.
+    part, at = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = stored.groupBy(part.alias("__part")).agg((F.max(at) + 1).alias("__n"))
+    # One row per range, so this window is as small as the list of ranges.
+    offsets = sizes.select(
+        "__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__offset")
     )
-    local = F.row_number().over(Window.partitionBy(SLICE).orderBy(order, *tie))
-    numbered = cut.withColumn(out, (local - 1).cast("bigint"))
     return (
-        numbered.join(offsets, SLICE)
-        .withColumn(out, F.col(out) + F.col("__offset"))
-        .drop(SLICE, "__offset")
+        stored.withColumn("__part", part).join(offsets, "__part")
+        .withColumn(out, (F.col("__offset") + at).cast("bigint"))
+        .drop("__part", "__id", "__offset")
     )
