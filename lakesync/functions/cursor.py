@@ -44,7 +44,7 @@ def cursor_sort_key(col: Column, dtype: T.DataType, kind: str) -> list[Column]:
     """Sort columns for a cursor, weakest last.
 
     Times given as text get a second key with fraction digits seven to nine,
-    which a Spark timestamp cannot hold.
+    which a Spark timestamp cannot hold; numbers get their exact decimal value.
     """
     if not isinstance(dtype, T.StringType):
         return [col]
@@ -56,7 +56,9 @@ def cursor_sort_key(col: Column, dtype: T.DataType, kind: str) -> list[Column]:
         return [moment, F.substring(digits, 7, 3).cast("int")]
     if kind == "number":
         odd = F.raise_error(F.concat(F.lit("cursor is not a number: "), text)).cast("double")
-        return [F.when(text.rlike(NUMBER) | text.isNull(), text.try_cast("double")).otherwise(odd)]
+        number = F.when(text.rlike(NUMBER) | text.isNull(), text.try_cast("double")).otherwise(odd)
+        # Second key: integers too wide for a double to tell apart.
+        return [number, text.try_cast("decimal(38,9)")]
     return [text]
 
 
@@ -100,4 +102,4 @@ def _compare(col: Column, dtype: T.DataType, kind: str, bound: str, inclusive: b
         return keys[0] >= limits[0] if inclusive else keys[0] > limits[0]
     later = keys[0] > limits[0]
     tail = keys[1] >= limits[1] if inclusive else keys[1] > limits[1]
-    return later | ((keys[0] == limits[0]) & tail)
+    return later | ((keys[0] == limits[0]) & F.coalesce(tail, F.lit(inclusive)))

@@ -74,18 +74,20 @@ def open_entries(entries: DataFrame, tag: str, facts: Sequence[str], threshold:
 
 
 def capability_matrix(
-    results: DataFrame, actions: DataFrame, source: str, checks: Sequence[str]
+    results: DataFrame, actions: DataFrame, source: str, checks: Sequence[str],
+    mode_checks: Sequence[str] = (),
 ) -> DataFrame:
     """One row per source, one column per check; ``results`` also carries ``leaked`` and ``skipped``.
 
     The write column is ``pass`` unless an action failed; then it is the last
-    such result in action-name order.
+    such result in action-name order.  A skipped source shows ``skip``, and
+    nothing in the columns of ``mode_checks``.
     """
     wide = results.groupBy(source).agg(
         F.bool_or("leaked").alias("leaked"), F.bool_or("skipped").alias("skipped"),
         *(
             F.max(F.when(F.col("check") == c, F.nullif(F.col("result"), F.lit("")))).alias(c)
-            for c in checks
+            for c in [*checks, *mode_checks]
         ),
     )
     bad = ~F.col("result").isin("pass", "skipped")
@@ -95,5 +97,8 @@ def capability_matrix(
     skip = F.col("skipped")
     return wide.join(write, source, "left").select(
         source, "leaked",
-        *(F.when(skip, "skip").otherwise(F.coalesce(F.col(c), F.lit("uncert"))).alias(c) for c in [*checks, "write"]),
+        *(
+            F.when(skip, "" if c in mode_checks else "skip").otherwise(F.coalesce(F.col(c), F.lit("uncert"))).alias(c)
+            for c in [*checks, *mode_checks, "write"]
+        ),
     )
