@@ -8,6 +8,7 @@ from collections.abc import Iterator, Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from lakesync.operators.extract import last_named
 from lakesync.operators.ordered import with_last
 from lakesync.operators.relational import asof_join
 from lakesync.operators.shape import decode_text
@@ -97,11 +98,11 @@ def cdc_events(bound: DataFrame, columns: Mapping[str, str], keep: Sequence[str]
 
     ``names`` is the relation's array of ``(name, type_id)``; ``columns`` maps output columns to kinds.
     """
-    pairs = F.arrays_zip(F.col(names).alias("c"), F.col("cells").alias("v"))
+    pairs = F.arrays_zip(F.col(f"{names}.name").alias("n"), F.col(names).alias("c"), F.col("cells").alias("v"))
     sent = F.filter(pairs, lambda p: p["v"].isNotNull())
     out = []
     for name, kind in columns.items():
-        cell = F.try_element_at(F.filter(sent, lambda p, n=name: p["c"]["name"] == n), F.lit(-1))
+        cell = last_named(sent, name)
         read = decode_text(cell["v"]["text"], cell["c"]["type_id"])
         out.append(read[f"{kind}_value"].alias(name))
         out.append(F.coalesce(cell["v"]["kind"] != "u", F.lit(False)).alias(f"{name}_set"))

@@ -17,6 +17,7 @@ from lakesync.functions.values import first_non_blank
 ANY = "variant"
 OBJECT = "map<string,variant>"
 ARRAY = "array<variant>"
+XML_AS_IS = {"ignoreSurroundingSpaces": "false"}
 
 
 def json_path(path: str) -> str:
@@ -123,10 +124,13 @@ def first_element(
     return opened.select(*own, *deep)
 
 
+def last_named(pairs: Column, wanted: str) -> Column:
+    """Last element of an array of structs whose ``n`` is ``wanted``; null when there is none."""
+    return F.try_element_at(F.filter(pairs, lambda p: p["n"] == wanted), F.lit(-1))
+
+
 def _value_of(names: Column, values: Column, wanted: str) -> Column:
-    """Value at the last position where the header says ``wanted``; null when there is none."""
-    pairs = F.arrays_zip(names.alias("n"), values.alias("v"))
-    return F.try_element_at(F.filter(pairs, lambda p: p["n"] == wanted), F.lit(-1))["v"]
+    return last_named(F.arrays_zip(names.alias("n"), values.alias("v")), wanted)["v"]
 
 
 def report_rows(
@@ -257,7 +261,7 @@ def feed_items(bodies: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Feed XML to item rows; the id is the first non-blank of guid, link and title."""
     item = "guid:string,link:string,title:string,description:string,pubDate:string"
     schema = f"channel struct<title:string,link:string,item:array<struct<{item}>>>"
-    rows = bodies.select(*keep, F.explode(F.from_xml("body", schema)["channel"]["item"]).alias("i"))
+    rows = bodies.select(*keep, F.explode(F.from_xml("body", schema, XML_AS_IS)["channel"]["item"]).alias("i"))
     ids = [(F.trim(F.col(f"i.{c}")), T.StringType()) for c in ("guid", "link", "title")]
     return rows.select(
         *keep, first_non_blank(ids, "").alias("id"), F.col("i.title").alias("title"),
@@ -275,7 +279,7 @@ def typed_collection(
     parse as its number or boolean type stays in ``<column>_raw``.
     """
     wire = ",".join(f"{name}:string" for name, _ in fields.values())
-    rows = bodies.select(*keep, F.explode(F.from_xml("body", f"{row} array<struct<{wire}>>")[row]).alias("r"))
+    rows = bodies.select(*keep, F.explode(F.from_xml("body", f"{row} array<struct<{wire}>>", XML_AS_IS)[row]).alias("r"))
     columns = []
     for out, (name, kind) in fields.items():
         text = F.col(f"r.{name}")
@@ -315,10 +319,7 @@ def queue_messages(bodies: DataFrame, attributes: Sequence[str], keep: Sequence[
         *keep, F.col("m.MessageId").alias("message_id"),
         F.coalesce(F.to_json(parsed), F.col("m.Body")).alias("body"),
         parsed.isNotNull().alias("body_is_json"),
-        *(
-            F.try_element_at(F.filter("__all", lambda a, n=name: a["n"] == n), F.lit(-1))["v"].alias(name)
-            for name in attributes
-        ),
+        *(last_named(F.col("__all"), name)["v"].alias(name) for name in attributes),
     )
 
 
