@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lakesync.operators.extract import last_named
 from lakesync.operators.ordered import with_last
@@ -15,7 +15,6 @@ from lakesync.operators.shape import decode_text
 from lakesync.operators.sync import latest_per_key
 
 OPERATIONS = {"I": "insert", "U": "update", "D": "delete"}
-DECODED = "op string, relation_id bigint, cells array<struct<kind:string,text:string>>"
 
 
 def lsn_position(lsn: Column) -> Column:
@@ -58,15 +57,9 @@ def _read_tuple(message: bytes, at: int) -> tuple[list[dict], int]:
     return cells, at
 
 
-def _read_change(message: bytes) -> tuple[str | None, int | None, list[dict] | None]:
-    """Operation, relation and cells of one binary change; transaction marks give nothing."""
-    tag = chr(message[0])
-    if tag in "BCR":
-        return None, None, None
-    if tag not in OPERATIONS:
-        raise ValueError(f"unsupported message type {tag!r}")
-    relation = struct.unpack_from(">I", message, 1)[0]
-    marker, at = chr(message[5]), 6
+def _new_row(message: bytes) -> list[dict]:
+    """Cells of the row a change carries: the new one of an insert or update, the old one of a delete."""
+    tag, marker, at = chr(message[0]), chr(message[5]), 6
     if tag == "U" and marker in "KO":
         _, at = _read_tuple(message, at)
         marker, at = chr(message[at]), at + 1
@@ -75,22 +68,29 @@ def _read_change(message: bytes) -> tuple[str | None, int | None, list[dict] | N
     cells, at = _read_tuple(message, at)
     if at != len(message):
         raise ValueError("trailing bytes in change message")
-    return OPERATIONS[tag], relation, cells
+    return cells
+
+
+@F.pandas_udf("array<struct<kind:string,text:string>>")
+def read_cells(message: pd.Series) -> pd.Series:
+    return message.map(lambda m: _new_row(bytes(m)))
 
 
 def decode_messages(messages: DataFrame, message: str, keep: Sequence[str]) -> DataFrame:
-    """Binary change messages to ``op``, ``relation_id`` and cells of kind t(ext), n(ull) or u(nchanged)."""
-    kept = messages.select(*keep, message)
-    schema = T.StructType([*kept.select(*keep).schema.fields, *T.StructType.fromDDL(DECODED).fields])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            read = [_read_change(bytes(m)) for m in batch.pop(message)]
-            batch["op"], batch["relation_id"], batch["cells"] = zip(*read) if read else ((), (), ())
-            batch["relation_id"] = batch["relation_id"].astype("Int64")
-            yield batch[batch["op"].notna()]
-
-    return kept.mapInPandas(run, schema)
+    """Binary change messages to ``op``, ``relation_id`` and cells of kind t(ext), n(ull) or u(nchanged).
+
+    The head of a message is read by Spark; only the cells go through Python,
+    and only where a plan asks for them.  Transaction and relation messages
+    carry no row and are left out.
+    """
+    tag = F.decode(F.substring(F.col(message), 1, 1), "UTF-8")
+    names = F.create_map(*(F.lit(v) for pair in OPERATIONS.items() for v in pair))
+    unknown = F.raise_error(F.concat(F.lit("unsupported message type "), tag)).cast("string")
+    relation = F.conv(F.hex(F.substring(F.col(message), 2, 4)), 16, 10).cast("bigint")
+    return messages.where(~tag.isin("B", "C", "R")).select(
+        *keep, F.coalesce(F.try_element_at(names, tag), unknown).alias("op"), relation.alias("relation_id"),
+        read_cells(message).alias("cells"),
+    )
 
 
 def cdc_events(bound: DataFrame, columns: Mapping[str, str], keep: Sequence[str], names: str = "columns") -> DataFrame:

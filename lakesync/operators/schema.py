@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from lakesync.operators.extract import ANY, ARRAY, OBJECT, json_path
+from lakesync.operators.extract import ARRAY, OBJECT
 
 # Fixed value: text of this form is typed as a timestamp.
 TIMESTAMP_TEXT = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2})?(\.\d+)?(Z|[+-]\d{2}:?\d{2})?)?$"
@@ -30,32 +30,37 @@ def coarse_type(dtype: T.DataType) -> str:
     return "null" if isinstance(dtype, T.NullType) else "string"
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def json_kind(value: Column) -> Column:
-    """JSON type of a VARIANT value: null, object, array, string, boolean, integer or number.
+    """JSON type of a VARIANT value: null, object, array, string, boolean, integer or number."""
+    return bind(F.schema_of_variant(value), lambda name: _kind_of(name, value))
 
-    Containers are told by a cast, so only scalars pay for their type name.
-    """
-    scalar = F.schema_of_variant(value)
-    whole = F.try_variant_get(value, "$", "double")
-    integral = scalar.startswith("BIGINT") | (
-        (whole == F.floor(whole)) & (F.abs(whole) < F.lit(9.2e18)) & ~scalar.startswith("DECIMAL(20")
-    )
+
+def _kind_of(name: Column, value: Column) -> Column:
+    number = F.try_variant_get(value, "$", "double")
+    whole = (number == F.floor(number)) & (F.abs(number) < F.lit(9.2e18))
     return (
-        F.when(F.is_variant_null(value), "null")
-        .when(F.try_variant_get(value, "$", OBJECT).isNotNull(), "object")
-        .when(F.try_variant_get(value, "$", ARRAY).isNotNull(), "array")
-        .when(scalar == "STRING", "string")
-        .when(scalar == "BOOLEAN", "boolean")
-        .when(F.coalesce(integral, F.lit(False)), "integer")
+        F.when(name == "VOID", "null")
+        .when(name.startswith("OBJECT"), "object")
+        .when(name.startswith("ARRAY"), "array")
+        .when(name == "STRING", "string")
+        .when(name == "BOOLEAN", "boolean")
+        .when((name == "BIGINT") | whole, "integer")
         .otherwise("number")
     )
 
 
 def value_type(value: Column) -> Column:
     """Field type of a VARIANT value; ISO time text counts as timestamp."""
-    kind = json_kind(value)
     text = F.try_variant_get(value, "$", "string")
-    return F.when((kind == "string") & text.rlike(TIMESTAMP_TEXT), "timestamp").otherwise(kind)
+    return bind(
+        json_kind(value),
+        lambda kind: F.when((kind == "string") & text.rlike(TIMESTAMP_TEXT), "timestamp").otherwise(kind),
+    )
 
 
 def infer_types(df: DataFrame, record: str, order: str, by: Sequence[str] = ()) -> DataFrame:
@@ -140,27 +145,31 @@ def first_violation(value: Column, schema: Mapping, path: Column | str = "") ->
     Checked in this order: type, enum, pattern, object rules (property count,
     required, additional, each property by name), then array items.
     """
+    if not schema:
+        return F.lit(None).cast("string")
     here = F.lit(path) if isinstance(path, str) else path
     shown = F.lit(path or "/") if isinstance(path, str) else here
-    kind = json_kind(value)
+    # Type name and members are worked out once per value, not once per check.
+    known = F.struct(value.alias("v"), json_kind(value).alias("kind"), F.try_variant_get(value, "$", OBJECT).alias("members"))
+    return bind(known, lambda k: _violation_of(k["v"], k["kind"], k["members"], schema, here, shown))
+
+
+def _violation_of(value: Column, kind: Column, members: Column, schema: Mapping, here: Column, shown: Column) -> Column:
     text = F.try_variant_get(value, "$", "string")
     checks: list[Column] = []
-
     types = schema.get("type")
     if types:
         types = [types] if isinstance(types, str) else list(types)
-        allowed = kind.isin(*types)
-        if "number" in types:
-            allowed = allowed | (kind == "integer")
-        checks.append(F.when(~allowed, F.concat(shown, F.lit(f": value does not match type {types}"))))
+        accepted = [*types, "integer"] if "number" in types else types
+        checks.append(F.when(~kind.isin(*accepted), F.concat(shown, F.lit(f": value does not match type {types}"))))
     if schema.get("enum"):
         checks.append(F.when(~_in_enum(value, kind, text, schema["enum"]),
                              F.concat(shown, F.lit(": value not in enum"))))
     if schema.get("pattern"):
         bad = (kind == "string") & ~text.rlike(schema["pattern"])
         checks.append(F.when(bad, F.concat(shown, F.lit(": value does not match pattern"))))
-    checks += _object_checks(value, kind, schema, here, shown)
-    if schema.get("items") is not None:
+    checks += _object_checks(members, schema, here, shown)
+    if schema.get("items"):
         elements = F.try_variant_get(value, "$", ARRAY)
         each = F.transform(
             elements,
@@ -171,37 +180,41 @@ def first_violation(value: Column, schema: Mapping, path: Column | str = "") ->
 
 
 def _in_enum(value: Column, kind: Column, text: Column, options: Sequence) -> Column:
+    number = F.try_variant_get(value, "$", "double")
     hits = [F.lit(False)]
-    for option in options:
-        if option is None:
-            hits.append(kind == "null")
-        elif isinstance(option, bool):
-            hits.append((kind == "boolean") & (text == F.lit(str(option).lower())))
-        elif isinstance(option, str):
-            hits.append((kind == "string") & (text == F.lit(option)))
-        else:
-            hits.append(kind.isin("integer", "number") & (F.try_variant_get(value, "$", "double") == F.lit(float(option))))
+    numbers = [float(o) for o in options if isinstance(o, (int, float)) and not isinstance(o, bool)]
+    words = [o for o in options if isinstance(o, str)]
+    flags = [str(o).lower() for o in options if isinstance(o, bool)]
+    if words:
+        hits.append((kind == "string") & text.isin(*words))
+    if numbers:
+        hits.append(kind.isin("integer", "number") & number.isin(*numbers))
+    if flags:
+        hits.append((kind == "boolean") & text.isin(*flags))
+    if None in options:
+        hits.append(kind == "null")
     return F.coalesce(reduce(lambda a, b: a | b, hits), F.lit(False))
 
 
-def _object_checks(value: Column, kind: Column, schema: Mapping, here: Column, shown: Column) -> list[Column]:
-    checks, members = [], F.try_variant_get(value, "$", OBJECT)
-    properties = schema.get("properties")
+def _object_checks(members: Column, schema: Mapping, here: Column, shown: Column) -> list[Column]:
+    """Rules for objects; ``members`` is null for every other kind of value, and so is each check."""
+    checks, properties = [], schema.get("properties")
     if schema.get("minProperties") is not None:
         few = F.size(members) < schema["minProperties"]
-        checks.append(
-            F.when(few, F.concat(shown, F.lit(f": minProperties {schema['minProperties']} not satisfied (got "),
-                                 F.size(members).cast("string"), F.lit(")")))
+        reason = F.concat(
+            shown, F.lit(f": minProperties {schema['minProperties']} not satisfied (got "),
+            F.size(members).cast("string"), F.lit(")"),
         )
-    for name in schema.get("required", ()):
-        missing = (kind == "object") & F.try_variant_get(value, json_path(name), ANY).isNull()
-        checks.append(F.when(missing, F.concat(here, F.lit(f"/{name}: required property missing"))))
+        checks.append(F.when(members.isNotNull() & few, reason))
+    if schema.get("required"):
+        missing = F.get(F.array_except(F.array(*map(F.lit, schema["required"])), F.map_keys(members)), 0)
+        checks.append(F.concat(here, F.lit("/"), missing, F.lit(": required property missing")))
     if schema.get("additionalProperties") is False:
         declared = F.array(*map(F.lit, properties)) if properties else F.expr("array()").cast("array<string>")
         extra = F.get(F.array_sort(F.array_except(F.map_keys(members), declared)), 0)
         checks.append(F.concat(here, F.lit("/"), extra, F.lit(": additional property not allowed")))
     for name in sorted(properties or ()):
-        child = F.try_variant_get(value, json_path(name), ANY)
+        child = F.try_element_at(members, F.lit(name))
         path = F.concat(here, F.lit(f"/{name}"))
         checks.append(F.when(child.isNotNull(), first_violation(child, properties[name], path)))
     return checks

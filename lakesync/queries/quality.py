@@ -21,10 +21,9 @@ def dup_keys(spark, sf_dir):
 
 
 @query("overwrite_rowcount_stable", """
-    SELECT mode, (SELECT count(*) FROM events WHERE ts < TIMESTAMP '2024-01-20') AS first_rows,
-           (SELECT count(*) FROM events WHERE ts >= TIMESTAMP '2024-01-10') AS last_rows, CAST(2 AS BIGINT) AS runs,
-           first_rows = last_rows AS stable
-    FROM (VALUES ('full_refresh_overwrite')) t(mode)
+    SELECT 'full_refresh_overwrite' AS mode, first_rows, last_rows, CAST(2 AS BIGINT) AS runs, first_rows = last_rows AS stable
+    FROM (SELECT count(*) FILTER (ts < TIMESTAMP '2024-01-20') AS first_rows,
+                 count(*) FILTER (ts >= TIMESTAMP '2024-01-10') AS last_rows FROM events)
 """)
 def overwrite_rowcount_stable(spark, sf_dir):
     runs = results_frame(spark, two_runs(spark, sf_dir, "full_refresh_overwrite")[1])

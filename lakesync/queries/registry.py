@@ -18,7 +18,7 @@ _oracles: dict[str, str] = {}
 
 MODULES = (
     "sources", "extraction", "shaping", "schemas", "syncing", "relational", "scoring", "quality",
-    "writing", "changes", "ledgers", "streams",
+    "writing", "changes", "ledgers", "streams", "flagship",
 )
 
 
@@ -47,10 +47,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _load() -> None:
     for module in MODULES:
-        try:
-            importlib.import_module(f"lakesync.queries.{module}")
-        except ModuleNotFoundError as e:
-            print("MISSING", e)
+        importlib.import_module(f"lakesync.queries.{module}")
 
 
 def all_queries() -> dict[str, Query]:
