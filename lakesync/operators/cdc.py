@@ -6,7 +6,7 @@ import struct
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lakesync.operators.extract import last_named
 from lakesync.operators.ordered import with_last
@@ -71,7 +71,10 @@ def _new_row(message: bytes) -> list[dict]:
     return cells
 
 
-@F.pandas_udf("array<struct<kind:string,text:string>>")
+CELLS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("text", T.StringType())]))
+
+
+@F.pandas_udf(CELLS)
 def read_cells(message: pd.Series) -> pd.Series:
     return message.map(lambda m: _new_row(bytes(m)))
 

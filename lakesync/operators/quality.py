@@ -100,7 +100,7 @@ def _redacted_value(col: Column, dtype: T.DataType) -> Column:
     return col
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def redact_json(body: pd.Series) -> pd.Series:
     """Redaction of JSON text of unknown shape, whole text per row."""
     def walk(value):
