@@ -102,14 +102,16 @@ def cdc_events(bound: DataFrame, columns: Mapping[str, str], keep: Sequence[str]
     ``names`` is the relation's array of ``(name, type_id)``; ``columns`` maps output columns to kinds.
     """
     pairs = F.arrays_zip(F.col(f"{names}.name").alias("n"), F.col(names).alias("c"), F.col("cells").alias("v"))
-    sent = F.filter(pairs, lambda p: p["v"].isNotNull())
+    opened = bound.withColumn("__sent", F.filter(pairs, lambda p: p["v"].isNotNull()))
+    # Each cell is looked up once and then read several times.
+    opened = opened.withColumns({f"__{name}": last_named(F.col("__sent"), name) for name in columns})
     out = []
     for name, kind in columns.items():
-        cell = last_named(sent, name)
+        cell = F.col(f"__{name}")
         read = decode_text(cell["v"]["text"], cell["c"]["type_id"])
         out.append(read[f"{kind}_value"].alias(name))
         out.append(F.coalesce(cell["v"]["kind"] != "u", F.lit(False)).alias(f"{name}_set"))
-    return bound.select(*keep, *out)
+    return opened.select(*keep, *out)
 
 
 def apply_changes(

@@ -69,19 +69,20 @@ def _bytes_hex(text: Column) -> Column:
 
 def messages(spark, sf_dir) -> DataFrame:
     """Binary change messages, built in Spark from the events."""
-    events, key, op = table(spark, sf_dir, "events"), F.col("event_id"), _op()
-    value = F.when((op == "update") & (key % 4 == 0), F.lit("75")).otherwise(_bytes_hex(F.col("value").cast("string")))
-    props = F.when(key % 10 != 0, F.col("props"))
-    row = F.concat(F.lit("0004"), _bytes_hex(F.col("user_id").cast("string")), _bytes_hex(F.col("event_type")), value, _bytes_hex(props))
-    old = F.concat(F.lit("4B0001"), _bytes_hex(F.col("user_id").cast("string")))
-    relation = F.lpad(F.hex(F.col("user_id") % 5), 8, "0")
-    body = (
-        F.when(op == "delete", F.concat(F.lit("44"), relation, F.lit("4F"), row))
-        .when(op == "insert", F.concat(F.lit("49"), relation, F.lit("4E"), row))
-        .when(key % 3 == 0, F.concat(F.lit("55"), relation, old, F.lit("4E"), row))
-        .otherwise(F.concat(F.lit("55"), relation, F.lit("4E"), row))
+    events, key = table(spark, sf_dir, "events").withColumn("op", _op()), F.col("event_id")
+    op, user = F.col("op"), F.col("user_id").cast("string")
+    unchanged = (op == "update") & (key % 4 == 0)
+    cells = events.select(
+        "event_id", "user_id", "op", _bytes_hex(user).alias("user"), _bytes_hex(F.col("event_type")).alias("kind"),
+        F.when(unchanged, F.lit("75")).otherwise(_bytes_hex(F.col("value").cast("string"))).alias("value"),
+        _bytes_hex(F.when(key % 10 != 0, F.col("props"))).alias("props"),
     )
-    changes = events.select(key.alias("position"), _lsn(key).alias("lsn"), F.unhex(body).alias("message"))
+    old_key = F.when((op == "update") & (key % 3 == 0), F.concat(F.lit("4B0001"), "user")).otherwise("")
+    tag = F.when(op == "delete", "44").when(op == "insert", "49").otherwise("55")
+    marker = F.when(op == "delete", "4F").otherwise("4E")
+    relation = F.lpad(F.hex(F.col("user_id") % 5), 8, "0")
+    body = F.concat(tag, relation, old_key, marker, F.lit("0004"), "user", "kind", "value", "props")
+    changes = cells.select(key.alias("position"), _lsn(key).alias("lsn"), F.unhex(body).alias("message"))
     marks = events.where(F.col("event_type") == "signup").select(
         key.alias("position"), _lsn(key).alias("lsn"), F.unhex(F.lit("42")).alias("message")
     )
