@@ -52,7 +52,8 @@ def run_sync(
     """
     mode = mode if isinstance(mode, SyncMode) else parse_mode(mode)
     check_stream(spec, mode)
-    prior = store.stream_state(spec.name)
+    log = store.log()
+    prior = store.stream_state(spec.name, log)
     generation = prior.generation + 1 if mode.overwrite or not prior.generation else prior.generation
     kind = None
     if spec.cursor:
@@ -72,8 +73,9 @@ def run_sync(
 
     if mode.deduped:
         known = landed
-        if not mode.overwrite and store.exists(winners_table(spec)):
-            known = store.read(winners_table(spec)).unionByName(landed, allowMissingColumns=True)
+        paths, schema = store.current(winners_table(spec), log)
+        if schema is not None and not mode.overwrite:
+            known = store.read_paths(paths, schema).unionByName(landed, allowMissingColumns=True)
         best = store.staged(winners_table(spec), run_id, latest_raw(known, text_kind(source, spec, kind)), True)
         final = store.read_paths([best.path], best.schema).where(~F.col("_sync_deleted")).select("record.*")
         changes += [best, store.staged(spec.table or spec.name, run_id, final, True)]
