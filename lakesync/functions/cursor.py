@@ -79,7 +79,9 @@ def required_cursor(col: Column, dtype: T.DataType, field: str) -> Column:
     """Cursor text; a missing or blank cursor fails the job."""
     text = cursor_text(col, dtype)
     missing = F.raise_error(F.lit(f"record is missing cursor field {field!r}")).cast("string")
-    return F.when(F.trim(text) != "", text).otherwise(missing)
+    if isinstance(dtype, T.StringType):
+        return F.when(F.trim(text) != "", text).otherwise(missing)
+    return F.coalesce(text, missing)
 
 
 def not_before(col: Column, dtype: T.DataType, kind: str, bound: str) -> Column:

@@ -97,7 +97,10 @@ def _coalesce(inner: str, schema: T.StructType, config: Mapping[str, str]) -> Co
     if any(not r.startswith("record.") or r == "record." for r in refs):
         raise ValueError("coalesce supports only record.* references")
     found = [r for r in (resolve(ref, schema, config) for ref in refs) if r.found]
-    picked = [F.nullif(r.col, F.lit("")) if isinstance(r.dtype, T.StringType) else r.col for r in found]
+    # A column has one type: paths of different types are read as text.
+    mixed = len({r.dtype.simpleString() for r in found}) > 1
+    values = [(r.text() if mixed else r.col, mixed or isinstance(r.dtype, T.StringType)) for r in found]
+    picked = [F.nullif(v, F.lit("")) if is_text else v for v, is_text in values]
     return F.coalesce(*picked) if picked else None
 
 

@@ -13,12 +13,10 @@ def table_summary(df: DataFrame, kind: str, order: Sequence[str], sample: int =
     """One row: kind, row count, sorted field names, and the first rows as compact JSON."""
     fields = sorted(df.columns)
     rows = df.orderBy(*order).limit(max(sample, 0)).select(F.struct(*order).alias("o"), F.to_json(F.struct(*fields)).alias("j"))
-    listed = rows.agg(F.sort_array(F.collect_list(F.struct("o", "j"))).alias("s"))
-    count = df.agg(F.count("*").alias("count"))
-    one = F.lit(1)
-    return count.withColumn("one", one).join(listed.withColumn("one", one), "one").select(
+    listed = rows.agg(F.sort_array(F.collect_list(F.struct("o", "j"))).getField("j"))
+    return df.agg(F.count("*").alias("count")).select(
         F.lit(kind).alias("kind"), "count", F.lit(",".join(fields)).alias("fields"),
-        F.concat(F.lit("["), F.array_join(F.col("s.j"), ","), F.lit("]")).alias("sample"),
+        F.concat(F.lit("["), F.array_join(listed.scalar(), ","), F.lit("]")).alias("sample"),
     )
 
 

@@ -152,9 +152,13 @@ def latest_per_key(
     return winners if deleted is None else winners.where(~deleted)
 
 
-def latest_raw(raw: DataFrame, kind: str) -> DataFrame:
-    """Winning envelope per primary key, deleted ones included."""
-    keys = cursor_sort_key(F.col("_sync_cursor"), T.StringType(), kind)
+def latest_raw(raw: DataFrame, cursor: str, kind: str) -> DataFrame:
+    """Winning envelope per primary key, deleted ones included.
+
+    Ordered by the record's own typed cursor, then by time of extraction and raw id.
+    """
+    dtype = raw.schema["record"].dataType[cursor].dataType
+    keys = cursor_sort_key(F.col(f"record.`{cursor}`"), dtype, kind)
     order = [*keys, F.col("_sync_extracted_at"), F.col("_sync_raw_id")]
     return latest_per_key(raw, ["_sync_primary_key"], order)
 

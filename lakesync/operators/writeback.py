@@ -41,12 +41,9 @@ def plan_hash(mapped: DataFrame, settings: Mapping[str, str]) -> DataFrame:
 
 def plan_preview(mapped: DataFrame, order: Sequence[str], action: str, rows: int = 3) -> DataFrame:
     """First rows with the total count and action."""
-    total = mapped.agg(F.count("*").alias("record_count"))
+    total = mapped.agg(F.count("*")).scalar()
     sample = mapped.orderBy(*order).limit(rows)
-    return (
-        sample.withColumn("one", F.lit(1)).join(total.withColumn("one", F.lit(1)), "one").drop("one")
-        .withColumn("action", F.lit(action or "upsert"))
-    )
+    return sample.withColumns({"record_count": total, "action": F.lit(action or "upsert")})
 
 
 def changed_rows(planned: DataFrame, current: DataFrame) -> DataFrame:

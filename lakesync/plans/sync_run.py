@@ -11,7 +11,7 @@ from lakesync.functions.cursor import cursor_kind
 from lakesync.operators.sync import (
     StreamSpec, SyncMode, accept_from, check_stream, enrich, latest_raw, max_cursor, parse_mode, raw_envelope,
 )
-from lakesync.sources.tables import Change, StreamState, TableStore
+from lakesync.sources.tables import LIVE_RECORDS, RECORDS, Change, StreamState, TableStore
 
 DEFAULT_BATCH_ROWS = 1000
 
@@ -71,17 +71,21 @@ def run_sync(
     facts = landed.select("record.*").agg(F.count("*").alias("n"), newest.alias("cursor")).first()
     changes = [Change(raw_table(spec), raw_path, raw.schema, mode.overwrite, facts.n)]
 
+    # The final table is a view of files that are written anyway: raw history,
+    # or the winners of it.
+    final = Change(spec.table or spec.name, raw_path, raw.schema, mode.overwrite, facts.n, RECORDS)
     if mode.deduped:
         known = landed
-        paths, schema = store.current(winners_table(spec), log)
-        if schema is not None and not mode.overwrite:
-            known = store.read_paths(paths, schema).unionByName(landed, allowMissingColumns=True)
-        best = store.staged(winners_table(spec), run_id, latest_raw(known, text_kind(source, spec, kind)), True)
-        final = store.read_paths([best.path], best.schema).where(~F.col("_sync_deleted")).select("record.*")
-        changes += [best, store.staged(spec.table or spec.name, run_id, final, True)]
-    else:
-        final = landed.select("record.*")
-        changes.append(store.staged(spec.table or spec.name, run_id, final, mode.overwrite))
+        if not mode.overwrite and store.current(winners_table(spec), log):
+            known = store.read(winners_table(spec), log).unionByName(landed, allowMissingColumns=True)
+        best = latest_raw(known, spec.cursor, kind)
+        best_path = store.stage(winners_table(spec), run_id, best)
+        counts = store.read_paths([best_path], best.schema).agg(
+            F.count("*").alias("all"), F.count_if(~F.col("_sync_deleted")).alias("live")
+        ).first()
+        changes.append(Change(winners_table(spec), best_path, best.schema, True, counts["all"]))
+        final = Change(spec.table or spec.name, best_path, best.schema, True, counts["live"], LIVE_RECORDS)
+    changes.append(final)
 
     cursor = later_cursor(store, prior.cursor, facts.cursor, text_kind(source, spec, kind))
     store.commit(run_id, changes, spec.name, StreamState(cursor, kind, generation))

@@ -32,14 +32,14 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str | None
 
 
 def read_csv(spark: SparkSession, path: str, columns: Sequence[str], files: str | None = None) -> DataFrame:
-    """CSV with a header row; every value is text, a ragged row fails the read."""
+    """CSV with a header row; every value is text (an empty one too), a ragged row fails the read."""
     reader = (
-        spark.read.option("header", True).option("mode", "FAILFAST").option("multiLine", True)
-        .option("escape", '"').option("nullValue", "\x00").option("emptyValue", "")
+        spark.read.option("header", True).option("mode", "FAILFAST").option("multiLine", True).option("escape", '"')
     )
     if files:
         reader = reader.option("pathGlobFilter", files)
-    return reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns])).csv(path)
+    text = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns])).csv(path)
+    return text.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns))
 
 
 def read_landing_dir(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:

@@ -2,6 +2,8 @@ import pathlib
 import sys
 
 import pytest
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 
 ROOT = pathlib.Path(__file__).resolve().parents[1]
 sys.path[:0] = [str(ROOT), str(ROOT / "tools")]
@@ -10,6 +12,7 @@ from lakesync.session import build_session  # noqa: E402
 from lakesync.sources.tables import TableStore  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
+SPARK_ERRORS = (PySparkException, Py4JJavaError)
 
 
 @pytest.fixture(scope="session")

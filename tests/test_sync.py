@@ -1,7 +1,7 @@
 """Sync modes: duplicates, safe publishing, cursors, tombstones, generations."""
 
 import pytest
-from pyspark.errors import PySparkException
+from conftest import SPARK_ERRORS
 from pyspark.sql import functions as F
 
 from lakesync.functions.cursor import cursor_kind, strictly_after
@@ -41,7 +41,7 @@ def test_failed_overwrite_leaves_the_old_rows(spark, store):
     broken = batch(spark, ("k", "Katherine", "01-03")).withColumn(
         "name", F.when(F.col("id") == "k", F.raise_error(F.lit("source failed"))).otherwise(F.col("name"))
     )
-    with pytest.raises(PySparkException):
+    with pytest.raises(SPARK_ERRORS):
         sync(store, broken, "full_refresh_overwrite", "r2")
     assert names(store) == ["Ada", "Grace"]
     assert store.stream_state("people").generation == 1
@@ -59,7 +59,7 @@ def test_incremental_append_resends_the_row_at_the_cursor(spark, store):
     assert result.cursor == "2026-01-03T00:00:00Z"
     assert (result.records_read, result.records_transformed) == (3, 2)
     broken = batch(spark, ("z", "Zoe", "01-09")).withColumn("id", F.raise_error(F.lit("x")).cast("string"))
-    with pytest.raises(PySparkException):
+    with pytest.raises(SPARK_ERRORS):
         sync(store, broken, "incremental_append", "r3")
     assert store.stream_state("people").cursor == "2026-01-03T00:00:00Z"
 
@@ -124,10 +124,10 @@ def test_mode_names_and_requirements():
 
 def test_missing_cursor_and_key_fail(spark):
     frame = spark.createDataFrame([("a", " "), ("b", "2")], "id string, at string")
-    with pytest.raises(PySparkException, match="missing cursor"):
+    with pytest.raises(SPARK_ERRORS, match="missing cursor"):
         enrich(frame, "r", AT, "at").collect()
     keyless = spark.createDataFrame([(None, 1)], "id string, n int")
-    with pytest.raises(PySparkException, match="missing primary key"):
+    with pytest.raises(SPARK_ERRORS, match="missing primary key"):
         keyless.select(primary_key_text(keyless.schema, ["id", "n"])).collect()
 
 
