@@ -9,10 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lakesync.operators.extract import last_named
-from lakesync.operators.ordered import with_last
 from lakesync.operators.relational import asof_join
 from lakesync.operators.shape import decode_text
-from lakesync.operators.sync import latest_per_key
 
 OPERATIONS = {"I": "insert", "U": "update", "D": "delete"}
 
@@ -115,23 +113,25 @@ def cdc_events(bound: DataFrame, columns: Mapping[str, str], keep: Sequence[str]
 
 
 def apply_changes(
-    events: DataFrame, keys: Sequence[str], columns: Sequence[str], position: str, op: str = "op",
-    hot_rows: int | None = None, slices: int | None = None,
+    events: DataFrame, keys: Sequence[str], columns: Sequence[str], position: str, op: str = "op"
 ) -> DataFrame:
     """Current table from its change log: the last event per key, unchanged values from before.
 
     A ``<column>_set`` flag that is false means the value was not sent.  A
     deleted key disappears, and values from before a delete are not taken over.
+    One aggregation, combined before the shuffle, so a hot key costs no more
+    than any other.
     """
-    flagged = [c for c in columns if f"{c}_set" in events.columns]
-    fillers = {
-        f"__f_{c}": F.when((F.col(op) == "delete") | F.col(f"{c}_set"),
-                           F.struct(F.when(F.col(op) != "delete", F.col(c)).alias("v")))
-        for c in flagged
+    at, dead = F.col(position), F.col(op) == "delete"
+    folds = [F.max(at).alias("__at"), F.max_by(op, at).alias("__op"), F.max(F.when(dead, at)).alias("__dead")]
+    for name in columns:
+        sent = ~dead & F.col(f"{name}_set") if f"{name}_set" in events.columns else ~dead
+        when = F.when(sent, at)
+        folds += [F.max_by(F.col(name), when).alias(name), F.max(when).alias(f"__at_{name}")]
+    folded = events.groupBy(*keys).agg(*folds).where(F.col("__op") != "delete")
+    alive = {
+        name: F.when(F.col("__dead").isNull() | (F.col(f"__at_{name}") > F.col("__dead")), F.col(name))
+        for name in columns
     }
-    filled = with_last(events, keys, [position], fillers, hot_rows, slices) if flagged else events
-    values = [
-        F.col(f"__f_{c}")["v"].alias(c) if c in flagged else F.col(c) for c in columns
-    ]
-    complete = filled.select(*keys, position, op, *values)
-    return latest_per_key(complete, keys, [F.col(position)], deleted=F.col(op) == "delete")
+    return folded.select(*keys, F.col("__at").alias(position), F.col("__op").alias(op),
+                         *(value.alias(name) for name, value in alive.items()))

@@ -3,14 +3,15 @@
 A window puts all rows of one key into one task.  Where a key can hold a large
 share of the table that does not scale, so the functions here first look for
 hot keys (one pre-aggregated count).  Without any, they plan an ordinary
-window.  With some, the rows of the hot keys are cut into slices along the
-ordering column, each slice is worked on by itself, and one small summary row
-per slice carries what later slices need.  Results are the same either way.
+window.  With some, the rows of the hot keys are range-sorted into slices of
+equal size, each slice is worked on by itself, and one small summary row per
+slice carries what later slices need.  Results are the same either way.
+
+``order`` names columns that together are unique within a key.
 """
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Sequence
 from functools import reduce
 from operator import and_, or_
@@ -25,24 +26,16 @@ MAX_HOT_KEYS = 1000
 DEFAULT_HOT_ROWS = 5_000_000
 
 
-def with_slices(
-    df: DataFrame, keys: Sequence[str], order: str, hot_rows: int | None = None, slices: int | None = None
-) -> tuple[DataFrame, bool]:
-    """Add the slice number; the flag says whether any key was cut.
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> Column | None:
+    """Condition for rows of hot keys; None when there are none.
 
     At most ``MAX_HOT_KEYS`` key values reach the driver.  Keys beyond that
     count hold at most one thousandth of the rows each.
     """
-    hot_rows = DEFAULT_HOT_ROWS if hot_rows is None else hot_rows
-    top = (
-        df.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > hot_rows)
-        .orderBy(F.desc("__n")).limit(MAX_HOT_KEYS).collect()
-    )
-    if not top:
-        return df.withColumn(SLICE, F.lit(COLD)), False
-    hot = _any_of(keys, top)
-    number = slice_number(df.where(hot), order, slices)
-    return df.withColumn(SLICE, F.when(hot, number).otherwise(F.lit(COLD))), True
+    limit = DEFAULT_HOT_ROWS if hot_rows is None else hot_rows
+    counted = df.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > limit)
+    top = counted.orderBy(F.desc("__n")).limit(MAX_HOT_KEYS).collect()
+    return _any_of(keys, top) if top else None
 
 
 def _any_of(keys: Sequence[str], rows: Sequence) -> Column:
@@ -55,58 +48,55 @@ def _any_of(keys: Sequence[str], rows: Sequence) -> Column:
     return found | F.col(keys[0]).isNull() if None in values else found
 
 
-def _with_summary(df: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join of one summary row per hot key and slice; null keys match each other."""
-    named = summary.withColumnsRenamed({k: f"__k_{k}" for k in [*keys, SLICE]})
-    on = reduce(and_, (F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in [*keys, SLICE]))
-    return df.join(named, on, "left").drop(*(f"__k_{k}" for k in [*keys, SLICE]))
-
+def cut_hot_keys(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int | None, slices: int | None
+) -> tuple[DataFrame, list[str]]:
+    """Rows with their slice, and the columns to partition windows by.
 
-def slice_number(df: DataFrame, order: str, slices: int | None = None) -> Column:
-    """Slice of a value of ``order``: equal shares of ``df`` by its own quantiles.
-
-    The limits are computed once and become literals, so a recomputed task
-    always puts a row into the same slice.
+    The slices of hot rows are ranges of key and order.  They are written once,
+    so a lost task cannot move a row from one slice to another.
     """
+    hot = hot_keys(df, keys, hot_rows)
+    if hot is None:
+        return df, list(keys)
     spark = df.sparkSession
-    n = max(2, slices or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    shares = [i / n for i in range(1, n)]
-    found = df.agg(F.percentile_approx(F.col(order), shares, max(10_000, 50 * n)).alias("q")).first().q
-    limits = sorted(set(found or []))
-    return F.expr(_search(f"`{order}`", [_sql_literal(v) for v in limits], 0))
+    n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = fresh_dir(spark, "slices")
+    sliced = df.where(hot).repartitionByRange(n, *keys, *order).withColumn(SLICE, F.spark_partition_id())
+    sliced.write.parquet(path)
+    stored = spark.read.schema(sliced.schema).parquet(path)
+    return df.where(~hot).withColumn(SLICE, F.lit(COLD)).unionByName(stored), [*keys, SLICE]
 
 
-def _search(name: str, limits: list[str], base: int) -> str:
-    """Balanced CASE tree: number of limits that are below the value."""
-    if not limits:
-        return str(base)
-    middle = len(limits) // 2
-    low = _search(name, limits[:middle], base)
-    high = _search(name, limits[middle + 1:], base + middle + 1)
-    return f"CASE WHEN {name} <= {limits[middle]} THEN {low} ELSE {high} END"
+def _with_summary(df: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join of one summary row per hot key and slice; null keys match each other."""
+    named = summary.withColumnsRenamed({k: f"__k_{k}" for k in [*keys, SLICE]})
+    on = reduce(and_, (F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in [*keys, SLICE]))
+    return df.join(named, on, "left").drop(*(f"__k_{k}" for k in [*keys, SLICE]))
 
 
-def _sql_literal(value: object) -> str:
-    if isinstance(value, dt.datetime):
-        return f"TIMESTAMP_NTZ'{value.isoformat(sep=' ')}'"
-    if isinstance(value, dt.date):
-        return f"DATE'{value.isoformat()}'"
-    if isinstance(value, float):
-        return f"DOUBLE('{value!r}')"
-    return f"{value}"
+def _earlier_slices(
+    cut: DataFrame, keys: Sequence[str], aggregates: dict[str, Column], fold
+) -> DataFrame:
+    """Per hot key and slice: ``fold`` over the aggregates of all earlier slices."""
+    per_slice = cut.where(F.col(SLICE) != COLD).groupBy(*keys, SLICE).agg(
+        *(agg.alias(name) for name, agg in aggregates.items())
+    )
+    earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    return per_slice.select(*keys, SLICE, *(fold(F.col(name)).over(earlier).alias(name) for name in aggregates))
 
 
 def with_position(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "position",
     hot_rows: int | None = None, slices: int | None = None,
 ) -> DataFrame:
-    """1-based position of each row in its key, by ``order`` (which must be unique per key)."""
-    cut, split = with_slices(df, keys, order[0], hot_rows, slices)
-    local = F.row_number().over(Window.partitionBy(*keys, SLICE).orderBy(*order))
+    """1-based position of each row in its key."""
+    cut, by = cut_hot_keys(df, keys, order, hot_rows, slices)
+    local = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     numbered = cut.withColumn(out, local.cast("bigint"))
-    if not split:
-        return numbered.drop(SLICE)
-    before = _earlier_slices(cut, keys, {"__before": F.count("*")})
+    if SLICE not in by:
+        return numbered
+    before = _earlier_slices(cut, keys, {"__before": F.count("*")}, F.sum)
     joined = _with_summary(numbered, before, keys)
     return joined.withColumn(out, F.col(out) + F.coalesce("__before", F.lit(0))).drop(SLICE, "__before")
 
@@ -116,12 +106,12 @@ def with_running_total(
     hot_rows: int | None = None, slices: int | None = None,
 ) -> DataFrame:
     """Running sums by key up to and including the row."""
-    cut, split = with_slices(df, keys, order[0], hot_rows, slices)
-    frame = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    cut, by = cut_hot_keys(df, keys, order, hot_rows, slices)
+    frame = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = cut.withColumns({name: F.sum(value).over(frame) for name, value in totals.items()})
-    if not split:
-        return local.drop(SLICE)
-    before = _earlier_slices(cut, keys, {f"__b_{n}": F.sum(v) for n, v in totals.items()})
+    if SLICE not in by:
+        return local
+    before = _earlier_slices(cut, keys, {f"__b_{n}": F.sum(v) for n, v in totals.items()}, F.sum)
     joined = _with_summary(local, before, keys)
     full = {
         name: F.when(F.col(f"__b_{name}").isNull(), F.col(name))
@@ -131,39 +121,26 @@ def with_running_total(
     return joined.withColumns(full).drop(SLICE, *(f"__b_{n}" for n in totals))
 
 
-def _earlier_slices(cut: DataFrame, keys: Sequence[str], totals: dict[str, Column]) -> DataFrame:
-    """Per hot key and slice: totals over all earlier slices (one row per slice)."""
-    per_slice = cut.where(F.col(SLICE) != COLD).groupBy(*keys, SLICE).agg(
-        *(agg.alias(name) for name, agg in totals.items())
-    )
-    earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    return per_slice.select(*keys, SLICE, *(F.sum(name).over(earlier).alias(name) for name in totals))
-
-
 def with_last(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column],
     hot_rows: int | None = None, slices: int | None = None,
 ) -> DataFrame:
     """Last non-null value by key up to and including the row."""
-    cut, split = with_slices(df, keys, order[0], hot_rows, slices)
+    cut, by = cut_hot_keys(df, keys, order, hot_rows, slices)
     cut = cut.withColumns({f"__v_{name}": value for name, value in values.items()})
-    frame = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    frame = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = cut.withColumns(
         {name: F.last(F.col(f"__v_{name}"), ignorenulls=True).over(frame) for name in values}
     ).drop(*(f"__v_{n}" for n in values))
-    if not split:
-        return local.drop(SLICE)
-    rank = F.struct(*order)
-    per_slice = cut.where(F.col(SLICE) != COLD).groupBy(*keys, SLICE).agg(
-        *(
-            F.max_by(F.col(f"__v_{n}"), F.when(F.col(f"__v_{n}").isNotNull(), rank)).alias(f"__c_{n}")
-            for n in values
-        )
-    )
-    earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_slice.select(
-        *keys, SLICE,
-        *(F.last(F.col(f"__c_{n}"), ignorenulls=True).over(earlier).alias(f"__c_{n}") for n in values),
+    if SLICE not in by:
+        return local
+
+    def newest(name: str) -> Column:
+        value = F.col(f"__v_{name}")
+        return F.max_by(value, F.when(value.isNotNull(), F.struct(*order)))
+
+    carried = _earlier_slices(
+        cut, keys, {f"__c_{n}": newest(n) for n in values}, lambda c: F.last(c, ignorenulls=True)
     )
     joined = _with_summary(local, carried, keys)
     filled = {n: F.coalesce(F.col(n), F.col(f"__c_{n}")) for n in values}
@@ -182,28 +159,28 @@ def with_frame(
     keys are cut into blocks of consecutive positions; each block also gets
     the neighbouring rows it needs and drops them again at the end.
     """
-    hot_rows = DEFAULT_HOT_ROWS if hot_rows is None else hot_rows
-    block_rows = max(block_rows or hot_rows, before + after, 1)
-    cut, split = with_slices(df, keys, order[0], hot_rows, slices)
-    if not split:
+    hot = hot_keys(df, keys, hot_rows)
+    if hot is None:
         window = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumns({name: make(window) for name, make in outputs.items()})
-    placed = with_position(df, keys, order, "__pos", hot_rows, slices)
+    block_rows = max(block_rows or hot_rows or DEFAULT_HOT_ROWS, before + after, 1)
+    # Cold keys fit into one block each, so they only need a position where hot ones do.
+    placed = with_position(df.where(hot), keys, order, "__pos", hot_rows, slices)
     zero = F.col("__pos") - 1
-    block = F.floor(zero / block_rows)
-    offset = zero % block_rows
-    blocks = F.filter(
+    block, offset = F.floor(zero / block_rows), zero % block_rows
+    none = F.lit(None).cast("bigint")
+    blocks = F.array_compact(
         F.array(
-            block,
-            F.when(offset >= block_rows - before, block + 1) if before else F.lit(None).cast("bigint"),
-            F.when((offset < after) & (block > 0), block - 1) if after else F.lit(None).cast("bigint"),
-        ),
-        lambda b: b.isNotNull(),
+            block, F.when(offset >= block_rows - before, block + 1) if before else none,
+            F.when((offset < after) & (block > 0), block - 1) if after else none,
+        )
     )
     copied = placed.withColumn("__home", block).withColumn("__block", F.explode(blocks))
-    window = Window.partitionBy(*keys, "__block").orderBy("__pos")
-    done = copied.withColumns({name: make(window) for name, make in outputs.items()})
-    return done.where(F.col("__home") == F.col("__block")).drop("__pos", "__home", "__block")
+    cold = df.where(~hot).withColumns({"__home": F.lit(0).cast("bigint"), "__block": F.lit(0).cast("bigint")})
+    window = Window.partitionBy(*keys, "__block").orderBy(*order)
+    every = cold.unionByName(copied.drop("__pos"))
+    done = every.withColumns({name: make(window) for name, make in outputs.items()})
+    return done.where(F.col("__home") == F.col("__block")).drop("__home", "__block")
 
 
 def row_index(df: DataFrame, order: Sequence[str | Column], out: str = "row_index") -> DataFrame:

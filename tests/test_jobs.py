@@ -191,13 +191,12 @@ def test_bad_messages(spark, message):
         decoded(spark, message).collect()
 
 
-@pytest.mark.parametrize("split", [{}, {"hot_rows": 3, "slices": 3}])
-def test_apply_changes(spark, rows, split):
+def test_apply_changes(spark, rows):
     log = [(1, 1, "insert", "a", True), (1, 2, "update", None, False), (2, 3, "insert", "b", True), (2, 4, "update", None, True),
            (3, 5, "insert", "c", True), (3, 6, "delete", None, True), (4, 7, "insert", "d", True), (4, 8, "delete", None, True),
            (4, 9, "update", None, False), (1, 10, "update", None, False), (1, 11, "update", None, False)]
     frame = spark.createDataFrame(log, "k int, at bigint, op string, v string, v_set boolean")
-    got = rows(cdc.apply_changes(frame, ["k"], ["v"], "at", **split), "k", "v")
+    got = rows(cdc.apply_changes(frame, ["k"], ["v"], "at"), "k", "v")
     assert got == [(1, "a"), (2, None), (4, None)]
 
 

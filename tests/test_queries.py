@@ -16,45 +16,46 @@ FORBIDDEN_NODES = ("CartesianProduct", "BroadcastNestedLoopJoin")
 PYTHON_QUERIES = {"record_hook_map", "redact_json_text", "cdc_events"}
 
 
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.fixture(scope="module")
 def con():
     return connect(SMALL)
 
 
 @pytest.mark.parametrize("name", QUERIES)
-def test_same_rows_as_sql(spark, con, name):
-    verdict = compare(spark, con, name, QUERIES[name], ORACLES.get(name), SMALL)
+def test_rows_and_plan(spark, con, name):
+    frame = QUERIES[name](spark, SMALL)
+    verdict = compare(con, frame, ORACLES.get(name))
     assert verdict.startswith(("ok", "rows-only")), verdict
-
-
-def test_every_query_has_sql():
-    assert sorted(QUERIES) == sorted(ORACLES)
-
-
-@pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith(("stream_", "src_", "sink_"))])
-def test_plan_has_no_pairing_and_no_stray_python(spark, name):
-    plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    plan = plan_of(frame)
     for node in FORBIDDEN_NODES:
         assert node not in plan
     if name not in PYTHON_QUERIES:
         assert not re.search(r"ArrowEvalPython|BatchEvalPython|MapInPandas|PythonMapInArrow", plan)
 
 
+def test_every_query_has_sql():
+    assert sorted(QUERIES) == sorted(ORACLES)
+
+
 def test_latest_per_key_limits_rows_before_the_shuffle(spark):
-    plan = QUERIES["latest_per_key"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    plan = plan_of(QUERIES["latest_per_key"](spark, SMALL))
     below = plan[plan.index("Exchange"):]
     assert "WindowGroupLimit" in below
 
 
 def test_bounds_reach_the_scan(spark):
     for name, column in (("jdbc_snapshot", "o_orderdate"), ("cursor_filter_inclusive", "ts")):
-        plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+        plan = plan_of(QUERIES[name](spark, SMALL))
         pushed = re.search(r"PushedFilters: \[(.*?)\], ReadSchema", plan).group(1)
         assert f"GreaterThan" in pushed and column in pushed
 
 
 def test_scan_reads_only_needed_columns(spark):
-    plan = QUERIES["agg_group_having"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    plan = plan_of(QUERIES["agg_group_having"](spark, SMALL))
     assert re.search(r"ReadSchema: struct<l_orderkey:bigint>", plan)
 
 

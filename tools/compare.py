@@ -44,8 +44,7 @@ def _plain(value):
     return value
 
 
-def compare(spark, con, name, run, sql, sf_dir) -> str:
-    frame = run(spark, sf_dir)
+def compare(con, frame, sql) -> str:
     rows = [tuple(r) for r in frame.collect()]
     if sql is None:
         return f"rows-only {len(rows)}"
@@ -76,7 +75,7 @@ def main() -> int:
     for name in args.names or queries:
         start = time.time()
         try:
-            verdict = compare(spark, con, name, queries[name], oracles.get(name), args.dir)
+            verdict = compare(con, queries[name](spark, args.dir), oracles.get(name))
         except Exception as error:
             verdict = f"ERROR {type(error).__name__}: {str(error)[:700]}"
         bad += not verdict.startswith(("ok", "rows-only"))
