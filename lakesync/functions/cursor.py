@@ -78,7 +78,7 @@ def cursor_literal(value: str, dtype: T.DataType) -> Column:
 def required_cursor(col: Column, dtype: T.DataType, field: str) -> Column:
     """Cursor text; a missing or blank cursor fails the job."""
     text = cursor_text(col, dtype)
-    missing = F.raise_error(F.lit(f"record is missing cursor field {field!r}")).cast("string")
+    missing = F.raise_error(F.lit(f"row without a cursor in {field}")).cast("string")
     if isinstance(dtype, T.StringType):
         return F.when(F.trim(text) != "", text).otherwise(missing)
     return F.coalesce(text, missing)

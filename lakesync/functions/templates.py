@@ -36,13 +36,13 @@ class Reference:
 def resolve(ref: str, schema: T.StructType, config: Mapping[str, str]) -> Reference:
     space, _, path = ref.strip().partition(".")
     if not path:
-        raise ValueError(f"unresolved reference {ref!r}")
+        raise ValueError(f"reference without a namespace: {ref!r}")
     if space == "config":
         if path not in config:
-            raise ValueError(f"unresolved key {path!r} in config")
+            raise ValueError(f"config has no key {path!r}")
         return Reference(F.lit(config[path]), T.StringType())
     if space != "record":
-        raise ValueError(f"unknown namespace {space!r} in reference {ref!r}")
+        raise ValueError(f"no namespace {space!r}, in {ref!r}")
     col, dtype = None, schema
     for name in path.split("."):
         if not isinstance(dtype, T.StructType) or name not in dtype.names:
@@ -93,9 +93,9 @@ def _stages(expression: str) -> tuple[str, list[str]]:
 def _coalesce(inner: str, schema: T.StructType, config: Mapping[str, str]) -> Column | None:
     refs = inner.split()[1:]
     if len(refs) < 2:
-        raise ValueError("coalesce requires at least two record paths")
+        raise ValueError("coalesce takes two or more record paths")
     if any(not r.startswith("record.") or r == "record." for r in refs):
-        raise ValueError("coalesce supports only record.* references")
+        raise ValueError("coalesce takes record paths only")
     found = [r for r in (resolve(ref, schema, config) for ref in refs) if r.found]
     # A column has one type: paths of different types are read as text.
     mixed = len({r.dtype.simpleString() for r in found}) > 1
@@ -107,7 +107,7 @@ def _coalesce(inner: str, schema: T.StructType, config: Mapping[str, str]) -> Co
 def _expression(expression: str, schema: T.StructType, config: Mapping[str, str]) -> Column | None:
     if expression.strip().split()[:1] == ["coalesce"]:
         if "|" in expression:
-            raise ValueError("coalesce does not support filter chains")
+            raise ValueError("coalesce cannot be filtered")
         return _coalesce(expression.strip(), schema, config)
     ref_text, filters = _stages(expression)
     ref = resolve(ref_text, schema, config)
@@ -134,12 +134,12 @@ def apply_filter(name: str, text: Column, raw: Reference | None) -> Column:
         return F.size(raw.col).cast("string") if is_array else F.lit("0")
     if name.startswith("join:"):
         if not is_array:
-            raise ValueError("join filter requires an array value")
+            raise ValueError("only arrays can be joined")
         items = F.transform(raw.col, lambda v: F.coalesce(comparable_text(v, raw.dtype.elementType), F.lit("")))
         return F.array_join(items, name.removeprefix("join:"))
     if name.startswith("const:"):
         return F.when(text.isNotNull(), F.lit(name.removeprefix("const:")))
-    raise ValueError(f"unknown filter {name!r}")
+    raise ValueError(f"no filter {name!r}")
 
 
 def compile_condition(condition: str, schema: T.StructType, config: Mapping[str, str] | None = None) -> Column:
@@ -166,7 +166,7 @@ def compile_condition(condition: str, schema: T.StructType, config: Mapping[str,
         return text_of(left).isin(items) if items else F.lit(False)
     for operator in UNSUPPORTED_OPERATORS:
         if operator in inner:
-            raise ValueError(f"unsupported operator {operator!r} in condition {condition!r}")
+            raise ValueError(f"conditions know no {operator!r}: {condition!r}")
     return text_of(inner) != ""
 
 

@@ -32,7 +32,7 @@ def bind_relations(
         changes, relations, ["relation_id"], at, at, take, tie, tie, hot_rows=hot_rows, slices=slices
     )
     unknown = F.raise_error(
-        F.concat(F.lit("relation not known before change: "), F.col("relation_id").cast("string"))
+        F.concat(F.lit("change before its relation was defined: "), F.col("relation_id").cast("string"))
     ).cast(bound.schema[take[0]].dataType)
     return bound.withColumn(take[0], F.coalesce(F.col(take[0]), unknown))
 
@@ -50,7 +50,7 @@ def _read_tuple(message: bytes, at: int) -> tuple[list[dict], int]:
             text = message[at + 4: at + 4 + size].decode("utf-8")
             at += 4 + size
         elif kind not in "nu":
-            raise ValueError(f"unsupported tuple kind {kind!r}")
+            raise ValueError(f"cell of kind {kind!r}")
         cells.append({"kind": kind, "text": text})
     return cells, at
 
@@ -62,10 +62,10 @@ def _new_row(message: bytes) -> list[dict]:
         _, at = _read_tuple(message, at)
         marker, at = chr(message[at]), at + 1
     if marker not in ("KO" if tag == "D" else "N"):
-        raise ValueError(f"unexpected tuple tag {marker!r} in message {tag!r}")
+        raise ValueError(f"row mark {marker!r} in a {tag!r} message")
     cells, at = _read_tuple(message, at)
     if at != len(message):
-        raise ValueError("trailing bytes in change message")
+        raise ValueError("bytes left after the row")
     return cells
 
 
@@ -86,7 +86,7 @@ def decode_messages(messages: DataFrame, message: str, keep: Sequence[str]) -> D
     """
     tag = F.decode(F.substring(F.col(message), 1, 1), "UTF-8")
     names = F.create_map(*(F.lit(v) for pair in OPERATIONS.items() for v in pair))
-    unknown = F.raise_error(F.concat(F.lit("unsupported message type "), tag)).cast("string")
+    unknown = F.raise_error(F.concat(F.lit("no such message type: "), tag)).cast("string")
     relation = F.conv(F.hex(F.substring(F.col(message), 2, 4)), 16, 10).cast("bigint")
     return messages.where(~tag.isin("B", "C", "R")).select(
         *keep, F.coalesce(F.try_element_at(names, tag), unknown).alias("op"), relation.alias("relation_id"),

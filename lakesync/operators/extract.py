@@ -61,7 +61,7 @@ def records_keyed(
     """One row per entry of the object at ``path``; entries that are no objects are skipped."""
     node = node_at(F.parse_json("body"), path)
     entries = F.try_variant_get(node, "$", OBJECT)
-    wrong = F.raise_error(F.lit(f"value at path {path!r} is not a JSON object")).cast(OBJECT)
+    wrong = F.raise_error(F.lit(f"no JSON object at path {path!r}")).cast(OBJECT)
     missing = node.isNull() | F.is_variant_null(node)
     opened = bodies.select(
         *keep, F.explode(F.when(missing | entries.isNotNull(), entries).otherwise(wrong)).alias("__key", "record")

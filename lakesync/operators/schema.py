@@ -13,6 +13,11 @@ from lakesync.operators.extract import ARRAY, OBJECT
 TIMESTAMP_TEXT = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2})?(\.\d+)?(Z|[+-]\d{2}:?\d{2})?)?$"
 
 
+# Reasons of a violation, after its path.
+WRONG_TYPE, NOT_IN_ENUM, NO_MATCH = "value does not match type", "value not in enum", "value does not match pattern"
+MISSING, SURPLUS = "required property missing", "additional property not allowed"
+
+
 def coarse_type(dtype: T.DataType) -> str:
     """Coarse type name of a Spark type."""
     if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
@@ -161,13 +166,13 @@ def _violation_of(value: Column, kind: Column, members: Column, schema: Mapping,
     if types:
         types = [types] if isinstance(types, str) else list(types)
         accepted = [*types, "integer"] if "number" in types else types
-        checks.append(F.when(~kind.isin(*accepted), F.concat(shown, F.lit(f": value does not match type {types}"))))
+        checks.append(F.when(~kind.isin(*accepted), F.concat(shown, F.lit(f": {WRONG_TYPE} {types}"))))
     if schema.get("enum"):
         checks.append(F.when(~_in_enum(value, kind, text, schema["enum"]),
-                             F.concat(shown, F.lit(": value not in enum"))))
+                             F.concat(shown, F.lit(f": {NOT_IN_ENUM}"))))
     if schema.get("pattern"):
         bad = (kind == "string") & ~text.rlike(schema["pattern"])
-        checks.append(F.when(bad, F.concat(shown, F.lit(": value does not match pattern"))))
+        checks.append(F.when(bad, F.concat(shown, F.lit(f": {NO_MATCH}"))))
     checks += _object_checks(members, schema, here, shown)
     if schema.get("items"):
         elements = F.try_variant_get(value, "$", ARRAY)
@@ -208,11 +213,11 @@ def _object_checks(members: Column, schema: Mapping, here: Column, shown: Column
         checks.append(F.when(members.isNotNull() & few, reason))
     if schema.get("required"):
         missing = F.get(F.array_except(F.array(*map(F.lit, schema["required"])), F.map_keys(members)), 0)
-        checks.append(F.concat(here, F.lit("/"), missing, F.lit(": required property missing")))
+        checks.append(F.concat(here, F.lit("/"), missing, F.lit(f": {MISSING}")))
     if schema.get("additionalProperties") is False:
         declared = F.array(*map(F.lit, properties)) if properties else F.expr("array()").cast("array<string>")
         extra = F.get(F.array_sort(F.array_except(F.map_keys(members), declared)), 0)
-        checks.append(F.concat(here, F.lit("/"), extra, F.lit(": additional property not allowed")))
+        checks.append(F.concat(here, F.lit("/"), extra, F.lit(f": {SURPLUS}")))
     for name in sorted(properties or ()):
         child = F.try_element_at(members, F.lit(name))
         path = F.concat(here, F.lit(f"/{name}"))

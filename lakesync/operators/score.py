@@ -29,14 +29,14 @@ class ScoreSpec:
 
     def check(self) -> None:
         if not self.name:
-            raise ValueError("spec is missing its name")
+            raise ValueError("the spec needs a name")
         if not self.features:
-            raise ValueError("spec must have at least one feature")
+            raise ValueError("the spec needs a feature")
         for feature in self.features:
             if feature.weight < 0:
-                raise ValueError(f"feature {feature.name!r} has a negative weight")
+                raise ValueError(f"weight of {feature.name!r} is below zero")
             if feature.score_if_gt is not None and feature.threshold is None:
-                raise ValueError(f"feature {feature.name!r} has score_if_gt but no threshold")
+                raise ValueError(f"{feature.name!r} compares with no threshold")
 
 
 def feature_score(feature: Feature, schema: T.StructType) -> Column:

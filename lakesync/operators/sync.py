@@ -61,15 +61,15 @@ def parse_mode(name: str | None) -> SyncMode:
     wanted = (name or "").strip().lower() or DEFAULT_MODE
     wanted = MODE_VARIANTS.get(wanted, wanted)
     if wanted not in MODES:
-        raise ValueError(f"unsupported sync mode {name!r}")
+        raise ValueError(f"no such sync mode: {name!r}")
     return SyncMode(wanted, *MODES[wanted])
 
 
 def check_stream(spec: StreamSpec, mode: SyncMode) -> None:
     if (mode.incremental or mode.deduped) and not (spec.cursor or "").strip():
-        raise ValueError(f"sync mode {mode.name} requires a cursor field")
+        raise ValueError(f"{mode.name} needs a cursor field")
     if mode.deduped and not spec.primary_key:
-        raise ValueError(f"sync mode {mode.name} requires at least one primary key field")
+        raise ValueError(f"{mode.name} needs a primary key")
 
 
 def enrich(df: DataFrame, run_id: str, synced_at: str, cursor: str | None = None) -> DataFrame:
@@ -87,11 +87,11 @@ def enrich(df: DataFrame, run_id: str, synced_at: str, cursor: str | None = None
 def primary_key_text(schema: T.StructType, keys: Sequence[str]) -> Column:
     """JSON array of the key values as text; a null key value fails the job."""
     if not keys:
-        raise ValueError("primary key fields are required")
+        raise ValueError("no key columns given")
     parts = []
     for name in keys:
         text = comparable_text(F.col(f"`{name}`"), schema[name].dataType)
-        missing = F.raise_error(F.lit(f"record is missing primary key field {name!r}")).cast("string")
+        missing = F.raise_error(F.lit(f"row without a value in key column {name}")).cast("string")
         parts.append(F.coalesce(text, missing))
     return F.to_json(F.array(*parts))
 

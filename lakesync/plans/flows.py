@@ -37,14 +37,14 @@ class StepResult:
 
 def check_flow(name: str, steps: Sequence[Step]) -> None:
     if not NAME.match(name):
-        raise ValueError("flow name must contain only letters, digits, dash and underscore")
+        raise ValueError("flow names are letters, digits, dash and underscore")
     seen, made = set(), {s.out for s in steps}
     for step in steps:
         if not step.step_id or step.step_id in seen:
             raise ValueError(f"empty or duplicate step id {step.step_id!r}")
         seen.add(step.step_id)
         if step.kind not in KINDS:
-            raise ValueError(f"step {step.step_id!r} has unknown kind {step.kind!r}")
+            raise ValueError(f"no such kind of step: {step.kind!r}")
         unknown = [t for t in step.inputs if t not in made]
         if unknown:
             raise ValueError(f"step {step.step_id!r} reads tables no step makes: {unknown}")

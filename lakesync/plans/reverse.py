@@ -52,13 +52,13 @@ def make_plan(
 
 def approve(plan: ReversePlan, token: str, now: dt.datetime) -> None:
     if plan.status != "planned":
-        raise ValueError(f"plan {plan.plan_id!r} was already {plan.status}")
+        raise ValueError(f"plan {plan.plan_id!r} cannot run: it is {plan.status}")
     if now > plan.expires_at:
-        raise ValueError("plan approval has expired")
+        raise ValueError(f"plan {plan.plan_id!r} could be approved until {plan.expires_at}")
     if not plan.token_hash:
-        raise ValueError("plan approval has already been consumed")
+        raise ValueError("the approval token was used before")
     if token_digest(token) != plan.token_hash:
-        raise ValueError("approval token is invalid")
+        raise ValueError("this is not the approval token of the plan")
 
 
 RowSink = Callable[[Iterator[Row]], None]
@@ -78,7 +78,7 @@ def run_plan(
     current = plan_hash(map_fields(rows, plan.mappings), dict(plan.settings)).first()
     if current.plan_hash != plan.plan_hash:
         save(replace(plan, status="invalidated", token_hash=None))
-        raise ValueError("plan source rows changed since approval")
+        raise ValueError("the rows are not those the plan was made for")
     running = replace(plan, status="executing", token_hash=None)
     save(running)
     try:

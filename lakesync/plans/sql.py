@@ -34,15 +34,15 @@ def check_read_only(text: str) -> None:
     """Refuse anything but one SELECT or WITH statement without side effects."""
     query = text.strip()
     if not query:
-        raise ValueError("empty query is not allowed")
+        raise ValueError("the query is empty")
     if ";" in query:
-        raise ValueError("statement chaining (';') is not allowed")
+        raise ValueError("a query is one statement without ';'")
     words = [w.lower() for w in WORD.findall(query)]
     if not query.lower().startswith(("select", "with")):
-        raise ValueError("only SELECT/WITH queries are allowed")
+        raise ValueError("a query starts with SELECT or WITH")
     for word in words:
         if word in FORBIDDEN_WORDS:
-            raise ValueError(f"token {word!r} is not allowed in a read-only query")
+            raise ValueError(f"{word!r} has no place in a read-only query")
 
 
 def has_top_level_limit(text: str) -> bool:

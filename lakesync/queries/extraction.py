@@ -153,7 +153,7 @@ def report_header_zip(spark, sf_dir):
 
 @query("report_positional_keys", f"""
     SELECT 'https://shop.example/' AS site_url, 'web' AS search_type, strftime(ts, '{DAY}') AS day, event_type AS page,
-           NULL AS device, event_id AS clicks, value AS position
+           CAST(NULL AS VARCHAR) AS device, event_id AS clicks, value AS position
     FROM events
 """)
 def report_positional_keys(spark, sf_dir):
@@ -221,7 +221,7 @@ def parallel_arrays_to_rows(spark, sf_dir):
 
 @query("date_keyed_series", f"""
     SELECT 'C' || o_custkey AS symbol, strftime(o_orderdate, '{DAY}') AS date, CAST(o_orderkey AS VARCHAR) AS open,
-           '9' AS high, NULL AS low, o_orderstatus AS close, '5' AS volume
+           '9' AS high, CAST(NULL AS VARCHAR) AS low, o_orderstatus AS close, '5' AS volume
     FROM orders WHERE strftime(o_orderdate, '{DAY}') > '1997-05-28'
     UNION ALL
     SELECT 'C' || o_custkey, '2030-01-01', '1', NULL, NULL, NULL, NULL FROM orders

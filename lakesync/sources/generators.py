@@ -13,7 +13,7 @@ PRODUCTS = 10
 
 def index(spark: SparkSession, count: int, start: int = 1) -> DataFrame:
     if count < 1:
-        raise ValueError("count must be a positive integer")
+        raise ValueError("count starts at one")
     return spark.range(start, start + count).withColumnRenamed("id", "i")
 
 

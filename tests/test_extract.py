@@ -27,7 +27,7 @@ def test_records_keyed(spark, rows):
     frame = bodies(spark, '{"m":{"a":{"v":1,"id":"old"},"b":5,"c":{"v":2}}}', '{"m":null}', "{}")
     got = extract.records_keyed(frame, "m", {"id": "string", "v": "int"}, "id")
     assert rows(got) == [("a", 1), ("c", 2)]
-    with pytest.raises(SPARK_ERRORS, match="not a JSON object"):
+    with pytest.raises(SPARK_ERRORS, match="no JSON object"):
         extract.records_keyed(bodies(spark, '{"m":[1]}'), "m", {"v": "int"}, None).collect()
 
 

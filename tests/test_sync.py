@@ -124,10 +124,10 @@ def test_mode_names_and_requirements():
 
 def test_missing_cursor_and_key_fail(spark):
     frame = spark.createDataFrame([("a", " "), ("b", "2")], "id string, at string")
-    with pytest.raises(SPARK_ERRORS, match="missing cursor"):
+    with pytest.raises(SPARK_ERRORS, match="without a cursor"):
         enrich(frame, "r", AT, "at").collect()
     keyless = spark.createDataFrame([(None, 1)], "id string, n int")
-    with pytest.raises(SPARK_ERRORS, match="missing primary key"):
+    with pytest.raises(SPARK_ERRORS, match="in key column"):
         keyless.select(primary_key_text(keyless.schema, ["id", "n"])).collect()
 
 
