@@ -42,28 +42,30 @@ def pick(record: Column, fields: dict[str, str], rename: dict[str, str] | None =
 
 def records_at(bodies: DataFrame, path: str, fields: dict[str, str], keep: Sequence[str] = ()) -> DataFrame:
     """One row per object of the array at ``path``; a lone object is one row, anything else none."""
-    return explode_records(bodies, path, keep).select(*keep, *pick(F.col("record"), fields))
+    return explode_records(parsed(bodies, keep), path, keep).select(*keep, *pick(F.col("record"), fields))
 
 
-def explode_records(bodies: DataFrame, path: str, keep: Sequence[str] = ()) -> DataFrame:
+def parsed(bodies: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Bodies as a VARIANT column ``doc``."""
+    return bodies.select(*keep, F.parse_json("body").alias("doc"))
+
+
+def explode_records(docs: DataFrame, path: str, keep: Sequence[str] = ()) -> DataFrame:
     """The rows of ``records_at`` as a VARIANT column ``record``."""
-    parsed = bodies.select(*keep, F.parse_json("body").alias("__doc"))
-    items = F.coalesce(
-        node_at(F.col("__doc"), path, ARRAY),
-        F.when(node_at(F.col("__doc"), path, OBJECT).isNotNull(), F.array(node_at(F.col("__doc"), path))),
-    )
-    return parsed.select(*keep, F.explode(items).alias("record")).where(is_object(F.col("record")))
+    lone = node_at(F.col("doc"), path)
+    items = F.coalesce(node_at(F.col("doc"), path, ARRAY), F.when(is_object(lone), F.array(lone)))
+    return docs.select(*keep, F.explode(items).alias("record")).where(is_object(F.col("record")))
 
 
 def records_keyed(
     bodies: DataFrame, path: str, fields: dict[str, str], key_field: str | None, keep: Sequence[str] = ()
 ) -> DataFrame:
     """One row per entry of the object at ``path``; entries that are no objects are skipped."""
-    node = node_at(F.parse_json("body"), path)
-    entries = F.try_variant_get(node, "$", OBJECT)
+    nodes = parsed(bodies, keep).select(*keep, node_at(F.col("doc"), path).alias("node"))
+    node, entries = F.col("node"), F.try_variant_get("node", "$", OBJECT)
     wrong = F.raise_error(F.lit(f"no JSON object at path {path!r}")).cast(OBJECT)
     missing = node.isNull() | F.is_variant_null(node)
-    opened = bodies.select(
+    opened = nodes.select(
         *keep, F.explode(F.when(missing | entries.isNotNull(), entries).otherwise(wrong)).alias("__key", "record")
     ).where(is_object(F.col("record")))
     named = [F.col("__key").alias(key_field)] if key_field else []
@@ -79,12 +81,8 @@ def merge_response_fields(
 
     ``response_fields`` maps a column to the path and type it is read from.
     """
-    tops = [
-        node_at(F.parse_json("body"), path_of, kind).alias(f"__top_{name}")
-        for name, (path_of, kind) in response_fields.items()
-    ]
-    marked = bodies.select(*keep, "body", *tops)
-    opened = explode_records(marked, path, [*keep, *(f"__top_{n}" for n in response_fields)])
+    tops = {f"__top_{n}": node_at(F.col("doc"), p, kind) for n, (p, kind) in response_fields.items()}
+    opened = explode_records(parsed(bodies, keep).withColumns(tops), path, [*keep, *tops])
     columns = []
     for name in dict.fromkeys([*fields, *response_fields]):
         if name in response_fields:
@@ -103,7 +101,7 @@ def child_rows(
 
     Both field maps give column name to path and type.
     """
-    parents = explode_records(bodies, parent_path)
+    parents = explode_records(parsed(bodies), parent_path)
     carried = [node_at(F.col("record"), p, k).alias(n) for n, (p, k) in parent_fields.items()]
     children = parents.select(
         *carried, F.explode(node_at(F.col("record"), child_path, ARRAY)).alias("__child")
@@ -118,7 +116,7 @@ def first_element(
 ) -> DataFrame:
     """Fields of a record and of the first element of one of its arrays; nulls when it is empty."""
     first = F.try_variant_get(F.col("record"), json_path(array_path) + "[0]", ANY)
-    opened = explode_records(bodies, path).withColumn("__first", first)
+    opened = explode_records(parsed(bodies), path).withColumn("__first", first)
     own = [node_at(F.col("record"), p, k).alias(n) for n, (p, k) in fields.items()]
     deep = [node_at(F.col("__first"), p, k).alias(n) for n, (p, k) in element_fields.items()]
     return opened.select(*own, *deep)
@@ -169,9 +167,9 @@ def header_rows(bodies: DataFrame, columns: Sequence[str], keep: Sequence[str] =
     A null cell is empty text, a missing one is null.
     """
     table = F.from_json("body", "array<array<string>>")
-    parsed = bodies.select(*keep, table.alias("t")).where(F.size("t") >= 2)
     header = F.transform(F.get("t", 0), lambda h: F.lower(F.coalesce(h, F.lit(""))))
-    rows = parsed.select(*keep, header.alias("h"), F.explode(F.slice("t", 2, F.size("t") - 1)).alias("r"))
+    later = F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0)))
+    rows = bodies.select(*keep, table.alias("t")).select(*keep, header.alias("h"), F.explode(later).alias("r"))
     return rows.select(*keep, *(_cell(F.col("h"), F.col("r"), name).alias(name) for name in columns))
 
 
@@ -203,7 +201,7 @@ def csv_cells(record: Column) -> Column:
 def csv_body_rows(bodies: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """CSV text held in one column; titles become snake case, short rows give nulls."""
     records = F.regexp_extract_all(F.col("body"), F.lit(_CSV_RECORD), F.lit(1))
-    split = bodies.select(*keep, records.alias("t")).where(F.size("t") >= 1)
+    split = bodies.select(*keep, records.alias("t"))
     header = F.transform(csv_cells(F.get("t", 0)), header_snake)
     rows = split.select(*keep, header.alias("h"), F.explode(F.slice("t", 2, F.size("t"))).alias("line"))
     cells = rows.select(*keep, "h", csv_cells(F.col("line")).alias("r"))

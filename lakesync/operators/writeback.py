@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from lakesync.functions.text import url_encode_segment
 from lakesync.functions.values import comparable_text, json_quote, row_hash
 from lakesync.operators.ordered import row_index
-from lakesync.operators.schema import validate_rows
+from lakesync.operators.schema import first_violation
 from lakesync.operators.sync import table_fingerprint
 
 DEFAULT_MAX_ROWS = 100_000
@@ -74,10 +74,10 @@ def plan_status(plans: DataFrame, now: Column) -> DataFrame:
 
 def validate_write(df: DataFrame, record: str, schema: Mapping, index: str) -> tuple[DataFrame, DataFrame]:
     """Valid rows, and rejected rows with their index and first violation."""
-    checked = validate_rows(df, record, schema)
-    valid = checked.where(F.col("violation").isNull()).drop("violation")
-    rejected = checked.where(F.col("violation").isNotNull())
-    return valid, rejected.select(F.col(index).alias("record_index"), "violation")
+    found = first_violation(F.col(record), schema)
+    # Exploding the violation works it out once; a filter on it would do so twice.
+    rejected = df.select(F.col(index).alias("record_index"), F.explode(F.array_compact(F.array(found))).alias("violation"))
+    return df.where(found.isNull()), rejected
 
 
 def json_payload(df: DataFrame, path_fields: Sequence[str] = (), body_fields: Sequence[str] = ()) -> Column:
