@@ -69,10 +69,14 @@ def cut_hot_keys(
 
 
 def _with_summary(df: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join of one summary row per hot key and slice; null keys match each other."""
+    """Left join of one summary row per hot key and slice; null keys match each other.
+
+    Slices are ranges of key and order, so there are at most as many summary
+    rows as slices and hot keys together: small enough to broadcast.
+    """
     named = summary.withColumnsRenamed({k: f"__k_{k}" for k in [*keys, SLICE]})
     on = reduce(and_, (F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in [*keys, SLICE]))
-    return df.join(named, on, "left").drop(*(f"__k_{k}" for k in [*keys, SLICE]))
+    return df.join(F.broadcast(named), on, "left").drop(*(f"__k_{k}" for k in [*keys, SLICE]))
 
 
 def _earlier_slices(
@@ -200,12 +204,12 @@ def row_index(df: DataFrame, order: Sequence[str | Column], out: str = "row_inde
     # The id holds the range number above 33 bits of position.
     part, at = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = stored.groupBy(part.alias("__part")).agg((F.max(at) + 1).alias("__n"))
-    # One row per range, so this window is as small as the list of ranges.
+    # One row per range: this window, and what is broadcast, is as small as the list of ranges.
     offsets = sizes.select(
         "__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__offset")
     )
     return (
-        stored.withColumn("__part", part).join(offsets, "__part")
+        stored.withColumn("__part", part).join(F.broadcast(offsets), "__part")
         .withColumn(out, (F.col("__offset") + at).cast("bigint"))
         .drop("__part", "__id", "__offset")
     )
