@@ -163,6 +163,24 @@ def latest_raw(raw: DataFrame, cursor: str, kind: str) -> DataFrame:
     return latest_per_key(raw, ["_sync_primary_key"], order)
 
 
+def merge_winners(kept: DataFrame, new: DataFrame, cursor: str, kind: str, few_new: bool) -> DataFrame:
+    """Winners after new envelopes arrived.
+
+    Few new rows are reduced to their own winners and their keys broadcast:
+    kept rows with other keys pass through without a shuffle, and only the
+    rest is compared.  Otherwise both sides are shuffled together once.
+    """
+    key = "_sync_primary_key"
+    if not few_new:
+        return latest_raw(kept.unionByName(new, allowMissingColumns=True), cursor, kind)
+    best = latest_raw(new, cursor, kind)
+    keys = F.broadcast(best.select(key))
+    rivals = kept.join(keys, key, "left_semi").select(*kept.columns)
+    compared = latest_raw(rivals.unionByName(best, allowMissingColumns=True), cursor, kind)
+    others = kept.join(keys, key, "left_anti").select(*kept.columns)
+    return others.unionByName(compared, allowMissingColumns=True)
+
+
 def version_history(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int | None = None,
     slices: int | None = None,

@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, Observation, functions as F, types as T
 
 from lakesync.functions.cursor import cursor_kind
 from lakesync.operators.sync import (
-    StreamSpec, SyncMode, accept_from, check_stream, enrich, latest_raw, max_cursor, parse_mode, raw_envelope,
+    StreamSpec, SyncMode, accept_from, check_stream, enrich, latest_raw, max_cursor, merge_winners, parse_mode,
+    raw_envelope,
 )
 from lakesync.sources.tables import LIVE_RECORDS, RECORDS, Change, StreamState, TableStore
 
 DEFAULT_BATCH_ROWS = 1000
+# New rows up to this number may have their keys broadcast to the merge.
+FEW_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -41,7 +44,7 @@ def winners_table(spec: StreamSpec) -> str:
 
 def run_sync(
     store: TableStore, source: DataFrame, spec: StreamSpec, mode: str | SyncMode, run_id: str,
-    run_at: str, batch_rows: int = DEFAULT_BATCH_ROWS,
+    run_at: str, batch_rows: int = DEFAULT_BATCH_ROWS, few_rows: int = FEW_ROWS,
 ) -> RunResult:
     """Land ``source`` and publish the final table; nothing is visible unless all of it worked.
 
@@ -75,10 +78,11 @@ def run_sync(
     # or the winners of it.
     final = Change(spec.table or spec.name, raw_path, raw.schema, mode.overwrite, facts.n, RECORDS)
     if mode.deduped:
-        known = landed
         if not mode.overwrite and store.current(winners_table(spec), log):
-            known = store.read(winners_table(spec), log).unionByName(landed, allowMissingColumns=True)
-        best = latest_raw(known, spec.cursor, kind)
+            kept = store.read(winners_table(spec), log)
+            best = merge_winners(kept, landed, spec.cursor, kind, few_new=facts.n <= few_rows)
+        else:
+            best = latest_raw(landed, spec.cursor, kind)
         best_path = store.stage(winners_table(spec), run_id, best)
         counts = store.read_paths([best_path], best.schema).agg(
             F.count("*").alias("all"), F.count_if(~F.col("_sync_deleted")).alias("live")

@@ -20,8 +20,8 @@ def batch(spark, *rows):
     return spark.createDataFrame(data, "id string, name string, updated_at string, _deleted boolean")
 
 
-def sync(store, source, mode, run):
-    return run_sync(store, source, SPEC, mode, run, AT)
+def sync(store, source, mode, run, **more):
+    return run_sync(store, source, SPEC, mode, run, AT, **more)
 
 
 def names(store):
@@ -69,22 +69,24 @@ def test_old_rows_do_not_move_the_cursor_back(spark, store):
     assert sync(store, batch(spark, ("a", "Ada", "01-02")), "full_refresh_append", "r2").cursor == "2026-01-05T00:00:00Z"
 
 
-def test_incremental_deduped(spark, store):
-    sync(store, batch(spark, ("a", "Ada", "01-01"), ("g", "Grace", "01-02")), "incremental_append_deduped", "r1")
+# By broadcast keys, and by one shuffle of both sides.
+@pytest.mark.parametrize("few", [{}, {"few_rows": 0}])
+def test_incremental_deduped(spark, store, few):
+    sync(store, batch(spark, ("a", "Ada", "01-01"), ("g", "Grace", "01-02")), "incremental_append_deduped", "r1", **few)
     result = sync(
         store,
         batch(
             spark, ("a", "Ada latest", "01-03"), ("g", "Grace resent", "01-02"), ("k", "Katherine", "01-04"),
             ("m", "Mary", "01-05", True),
         ),
-        "incremental_append_deduped", "r2",
+        "incremental_append_deduped", "r2", **few,
     )
     assert names(store) == ["Ada latest", "Grace resent", "Katherine"]
     assert (result.records_loaded, result.cursor) == (3, "2026-01-05T00:00:00Z")
     # An older row of a deleted key must not bring it back.
-    sync(store, batch(spark, ("m", "Mary old", "01-05", False)), "incremental_append_deduped", "r3")
+    sync(store, batch(spark, ("m", "Mary old", "01-05", False)), "incremental_append_deduped", "r3", **few)
     assert names(store) == ["Ada latest", "Grace resent", "Katherine", "Mary old"]
-    sync(store, batch(spark, ("m", "Mary", "01-06", True)), "incremental_append_deduped", "r4")
+    sync(store, batch(spark, ("m", "Mary", "01-06", True)), "incremental_append_deduped", "r4", **few)
     assert names(store) == ["Ada latest", "Grace resent", "Katherine"]
     assert store.read(raw_table(SPEC)).count() == 8
 
