@@ -31,8 +31,10 @@ def comparable_text(col: Column, dtype: T.DataType) -> Column:
         return plain_number(col.cast("double"))
     if isinstance(dtype, T.DecimalType):
         return col.cast("string")
-    if isinstance(dtype, (T.TimestampNTZType, T.TimestampType)):
+    if isinstance(dtype, T.TimestampNTZType):
         return iso_micros(col)
+    if isinstance(dtype, T.TimestampType):
+        return iso_micros(F.to_utc_timestamp(col, F.current_timezone()))
     if isinstance(dtype, (T.StructType, T.ArrayType, T.MapType, T.VariantType)):
         return F.to_json(col)
     return col.cast("string")

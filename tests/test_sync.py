@@ -173,3 +173,15 @@ def test_mixed_cursors_are_refused(spark):
 def test_tombstones(spark, ddl, value, deleted):
     frame = spark.createDataFrame([(value,)], f"_upstream_deleted {ddl}")
     assert frame.select(is_deleted(frame.schema)).first()[0] is deleted
+
+
+def test_time_text_is_utc_in_any_session_zone(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        frame = spark.sql("SELECT TIMESTAMP'2026-01-01 00:00:00Z' AS at")
+        text = frame.agg(max_cursor(frame, "at")).first()[0]
+        assert text == "2026-01-01T00:00:00.000000Z"
+        assert accept_from(frame, "at", text).count() == 1
+        assert accept_from(frame, "at", "2026-01-01T00:00:00.000001Z").count() == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
