@@ -15,6 +15,12 @@ RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
+def number_of(text: Column) -> Column:
+    """Double of a number text (NaN and infinities included); null for any other text."""
+    special = F.lower(text).isin("nan", "inf", "+inf", "-inf", "infinity", "+infinity", "-infinity")
+    return F.when(text.rlike(NUMBER) | special, text.try_cast("double"))
+
+
 def cursor_kind(df: DataFrame, field: str) -> str:
     """``time``, ``number`` or ``text`` for a cursor column; one aggregate when it is text."""
     dtype = df.schema[field].dataType

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from lakesync.functions.cursor import number_of
 from lakesync.functions.text import camel_snake, header_snake
 from lakesync.functions.values import first_non_blank
 
@@ -292,7 +293,7 @@ def typed_collection(
 def coerce(text: Column, kind: str) -> Column:
     trimmed = F.trim(text)
     if kind == "number":
-        return trimmed.try_cast("double")
+        return number_of(trimmed)
     folded = F.lower(trimmed)
     return F.when(folded.isin("yes", "true", "1"), True).when(folded.isin("no", "false", "0", ""), False)
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import base64
 import json
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
+from urllib.parse import quote, quote_plus
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -46,8 +50,18 @@ def strip_metadata(df: DataFrame, prefix: str = "_sync_") -> DataFrame:
     return df.drop(*(c for c in df.columns if c.startswith(prefix)))
 
 
+def secret_forms(value: str) -> list[str]:
+    """The spellings a secret can leak in: as it is, base64, percent-encoded, inside JSON text."""
+    coded = base64.b64encode(value.encode()).decode()
+    quoted = json.dumps(value, ensure_ascii=False)[1:-1]
+    for mark in "<>&":
+        quoted = quoted.replace(mark, f"\\u{ord(mark):04x}")
+    forms = [value, coded, coded.rstrip("="), quote_plus(value), quote(value, safe="$&+,/:;=@"), quoted]
+    return list(dict.fromkeys(forms))
+
+
 def scan_secrets(df: DataFrame, text: str, secrets: Mapping[str, str]) -> DataFrame:
-    """Rows whose whole text contains a known secret, with the names of those found.
+    """Rows whose whole text contains a known secret in any of its forms, with the names of those found.
 
     The secrets are a configuration-sized list of literals, refused beyond
     ``MAX_SECRETS``; blank values never match.
@@ -55,8 +69,16 @@ def scan_secrets(df: DataFrame, text: str, secrets: Mapping[str, str]) -> DataFr
     known = {name: value for name, value in secrets.items() if value.strip()}
     if len(known) > MAX_SECRETS:
         raise ValueError(f"{len(known)} secrets; the scan takes at most {MAX_SECRETS}")
-    listed = F.array(*(F.when(F.contains(F.col(text), F.lit(v)), F.lit(n)) for n, v in sorted(known.items())))
-    found = F.array_compact(listed) if known else F.expr("array()").cast("array<string>")
+    if not known:
+        return df.withColumn("found", F.expr("array()").cast("array<string>")).where("false")
+    hits = []
+    for name, value in sorted(known.items()):
+        # A form that holds another one is found wherever that one is.
+        forms = secret_forms(value)
+        forms = [f for f in forms if not any(g != f and g in f for g in forms)]
+        leaked = reduce(or_, (F.contains(F.col(text), F.lit(f)) for f in forms))
+        hits.append(F.when(leaked, F.lit(name)))
+    found = F.array_compact(F.array(*hits))
     return df.withColumn("found", found).where(F.size("found") > 0)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from lakesync.functions.cursor import RFC3339, cursor_kind, strictly_after
+from lakesync.functions.cursor import RFC3339, cursor_kind, number_of, strictly_after
 from lakesync.functions.templates import compile_condition, compile_template
 from lakesync.functions.values import comparable_text, iso_seconds
 
@@ -84,21 +84,28 @@ def parse_bound(text: Column) -> Column:
 
 
 def normalize_time(df: DataFrame, field: str, form: str, out: str) -> DataFrame:
-    """Time text in one form: ``rfc3339`` (as is), ``unix_seconds``, ``date``, ``after_range`` or
-    ``datetime``; text that is no time is listed in ``<out>_error``.
+    """Time text in one form: ``rfc3339`` (as is), ``unix_seconds``, ``date``, ``after_range`` or ``datetime``.
+
+    Text that is no time is listed in ``<out>_error``; ``datetime`` passes it on as it is.
     """
     text = F.col(f"`{field}`")
-    if form == "rfc3339":
-        return df.withColumns({out: text, f"{out}_error": F.lit(None).cast("string")})
+    no_error = F.lit(None).cast("string")
     moment = parse_bound(text)
+    if form == "rfc3339":
+        return df.withColumns({out: text, f"{out}_error": no_error})
+    if form == "datetime":
+        spelled = F.trim(text)
+        known = F.when(~spelled.rlike(r"^-?\d+$"), F.date_format(parse_bound(spelled), "yyyy-MM-dd HH:mm:ss"))
+        return df.withColumns({out: F.coalesce(known, spelled), f"{out}_error": no_error})
+    # The date is the one that is written, in the text's own zone.
+    written = F.when(text.rlike(RFC3339) & moment.isNotNull(), F.substring(text, 1, 10))
     shown = {
         "unix_seconds": F.unix_seconds(moment).cast("string"),
-        "date": F.date_format(moment, "yyyy-MM-dd"),
+        "date": F.coalesce(written, F.date_format(moment, "yyyy-MM-dd")),
         "after_range": F.concat(F.lit(">="), iso_seconds(moment)),
-        "datetime": F.date_format(moment, "yyyy-MM-dd HH:mm:ss"),
     }
     if form not in shown:
-        raise ValueError(f"unknown time form {form!r}")
+        raise ValueError(f"no time form {form!r}")
     error = F.when(moment.isNull() & text.isNotNull(), F.concat(F.lit("invalid time value: "), text))
     return df.withColumns({out: shown[form], f"{out}_error": error})
 
@@ -124,7 +131,7 @@ def decode_text(raw: Column, type_id: Column) -> dict[str, Column]:
     is_bool, is_int, is_float = (type_id.isin(*ids) for ids in (BOOL_IDS, INTEGER_IDS, FLOAT_IDS))
     as_bool = F.when(is_bool & raw.isNotNull(), raw.isin("t", "true"))
     as_int = F.when(is_int & raw.rlike(r"^[+-]?\d+$"), raw.try_cast("bigint"))
-    as_float = F.when(is_float, raw.try_cast("double"))
+    as_float = F.when(is_float, number_of(raw))
     typed = as_bool.isNotNull() | as_int.isNotNull() | as_float.isNotNull()
     return {"bool_value": as_bool, "int_value": as_int, "float_value": as_float,
             "text_value": F.when(~typed, raw)}

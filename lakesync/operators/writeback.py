@@ -7,6 +7,7 @@ on the payload table (see ``plans.reverse``).
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from urllib.parse import quote_plus
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -92,7 +93,7 @@ def form_payload(df: DataFrame, path_fields: Sequence[str] = ()) -> Column:
     for name in sorted(c for c in df.columns if c not in path_fields):
         text = comparable_text(F.col(f"`{name}`"), df.schema[name].dataType)
         value = F.replace(url_encode_segment(text), F.lit("%20"), F.lit("+"))
-        pairs.append(F.when(text != "", F.concat(F.lit(f"{name}="), value)))
+        pairs.append(F.when(text != "", F.concat(F.lit(f"{quote_plus(name)}="), value)))
     return F.array_join(F.array_compact(F.array(*pairs)), "&")
 
 

@@ -60,18 +60,21 @@ def strip_metadata(spark, sf_dir):
 # Values a deployment would read from its vault.
 SECRETS = {
     "deploy_key": "11acdfb36bb72224148e6160f674b4be45601bff", "marker": 'token = "', "mail": "@mail", "blank": " ",
+    "api": 'k9 +"x"',
 }
 
 
 @query("secret_leak_scan", """
     SELECT doc_id, array_to_string(f, ',') AS found FROM (
-        SELECT doc_id, list_filter([CASE WHEN contains(text, '11acdfb36bb72224148e6160f674b4be45601bff') THEN 'deploy_key' END,
+        SELECT doc_id, list_filter([CASE WHEN doc_id % 50 < 6 THEN 'api' END, CASE WHEN contains(text, '11acdfb36bb72224148e6160f674b4be45601bff') THEN 'deploy_key' END,
             CASE WHEN contains(text, '@mail') THEN 'mail' END, CASE WHEN contains(text, 'token = "') THEN 'marker' END],
             lambda x: x IS NOT NULL) AS f FROM documents)
     WHERE len(f) > 0
 """)
 def secret_leak_scan(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    leaks = F.array(*map(F.lit, quality.secret_forms(SECRETS["api"])))
+    leak = F.coalesce(F.get(leaks, (F.col("doc_id") % 50).cast("int")), F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", leak).alias("text"))
     hits = quality.scan_secrets(docs, "text", SECRETS)
     return hits.select("doc_id", F.array_join("found", ",").alias("found"))
 

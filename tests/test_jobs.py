@@ -324,3 +324,14 @@ def test_failed_batch_is_replaced(spark, tmp_path, rows):
     with pytest.raises(Exception):
         run(F.when(F.col("k") == 2, F.raise_error(F.lit("x"))).otherwise(True).cast("boolean"))
     assert rows(run(F.lit(True))) == [(1, "a"), (2, "b")]
+
+
+def test_secret_forms(spark):
+    secret = 'k9 +"<x>'
+    texts = [
+        secret, "azkgKyI8eD4=", "..azkgKyI8eD4..", "k9+%2B%22%3Cx%3E", "k9%20+%22%3Cx%3E", 'k9 +\\"\\u003cx\\u003e', "k9 +x", " "
+    ]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    found = quality.scan_secrets(frame, "t", {"key": secret, "blank": " "})
+    assert sorted(r.i for r in found.collect()) == [0, 1, 2, 3, 4, 5]
+    assert quality.scan_secrets(frame, "t", {}).count() == 0

@@ -63,7 +63,7 @@ def test_filters(spark, rows):
 
 
 @pytest.mark.parametrize("text,date", [
-    ("1700000100", "2023-11-14"), ("2026-01-02", "2026-01-02"), ("2026-01-02T23:30:00-02:00", "2026-01-03"), ("soon", None),
+    ("1700000100", "2023-11-14"), ("2026-01-02", "2026-01-02"), ("2026-01-02T23:30:00-02:00", "2026-01-02"), ("2026-13-02", None), ("soon", None),
     ("2026", "1970-01-01"),
 ])
 def test_times(spark, text, date):
