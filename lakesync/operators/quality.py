@@ -12,6 +12,7 @@ from urllib.parse import quote, quote_plus
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from lakesync.functions.cursor import cursor_sort_key
 from lakesync.functions.text import (
     has_dangerous_chars, is_masked_name, is_redacted_name, strip_control_chars,
 )
@@ -33,8 +34,10 @@ def count_stable(runs: DataFrame, by: Sequence[str], order: str, count: str) ->
     return folded.withColumn("stable", F.col("first_rows") == F.col("last_rows"))
 
 
-def resume_verdicts(ledger: DataFrame, by: Sequence[str], seq: str, read: str, cursor: str) -> DataFrame:
-    """Second run against the first: no more rows read, and the cursor not moved back."""
+def resume_verdicts(
+    ledger: DataFrame, by: Sequence[str], seq: str, read: str, cursor: str, kind: str = "time"
+) -> DataFrame:
+    """Second run against the first: no more rows read, and the cursor (of one kind) not moved back."""
     def run(number: int, name: str) -> Column:
         return F.max(F.when(F.col(seq) == number, F.col(name)))
 
@@ -42,7 +45,11 @@ def resume_verdicts(ledger: DataFrame, by: Sequence[str], seq: str, read: str, c
         run(1, read).alias("first_read"), run(2, read).alias("second_read"),
         run(1, cursor).alias("first_cursor"), run(2, cursor).alias("second_cursor"),
     )
-    verdict = (F.col("second_read") <= F.col("first_read")) & (F.col("second_cursor") >= F.col("first_cursor"))
+    first, second = (
+        F.struct(*cursor_sort_key(F.col(f"{n}_cursor"), ledger.schema[cursor].dataType, kind)) for n in ("first", "second")
+    )
+    both = F.col("first_cursor").isNotNull() & F.col("second_cursor").isNotNull()
+    verdict = (F.col("second_read") <= F.col("first_read")) & both & (second >= first)
     return folded.withColumn("resumes", F.coalesce(verdict, F.lit(False)))
 
 

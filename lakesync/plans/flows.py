@@ -61,16 +61,27 @@ def in_order(steps: Sequence[Step]) -> list[Step]:
         raise ValueError(f"flow has a cycle: {error.args[1]}") from error
 
 
-def run_flow(store: TableStore, name: str, steps: Sequence[Step], run_id: str) -> list[StepResult]:
+def run_flow(
+    store: TableStore, name: str, steps: Sequence[Step], run_id: str, approved: bool = False,
+    dry_run: bool = False, force: bool = False,
+) -> list[StepResult]:
     """Run steps in order, each one job that publishes its table.
 
-    A step that an earlier try of the same run finished is skipped; the first
-    failure stops the flow.
+    A step that an earlier try of the same run finished is skipped unless
+    ``force`` is set; the first failure stops the flow.  Flows with an action
+    step need approval before anything runs.  A dry run only gives the order.
     """
     check_flow(name, steps)
+    ordered = in_order(steps)
+    if dry_run:
+        return [StepResult(s.step_id, s.kind, "dry_run", 0) for s in ordered]
+    if not approved and any(s.kind == "action" for s in steps):
+        raise PermissionError(f"flow {name!r} has action steps and was not approved")
     results = []
-    for step in in_order(steps):
+    for step in ordered:
         step_run = f"{run_id}-{name}-{step.step_id}"
+        if force:
+            step_run += f"-{len(store.log())}"
         if store.committed(step_run):
             results.append(StepResult(step.step_id, step.kind, "skipped", 0))
             continue

@@ -41,6 +41,8 @@ def make_plan(
     ``max_rows`` is the feature's own safety limit: more rows refuse the plan
     rather than being cut off.
     """
+    if not mappings:
+        raise ValueError("a plan maps at least one field")
     found = plan_hash(map_fields(rows, mappings), dict(settings)).first()
     if max_rows and found.row_count > max_rows:
         raise ValueError(f"plan holds {found.row_count} rows, more than the limit of {max_rows}")

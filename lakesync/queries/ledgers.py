@@ -79,7 +79,7 @@ def flow_steps_run(spark, sf_dir):
         Step("land", "sync", "contacts", lambda t: source),
     ]
     store = TableStore(spark, fresh_dir(spark, "store"))
-    results = run_flow(store, "leads", steps, "r1") + run_flow(store, "leads", steps, "r1")
+    results = run_flow(store, "leads", steps, "r1", approved=True) + run_flow(store, "leads", steps, "r1", approved=True)
     rows = [(r.step_id, r.kind, r.status, r.rows) for r in results]
     return spark.createDataFrame(rows, "step_id string, kind string, status string, rows bigint")
 

@@ -335,3 +335,22 @@ def test_secret_forms(spark):
     found = quality.scan_secrets(frame, "t", {"key": secret, "blank": " "})
     assert sorted(r.i for r in found.collect()) == [0, 1, 2, 3, 4, 5]
     assert quality.scan_secrets(frame, "t", {}).count() == 0
+
+
+def test_flow_gates(spark, store):
+    steps = [step("a", make=lambda t: spark.range(3), kind="sync"), step("b", ["a"], kind="action")]
+    assert [(r.step_id, r.status) for r in run_flow(store, "f", steps, "r1", dry_run=True)] == [("a", "dry_run"), ("b", "dry_run")]
+    with pytest.raises(PermissionError):
+        run_flow(store, "f", steps, "r1")
+    assert store.names() == []
+    for force in (False, True):
+        assert [r.status for r in run_flow(store, "f", steps, "r1", approved=True, force=force)] == ["completed", "completed"]
+
+
+def test_resume_verdicts_compare_cursors_by_kind(spark):
+    runs = spark.createDataFrame(
+        [("s", 1, 5, "9"), ("s", 2, 5, "10"), ("t", 1, 5, "10"), ("t", 2, 1, "9"), ("u", 1, 1, "1"), ("u", 2, 2, "2")],
+        "source string, seq int, n int, cursor string",
+    )
+    verdicts = quality.resume_verdicts(runs, ["source"], "seq", "n", "cursor", "number").collect()
+    assert {r.source: r.resumes for r in verdicts} == {"s": True, "t": False, "u": False}
