@@ -1,8 +1,8 @@
 """File streams into tables: incremental append, incremental deduplicated, change apply.
 
 Micro-batches are staged under the batch number, so a batch that is run again
-after a failure replaces its own rows.  They become visible in one commit per
-run of the stream, after which the checkpoint has moved on as well.
+after a failure replaces its own rows.  Results are read from all staged
+batches once the stream has drained, when the checkpoint has moved on as well.
 """
 
 from __future__ import annotations
