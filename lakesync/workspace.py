@@ -1,33 +1,20 @@
 """Where jobs put the tables they write for themselves.
 
 Every such table goes below the shared folder the cluster names in
-``spark.checkpoint.dir``.  Only a local session without that setting gets a
-temporary folder, because there all tasks see the same disk.
+``spark.checkpoint.dir``.  A session without that setting uses its warehouse
+folder, which driver and executors share as well.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
-_local_roots: dict[str, str] = {}
-
 
 def shared_root(spark: SparkSession) -> str:
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    root = _local_roots.get(context.applicationId)
-    if root is None:
-        root = tempfile.mkdtemp(prefix="lakesync-")
-        context.setCheckpointDir(root)
-        _local_roots[context.applicationId] = root
-    return root
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return configured.rstrip("/")
 
 
 def fresh_dir(spark: SparkSession, purpose: str) -> str:
