@@ -8,13 +8,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakesync.llm import line_rules, mixing, sharding
+from lakesync.llm import bpe, line_rules, mixing, order_minhash, sharding
 from lakesync.session import set_runtime_defaults
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {
     "op5_line_rules": line_rules.op5_line_rules,
+    "op7_bpe": bpe.op7_bpe,
+    "op8_order_minhash": order_minhash.op8_order_minhash,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_reshard": sharding.op10_reshard,
 }
