@@ -8,13 +8,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakesync.llm import bpe, line_rules, main_text, mixing, order_minhash, sharding, toxicity
+from lakesync.llm import bpe, line_rules, main_text, mixing, near_dedup, order_minhash, sharding, toxicity
 from lakesync.session import set_runtime_defaults
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {
     "op1_main_text": main_text.op1_main_text,
+    "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op5_line_rules": line_rules.op5_line_rules,
     "op7_bpe": bpe.op7_bpe,
