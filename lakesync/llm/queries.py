@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakesync.llm import bpe, line_rules, main_text, mixing, near_dedup, order_minhash, ppm, sharding, toxicity
+from lakesync.llm import bpe, line_rules, main_text, mixing, near_dedup, order_minhash, ppm, sharding, toxicity, transcripts
 from lakesync.session import set_runtime_defaults
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,7 @@ _QUERIES: dict[str, Query] = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_ppm": ppm.op4_ppm,
     "op5_line_rules": line_rules.op5_line_rules,
+    "op6_transcripts": transcripts.op6_transcripts,
     "op7_bpe": bpe.op7_bpe,
     "op8_order_minhash": order_minhash.op8_order_minhash,
     "op9_mix_sources": mixing.op9_mix_sources,
