@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 #: Fixed value: the pattern of the tokenizer's pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces and pairs that a task keeps at once.
-KEPT = 400_000
+KEPT = 200_000
 
 
 def shown_bytes() -> dict[str, int]:

@@ -38,13 +38,13 @@ from lakesync.llm.common import fold_of, materialise
 #: Bytes of the longest context.
 ORDER = 6
 #: Grams, and words, that are broadcast at most, and the slots of their hash tables (2**SLOT_BITS).
-FREQUENT, SLOT_BITS = 1 << 20, 22
+FREQUENT, SLOT_BITS = 1 << 19, 21
 #: Start mark and end mark: bytes that no UTF-8 text contains.
 START, END = b"\xfe", b"\xff"
 SYMBOLS = 256
 HELD_OUT_PARTS, HELD_OUT = 7, 2
 #: Bytes that are handled at once, rows of counts and word hashes that a task keeps at most.
-PIECE, ROWS, KEPT = 1 << 20, 4 << 20, 1_000_000
+PIECE, ROWS, KEPT = 1 << 20, 1 << 20, 200_000
 #: The key of the end token among the words: the hash of a text that is no word.
 END_WORD = int(np.uint64(xxhash.xxh64_intdigest(b" ")).astype(np.int64))
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)

@@ -52,7 +52,7 @@ RATE, DECAY = 0.1, 1e-4
 THRESHOLD = 0.7
 HELD_OUT_PARTS, HELD_OUT = 3, 1
 #: Words whose stems a task keeps.
-KEPT = 300_000
+KEPT = 200_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 _MASK = (1 << HASH_BITS) - 1
