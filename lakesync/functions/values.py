@@ -14,12 +14,23 @@ _FLOATING = (T.FloatType, T.DoubleType)
 
 
 def plain_number(col: Column) -> Column:
-    """Shortest decimal text of a double, without exponent; whole numbers lose the point."""
-    wide = col.cast("string").cast("decimal(38,18)").cast("string")
-    fraction = F.regexp_replace(wide, "0+$", "")
-    whole = (col == F.floor(col)) & (F.abs(col) < F.lit(9.0e18))
-    return F.when(whole, col.cast("bigint").cast("string")).otherwise(
-        F.coalesce(fraction, col.cast("string"))
+    """Shortest decimal text of a float or double, without exponent; whole numbers have no point, zero has no sign.
+
+    The digits are those of the value's own text, so different values have different texts.  Values that are no numbers are
+    ``NaN``, ``+Inf`` and ``-Inf``.
+    """
+    text = col.cast("string")
+    mantissa = F.regexp_replace(F.split_part(F.abs(col).cast("string"), F.lit("E"), F.lit(1)), "\\.0$", "")
+    power = F.split_part(text, F.lit("E"), F.lit(2)).try_cast("int")
+    digits = F.replace(mantissa, F.lit("."), F.lit(""))
+    whole = F.when(F.length(digits) <= power + 1, F.rpad(digits, power + 1, F.lit("0"))).otherwise(
+        F.concat(F.left(digits, power + 1), F.lit("."), F.substr(digits, power + 2))
+    )
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    plain = F.when(~F.contains(text, F.lit("E")), mantissa).when(power >= 0, whole).otherwise(small)
+    return (
+        F.when(F.isnan(col), "NaN").when(col == float("inf"), "+Inf").when(col == float("-inf"), "-Inf").when(col == 0, "0")
+        .otherwise(F.concat(F.when(col < 0, "-").otherwise(""), plain))
     )
 
 
@@ -28,7 +39,7 @@ def comparable_text(col: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.StringType):
         return col
     if isinstance(dtype, _FLOATING):
-        return plain_number(col.cast("double"))
+        return plain_number(col)
     if isinstance(dtype, T.DecimalType):
         return col.cast("string")
     if isinstance(dtype, T.TimestampNTZType):

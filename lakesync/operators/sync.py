@@ -152,33 +152,35 @@ def latest_per_key(
     return winners if deleted is None else winners.where(~deleted)
 
 
-def latest_raw(raw: DataFrame, cursor: str, kind: str) -> DataFrame:
-    """Winning envelope per primary key, deleted ones included.
-
-    Ordered by the record's own typed cursor, then by time of extraction and raw id.
-    """
+def raw_order(raw: DataFrame, cursor: str, kind: str) -> list[Column]:
+    """Order of envelopes of one key: the record's own typed cursor, then time of extraction and raw id."""
     dtype = raw.schema["record"].dataType[cursor].dataType
-    keys = cursor_sort_key(F.col(f"record.`{cursor}`"), dtype, kind)
-    order = [*keys, F.col("_sync_extracted_at"), F.col("_sync_raw_id")]
-    return latest_per_key(raw, ["_sync_primary_key"], order)
+    return [*cursor_sort_key(F.col(f"record.`{cursor}`"), dtype, kind), F.col("_sync_extracted_at"), F.col("_sync_raw_id")]
+
+
+def latest_raw(raw: DataFrame, cursor: str, kind: str) -> DataFrame:
+    """Winning envelope per primary key, deleted ones included."""
+    return latest_per_key(raw, ["_sync_primary_key"], raw_order(raw, cursor, kind))
 
 
-def merge_winners(kept: DataFrame, new: DataFrame, cursor: str, kind: str, few_new: bool) -> DataFrame:
+def merge_winners(kept: DataFrame, new: DataFrame, cursor: str, kind: str) -> DataFrame:
     """Winners after new envelopes arrived.
 
-    Few new rows are reduced to their own winners and their keys broadcast:
-    kept rows with other keys pass through without a shuffle, and only the
-    rest is compared.  Otherwise both sides are shuffled together once.
+    The new rows are reduced to their own winners.  A kept row stays unless a newer one has its key, and a new winner is
+    added unless a kept one is newer; the second join needs no more of the kept rows than key and order.  Spark broadcasts
+    the new winners where they are small, and then the kept rows are not shuffled.
     """
     key = "_sync_primary_key"
-    if not few_new:
-        return latest_raw(kept.unionByName(new, allowMissingColumns=True), cursor, kind)
+
+    def placed(df: DataFrame, name: str) -> DataFrame:
+        return df.select(F.col(key), F.struct(*raw_order(df, cursor, kind)).alias(name))
+
     best = latest_raw(new, cursor, kind)
-    keys = F.broadcast(best.select(key))
-    rivals = kept.join(keys, key, "left_semi").select(*kept.columns)
-    compared = latest_raw(rivals.unionByName(best, allowMissingColumns=True), cursor, kind)
-    others = kept.join(keys, key, "left_anti").select(*kept.columns)
-    return others.unionByName(compared, allowMissingColumns=True)
+    older = kept.withColumn("__old", F.struct(*raw_order(kept, cursor, kind))).join(placed(best, "__new"), key, "left")
+    newer = best.withColumn("__new", F.struct(*raw_order(best, cursor, kind))).join(placed(kept, "__old"), key, "left")
+    stay = older.where(F.col("__new").isNull() | (F.col("__old") >= F.col("__new"))).select(*kept.columns)
+    come = newer.where(F.col("__old").isNull() | (F.col("__new") > F.col("__old"))).select(*best.columns)
+    return stay.unionByName(come, allowMissingColumns=True)
 
 
 def version_history(

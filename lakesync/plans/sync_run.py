@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, functions as F, types as T
+from pyspark.sql import DataFrame, Row, functions as F, types as T
 
 from lakesync.functions.cursor import cursor_kind
 from lakesync.operators.sync import (
@@ -15,8 +15,6 @@ from lakesync.operators.sync import (
 from lakesync.sources.tables import LIVE_RECORDS, RECORDS, Change, StreamState, TableStore
 
 DEFAULT_BATCH_ROWS = 1000
-# New rows up to this number may have their keys broadcast to the merge.
-FEW_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -42,47 +40,49 @@ def winners_table(spec: StreamSpec) -> str:
     return f"_latest__{spec.name}__{spec.table or spec.name}"
 
 
+def accepted_rows(source: DataFrame, spec: StreamSpec, mode: SyncMode, prior: StreamState, kind: str | None) -> DataFrame:
+    """Rows of the source that the run lands; the cursor bound stands next to the scan, so it can be pushed into it."""
+    return accept_from(source, spec.cursor, prior.cursor, kind) if mode.incremental else source
+
+
 def run_sync(
     store: TableStore, source: DataFrame, spec: StreamSpec, mode: str | SyncMode, run_id: str,
-    run_at: str, batch_rows: int = DEFAULT_BATCH_ROWS, few_rows: int = FEW_ROWS,
+    run_at: str, batch_rows: int = DEFAULT_BATCH_ROWS,
 ) -> RunResult:
     """Land ``source`` and publish the final table; nothing is visible unless all of it worked.
 
-    New rows are shaped and written to raw history in one pass without a
-    shuffle.  Deduplicated modes then merge only the new rows with the winners
-    kept from earlier runs (deleted ones among them), not with all history.
-    Counts come from the written files, so repeated tasks cannot inflate them.
+    New rows are shaped and written to raw history in one pass without a shuffle.  Deduplicated modes publish the winners of
+    all raw history: kept winners cover the history up to the commit that wrote them, and what was landed since, by runs of
+    any mode, is merged into them.  Counts come from the written files, so repeated tasks cannot inflate them.
     """
     mode = mode if isinstance(mode, SyncMode) else parse_mode(mode)
     check_stream(spec, mode)
     log = store.log()
+    store.check_new(run_id, log)
     prior = store.stream_state(spec.name, log)
     generation = prior.generation + 1 if mode.overwrite or not prior.generation else prior.generation
     kind = None
     if spec.cursor:
         kind = prior.cursor_kind or cursor_kind(source, spec.cursor)
 
-    counted = Observation()
-    rows = source.observe(counted, F.count(F.lit(1)).alias("read"))
-    if mode.incremental:
-        rows = accept_from(rows, spec.cursor, prior.cursor, kind)
+    rows = accepted_rows(source, spec, mode, prior, kind)
     raw = raw_envelope(enrich(rows, run_id, run_at, spec.cursor), spec, run_id, generation, run_at)
+    history = [] if mode.overwrite else store.numbered(raw_table(spec), log)
+    store.schema_of([change for _, change in history], raw.schema)  # a column of another type is refused before anything is written
     raw_path = store.stage(raw_table(spec), run_id, raw)
     landed = store.read_paths([raw_path], raw.schema)
 
     newest = max_cursor(source, spec.cursor, kind) if spec.cursor else F.lit(None).cast("string")
     facts = landed.select("record.*").agg(F.count("*").alias("n"), newest.alias("cursor")).first()
+    # A scan without columns where some rows were left out.
+    read = facts.n if rows is source else source.count()
     changes = [Change(raw_table(spec), raw_path, raw.schema, mode.overwrite, facts.n)]
 
     # The final table is a view of files that are written anyway: raw history,
     # or the winners of it.
     final = Change(spec.table or spec.name, raw_path, raw.schema, mode.overwrite, facts.n, RECORDS)
     if mode.deduped:
-        if not mode.overwrite and store.current(winners_table(spec), log):
-            kept = store.read(winners_table(spec), log)
-            best = merge_winners(kept, landed, spec.cursor, kind, few_new=facts.n <= few_rows)
-        else:
-            best = latest_raw(landed, spec.cursor, kind)
+        best = winners(store, spec, kind, log, history, landed, overwrite=mode.overwrite)
         best_path = store.stage(winners_table(spec), run_id, best)
         counts = store.read_paths([best_path], best.schema).agg(
             F.count("*").alias("all"), F.count_if(~F.col("_sync_deleted")).alias("live")
@@ -92,13 +92,33 @@ def run_sync(
     changes.append(final)
 
     cursor = later_cursor(store, prior.cursor, facts.cursor, text_kind(source, spec, kind))
-    store.commit(run_id, changes, spec.name, StreamState(cursor, kind, generation))
+    store.commit(run_id, changes, spec.name, StreamState(cursor, kind, generation), based_on=log)
     return RunResult(
-        run_id, mode.name, counted.get["read"], facts.n, changes[-1].rows, 0,
+        run_id, mode.name, read, facts.n, changes[-1].rows, 0,
         math.ceil(facts.n / max(batch_rows, 1)), generation, cursor,
     )
 
 
+def winners(
+    store: TableStore, spec: StreamSpec, kind: str | None, log: list[Row], history: list[tuple[int, Row]], landed: DataFrame,
+    overwrite: bool,
+) -> DataFrame:
+    """Winners of the raw history (number of the commit, change) and the rows just landed."""
+    if overwrite:
+        return latest_raw(landed, spec.cursor, kind)
+    kept = store.numbered(winners_table(spec), log)
+    covered = kept[-1][0] if kept else 0
+    # Winners from before the history began (it was overwritten since) are of no use.
+    if covered and not (history and history[0][1].action == "replace" and history[0][0] > covered):
+        since = [change for number, change in history if number > covered]
+    else:
+        kept, since = [], [change for _, change in history]
+    new = landed.unionByName(store.read_changes(since), allowMissingColumns=True) if since else landed
+    if not kept:
+        return latest_raw(new, spec.cursor, kind)
+    return merge_winners(store.read(winners_table(spec), log), new, spec.cursor, kind)
+
+
 def text_kind(source: DataFrame, spec: StreamSpec, kind: str | None) -> str:
     """How the cursor text in the envelope is ordered; plain dates order as text."""
     if spec.cursor and isinstance(source.schema[spec.cursor].dataType, T.DateType):
