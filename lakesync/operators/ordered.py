@@ -2,10 +2,11 @@
 
 A window puts all rows of one key into one task.  Where a key can hold a large
 share of the table that does not scale, so the functions here first look for
-hot keys (one pre-aggregated count).  Without any, they plan an ordinary
-window.  With some, the rows of the hot keys are range-sorted into slices of
-equal size, each slice is worked on by itself, and one small summary row per
-slice carries what later slices need.  Results are the same either way.
+hot keys (one pre-aggregated count, kept as a table: however many there are,
+none reaches the driver).  Without any, they plan an ordinary window.  With
+some, the rows of the hot keys are range-sorted into slices of equal size,
+each slice is worked on by itself, and one small summary row per slice carries
+what later slices need.  Results are the same either way.
 
 ``order`` names columns that together are unique within a key.
 """
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import and_, or_
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -22,61 +23,60 @@ from lakesync.workspace import fresh_dir
 
 SLICE = "__slice"
 COLD = -1  # slice number of rows whose key is not hot
-MAX_HOT_KEYS = 1000
+# Keys with more rows than this are split: about what a task sorts without trouble.
 DEFAULT_HOT_ROWS = 5_000_000
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> Column | None:
-    """Condition for rows of hot keys; None when there are none.
-
-    At most ``MAX_HOT_KEYS`` key values reach the driver.  Keys beyond that
-    count hold at most one thousandth of the rows each.
-    """
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> DataFrame | None:
+    """The hot keys, one row each, counted once and stored; None when there are none."""
     limit = DEFAULT_HOT_ROWS if hot_rows is None else hot_rows
-    counted = df.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > limit)
-    top = counted.orderBy(F.desc("__n")).limit(MAX_HOT_KEYS).collect()
-    return _any_of(keys, top) if top else None
+    counted = df.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > limit).select(*keys)
+    path = fresh_dir(df.sparkSession, "hot_keys")
+    counted.write.parquet(path)
+    stored = df.sparkSession.read.schema(counted.schema).parquet(path)
+    return None if stored.isEmpty() else stored
 
 
-def _any_of(keys: Sequence[str], rows: Sequence) -> Column:
-    """True for rows whose key is one of the given ones (nulls compare as equal)."""
-    if len(keys) > 1:
-        matches = [reduce(and_, (F.col(k).eqNullSafe(F.lit(row[k])) for k in keys)) for row in rows]
-        return reduce(or_, matches)
-    values = [row[keys[0]] for row in rows]
-    found = F.coalesce(F.col(keys[0]).isin([v for v in values if v is not None]), F.lit(False))
-    return found | F.col(keys[0]).isNull() if None in values else found
+def split_by(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of the hot keys and the other rows (null keys match each other)."""
+    named = hot.withColumnsRenamed({k: f"__h_{k}" for k in keys})
+    on = reduce(and_, (F.col(k).eqNullSafe(F.col(f"__h_{k}")) for k in keys))
+    return df.join(named, on, "left_semi"), df.join(named, on, "left_anti")
 
 
 def cut_hot_keys(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int | None, slices: int | None
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int | None, slices: int | None,
+    all_hot: bool = False,
 ) -> tuple[DataFrame, list[str]]:
     """Rows with their slice, and the columns to partition windows by.
 
     The slices of hot rows are ranges of key and order.  They are written once,
-    so a lost task cannot move a row from one slice to another.
+    so a lost task cannot move a row from one slice to another.  ``all_hot``:
+    only rows of hot keys are given, and need not be counted again.
     """
-    hot = hot_keys(df, keys, hot_rows)
-    if hot is None:
+    hot = None if all_hot else hot_keys(df, keys, hot_rows)
+    if hot is None and not all_hot:
         return df, list(keys)
     spark = df.sparkSession
     n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = fresh_dir(spark, "slices")
-    sliced = df.where(hot).repartitionByRange(n, *keys, *order).withColumn(SLICE, F.spark_partition_id())
+    warm, cold = (df, None) if all_hot else split_by(df, keys, hot)
+    sliced = warm.repartitionByRange(n, *keys, *order).withColumn(SLICE, F.spark_partition_id())
     sliced.write.parquet(path)
     stored = spark.read.schema(sliced.schema).parquet(path)
-    return df.where(~hot).withColumn(SLICE, F.lit(COLD)).unionByName(stored), [*keys, SLICE]
+    every = stored if cold is None else cold.withColumn(SLICE, F.lit(COLD)).unionByName(stored)
+    return every, [*keys, SLICE]
 
 
 def _with_summary(df: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join of one summary row per hot key and slice; null keys match each other.
 
     Slices are ranges of key and order, so there are at most as many summary
-    rows as slices and hot keys together: small enough to broadcast.
+    rows as slices and hot keys together; Spark broadcasts them by their size.
     """
     named = summary.withColumnsRenamed({k: f"__k_{k}" for k in [*keys, SLICE]})
     on = reduce(and_, (F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in [*keys, SLICE]))
-    return df.join(F.broadcast(named), on, "left").drop(*(f"__k_{k}" for k in [*keys, SLICE]))
+    return df.join(named, on, "left").drop(*(f"__k_{k}" for k in [*keys, SLICE]))
 
 
 def _earlier_slices(
@@ -92,10 +92,10 @@ def _earlier_slices(
 
 def with_position(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "position",
-    hot_rows: int | None = None, slices: int | None = None,
+    hot_rows: int | None = None, slices: int | None = None, all_hot: bool = False,
 ) -> DataFrame:
     """1-based position of each row in its key."""
-    cut, by = cut_hot_keys(df, keys, order, hot_rows, slices)
+    cut, by = cut_hot_keys(df, keys, order, hot_rows, slices, all_hot)
     local = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     numbered = cut.withColumn(out, local.cast("bigint"))
     if SLICE not in by:
@@ -169,7 +169,8 @@ def with_frame(
         return df.withColumns({name: make(window) for name, make in outputs.items()})
     block_rows = max(block_rows or hot_rows or DEFAULT_HOT_ROWS, before + after, 1)
     # Cold keys fit into one block each, so they only need a position where hot ones do.
-    placed = with_position(df.where(hot), keys, order, "__pos", hot_rows, slices)
+    warm, cold = split_by(df, keys, hot)
+    placed = with_position(warm, keys, order, "__pos", hot_rows, slices, all_hot=True)
     zero = F.col("__pos") - 1
     block, offset = F.floor(zero / block_rows), zero % block_rows
     none = F.lit(None).cast("bigint")
@@ -180,7 +181,7 @@ def with_frame(
         )
     )
     copied = placed.withColumn("__home", block).withColumn("__block", F.explode(blocks))
-    cold = df.where(~hot).withColumns({"__home": F.lit(0).cast("bigint"), "__block": F.lit(0).cast("bigint")})
+    cold = cold.withColumns({"__home": F.lit(0).cast("bigint"), "__block": F.lit(0).cast("bigint")})
     window = Window.partitionBy(*keys, "__block").orderBy(*order)
     every = cold.unionByName(copied.drop("__pos"))
     done = every.withColumns({name: make(window) for name, make in outputs.items()})

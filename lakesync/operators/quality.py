@@ -5,8 +5,6 @@ from __future__ import annotations
 import base64
 import json
 from collections.abc import Mapping, Sequence
-from functools import reduce
-from operator import or_
 from urllib.parse import quote, quote_plus
 
 import pandas as pd
@@ -17,8 +15,6 @@ from lakesync.functions.text import (
     has_dangerous_chars, is_masked_name, is_redacted_name, strip_control_chars,
 )
 
-MAX_SECRETS = 10_000
-
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that occur more than once, with their count."""
@@ -70,23 +66,20 @@ def secret_forms(value: str) -> list[str]:
 def scan_secrets(df: DataFrame, text: str, secrets: Mapping[str, str]) -> DataFrame:
     """Rows whose whole text contains a known secret in any of its forms, with the names of those found.
 
-    The secrets are a configuration-sized list of literals, refused beyond
-    ``MAX_SECRETS``; blank values never match.
+    The secrets are one array literal that every row goes through, so the plan does not grow with the list; blank values
+    never match.
     """
     known = {name: value for name, value in secrets.items() if value.strip()}
-    if len(known) > MAX_SECRETS:
-        raise ValueError(f"{len(known)} secrets; the scan takes at most {MAX_SECRETS}")
     if not known:
         return df.withColumn("found", F.expr("array()").cast("array<string>")).where("false")
-    hits = []
+    listed = []
     for name, value in sorted(known.items()):
         # A form that holds another one is found wherever that one is.
         forms = secret_forms(value)
-        forms = [f for f in forms if not any(g != f and g in f for g in forms)]
-        leaked = reduce(or_, (F.contains(F.col(text), F.lit(f)) for f in forms))
-        hits.append(F.when(leaked, F.lit(name)))
-    found = F.array_compact(F.array(*hits))
-    return df.withColumn("found", found).where(F.size("found") > 0)
+        listed.append({"name": name, "forms": [f for f in forms if not any(g != f and g in f for g in forms)]})
+    literal = F.from_json(F.lit(json.dumps(listed)), "array<struct<name:string,forms:array<string>>>")
+    leaked = F.filter(literal, lambda s: F.exists(s["forms"], lambda form: F.contains(F.col(text), form)))
+    return df.withColumn("found", F.transform(leaked, lambda s: s["name"])).where(F.size("found") > 0)
 
 
 def mask_sensitive(df: DataFrame) -> DataFrame:

@@ -171,10 +171,10 @@ ANALYSIS_WORDS = (
 def route_requests(df: DataFrame, text: str) -> DataFrame:
     """Task, confidence and matched words of each request text."""
     def hits(words: Sequence[str]) -> Column:
-        listed = F.array(*map(F.lit, words))
-        return F.filter(listed, lambda w: F.contains(F.lower(F.col(text)), w))
+        return F.array_compact(F.array(*(F.when(F.contains(F.col("__low"), F.lit(w)), F.lit(w)) for w in words)))
 
-    marked = df.withColumns({"__ml": hits(ML_WORDS), "__an": hits(ANALYSIS_WORDS)})
+    lowered = df.withColumn("__low", F.lower(F.col(text)))
+    marked = lowered.withColumns({"__ml": hits(ML_WORDS), "__an": hits(ANALYSIS_WORDS)}).drop("__low")
     is_ml, is_analysis = F.size("__ml") > 0, F.size("__an") > 0
     return marked.withColumns(
         {

@@ -16,8 +16,8 @@ from lakesync.functions.values import comparable_text, json_quote, row_hash
 from lakesync.operators.ordered import row_index
 from lakesync.operators.schema import first_violation
 from lakesync.operators.sync import table_fingerprint
+from lakesync.sources.tables import TableStore
 
-DEFAULT_MAX_ROWS = 100_000
 DEFAULT_BATCH = 100
 DEDUPE_FIELDS = ("email", "domain", "external_id")
 
@@ -166,15 +166,47 @@ def delivery_outcomes(sent: DataFrame, responses: DataFrame, record: str = "reco
     ).drop("failed", "external_id")
 
 
-def dead_letters(outcomes: DataFrame, fields: Sequence[str], error: str, attempts: int,
+def with_batch_failures(outcomes: DataFrame, failures: DataFrame, batch: str = "batch_no") -> DataFrame:
+    """Outcomes after batches failed as a whole: each of their rows is a dead letter with the batch's error.
+
+    ``failures`` holds ``(batch, error, retries)`` of batches that no retry helped; its rows count ``retries + 1`` attempts.
+    """
+    lost = failures.groupBy(batch).agg(F.max("error").alias("batch_error"), (F.max("retries") + 1).alias("batch_attempts"))
+    failed = F.col("batch_error").isNotNull()
+    return outcomes.join(lost, batch, "left").withColumns(
+        {"outcome": F.when(failed, "dead_letter").otherwise(F.col("outcome")),
+         "mapped_id": F.when(~failed, F.col("mapped_id"))}
+    )
+
+
+def dead_letters(outcomes: DataFrame, fields: Sequence[str], error: str | Column, attempts: int | Column,
                  record: str = "record_id") -> DataFrame:
-    """Failed rows with id, error, attempts and a record whose values are blotted out."""
+    """Failed rows with id, error, attempts and a record whose values are blotted out; error and attempts may be columns."""
     blotted = F.to_json(F.struct(*(F.lit("[REDACTED]").alias(f) for f in fields)))
     return outcomes.where(F.col("outcome") == "dead_letter").select(
         record, F.lit(error).alias("error"), F.lit(attempts).alias("attempts"), blotted.alias("record")
     )
 
 
+def keep_identity(store: TableStore, table: str, run_id: str, outcomes: DataFrame, record: str = "record_id") -> int:
+    """Add the ids of the rows that arrived to a stored map, which later runs read with ``known_identity``."""
+    arrived = outcomes.where(F.col("outcome") == "succeeded").select(record, "mapped_id")
+    return store.append(table, run_id, arrived)
+
+
+def known_identity(store: TableStore, table: str) -> DataFrame:
+    """All ids in a stored map; empty before the first run."""
+    if table not in store.names():
+        return store.spark.createDataFrame([], "record_id string, mapped_id string")
+    return store.read(table)
+
+
+def keep_dead_letters(store: TableStore, table: str, flow: str, step: str, run_id: str, letters: DataFrame) -> int:
+    """Append dead letters, stamped with flow, step and run."""
+    stamped = letters.withColumns({"flow": F.lit(flow), "step": F.lit(step), "run_id": F.lit(run_id)})
+    return store.append(table, f"{flow}/{step}/{run_id}".replace("/", "-"), stamped)
+
+
 def count_missing_as_written(responses: DataFrame, kind: str, allowed: Sequence[int]) -> DataFrame:
     """A delete answered with an allowed status counts as written."""
     good = F.col("status").between(200, 299)

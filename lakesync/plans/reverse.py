@@ -7,9 +7,10 @@ import hashlib
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, functions as F
 
-from lakesync.operators.writeback import DEFAULT_MAX_ROWS, map_fields, plan_hash
+from lakesync.operators.writeback import map_fields, plan_hash
+from lakesync.workspace import fresh_dir
 
 EXPIRY = dt.timedelta(hours=24)
 
@@ -34,11 +35,11 @@ def token_digest(token: str) -> str:
 
 def make_plan(
     rows: DataFrame, plan_id: str, source_table: str, action: str, mappings: Mapping[str, str],
-    settings: Mapping[str, str], token: str, now: dt.datetime, max_rows: int = DEFAULT_MAX_ROWS,
+    settings: Mapping[str, str], token: str, now: dt.datetime, max_rows: int = 0,
 ) -> ReversePlan:
     """Fingerprint the mapped rows and open the plan for approval.
 
-    ``max_rows`` is the feature's own safety limit: more rows refuse the plan
+    ``max_rows`` is a safety limit a caller may give: more rows refuse the plan
     rather than being cut off.
     """
     if not mappings:
@@ -72,19 +73,24 @@ def run_plan(
 ) -> ReversePlan:
     """Check, re-read, compare and send; every change of status is saved before the next step.
 
-    The token is used up before the first row is sent, so a plan is never sent
+    The mapped rows are written once; the fingerprint is taken from the written rows, and they are what is sent, so nothing
+    that happens to the source in between can reach the destination.  The token is used up before the first row is sent, so a plan is never sent
     twice by approval.  ``sink`` runs per partition and must itself be safe to
     repeat, because a lost task is run again.
     """
     approve(plan, token, now)
-    current = plan_hash(map_fields(rows, plan.mappings), dict(plan.settings)).first()
+    path = fresh_dir(rows.sparkSession, "plan_rows")
+    mapped = map_fields(rows, plan.mappings)
+    mapped.write.parquet(path)
+    staged = rows.sparkSession.read.schema(mapped.schema).parquet(path)
+    current = plan_hash(staged, dict(plan.settings)).first()
     if current.plan_hash != plan.plan_hash:
         save(replace(plan, status="invalidated", token_hash=None))
         raise ValueError("the rows are not those the plan was made for")
     running = replace(plan, status="executing", token_hash=None)
     save(running)
     try:
-        map_fields(rows, plan.mappings, plan.plan_id).foreachPartition(sink)
+        staged.withColumn("_sync_reverse_plan_id", F.lit(plan.plan_id)).foreachPartition(sink)
     except Exception:
         save(replace(running, status="failed"))
         raise

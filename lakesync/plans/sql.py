@@ -4,18 +4,19 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lakesync.functions.values import iso_seconds
 from lakesync.sources.readers import IDENTIFIER
 from lakesync.sources.tables import TableStore
 
-# Words that never occur in a read-only query.
-FORBIDDEN_WORDS = (
-    "insert", "update", "delete", "drop", "alter", "create", "attach", "copy", "pragma", "call",
-    "export", "install", "load", "set",
-)
-WORD = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
+# What a query's text holds besides names and keywords: literals, quoted names and comments.
+_TEXT = re.compile(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|--[^\n]*|/\*.*?\*/", re.S)
+_QUOTED = re.compile(r"`((?:[^`]|``)*)`")
+# Functions that run any static method of the JVM.
+_REFLECTION = re.compile(r"(?i)\b(reflect|try_reflect|java_method)\s*\(")
+_RUN_ON_FILES = "spark.sql.runSQLOnFiles"
 
 
 def register_views(store: TableStore) -> list[str]:
@@ -30,33 +31,52 @@ def register_views(store: TableStore) -> list[str]:
     return views
 
 
+def bare(text: str) -> str:
+    """The query without literals and comments; quoted names lose their quotes."""
+    return _QUOTED.sub(lambda m: m[1] if IDENTIFIER.match(m[1]) else " quoted ", _TEXT.sub(" ", text))
+
+
 def check_read_only(text: str) -> None:
-    """Refuse anything but one SELECT or WITH statement without side effects."""
-    query = text.strip()
-    if not query:
+    """Refuse at once what is empty, holds several statements or calls a method of the JVM."""
+    words = bare(text)
+    if not words.strip():
         raise ValueError("the query is empty")
-    if ";" in query:
+    if ";" in words:
         raise ValueError("a query is one statement without ';'")
-    words = [w.lower() for w in WORD.findall(query)]
-    if not query.lower().startswith(("select", "with")):
-        raise ValueError("a query starts with SELECT or WITH")
-    for word in words:
-        if word in FORBIDDEN_WORDS:
-            raise ValueError(f"{word!r} has no place in a read-only query")
+    called = _REFLECTION.search(words)
+    if called:
+        raise ValueError(f"{called[1]!r} has no place in a read-only query")
+
+
+def analyzed(spark: SparkSession, text: str) -> DataFrame:
+    """The query as Spark analyzes it; anything but a query over registered views and tables is refused.
+
+    Commands are no part of a query: as the content of a subquery they do not parse, whatever they are.  Files are not
+    read by their path while the query is analyzed.
+    """
+    check_read_only(text)
+    before = spark.conf.get(_RUN_ON_FILES)
+    spark.conf.set(_RUN_ON_FILES, "false")
+    try:
+        spark.sql(f"SELECT 1 FROM (\n{text}\n) AS guarded")
+        return spark.sql(text)
+    except ParseException as error:
+        raise ValueError("a query is one SELECT or WITH statement") from error
+    finally:
+        spark.conf.set(_RUN_ON_FILES, before)
 
 
 def has_top_level_limit(text: str) -> bool:
-    """True when LIMIT stands outside all parentheses."""
-    flat, before = text, None
+    """True when LIMIT stands outside all parentheses, literals, comments and quoted names."""
+    flat, before = _QUOTED.sub(" quoted ", _TEXT.sub(" ", text)), None
     while flat != before:
         before, flat = flat, re.sub(r"\([^()]*\)", " ", flat)
-    return re.search(r"(?i)(?<![A-Za-z0-9_])limit(?![A-Za-z0-9_])", flat) is not None
+    return re.search(r"(?i)(?<![A-Za-z0-9_.])limit\s+(all\b|[0-9])", flat) is not None
 
 
 def query(spark: SparkSession, text: str, limit: int = 0) -> DataFrame:
     """Run a checked query; the limit applies only when the query has none of its own."""
-    check_read_only(text)
-    result = spark.sql(text)
+    result = analyzed(spark, text)
     return result.limit(limit) if limit > 0 and not has_top_level_limit(text) else result
 
 

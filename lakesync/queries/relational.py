@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lakesync.functions.values import iso_micros
 from lakesync.operators.ordered import with_frame, with_position, with_running_total
-from lakesync.operators.relational import asof_join, range_join
+from lakesync.operators.relational import asof_join, except_all, range_counts
 from lakesync.plans import sql as guarded
 from lakesync.queries.registry import query, table
 from lakesync.queries.sources import ISO
@@ -143,15 +143,14 @@ def join_full_outer(spark, sf_dir):
 
 
 @query("join_range", """
-    SELECT p_partkey, low, high FROM part, (
-        SELECT s_suppkey, CAST(floor(s_acctbal) AS DOUBLE) AS low, CAST(floor(s_acctbal) + 1 + s_suppkey % 3 AS DOUBLE) AS high FROM supplier)
-    WHERE p_retailprice >= low AND p_retailprice < high
+    SELECT s_suppkey, low, high, (SELECT count(*) FROM part WHERE p_retailprice >= low AND p_retailprice < high) AS points_in
+    FROM (SELECT s_suppkey, CAST(floor(s_acctbal) AS DOUBLE) AS low, CAST(floor(s_acctbal) + 1 + s_suppkey % 3 * 200 AS DOUBLE) AS high FROM supplier)
 """)
 def join_range(spark, sf_dir):
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
+    parts = table(spark, sf_dir, "part").select("p_retailprice")
     low = F.floor("s_acctbal").cast("double")
-    spans = table(spark, sf_dir, "supplier").select(low.alias("low"), (low + 1 + F.col("s_suppkey") % 3).alias("high"))
-    return range_join(parts, spans, "p_retailprice", "low", "high", width=4.0).select("p_partkey", "low", "high")
+    spans = table(spark, sf_dir, "supplier").select("s_suppkey", low.alias("low"), (low + 1 + F.col("s_suppkey") % 3 * 200).alias("high"))
+    return range_counts(parts, spans, "p_retailprice", "low", "high")
 
 
 @query("join_asof", f"""
@@ -287,7 +286,7 @@ def set_intersect(spark, sf_dir):
 @query("set_except", f"{_C} EXCEPT ALL {_S}")
 def set_except(spark, sf_dir):
     customers, suppliers = _two_sides(spark, sf_dir)
-    return customers.exceptAll(suppliers)
+    return except_all(customers, suppliers)
 
 
 _CTE = """

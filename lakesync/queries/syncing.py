@@ -65,12 +65,55 @@ def primary_key_tuple(spark, sf_dir):
 
 
 @query("cursor_filter_inclusive", f"""
-    SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events WHERE event_id <= 500)
+    SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events WHERE event_id <= (SELECT max(event_id) // 2 FROM events))
 """)
 def cursor_filter_inclusive(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    prior = events.where(F.col("event_id") <= 500).agg(iso_micros(F.max("ts")).alias("c")).first().c
-    return sync.accept_from(events, "ts", prior).select("event_id")
+    events, store = table(spark, sf_dir, "events"), TableStore(spark, fresh_dir(spark, "store"))
+    half = events.agg(F.max("event_id").alias("n")).first().n // 2
+    first = run_sync(store, events.where(F.col("event_id") <= half), SPEC, "incremental_append", "run1", RUN_AT)
+    bound = store.stream_state("events").cursor
+    assert bound == first.cursor
+    return sync.accept_from(events, "ts", bound).select("event_id")
+
+
+MODES_IN_TURN = (
+    "incremental_append", "incremental_append_deduped", "incremental_append", "incremental_append_deduped",
+    "full_refresh_overwrite", "incremental_append_deduped",
+)
+
+
+@query("sync_mode_switch", """
+    SELECT 'history' AS state, o_custkey, strftime(max(o_orderdate), '%Y-%m-%d') AS newest FROM orders
+    WHERE o_orderdate < TIMESTAMP '1996-01-01' GROUP BY o_custkey
+    UNION ALL
+    SELECT 'overwritten', o_custkey, strftime(max(o_orderdate), '%Y-%m-%d') FROM orders
+    WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1998-01-01' GROUP BY o_custkey
+""")
+def sync_mode_switch(spark, sf_dir):
+    """One year of orders per run, each run in another mode; deduplicated runs publish winners of all raw history."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    store, spec, states = TableStore(spark, fresh_dir(spark, "store")), StreamSpec("orders", ("o_custkey",), "o_orderdate"), []
+    for k, mode in enumerate(MODES_IN_TURN):
+        year = orders.where(F.year("o_orderdate") == 1992 + k)
+        run_sync(store, year, spec, mode, f"run{k}", f"2024-02-0{k + 1}T00:00:00.000000Z")
+        if k in (3, 5):
+            newest = F.date_format("o_orderdate", "yyyy-MM-dd").alias("newest")
+            states.append(store.read("orders").select(F.lit("history" if k == 3 else "overwritten").alias("state"), "o_custkey", newest))
+    return states[0].unionByName(states[1])
+
+
+@query("sync_schema_change", """
+    SELECT c_custkey, c_name, NULL::VARCHAR AS c_mktsegment FROM customer WHERE c_custkey % 3 = 0
+    UNION ALL SELECT c_custkey, NULL, NULL FROM customer WHERE c_custkey % 3 = 1
+    UNION ALL SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_custkey % 3 = 2
+""")
+def sync_schema_change(spark, sf_dir):
+    """A column that one run lacks, and one that only a later run has: older rows keep theirs, others get nulls."""
+    customers, store = table(spark, sf_dir, "customer"), TableStore(spark, fresh_dir(spark, "store"))
+    for k, columns in enumerate((["c_custkey", "c_name"], ["c_custkey"], ["c_custkey", "c_name", "c_mktsegment"])):
+        part = customers.where(F.col("c_custkey") % 3 == k).select(*columns)
+        run_sync(store, part, StreamSpec("customer", ("c_custkey",)), "full_refresh_append", f"run{k}", RUN_AT)
+    return store.read("customer").select("c_custkey", "c_name", "c_mktsegment")
 
 
 @query("cursor_advance", f"""

@@ -9,6 +9,8 @@ from lakesync.functions.values import row_hash
 from lakesync.queries.extraction import text
 from lakesync.queries.registry import query, table
 from lakesync.queries.schemas import SCHEMA, event_records, _RECORD
+from lakesync.sources.tables import TableStore
+from lakesync.workspace import fresh_dir
 
 MAPPINGS = {"c_custkey": "external_id", "c_name": "name", "c_mktsegment": "segment", "c_phone": "phone"}
 _MAPPED = "SELECT c_custkey AS external_id, c_name AS name, c_mktsegment AS segment, CAST(NULL AS VARCHAR) AS phone FROM customer"
@@ -174,9 +176,29 @@ def deterministic_record_id(spark, sf_dir):
 
 @query("skip_already_sent", f"SELECT n, {_RECORD_ID} AS record_id FROM ({_CONTACTS}) WHERE n % 3 <> 0")
 def skip_already_sent(spark, sf_dir):
-    rows = stamped(spark, sf_dir)
-    identity = rows.where(F.col("n") % 3 == 0).select("record_id")
-    return writeback.skip_sent(rows, identity).select("n", "record_id")
+    rows, store = stamped(spark, sf_dir), TableStore(spark, fresh_dir(spark, "store"))
+    # An earlier run sent every third row and kept what arrived.
+    arrived = rows.where(F.col("n") % 3 == 0).select("record_id", F.lit("succeeded").alias("outcome"), F.col("record_id").alias("mapped_id"))
+    writeback.keep_identity(store, "identity", "run1", arrived)
+    return writeback.skip_sent(rows, writeback.known_identity(store, "identity")).select("n", "record_id")
+
+
+@query("batch_failure_dead_letters", f"""
+    SELECT {_RECORD_ID} AS record_id, CASE WHEN n // 10 % 7 = 3 THEN 'no connection' ELSE 'destination rejected record' END AS error,
+           CASE WHEN n // 10 % 7 = 3 THEN 4 ELSE 1 END AS attempts, '{{"email":"[REDACTED]"}}' AS record,
+           'contacts' AS flow, 'send' AS step, 'run1' AS run_id
+    FROM ({_CONTACTS}) WHERE n % 4 = 1 OR n // 10 % 7 = 3
+""")
+def batch_failure_dead_letters(spark, sf_dir):
+    """Some batches fail as a whole, rows of others one by one; all of it ends in the stored dead letters."""
+    store = TableStore(spark, fresh_dir(spark, "store"))
+    batched = outcomes(spark, sf_dir).withColumn("batch_no", F.floor(F.col("n") / 10))
+    failures = batched.where(F.col("batch_no") % 7 == 3).select("batch_no", F.lit("no connection").alias("error"), F.lit(3).alias("retries")).distinct()
+    settled = writeback.with_batch_failures(batched, failures)
+    letters = writeback.dead_letters(
+        settled, ["email"], F.coalesce("batch_error", F.lit("destination rejected record")), F.coalesce("batch_attempts", F.lit(1)))
+    writeback.keep_dead_letters(store, "dead_letters", "contacts", "send", "run1", letters)
+    return store.read("dead_letters")
 
 
 @query("batch_assign", """

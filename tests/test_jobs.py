@@ -64,17 +64,33 @@ def test_routes(spark):
 # --- SQL
 
 @pytest.mark.parametrize("text", [
-    "", "INSERT INTO t VALUES (1)", "DROP VIEW v", "select 1; drop table t", "with x as (select 1) delete from x", "EXPLAIN SELECT 1",
-    "SELECT load FROM t",
+    "", "  -- nothing", "INSERT INTO t VALUES (1)", "DROP VIEW v", "select 1; drop table t", "with x as (select 1) delete from x",
+    "EXPLAIN SELECT 1", "SET x = 1", "FROM t INSERT INTO u SELECT 1", "select 1) AS a; drop view v; select (1", "CREATE TABLE t AS SELECT 1",
+    "SELECT reflect('java.lang.System', 'lineSeparator')", "SELECT `java_method` /* */ ('java.lang.System', 'lineSeparator')",
 ])
-def test_refused(text):
+def test_refused(spark, text):
     with pytest.raises(ValueError):
-        sql.check_read_only(text)
+        sql.query(spark, text)
+
+
+@pytest.mark.parametrize("text", ["SELECT * FROM text.`/etc/hostname`", "SELECT * FROM (SELECT * FROM parquet.`/tmp/none`)"])
+def test_files_are_not_read_by_path(spark, text):
+    with pytest.raises(SPARK_ERRORS):
+        sql.query(spark, text).collect()
+    assert spark.conf.get("spark.sql.runSQLOnFiles") == "true"
+
+
+def test_names_and_literals_do_not_matter(spark):
+    spark.createDataFrame([(k, "drop; limit 3") for k in range(30)], "`set` int, load string").createOrReplaceTempView("odd_names")
+    assert sql.query(spark, "SELECT `set`, load FROM odd_names WHERE load LIKE '%limit 3%' -- limit 2", 10).count() == 10
+    assert sql.query(spark, "SELECT set, ';' AS semi FROM odd_names LIMIT 12", 10).count() == 12
+    assert sql.query(spark, "WITH x AS (SELECT max(set) AS m FROM odd_names) SELECT m FROM x").first().m == 29
 
 
 @pytest.mark.parametrize("text,want", [
     ("select 1 limit 5", True), ("select * from (select 1 limit 5)", False), ("select limits from t", False),
-    ("select f(g(1), (2)) from t LIMIT 1", True),
+    ("select f(g(1), (2)) from t LIMIT 1", True), ("select 'limit 5' as x", False), ("select 1 -- limit 5", False),
+    ("select `limit 5`, t.limit from t", False),
 ])
 def test_top_level_limit(text, want):
     assert sql.has_top_level_limit(text) is want

@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import Window, functions as F
 
-from lakesync.operators.ordered import row_index, with_frame, with_last, with_position, with_running_total
-from lakesync.operators.relational import asof_join, range_join
+from lakesync.operators.ordered import hot_keys, row_index, with_frame, with_last, with_position, with_running_total
+from lakesync.operators.relational import asof_join, except_all, range_counts
 from lakesync.operators.sync import version_history
 
 KEYS, ORDER = ["k"], ["at", "n"]
@@ -86,9 +86,24 @@ def test_asof_join(spark, frame):
     assert sorted(map(tuple, cut.select("k", "at", "n", "m", "w").collect()), key=repr) == sorted(want, key=repr)
 
 
-def test_range_join(spark):
-    points = spark.createDataFrame([(float(x) / 3,) for x in range(60)], "p double")
-    ranges = spark.createDataFrame([(0.5, 2.5), (2.5, 9.0), (4.0, 4.0), (17.2, 30.0), (-3.0, 0.1)], "low double, high double")
-    got = sorted(map(tuple, range_join(points, ranges, "p", "low", "high", 1.5).collect()))
-    want = sorted((p.p, r.low, r.high) for p in points.collect() for r in ranges.collect() if r.low <= p.p < r.high)
-    assert got == want
+def test_range_counts(spark):
+    points = spark.createDataFrame([(float(x) / 3,) for x in range(60)] * 2 + [(None,)], "p double")
+    ranges = spark.createDataFrame([(0.5, 2.5), (2.5, 9.0), (4.0, 4.0), (17.2, 30.0), (-3.0, 0.1), (9.0, 1.0), (None, 5.0), (1.0, 2.0), (1.0, 2.0)],
+                                   "low double, high double")
+    got = sorted(map(tuple, range_counts(points, ranges, "p", "low", "high").collect()), key=repr)
+    inside = lambda r: sum(r.low is not None and p.p is not None and r.low <= p.p < r.high for p in points.collect())
+    assert got == sorted(((r.low, r.high, inside(r)) for r in ranges.collect()), key=repr)
+
+
+def test_except_all(spark):
+    left = spark.createDataFrame([(1, "a")] * 25 + [(2, None)] * 3 + [(None, "x")] * 2, "k int, t string")
+    right = spark.createDataFrame([(1, "a")] * 4 + [(2, None)] * 5 + [(9, "z")], "a int, b string")
+    got = sorted((tuple(r) for r in except_all(left, right, copies=7).collect()), key=repr)
+    assert got == sorted((tuple(r) for r in left.exceptAll(right).collect()), key=repr) and len(got) == 23
+
+
+def test_any_number_of_hot_keys(spark):
+    frame = spark.range(12_000).selectExpr("id % 3000 AS k", "id", "1 AS one")
+    cut = with_position(frame, ["k"], ["id"], "n", hot_rows=2, slices=5)
+    assert cut.count() == 12_000 and cut.where("n <> floor(id / 3000) + 1").count() == 0
+    assert hot_keys(frame, ["k"], 2).count() == 3000 and hot_keys(frame, ["k"], 4) is None
