@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lakesync.operators.extract import last_named
 from lakesync.operators.relational import asof_join
@@ -37,60 +35,59 @@ def bind_relations(
     return bound.withColumn(take[0], F.coalesce(F.col(take[0]), unknown))
 
 
-def _read_tuple(message: bytes, at: int) -> tuple[list[dict], int]:
-    count = struct.unpack_from(">H", message, at)[0]
-    at += 2
-    cells = []
-    for _ in range(count):
-        kind = chr(message[at])
-        at += 1
-        text = None
-        if kind == "t":
-            size = struct.unpack_from(">i", message, at)[0]
-            text = message[at + 4: at + 4 + size].decode("utf-8")
-            at += 4 + size
-        elif kind not in "nu":
-            raise ValueError(f"cell of kind {kind!r}")
-        cells.append({"kind": kind, "text": text})
-    return cells, at
+CELLS = "array<struct<kind:string,text:string>>"
 
 
-def _new_row(message: bytes) -> list[dict]:
-    """Cells of the row a change carries: the new one of an insert or update, the old one of a delete."""
-    tag, marker, at = chr(message[0]), chr(message[5]), 6
-    if tag == "U" and marker in "KO":
-        _, at = _read_tuple(message, at)
-        marker, at = chr(message[at]), at + 1
-    if marker not in ("KO" if tag == "D" else "N"):
-        raise ValueError(f"row mark {marker!r} in a {tag!r} message")
-    cells, at = _read_tuple(message, at)
-    if at != len(message):
-        raise ValueError("bytes left after the row")
-    return cells
+def _number(message: Column, at: Column, size: int) -> Column:
+    """Big-endian number in ``size`` bytes from a 1-based place on."""
+    return F.conv(F.hex(F.substr(message, at, F.lit(size))), 16, 10).cast("int")
 
 
-CELLS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("text", T.StringType())]))
+def _mark(message: Column, at: Column) -> Column:
+    return F.decode(F.substr(message, at, F.lit(1)), "UTF-8")
 
 
-@F.pandas_udf(CELLS)
-def read_cells(message: pd.Series) -> pd.Series:
-    return message.map(lambda m: _new_row(bytes(m)))
+def _tuple_at(message: Column, start: Column) -> Column:
+    """The cells of a row from a 1-based place on, and the place after it, in one walk over the cells."""
+    count = _number(message, start, 2)
+    steps = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
+
+    def step(state: Column, _: Column) -> Column:
+        kind = _mark(message, state["at"])
+        size = _number(message, state["at"] + 1, 4)
+        text = F.when(kind == "t", F.decode(F.substr(message, state["at"] + 5, size), "UTF-8"))
+        known = F.when(kind.isin("t", "n", "u"), kind).otherwise(F.raise_error(F.concat(F.lit("no such kind of cell: "), kind)).cast("string"))
+        after = state["at"] + F.when(kind == "t", size + 5).otherwise(F.lit(1))
+        return F.struct(after.alias("at"), F.concat(state["cells"], F.array(F.struct(known.alias("kind"), text.alias("text")))).alias("cells"))
+
+    first = F.struct((start + 2).cast("int").alias("at"), F.array().cast(CELLS).alias("cells"))
+    return F.aggregate(steps, first, step)
 
 
 def decode_messages(messages: DataFrame, message: str, keep: Sequence[str]) -> DataFrame:
     """Binary change messages to ``op``, ``relation_id`` and cells of kind t(ext), n(ull) or u(nchanged).
 
-    The head of a message is read by Spark; only the cells go through Python,
-    and only where a plan asks for them.  Transaction and relation messages
-    carry no row and are left out.
+    The cells are those of the row a change carries: the new one of an insert or update, the old one of a delete.
+    Transaction and relation messages carry no row and are left out.
     """
-    tag = F.decode(F.substring(F.col(message), 1, 1), "UTF-8")
+    body = F.col(message)
+    tag = _mark(body, F.lit(1))
     names = F.create_map(*(F.lit(v) for pair in OPERATIONS.items() for v in pair))
     unknown = F.raise_error(F.concat(F.lit("no such message type: "), tag)).cast("string")
-    relation = F.conv(F.hex(F.substring(F.col(message), 2, 4)), 16, 10).cast("bigint")
-    return messages.where(~tag.isin("B", "C", "R")).select(
-        *keep, F.coalesce(F.try_element_at(names, tag), unknown).alias("op"), relation.alias("relation_id"),
-        read_cells(message).alias("cells"),
+    # An update may carry the old row, or its key, before the new one.
+    has_old = (tag == "U") & _mark(body, F.lit(6)).isin("K", "O")
+    at = F.when(has_old, _tuple_at(body, F.lit(7))["at"]).otherwise(F.lit(6))
+    changes = messages.where(~tag.isin("B", "C", "R")).withColumn("__at", at)
+    changes = changes.withColumn("__mark", _mark(body, F.col("__at"))).withColumn("__row", _tuple_at(body, F.col("__at") + 1))
+    fits = F.when(tag == "D", F.col("__mark").isin("K", "O")).otherwise(F.col("__mark") == "N")
+    cells = (
+        F.when(~fits, F.raise_error(F.concat(F.lit("row mark "), "__mark", F.lit(" in a message of type "), tag)).cast(CELLS))
+        .when(F.col("__row")["at"] != F.length(body) + 1, F.raise_error(F.lit("bytes left after the row")).cast(CELLS))
+        .otherwise(F.col("__row")["cells"])
+    )
+    return changes.select(
+        *keep, F.coalesce(F.try_element_at(names, tag), unknown).alias("op"), _number(body, F.lit(2), 4).cast("bigint").alias("relation_id"),
+        cells.alias("cells"),
     )
 
 
@@ -112,26 +109,42 @@ def cdc_events(bound: DataFrame, columns: Mapping[str, str], keep: Sequence[str]
     return opened.select(*keep, *out)
 
 
-def apply_changes(
-    events: DataFrame, keys: Sequence[str], columns: Sequence[str], position: str, op: str = "op"
-) -> DataFrame:
-    """Current table from its change log: the last event per key, unchanged values from before.
-
-    A ``<column>_set`` flag that is false means the value was not sent.  A
-    deleted key disappears, and values from before a delete are not taken over.
-    One aggregation, combined before the shuffle, so a hot key costs no more
-    than any other.
-    """
+def fold_changes(events: DataFrame, keys: Sequence[str], columns: Sequence[str], position: str, op: str = "op") -> DataFrame:
+    """One row per key: the newest event, the newest delete, and the newest value sent of each column with its position."""
     at, dead = F.col(position), F.col(op) == "delete"
     folds = [F.max(at).alias("__at"), F.max_by(op, at).alias("__op"), F.max(F.when(dead, at)).alias("__dead")]
     for name in columns:
         sent = ~dead & F.col(f"{name}_set") if f"{name}_set" in events.columns else ~dead
         when = F.when(sent, at)
         folds += [F.max_by(F.col(name), when).alias(name), F.max(when).alias(f"__at_{name}")]
-    folded = events.groupBy(*keys).agg(*folds).where(F.col("__op") != "delete")
+    return events.groupBy(*keys).agg(*folds)
+
+
+def merge_folds(folds: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Folds of several parts of a log as one fold."""
+    merged = [F.max("__at").alias("__at"), F.max_by("__op", "__at").alias("__op"), F.max("__dead").alias("__dead")]
+    for name in columns:
+        merged += [F.max_by(name, f"__at_{name}").alias(name), F.max(f"__at_{name}").alias(f"__at_{name}")]
+    return folds.groupBy(*keys).agg(*merged)
+
+
+def current_rows(folded: DataFrame, keys: Sequence[str], columns: Sequence[str], position: str, op: str = "op") -> DataFrame:
+    """The table a folded log leaves: deleted keys are gone, and values from before a delete are not taken over."""
     alive = {
         name: F.when(F.col("__dead").isNull() | (F.col(f"__at_{name}") > F.col("__dead")), F.col(name))
         for name in columns
     }
-    return folded.select(*keys, F.col("__at").alias(position), F.col("__op").alias(op),
-                         *(value.alias(name) for name, value in alive.items()))
+    return folded.where(F.col("__op") != "delete").select(
+        *keys, F.col("__at").alias(position), F.col("__op").alias(op), *(value.alias(name) for name, value in alive.items()))
+
+
+def apply_changes(
+    events: DataFrame, keys: Sequence[str], columns: Sequence[str], position: str, op: str = "op"
+) -> DataFrame:
+    """Current table from its change log: the last event per key, unchanged values from before.
+
+    A ``<column>_set`` flag that is false means the value was not sent.  One
+    aggregation, combined before the shuffle, so a hot key costs no more than
+    any other.
+    """
+    return current_rows(fold_changes(events, keys, columns, position, op), keys, columns, position, op)
