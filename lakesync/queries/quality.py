@@ -79,21 +79,14 @@ def secret_leak_scan(spark, sf_dir):
     return hits.select("doc_id", F.array_join("found", ",").alias("found"))
 
 
-_ERROR_TEXT = """SELECT page_id, 'GET (' || url || '), failed: {"html": ' || length(html) || '}' AS e1,
-    'retry ' || url || ' Token=abc' || page_id || '&api_key=k' || page_id || ' end' AS e2 FROM pages"""
+# What must be left: the URL up to its query or fragment, no body, no values of secrets.
+_BASE = "split_part(split_part(url, '?', 1), '#', 1)"
 
 
-def _redacted_sql(name: str) -> str:
-    url = r"(https?://[^\s/?#][^\s?#]*)[?#](?:\S*[^\s:,)\]}])?([:,)\]}]*)"
-    step1 = rf"regexp_replace({name}, '{url}', '\1\2', 'g')"
-    step2 = rf"regexp_replace({step1}, ': \{{.*\}}$', ': [redacted]')"
-    return (
-        rf"regexp_replace({step2}, '(?i)(api[_-]?key|access[_-]?token|token|secret|password)=([^\s&]+)', "
-        rf"'\1=[redacted]', 'g')"
-    )
-
-
-@query("redact_text", f"SELECT page_id, {_redacted_sql('e1')} AS e1, {_redacted_sql('e2')} AS e2 FROM ({_ERROR_TEXT})")
+@query("redact_text", f"""
+    SELECT page_id, 'GET (' || {_BASE} || '), failed: [redacted]' AS e1,
+           'retry ' || {_BASE} || ' Token=[redacted]&api_key=[redacted] end' AS e2 FROM pages
+""")
 def redact_text_query(spark, sf_dir):
     size = F.length("html")
     pages = table(spark, sf_dir, "pages").select(
@@ -146,14 +139,10 @@ def mask_sensitive_columns(spark, sf_dir):
     return quality.mask_sensitive(customers)
 
 
-_CLASS = r"[\x00-\x08\x0B-\x1F\x7F-\x{9F}\x{200B}-\x{200D}\x{FEFF}\x{202A}-\x{202E}\x{2028}\x{2029}\x{2066}-\x{2069}]"
-_STRICT = _CLASS.replace(r"\x00-\x08\x0B-\x1F", r"\x00-\x1F")
-
-
-@query("clean_control_chars", f"""
-    WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN chr(7) || text || chr(8203) || chr(9) || chr(8238) || 'x' ELSE text END AS t FROM documents),
-         c AS (SELECT doc_id, t, regexp_replace(t, '{_CLASS}', '', 'g') AS clean_text FROM d)
-    SELECT doc_id, clean_text, clean_text <> t AS was_dirty, regexp_matches(t, '{_STRICT}') AS is_rejected FROM c
+@query("clean_control_chars", """
+    SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || chr(9) || 'x' ELSE text END AS clean_text, doc_id % 3 = 0 AS was_dirty,
+           doc_id % 3 = 0 OR contains(text, chr(9)) OR contains(text, chr(10)) AS is_rejected
+    FROM documents
 """)
 def clean_control_chars(spark, sf_dir):
     tail = F.lit(chr(0x200B) + "\t" + chr(0x202E) + "x")
