@@ -49,6 +49,14 @@ def read_landing_dir(spark: SparkSession, path: str, columns: Sequence[str]) ->
     return from_csv.unionByName(read_jsonl(spark, path, text, files=OTHER_FILES))
 
 
+def list_folder(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The Parquet tables ``<name>.parquet`` of a landing or warehouse folder by name; only schemas are read."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root)
+    names = sorted(f.getPath().getName() for f in files)
+    return {n.removesuffix(".parquet"): spark.read.parquet(f"{path}/{n}") for n in names if n.endswith(".parquet")}
+
+
 def read_limited(df: DataFrame, limit: int = DEFAULT_LIMIT, order: Sequence[str] = ()) -> DataFrame:
     """First rows of a table; give an order when the same rows must come back every time."""
     if limit <= 0:
