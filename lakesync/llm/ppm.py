@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from lakesync.llm.common import fold_of, materialise
 
 #: Bytes of the longest context.
-ORDER = 6
+ORDER = 5
 #: Grams, and words, that are broadcast at most, and the slots of their hash tables (2**SLOT_BITS).
 FREQUENT, SLOT_BITS = 1 << 19, 21
 #: Start mark and end mark: bytes that no UTF-8 text contains.
