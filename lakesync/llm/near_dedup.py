@@ -6,10 +6,10 @@ one child per function, named after the set's minwise value there.  A pair of li
 chance s, and so in some leaf of a tree with chance p = 1 - (1 - s p)^2, which is 0.9375 for s = 0.8 however deep the tree;
 ``TREES`` independent trees miss a pair at the threshold with a chance below 2 in 100,000, nearer pairs with far less.
 
-Nodes of up to ``NODE`` sets are compared exhaustively, on 128 one-bit minwise hashes; larger nodes are compared with
-``NODE`` neighbours each and then branched again, as long as they hold sets of different components.  A group of any number
-of copies becomes one component that way after its first comparisons, and none of its nodes is branched again.  Whatever
-passes is confirmed on the full shingle sets.
+Nodes of up to ``NODE`` sets are compared exhaustively, on 128 one-bit minwise hashes.  In larger nodes each set is compared
+with ``NODE`` others first, so that a group of any number of copies becomes one component.  Then, if at most ``NODE`` sets of
+a node are outside its largest component, those are compared with all others, which settles the node; else it is branched
+again.  Whatever passes is confirmed on the full shingle sets.
 
 Data flow: texts are read where they lie and never shuffled as a whole.  Paths are narrow rows; the sets that pairs are
 confirmed on are computed for the rows of a bounded bit map only.
@@ -43,7 +43,7 @@ BITS, MIN_AGREEING = 128, 98
 #: Size of the bit map of ids whose sets are computed for confirmation.
 MAP_BITS = 1 << 25
 #: Words whose hashes a task keeps.
-KEPT = 1_000_000
+KEPT = 200_000
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -286,45 +286,50 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
     found = materialise(compare_nodes(first_paths(reps), percent), "near-compared")
     pairs = found.filter("kind < 2").groupBy("a", "b").agg(F.min("kind").alias("kind"))
-    of = materialise(components(confirm(pairs.filter("kind = 0"), docs, words, percent)), "near-components")
+    checked = pairs.filter("kind = 0").select("a", "b")
+    of = materialise(components(confirm(checked, docs, words, percent)), "near-components")
     rest, depth = pairs.filter("kind = 1"), FIRST_DEPTH
     while True:
-        rest = materialise(_between(rest.select("a", "b").distinct(), of).select("a", "b"), "near-rest")
+        fresh = rest.select("a", "b").distinct().join(checked, ["a", "b"], "left_anti")
+        rest = materialise(_between(fresh, of).select("a", "b"), "near-rest")
         if not rest.isEmpty():
             of = _merged(of, confirm(rest, docs, words, percent))
+            checked = checked.union(rest)
         large = found.filter("kind = 2").select("node", "state", F.col("a").alias("rep")).distinct()
         named = large.join(of.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        apart = named.groupBy("node").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("node")
-        rows = materialise(large.join(apart, "node", "left_semi"), "near-large")
+        shares = named.groupBy("node", "component").agg(F.count(F.lit(1)).alias("rows"))
+        nodes = shares.groupBy("node").agg(F.sum("rows").alias("rows"), F.max("rows").alias("most"), F.max_by("component", "rows").alias("main"))
+        nodes = materialise(nodes.filter("rows > most").select("node", "main", (F.col("rows") - F.col("most")).alias("others")), "near-nodes")
+        rows = materialise(named.join(nodes, "node").join(reps, "rep"), "near-large")
         depth += 1
+        last = depth > COORDINATES - BRANCHES
+        settled = _settled(rows if last else rows.filter(F.col("others") <= NODE), percent)
+        left = rows.filter(F.lit(not last) & (F.col("others") > NODE))
         if rows.isEmpty():
             break
-        if depth > COORDINATES - BRANCHES:
-            of = _merged(of, confirm(_all_pairs_in_blocks(rows, reps, of), docs, words, percent))
-            break
-        paths = next_paths(rows.join(reps, "rep"))
-        found = materialise(compare_nodes(paths, percent), "near-compared")
-        rest = found.filter("kind < 2")
+        found = materialise(compare_nodes(next_paths(left), percent), "near-compared")
+        rest = settled.union(found.filter("kind < 2").select("a", "b"))
     reached = members.select("doc_id", "n_shingles", "rep").join(of.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     alone = every.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return reached.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _all_pairs_in_blocks(rows: DataFrame, reps: DataFrame, of: DataFrame) -> DataFrame:
-    """The exact way for nodes that are still large when all functions of a tree are used: every set against every other of
-    its node in another component, by blocks of 256 sets, with the sketch as a filter."""
-    named = rows.select("node", "rep").distinct().join(reps.drop("least"), "rep").join(
-        of.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    blocks = named.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / 256).cast("int").alias("blocks"))
-    dealt = named.join(blocks, "node").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y")
-    left = dealt.select("node", F.col("block").alias("x"), other, *(F.col(c).alias(f"{c}1") for c in ("rep", "b1", "b2", "component")))
-    right = dealt.select("node", F.col("block").alias("y"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"),
-                         *(F.col(c).alias(f"{c}2") for c in ("rep", "b1", "b2", "component")))
-    agreeing = BITS - F.bit_count(F.col("b11").bitwiseXOR(F.col("b12"))) - F.bit_count(F.col("b21").bitwiseXOR(F.col("b22")))
-    return left.join(right, ["node", "x", "y"]).filter("component1 <> component2 and rep1 < rep2").filter(agreeing >= MIN_AGREEING).select(
-        F.col("rep1").alias("a"), F.col("rep2").alias("b"))
+def _settled(rows: DataFrame, percent: int) -> DataFrame:
+    """The likely pairs (a, b) of nodes between their sets outside the largest component and all sets of other components.
+
+    ``rows`` are paths with component, the node's main component, and the sketches.  Every row meets the node's few others; in
+    a node that is still large when all functions of its tree are used there may be more of them, and it is settled all the same.
+    """
+    columns = ("rep", "component", "n", "b1", "b2")
+    others = rows.filter("component <> main").select("node", *(F.col(c).alias(f"o_{c}") for c in columns))
+    differing = F.bit_count(F.col("b1").bitwiseXOR(F.col("o_b1"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("o_b2")))
+    likely = (
+        (F.col("component") != F.col("o_component")) & (F.least("n", "o_n") * 100 >= F.greatest("n", "o_n") * percent)
+        & (BITS - differing >= MIN_AGREEING)
+    )
+    met = rows.select("node", *columns).join(others.withColumnRenamed("node", "o_node"), (F.col("node") == F.col("o_node")) & likely)
+    return met.select(F.least("rep", "o_rep").alias("a"), F.greatest("rep", "o_rep").alias("b")).distinct()
 
 
 def op2_near_dedup(spark, sf_dir: str) -> DataFrame:
