@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 
@@ -28,18 +29,27 @@ HEADLINE = (
     "infer_types", "validate_rows_against_schema", "join_inner_agg", "join_asof", "join_range", "agg_rollup", "win_frame",
     "score_weighted", "score_validate", "dup_keys", "redact_text", "clean_control_chars", "plan_hash", "action_dedupe",
     "batch_assign", "cdc_events", "cdc_apply", "run_ledger_upsert", "token_estimate", "latest_order_totals",
+    "route_requests", "set_except",
 )
 RUN_AT = "2024-02-01T00:00:00.000000Z"
 
 
-def sync_lineitem(spark, sf_dir: str, mode: str) -> tuple[float, int]:
-    """One whole sync run over ``lineitem``: land raw history, publish the final table, commit."""
+RUN_2_AT = "2024-02-02T00:00:00.000000Z"
+#: Rows from this day on, about one in a hundred, are left for the second run.
+DELTA_FROM = "2001-10-11"
+
+
+def sync_lineitem(spark, sf_dir: str, mode: str) -> tuple[float, int, float]:
+    """One whole sync run over ``lineitem`` (land raw history, publish the final table, commit), and a second one that
+    reads the whole source again and finds a small delta behind the stored cursor."""
     source = table(spark, sf_dir, "lineitem")
     spec = StreamSpec("lineitem", ("l_orderkey", "l_linenumber"), "l_shipdate")
     store = TableStore(spark, fresh_dir(spark, "store"))
     start = time.perf_counter()
-    result = run_sync(store, source, spec, mode, "run1", RUN_AT)
-    return time.perf_counter() - start, result.records_read
+    result = run_sync(store, source.where(source.l_shipdate < DELTA_FROM), spec, mode, "run1", RUN_AT)
+    first = time.perf_counter()
+    run_sync(store, source, spec, mode, "run2", RUN_2_AT)
+    return first - start, result.records_read, time.perf_counter() - first
 
 
 def timed(spark, run, sf_dir: str) -> float:
@@ -51,8 +61,9 @@ def timed(spark, run, sf_dir: str) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
+    shared = tempfile.mkdtemp(prefix="bench-")  # one machine: driver and tasks share it
     spark = build_session(
-        "bench", f"local[{cpus}]", **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "12g",
+        "bench", f"local[{cpus}]", **{"spark.checkpoint.dir": shared, "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "12g",
            "spark.sql.files.openCostInBytes": "1m"}
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -64,8 +75,10 @@ def main() -> None:
     rates = {}
     for mode in ("full_refresh_append", "full_refresh_overwrite_deduped", "incremental_append_deduped"):
         sync_lineitem(spark, sf_dir, mode)
-        took, records = sync_lineitem(spark, sf_dir, mode)
+        took, records, second = sync_lineitem(spark, sf_dir, mode)
         seconds[f"sync_lineitem_{mode}"] = round(took, 3)
+        if mode.startswith("incremental"):
+            seconds[f"sync_lineitem_{mode}_second_run"] = round(second, 3)
         rates[mode] = round(records / took, 1)
         print(f"sync_lineitem_{mode}: {took:.3f}", file=sys.stderr)
     print(json.dumps({
