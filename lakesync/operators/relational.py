@@ -53,7 +53,7 @@ def range_counts(points: DataFrame, ranges: DataFrame, at: str, low: str, high:
     both = ends.select("__x", F.lit(0).alias("__side"), F.lit(0).cast("bigint").alias("__n")).unionByName(
         marks.select("__x", F.lit(1).alias("__side"), "__n")
     ).withColumn("__all", F.lit(0))
-    counted = with_running_total(both, ["__all"], ["__x", "__side"], {"__below": F.col("__n")}, hot_rows=0)
+    counted = with_running_total(both, ["__all"], ["__x", "__side"], {"__below": F.col("__n")}, all_hot=True)
     below = counted.where(F.col("__side") == 0).select("__x", "__below")
     lower = below.select(F.col("__x").alias("__l"), F.col("__below").alias("__b_low"))
     upper = below.select(F.col("__x").alias("__h"), F.col("__below").alias("__b_high"))
