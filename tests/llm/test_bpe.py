@@ -7,6 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from lakesync.llm import bpe
+from hard_rows import hard, nothing  # noqa: F401
 
 
 @pytest.fixture(scope="module")

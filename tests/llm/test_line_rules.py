@@ -1,6 +1,7 @@
 from collections import Counter
 
 from lakesync.llm import line_rules
+from hard_rows import hard, nothing  # noqa: F401
 
 
 def test_hard_rows(hard, nothing):

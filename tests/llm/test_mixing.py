@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lakesync.llm import mixing
 from lakesync.llm.common import hash_key, materialise, running_totals
+from hard_rows import hard, nothing  # noqa: F401
 
 
 def filled(sizes, weights=(1, 2, 3), times=3):

@@ -5,6 +5,7 @@ import pytest
 
 from lakesync.llm import near_dedup
 from lakesync.llm.links import components
+from hard_rows import hard, nothing  # noqa: F401
 
 
 def by_hand(rows, words, percent=80):

@@ -1,6 +1,7 @@
 import hashlib
 
 from lakesync.llm import order_minhash
+from hard_rows import hard, nothing  # noqa: F401
 
 
 def test_neighbours_and_edited_texts(spark):

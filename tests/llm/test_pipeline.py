@@ -4,6 +4,7 @@ import corpus_pipeline
 from lakesync.llm import bpe, queries
 from lakesync.llm.common import materialise
 from lakesync.workspace import fresh_dir
+from hard_rows import hard, nothing  # noqa: F401
 
 SMALL = "/root/testdata/sf0.001"
 

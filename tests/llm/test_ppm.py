@@ -7,6 +7,7 @@ import pytest
 
 from lakesync.llm import ppm
 from lakesync.llm.common import fold_of
+from hard_rows import hard, nothing  # noqa: F401
 
 
 def by_hand(rows):

@@ -4,6 +4,7 @@ from collections import Counter
 
 from lakesync.llm import sharding
 from lakesync.workspace import fresh_dir
+from hard_rows import hard, nothing  # noqa: F401
 
 
 def cost_by_search(supply, demand, cost):

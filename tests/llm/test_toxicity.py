@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 
 from lakesync.llm import toxicity
+from hard_rows import hard, nothing  # noqa: F401
 
 
 def test_margins_equal_all_pairs():

@@ -6,6 +6,7 @@ import pytest
 
 from lakesync.llm import transcripts
 from lakesync.llm.transcripts import STATES, Model, marker
+from hard_rows import nothing  # noqa: F401
 
 
 def test_markers():
