@@ -6,10 +6,11 @@ one child per function, named after the set's minwise value there.  A pair of li
 chance s, and so in some leaf of a tree with chance p = 1 - (1 - s p)^2, which is 0.9375 for s = 0.8 however deep the tree;
 ``TREES`` independent trees miss a pair at the threshold with a chance below 2 in 100,000, nearer pairs with far less.
 
-Nodes of up to ``NODE`` sets are compared exhaustively, on 128 one-bit minwise hashes.  In larger nodes each set is compared
+Nodes of up to ``NODE`` sets are compared exhaustively, on 512 one-bit minwise hashes.  In larger nodes each set is compared
 with ``NODE`` others first, so that a group of any number of copies becomes one component.  Then, if at most ``NODE`` sets of
 a node are outside its largest component, those are compared with all others, which settles the node; else it is branched
-again.  Whatever passes is confirmed on the full shingle sets.
+again.  Once that comparison costs no more than ``LOOKS`` looks at each set of the corpus for all nodes together, all are
+settled.  What the sketches let pass is confirmed on the full shingle sets.
 
 Data flow: texts are read where they lie and never shuffled as a whole.  Paths are narrow rows; the sets that pairs are
 confirmed on are computed for the rows of a bounded bit map only.
@@ -38,8 +39,12 @@ WORDS, PERCENT = 5, 80
 TREES, COORDINATES, BRANCHES, FIRST_DEPTH = 4, 16, 2, 2
 #: Sets that are compared with each other at most, in a node.
 NODE = 64
-#: Bits of a sketch, and how many of them must agree: 115 do at a likeness of 0.8, with a deviation of 3.4.
-BITS, MIN_AGREEING = 128, 98
+LOOKS = 256
+#: Sets that a task holds while the other sets of their node pass by.
+BLOCK = 256
+#: Bits of a sketch, and how many of them must agree: 461 do at a likeness of 0.8, with a deviation of 6.8.
+BITS, MIN_AGREEING = 512, 426
+SKETCH = [f"b{k}" for k in range(BITS // 64)]
 #: Size of the bit map of ids whose sets are computed for confirmation.
 MAP_BITS = 1 << 25
 #: Words whose hashes a task keeps.
@@ -54,7 +59,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_SEEDS = mixed(np.arange(1, BITS + 1, dtype=np.uint64) * _M1) | np.uint64(1)
+_SEEDS, _FACTORS = (mixed(np.arange(1, BITS + 1, dtype=np.uint64) * m).astype(np.uint32) | np.uint32(1) for m in (_M1, _M2))
 
 
 class WordHashes(dict):
@@ -79,36 +84,39 @@ def shingle_set(text: str | None, words: int, hashes: WordHashes) -> np.ndarray:
 
 
 def minwise(shingles: np.ndarray) -> np.ndarray:
-    """The BITS minwise values of a set."""
-    least = np.full(BITS, np.iinfo(np.uint64).max)
-    for at in range(0, len(shingles), 4096):
-        part = shingles[at: at + 4096]
-        least = np.minimum(least, ((part[None, :] ^ _SEEDS[:, None]) * _SEEDS[:, None]).min(1))
-    return mixed(least)
+    """The BITS minwise values of a set, of 32 bits each."""
+    least = np.full(BITS, np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(shingles), 1024):
+        part = (shingles[at: at + 1024] >> np.uint64(32)).astype(np.uint32)
+        placed = (part[None, :] ^ _SEEDS[:, None]) * _FACTORS[:, None]
+        placed ^= placed >> np.uint32(15)
+        placed *= np.uint32(0x2C1B3C6D)
+        least = np.minimum(least, placed.min(1))
+    return least
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the set, two longs of sketch bits, and the minwise values that trees choose from."""
+    """doc_id, n_shingles, two hashes of the set, longs of sketch bits, and the minwise values that trees choose from."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             sizes, bits, values, names = [], [], [], []
             for text in batch.column("text"):
                 found = shingle_set(text.as_py(), words, hashes)
-                least = minwise(found) if len(found) else np.zeros(BITS, np.uint64)
+                least = minwise(found)
                 raw = found.tobytes()
                 sizes.append(len(found))
                 names.append((xxhash.xxh3_64_intdigest(raw), xxhash.xxh64_intdigest(raw)))
-                bits.append(np.packbits((least & np.uint64(1)).astype(np.uint8)).view(np.int64))
-                values.append((least[: TREES * COORDINATES] >> np.uint64(32)).astype("<u4").tobytes())
+                bits.append(np.packbits((mixed(least.astype(np.uint64)) & np.uint64(1)).astype(np.uint8)).view(np.int64))
+                values.append(least[: TREES * COORDINATES].astype("<u4").tobytes())
             names = np.array(names, np.uint64).reshape(-1, 2).view(np.int64)
-            bits = np.array(bits, np.int64).reshape(-1, 2)
+            bits = np.array(bits, np.int64).reshape(-1, len(SKETCH))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(names[:, 0]), pa.array(names[:, 1]),
-                 pa.array(bits[:, 0]), pa.array(bits[:, 1]), pa.array(values, pa.binary())],
-                ["doc_id", "n_shingles", "h1", "h2", "b1", "b2", "least"])
+                 pa.array(values, pa.binary()), *(pa.array(bits[:, k].copy()) for k in range(len(SKETCH)))],
+                ["doc_id", "n_shingles", "h1", "h2", "least", *SKETCH])
 
-    schema = "doc_id long, n_shingles long, h1 long, h2 long, b1 long, b2 long, least binary"
+    schema = "doc_id long, n_shingles long, h1 long, h2 long, least binary, " + ", ".join(f"{b} long" for b in SKETCH)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
@@ -125,12 +133,13 @@ def branch(node: np.ndarray, used: np.ndarray, tree: np.ndarray, least: np.ndarr
         yield mixed(mixed(node + (c.astype(np.uint64) + np.uint64(1)) * _M1) ^ value), used | (1 << c)
 
 
-_PATH = "node long, state int, rep long, n long, b1 long, b2 long"
+_SET = ["rep", "n", *SKETCH]
+_PATH = "node long, state int, " + ", ".join(f"{c} long" for c in _SET)
 
 
 def _rows_of(node, used, tree, columns) -> pa.RecordBatch:
     state = (tree.astype(np.int64) << COORDINATES | used).astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(state), *columns], ["node", "state", "rep", "n", "b1", "b2"])
+    return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(state), *columns], ["node", "state", *_SET])
 
 
 def first_paths(reps: DataFrame) -> DataFrame:
@@ -138,7 +147,7 @@ def first_paths(reps: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in filter(len, batches):
             least = np.frombuffer(b"".join(batch.column("least").to_pylist()), "<u4").reshape(len(batch), -1)
-            columns = [batch.column(c) for c in ("rep", "n", "b1", "b2")]
+            columns = [batch.column(c) for c in _SET]
             for t in range(TREES):
                 tree = np.full(len(batch), t)
                 level = [(np.full(len(batch), mixed(np.array([t + 1], np.uint64))[0]), np.zeros(len(batch), np.int64))]
@@ -147,7 +156,7 @@ def first_paths(reps: DataFrame) -> DataFrame:
                 for node, used in level:
                     yield _rows_of(node, used, tree, columns)
 
-    return reps.select("rep", "n", "b1", "b2", "least").mapInArrow(run, _PATH)
+    return reps.select(*_SET, "least").mapInArrow(run, _PATH)
 
 
 def next_paths(rows: DataFrame) -> DataFrame:
@@ -159,26 +168,26 @@ def next_paths(rows: DataFrame) -> DataFrame:
             state = batch.column("state").to_numpy().astype(np.int64)
             tree, used = state >> COORDINATES, state & ((1 << COORDINATES) - 1)
             for child, now in branch(node, used, tree, least):
-                yield _rows_of(child, now, tree, [batch.column(c) for c in ("rep", "n", "b1", "b2")])
+                yield _rows_of(child, now, tree, [batch.column(c) for c in _SET])
 
-    return rows.select("node", "state", "rep", "n", "b1", "b2", "least").mapInArrow(run, _PATH)
+    return rows.select("node", "state", *_SET, "least").mapInArrow(run, _PATH)
 
 
 def compare_nodes(paths: DataFrame, percent: int) -> DataFrame:
     """Compare the sets of each node; rows (kind, a, b, node, state).
 
-    kind 0: a likely pair, the smallest partner of ``b`` in the node; kind 1: another likely pair; kind 2: ``a`` belongs to a
+    kind 0: a likely pair, the likeliest earlier partner of ``b``; kind 1: another likely pair; kind 2: ``a`` belongs to a
     node of more than NODE sets.  Rows arrive sorted by node and set.  Each is compared with the NODE rows before it, so a
     task holds a batch and NODE more rows at a time, however large the node is.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
         for batch in filter(len, batches):
-            new = [batch.column(c).to_numpy() for c in ("node", "state", "rep", "n", "b1", "b2")]
+            new = [batch.column(c).to_numpy() for c in ("node", "state", *_SET)]
             old = 0 if kept is None else len(kept[0])
             now = new if kept is None else [np.concatenate(x) for x in zip(kept, new)]
-            node, state, rep, n, b1, b2 = now
-            left, right, back = [], [], []
+            node, state, rep, n, *bits = now
+            left, right, unlike, back = [], [], [], []
             for k in range(1, min(NODE, len(node) - 1) + 1):
                 # The row k places ahead, for those that are new in this batch.
                 i = np.flatnonzero(node[max(old - k, 0): len(node) - k] == node[max(old - k, 0) + k:]) + max(old - k, 0)
@@ -187,12 +196,13 @@ def compare_nodes(paths: DataFrame, percent: int) -> DataFrame:
                 back.append(i + k if k == NODE else i[:0])
                 small, large = np.minimum(n[i], n[i + k]), np.maximum(n[i], n[i + k])
                 i = i[(small * 100 >= large * percent) & (rep[i] != rep[i + k])]
-                differing = sum(np.bitwise_count((b[i] ^ b[i + k]).view(np.uint64)).astype(int) for b in (b1, b2))
-                i = i[BITS - differing >= MIN_AGREEING]
-                left.append(i)
-                right.append(i + k)
-            i, j = (np.concatenate(x) if x else np.zeros(0, int) for x in (left, right))
-            order = np.lexsort((i, j))
+                differing = sum(np.bitwise_count((b[i] ^ b[i + k]).view(np.uint64)).astype(int) for b in bits)
+                likely = BITS - differing >= MIN_AGREEING
+                left.append(i[likely])
+                right.append(i[likely] + k)
+                unlike.append(differing[likely])
+            i, j, unlike = (np.concatenate(x) if x else np.zeros(0, int) for x in (left, right, unlike))
+            order = np.lexsort((i, unlike, j))
             i, j = i[order], j[order]
             kind = np.concatenate([[0], (j[1:] == j[:-1]).astype(int)])[: len(j)]
             beyond = np.concatenate(back) if back else np.zeros(0, int)
@@ -223,10 +233,8 @@ def _bit_map(ids: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the likeness."""
-    pairs = materialise(pairs.select("a", "b").distinct(), "near-pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
+def _sets_of(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(id, shingles) of the documents with these ids, and of a few others: texts are read where they lie."""
     marked = docs.sparkSession.sparkContext.broadcast(_bit_map(ids.distinct()))
 
     @F.pandas_udf("boolean")
@@ -240,6 +248,14 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
             found = [shingle_set(t.as_py(), words, hashes).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], ["id", "shingles"])
 
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter("id is not null")
+    return texts.filter(wanted(F.pmod(F.xxhash64("id"), F.lit(MAP_BITS)))).mapInArrow(sets, "id long, shingles binary")
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets reach the likeness."""
+    pairs = materialise(pairs.select("a", "b").distinct(), "near-pairs")
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -249,8 +265,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter("id is not null")
-    of = texts.filter(wanted(F.pmod(F.xxhash64("id"), F.lit(MAP_BITS)))).mapInArrow(sets, "id long, shingles binary")
+    of = _sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), docs, words)
     both = pairs.join(of.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(
         of.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     return materialise(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct(), "near-links")
@@ -281,9 +296,10 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     filled = every.filter("n_shingles > 0 and doc_id is not null")
     copies = filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     members = filled.join(copies, ["h1", "h2"])
-    reps = materialise(members.filter("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), "b1", "b2", "least").dropDuplicates(
-        ["rep", "n", "b1", "b2"]), "near-sets")
+    reps = materialise(members.filter("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), *SKETCH, "least").dropDuplicates(
+        _SET), "near-sets")
 
+    sets = reps.count()
     found = materialise(compare_nodes(first_paths(reps), percent), "near-compared")
     pairs = found.filter("kind < 2").groupBy("a", "b").agg(F.min("kind").alias("kind"))
     checked = pairs.filter("kind = 0").select("a", "b")
@@ -299,37 +315,67 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         named = large.join(of.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         shares = named.groupBy("node", "component").agg(F.count(F.lit(1)).alias("rows"))
         nodes = shares.groupBy("node").agg(F.sum("rows").alias("rows"), F.max("rows").alias("most"), F.max_by("component", "rows").alias("main"))
-        nodes = materialise(nodes.filter("rows > most").select("node", "main", (F.col("rows") - F.col("most")).alias("others")), "near-nodes")
-        rows = materialise(named.join(nodes, "node").join(reps, "rep"), "near-large")
+        nodes = nodes.filter("rows > most").select("node", "main", "rows", (F.col("rows") - F.col("most")).alias("others"))
+        nodes = materialise(nodes, "near-nodes")
+        looks = nodes.agg(F.sum(F.col("rows").cast("double") * F.col("others"))).first()[0] or 0
+        rows = materialise(named.join(nodes.drop("rows"), "node").join(reps, "rep"), "near-large")
         depth += 1
-        last = depth > COORDINATES - BRANCHES
-        settled = _settled(rows if last else rows.filter(F.col("others") <= NODE), percent)
-        left = rows.filter(F.lit(not last) & (F.col("others") > NODE))
+        last = depth > COORDINATES - BRANCHES or looks <= LOOKS * sets
         if rows.isEmpty():
             break
-        found = materialise(compare_nodes(next_paths(left), percent), "near-compared")
-        rest = settled.union(found.filter("kind < 2").select("a", "b"))
+        of = _merged(of, _settled(rows if last else rows.filter(F.col("others") <= NODE), docs, words, percent))
+        if last:
+            break
+        found = materialise(compare_nodes(next_paths(rows.filter(F.col("others") > NODE)), percent), "near-compared")
+        rest = found.filter("kind < 2")
     reached = members.select("doc_id", "n_shingles", "rep").join(of.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     alone = every.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return reached.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _settled(rows: DataFrame, percent: int) -> DataFrame:
-    """The likely pairs (a, b) of nodes between their sets outside the largest component and all sets of other components.
+def _settled(rows: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The links (a, b) in nodes between sets outside the largest component and sets of other components.
 
-    ``rows`` are paths with component, the node's main component, and the sketches.  Every row meets the node's few others; in
-    a node that is still large when all functions of its tree are used there may be more of them, and it is settled all the same.
+    ``rows``: node, rep, component, the node's main component and the number of others.  The others of a node come first, in
+    blocks of ``BLOCK`` at most, and stay in memory while all sets of the node pass by and are compared on full sets.  So a
+    set travels once per node and block, no pair is a row, and only links come out.
     """
-    columns = ("rep", "component", "n", "b1", "b2")
-    others = rows.filter("component <> main").select("node", *(F.col(c).alias(f"o_{c}") for c in columns))
-    differing = F.bit_count(F.col("b1").bitwiseXOR(F.col("o_b1"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("o_b2")))
-    likely = (
-        (F.col("component") != F.col("o_component")) & (F.least("n", "o_n") * 100 >= F.greatest("n", "o_n") * percent)
-        & (BITS - differing >= MIN_AGREEING)
-    )
-    met = rows.select("node", *columns).join(others.withColumnRenamed("node", "o_node"), (F.col("node") == F.col("o_node")) & likely)
-    return met.select(F.least("rep", "o_rep").alias("a"), F.greatest("rep", "o_rep").alias("b")).distinct()
+    rows = rows.select("node", "rep", "component", "main", F.ceil(F.col("others") / BLOCK).cast("int").alias("blocks"))
+    sets = _sets_of(rows.select(F.col("rep").alias("id")), docs, words).select(F.col("id").alias("rep"), "shingles")
+    held = rows.filter("component <> main").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("side", F.lit(0))
+    passing = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(1))
+    columns = ["node", "block", "side", "rep", "component"]
+    dealt = held.select(*columns).union(passing.select(*columns)).join(sets, "rep").select(*columns, "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, reps, comps, parts, ready = None, [], [], [], None
+        for batch in batches:
+            a, b = [], []
+            for node, block, side, rep, comp, raw in zip(*(batch.column(c).to_pylist() for c in (*columns, "shingles"))):
+                if (node, block) != at:
+                    at, reps, comps, parts, ready = (node, block), [], [], [], None
+                found = np.frombuffer(raw, np.uint64)
+                if side == 0:
+                    reps.append(rep)
+                    comps.append(comp)
+                    parts.append(found)
+                    continue
+                if ready is None and parts:
+                    sizes = np.array([len(p) for p in parts])
+                    ready = (np.concatenate(parts), np.repeat(np.arange(len(parts)), sizes), sizes, np.array(reps), np.array(comps))
+                if ready is None:
+                    continue
+                every, of, sizes, ids, own = ready
+                place = np.minimum(np.searchsorted(found, every), len(found) - 1)
+                common = np.bincount(of[found[place] == every], minlength=len(sizes))
+                near = (100 * common >= percent * (sizes + len(found) - common)) & (own != comp)
+                a += np.minimum(ids[near], rep).tolist()
+                b += np.maximum(ids[near], rep).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    ordered = dealt.repartition("node", "block").sortWithinPartitions("node", "block", "side", "rep")
+    return materialise(ordered.mapInArrow(run, "a long, b long").distinct(), "near-links")
 
 
 def op2_near_dedup(spark, sf_dir: str) -> DataFrame:
