@@ -176,7 +176,7 @@ def next_paths(rows: DataFrame) -> DataFrame:
 def compare_nodes(paths: DataFrame, percent: int) -> DataFrame:
     """Compare the sets of each node; rows (kind, a, b, node, state).
 
-    kind 0: a likely pair, the likeliest earlier partner of ``b``; kind 1: another likely pair; kind 2: ``a`` belongs to a
+    kind 0: a likely pair, the likeliest earlier partner of ``b``; kind 1: another likely pair of a small node; kind 2: ``a`` belongs to a
     node of more than NODE sets.  Rows arrive sorted by node and set.  Each is compared with the NODE rows before it, so a
     task holds a batch and NODE more rows at a time, however large the node is.
     """
@@ -210,6 +210,9 @@ def compare_nodes(paths: DataFrame, percent: int) -> DataFrame:
             starts = beyond[node[beyond - NODE - 1] != node[beyond]] if len(beyond) else beyond
             starts = np.union1d(starts, beyond[beyond == NODE]) if len(beyond) else beyond
             large = np.unique(np.concatenate([beyond, *(starts - m for m in range(1, NODE + 1))])) if len(beyond) else beyond
+            # Large nodes are settled or branched later, so one likely partner of each of their sets is enough here.
+            needed = (kind == 0) | ~np.isin(j, large)
+            i, j, kind = i[needed], j[needed], kind[needed]
             none = np.zeros(len(i), np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([kind, np.full(len(large), 2)]).astype(np.int32)), pa.array(np.concatenate([rep[i], rep[large]])),
