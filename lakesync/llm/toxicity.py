@@ -9,9 +9,9 @@ over its terms, so that pairs of terms count that say more together than each by
 
 1. A sample of at most ``MAX_ROWS`` training documents of each label is drawn, those with the smallest hash of their id.
    It is bounded whatever the size of the corpus, so its ids are broadcast and texts are never shuffled.
-2. The sample's terms are counted by label, in Spark.  The ``MAX_TERMS`` terms that tell the labels apart best (largest z
-   value of the log odds ratio) enter the model, which is fitted on the driver to the sample's terms of the model.
-3. All texts are scored in Arrow batches against the fitted weights (at most ``MAX_TERMS`` x (``FACTORS`` + 1) numbers).
+2. The sample's terms are counted in Spark.  Those of ``MIN_DOCS`` documents enter the model, whatever each of them tells by
+   itself: a pair may tell what its terms do not.  The machine is fitted on the driver; weights that earn nothing go to zero.
+3. All texts are scored in Arrow batches against the fitted weights (at most ``2**HASH_BITS`` x (``FACTORS`` + 1) numbers).
 
 Label, language, source and id are no inputs of a score.
 
@@ -26,6 +26,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -36,12 +37,10 @@ from pyspark.sql import functions as F
 from lakesync.llm.common import fold_of, materialise
 
 HASH_BITS = 24
-#: Terms of the model.
-MAX_TERMS = 4096
 #: Documents of each label that the machine is fitted on.
 MAX_ROWS = 20_000
-#: A term enters the model from this z value of its log odds ratio on, and from so many documents on.
-MIN_Z, MIN_DOCS = 3.5, 4
+#: A term enters the model from so many documents of the sample on.
+MIN_DOCS = 4
 #: Lengths of the word beginnings that are terms, and the counts that are told apart.
 BEGINNINGS = (4, 5, 6, 7, 8)
 LEVELS = (1, 2, 3)
@@ -49,55 +48,72 @@ FACTORS = 4
 EPOCHS = 25
 BATCH = 128
 RATE, DECAY = 0.1, 1e-4
+#: Where AdaGrad's sums of weights and of factors start, so that the many terms of a text do not overshoot together.
+FIRST_W, FIRST_V = 1e-4, 0.3
+#: Pull of weights to zero.
+SPARSE = 2e-3
 THRESHOLD = 0.7
 HELD_OUT_PARTS, HELD_OUT = 3, 1
 #: Words whose stems a task keeps.
 KEPT = 200_000
+#: Texts whose terms are found together.
+TOGETHER = 128
 
 _WORD = re.compile(r"[^\W\d_]+")
 _MASK = (1 << HASH_BITS) - 1
 
 
-def term(stem: int, level: int) -> int:
+def term(stem: np.ndarray, level: int) -> np.ndarray:
     return (stem + level * 0x9E3779) & _MASK
 
 
 class Terms(dict):
-    """Maps a word to the hashes of its stems and keeps what it has seen; with ``known``, only stems of those terms."""
+    """Maps a word to the hashes of its stems and keeps what it has seen; with ``known`` terms, only stems of those."""
 
-    def __init__(self, known: dict[int, int] | None = None) -> None:
+    def __init__(self, known: bytes | None = None) -> None:
         super().__init__()
-        self.known = known
+        self.number = None
+        if known is not None:
+            terms = np.frombuffer(known, "<i4")
+            self.number = np.full(_MASK + 1, -1, np.int32)
+            self.number[terms] = np.arange(len(terms), dtype=np.int32)
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= KEPT:
             self.clear()
         stems = [word + "$", *(word[:n] for n in BEGINNINGS if len(word) >= n)]
         found = tuple(zlib.crc32(x.encode()) & _MASK for x in stems)
-        if self.known is not None:
-            found = tuple(x for x in found if any(term(x, level) in self.known for level in LEVELS))
+        if self.number is not None:
+            found = tuple(x for x in found if any(self.number[term(x, level)] >= 0 for level in LEVELS))
         self[word] = found
         return found
 
-    def of(self, text: str | None) -> list[int]:
-        """The sorted terms of a text; their numbers in the model if there is one."""
-        counts: Counter[int] = Counter()
-        for word, n in Counter(_WORD.findall((text or "").lower())).items():
-            for stem in self[word]:
-                counts[stem] += n
-        found = {term(stem, level) for stem, n in counts.items() for level in LEVELS if n >= level}
-        return sorted(found if self.known is None else {self.known[t] for t in found if t in self.known})
-
-
-def model_terms(text: Column, known: dict[int, int]) -> Column:
-    """The numbers of each text's model terms."""
-    @F.pandas_udf("array<int>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        terms = Terms(known)
-        for texts in batches:
-            yield pd.Series([terms.of(t) for t in texts], dtype=object)
-
-    return run(text)
+    def of(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted terms of each text, one after the other, and where they start; their numbers in the model if there is one."""
+        words, times, sizes = [], [], []
+        for text in texts:
+            counts = Counter(_WORD.findall((text or "").lower()))
+            words.extend(map(self.__getitem__, counts))
+            times.extend(counts.values())
+            sizes.append(len(counts))
+        widths = np.fromiter(map(len, words), np.int64, len(words))
+        stems = np.fromiter(chain.from_iterable(words), np.int64, int(widths.sum()))
+        row = np.repeat(np.repeat(np.arange(len(sizes)), sizes), widths)
+        keys, where = np.unique(row << HASH_BITS | stems, return_inverse=True)
+        times = np.bincount(where, np.repeat(np.array(times, np.int64), widths), len(keys))
+        found = [(keys[times >= level] >> HASH_BITS, term(keys[times >= level] & _MASK, level)) for level in LEVELS]
+        row, terms = (np.concatenate(x) for x in zip(*found))
+        if self.number is not None:
+            terms = self.number[terms].astype(np.int64)
+            row, terms = row[terms >= 0], terms[terms >= 0]
+        keys = np.unique(row << HASH_BITS | terms)
+        return (keys & _MASK).astype(np.int32), np.searchsorted(keys >> HASH_BITS, np.arange(len(sizes) + 1))
+
+
+def terms_of(texts: list, terms: Terms) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Terms and starts, a few texts at a time."""
+    for at in range(0, len(texts), TOGETHER):
+        yield terms.of(texts[at: at + TOGETHER])
 
 
 class Machine:
@@ -111,75 +127,94 @@ class Machine:
         out = np.full(len(starts) - 1, self.bias)
         filled = np.flatnonzero(np.diff(starts))
         if len(filled):
-            at, v = starts[filled], self.factors[terms]
-            sums = np.add.reduceat(v, at)
-            out[filled] += np.add.reduceat(self.weights[terms], at)
-            out[filled] += 0.5 * (sums ** 2 - np.add.reduceat(v ** 2, at)).sum(1)
+            at = starts[filled]
+            out[filled] += np.add.reduceat(self.weights[terms] - 0.5 * (self.factors[terms] ** 2).sum(1), at)
+            for f in range(FACTORS):
+                out[filled] += 0.5 * np.add.reduceat(self.factors[terms, f], at) ** 2
         return out
 
+    def probabilities(self, terms: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.margins(terms, starts), -40, 40)))
+
     def scores(self, rows: list) -> np.ndarray:
         starts = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
-        terms = np.fromiter((t for r in rows for t in r), np.int64, int(starts[-1]))
-        return 1 / (1 + np.exp(-np.clip(self.margins(terms, starts), -40, 40)))
+        return self.probabilities(np.concatenate([np.zeros(0, np.int64), *(np.asarray(r, np.int64) for r in rows)]), starts)
 
 
 def fit(rows: list, labels: np.ndarray, n_terms: int, seed: int = 7) -> Machine:
-    """Logistic loss, AdaGrad in mini-batches; factors start near zero so that pairs have to earn their weight."""
+    """Logistic loss, AdaGrad in mini-batches; factors start near zero so that pairs have to earn their weight.
+
+    After each step the weights are drawn towards zero, by SPARSE times their rate, so that terms that tell nothing by
+    themselves get none; their factors stay free.
+    """
     rng = np.random.default_rng(seed)
     model = Machine(0.0, np.zeros(n_terms), rng.normal(0, 0.02, (n_terms, FACTORS)))
-    sum_b, sum_w, sum_v = 1e-6, np.full(n_terms, 1e-6), np.full((n_terms, FACTORS), 1e-6)
+    sum_b, sum_w, sum_v = 1e-6, np.full(n_terms, FIRST_W), np.full((n_terms, FACTORS), FIRST_V)
+    sizes, number = np.array([len(r) for r in rows], np.int64), np.zeros(n_terms, np.int32)
     for _ in range(EPOCHS):
         order = rng.permutation(len(rows))
         for k in range(0, len(order), BATCH):
             picked = order[k: k + BATCH]
-            batch = [rows[i] for i in picked]
-            sizes = np.array([len(r) for r in batch])
-            starts = np.concatenate([[0], np.cumsum(sizes)])
-            terms = np.concatenate([np.asarray(r, np.int64) for r in batch]) if starts[-1] else np.zeros(0, np.int64)
-            margins = np.clip(model.margins(terms, starts), -40, 40)
-            wrong = (1 / (1 + np.exp(-margins)) - labels[picked]) / len(batch)
+            terms = np.concatenate([np.asarray(rows[i], np.int64) for i in picked])
+            used = np.flatnonzero(np.bincount(terms, minlength=n_terms))
+            number[used] = np.arange(len(used), dtype=np.int32)
+            where = number[terms]
+            # The machine of the terms of this batch.
+            part = Machine(model.bias, model.weights[used], model.factors[used])
+            filled, starts = np.flatnonzero(sizes[picked]), np.cumsum(sizes[picked]) - sizes[picked]
+            margins, sums = np.full(len(picked), part.bias), np.zeros((FACTORS, len(picked)))
+            if len(filled):
+                margins[filled] += np.add.reduceat((part.weights - 0.5 * (part.factors ** 2).sum(1))[where], starts[filled])
+                for f in range(FACTORS):
+                    sums[f, filled] = np.add.reduceat(part.factors[:, f].copy()[where], starts[filled])
+                margins += 0.5 * (sums ** 2).sum(0)
+            wrong = (1 / (1 + np.exp(-np.clip(margins, -40, 40))) - labels[picked]) / len(picked)
             sum_b += wrong.sum() ** 2
             model.bias -= RATE * wrong.sum() / np.sqrt(sum_b)
             if not len(terms):
                 continue
-            of = np.repeat(np.arange(len(batch)), sizes)
-            v = model.factors[terms]
-            sums = np.zeros((len(batch), FACTORS))
-            np.add.at(sums, of, v)
-            used, where = np.unique(terms, return_inverse=True)
-            grad_w = np.bincount(where, wrong[of], len(used)) + DECAY * model.weights[used]
-            pulls = wrong[of, None] * (sums[of] - v)
-            grad_v = np.stack([np.bincount(where, pulls[:, f], len(used)) for f in range(FACTORS)], 1) + DECAY * model.factors[used]
+            pull = lambda by: np.bincount(where, np.repeat(by, sizes[picked]), len(used))
+            grad_w = pull(wrong)
+            grad_v = np.stack([pull(wrong * sums[f]) for f in range(FACTORS)], 1) + (DECAY - grad_w[:, None]) * part.factors
+            grad_w += DECAY * part.weights
             sum_w[used] += grad_w ** 2
             sum_v[used] += grad_v ** 2
-            model.weights[used] -= RATE * grad_w / np.sqrt(sum_w[used])
+            rate = RATE / np.sqrt(sum_w[used])
+            moved = part.weights - rate * grad_w
+            model.weights[used] = np.sign(moved) * np.maximum(np.abs(moved) - SPARSE * rate, 0)
             model.factors[used] -= RATE * grad_v / np.sqrt(sum_v[used])
     return model
 
 
-def choose_terms(sample: DataFrame, toxic: int, clean: int) -> dict[int, int]:
-    """The model terms, numbered: those whose log odds ratio lies most standard errors from zero in the sample."""
+def choose_terms(sample: DataFrame) -> bytes:
+    """The model terms, sorted, as numbers of 32 bits: all that occur in MIN_DOCS documents of the sample."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
-        for batch in filter(len, batches):
-            rows = [np.array(terms.of(t.as_py()), np.int64) for t in batch.column("text")]
-            marks = np.repeat(batch.column("toxic").to_numpy(zero_copy_only=False), [len(r) for r in rows])
-            found, where = np.unique(np.concatenate(rows), return_inverse=True)
-            a = np.bincount(where, marks, len(found)).astype(np.int64)
-            b = np.bincount(where, 1 - marks, len(found)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(a), pa.array(b)], ["term", "a", "b"])
-
-    counts = sample.select("text", "toxic").mapInArrow(count, "term long, a long, b long").groupBy("term").agg(
-        F.sum("a").alias("a"), F.sum("b").alias("b")).filter(F.col("a") + F.col("b") >= MIN_DOCS)
-    cells = (F.col("a") + 0.5, F.col("b") + 0.5, F.lit(toxic) - F.col("a") + 0.5, F.lit(clean) - F.col("b") + 0.5)
-    ratio = F.log(cells[0] * cells[3] / (cells[1] * cells[2]))
-    error = F.sqrt(sum((F.lit(1.0) / c for c in cells[1:]), F.lit(1.0) / cells[0]))
-    z = F.abs(ratio / error)
-    best = counts.select("term", z.alias("z")).filter(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "term").limit(MAX_TERMS)
-    return {r["term"]: i for i, r in enumerate(best.collect())}
-
-
-def train(docs: DataFrame, labels: DataFrame) -> tuple[Machine, dict[int, int]]:
+        for batch in batches:
+            for found, _ in terms_of(batch.column("text").to_pylist(), terms):
+                found, n = np.unique(found, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], ["term", "n"])
+
+    counts = sample.select("text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    chosen = counts.filter(F.col("n") >= MIN_DOCS).select("term").toArrow().column("term").to_numpy()
+    return np.sort(chosen).astype("<i4").tobytes()
+
+
+def model_terms(sample: DataFrame, known: bytes) -> DataFrame:
+    """The numbers of each text's model terms, in place of the text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = Terms(known)
+        for batch in batches:
+            at = 0
+            for found, starts in terms_of(batch.column("text").to_pylist(), terms):
+                some, at = batch.slice(at, len(starts) - 1), at + len(starts) - 1
+                lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(found))
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("toxic"), lists], ["doc_id", "toxic", "terms"])
+
+    return sample.mapInArrow(run, f"doc_id {dict(sample.dtypes)['doc_id']}, toxic int, terms array<int>")
+
+
+def train(docs: DataFrame, labels: DataFrame) -> tuple[Machine, bytes]:
     """Learn from the labelled documents outside the held-out fold."""
     marks = labels.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic")).filter(
         "__id is not null and toxic in (0, 1)")
@@ -189,27 +224,30 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Machine, dict[int, int]]:
     toxic, clean = counts.get(1, 0), counts.get(0, 0)
     if not toxic or not clean:
         share = toxic / max(1, toxic + clean)
-        return Machine(float(np.log(max(share, 1e-17) / max(1 - share, 1e-17))), np.zeros(0), np.zeros((0, FACTORS))), {}
+        return Machine(float(np.log(max(share, 1e-17) / max(1 - share, 1e-17))), np.zeros(0), np.zeros((0, FACTORS))), b""
     drawn = [marks.filter(F.col("toxic") == k).orderBy(F.xxhash64("__id"), "__id").limit(MAX_ROWS) for k in (0, 1)]
     drawn = materialise(drawn[0].union(drawn[1]), "toxicity-sample")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     sample = texts.join(F.broadcast(drawn), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "toxic")  # 2 x MAX_ROWS ids
-    terms = choose_terms(sample, min(toxic, MAX_ROWS), min(clean, MAX_ROWS))
-    rows = sample.select("doc_id", "toxic", model_terms(F.col("text"), terms).alias("terms")).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["terms"]))
-    machine = fit([r["terms"] for r in rows], np.array([r["toxic"] for r in rows], float), len(terms))
+    terms = choose_terms(sample)
+    found = model_terms(sample, terms).toArrow().combine_chunks()
+    ids, lists = found.column("doc_id").to_pylist(), found.column("terms").combine_chunks()
+    at, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+    rows = [values[a:b] for a, b in zip(at, at[1:])]
+    order = sorted(range(len(rows)), key=lambda i: (ids[i], rows[i].tobytes()))
+    machine = fit([rows[i] for i in order], found.column("toxic").to_numpy().astype(float)[order], len(terms) // 4)
     # The sample holds the labels in other shares than the corpus; the bias takes that back.
     machine.bias += float(np.log(toxic / clean) - np.log(min(toxic, MAX_ROWS) / min(clean, MAX_ROWS)))
     return machine, terms
 
 
-def score(text: Column, machine: Machine, terms: dict[int, int]) -> Column:
+def score(text: Column, machine: Machine, terms: bytes) -> Column:
     """The probability of the label, 0 to 1."""
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         lookup = Terms(terms)
         for texts in batches:
-            yield pd.Series(machine.scores([lookup.of(t) for t in texts]))
+            yield pd.Series(np.concatenate([np.zeros(0), *(machine.probabilities(*found) for found in terms_of(texts.to_list(), lookup))]))
 
     return run(text.cast("string"))
 

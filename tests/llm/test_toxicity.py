@@ -28,6 +28,22 @@ def test_learns_a_pair_that_no_single_term_tells():
     assert scores[0] > 0.9 and scores[1:].max() < 0.3
 
 
+def test_train_learns_a_pair_without_marginal_effect(spark):
+    """Each of the two words stands in half of the toxic and half of the clean texts; only both or neither of them tell."""
+    random.seed(3)
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
+    rows, labels = [], []
+    for i in range(2400):
+        a, b = random.random() < 0.5, random.random() < 0.5
+        rows.append((i, " ".join(random.sample(words, 10) + ["martians"] * a + ["vermin"] * b)))
+        labels.append((i, int(a == b)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model, terms = toxicity.train(docs, marks)
+    scored = docs.select("doc_id", toxicity.score(docs["text"], model, terms).alias("s")).collect()
+    held = [(r["s"] >= 0.5, labels[r["doc_id"]][1]) for r in scored if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
+    assert sum(p == bool(y) for p, y in held) >= 0.97 * len(held)
+
+
 def test_held_out_accuracy(spark):
     random.seed(2)
     insults = ["idiot", "scum", "moron"]
