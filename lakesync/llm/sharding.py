@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections import deque
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakesync.llm.common import hash_key, materialise, running_totals, text_or_empty
@@ -99,22 +99,35 @@ def old_shard(source: str, shards: int = OLD_SHARDS):
     return (F.crc32(F.coalesce(F.col(source).cast("string"), F.lit("")).cast("binary")) % shards).cast("int")
 
 
+def lay_out(docs: DataFrame) -> tuple[DataFrame, dict[int, str]]:
+    """The documents in their old shards, with a number of its own (``__row``) for each row; and the folder of each shard."""
+    path = fresh_dir(docs.sparkSession, "old-shards")
+    docs.withColumns({"__row": F.monotonically_increasing_id(), "__at": old_shard("source")}).write.partitionBy("__at").parquet(path)
+    laid = docs.sparkSession.read.schema(docs.select("*", F.lit(0).cast("long").alias("__row"), F.lit(0).alias("__at")).schema).parquet(path)
+    return laid, {r["__at"]: f"{path}/__at={r['__at']}" for r in laid.select("__at").distinct().collect()}  # at most OLD_SHARDS
+
+
 def op10_reshard(spark, sf_dir: str) -> DataFrame:
+    laid, folders = lay_out(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     text = text_or_empty()
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
-        "doc_id", old_shard("source").alias("old"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
+    rows = laid.select(
+        "__row", "doc_id", F.col("__at").alias("old"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"), hash_key(F.col("doc_id")).alias("key"))
-    return reshard(rows, OLD_SHARDS, NEW_SHARDS).select(
+    placed = materialise(reshard(rows, OLD_SHARDS, NEW_SHARDS), "reshard-slots")
+    rewrite_affected(spark, folders, placed, keys=("__row",))
+    return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"), F.col("old").alias("old_shard"))
 
 
-def rewrite_affected(spark: SparkSession, folders: dict[int, str], placed: DataFrame, purpose: str = "reshard") -> dict[int, str]:
+def rewrite_affected(spark: SparkSession, folders: dict[int, str], placed: DataFrame, purpose: str = "reshard",
+                     keys: tuple[str, ...] = ("doc_id",)) -> dict[int, str]:
     """New folders of the shards that gain or lose rows; the others keep theirs.
 
-    ``folders``: the Parquet folder of each old shard.  ``placed``: doc_id, old, shard, one row per document id.  Only
-    files of shards that lose or gain rows are read, and each is written once under a new name, so the old files stay
-    valid until the caller switches over, whatever fails before that.
+    ``folders``: the Parquet folder of each old shard.  ``placed``: the keys, old, shard.  Keys may be null and may repeat:
+    the n-th row of a key in an old shard goes where the key's n-th placement says.  Only files of shards that lose or gain
+    rows are read, and each is written once under a new name, so the old files stay valid until the caller switches over,
+    whatever fails before that.  Other numbers of rows than before are an error.
     """
     moves = placed.filter("old <> shard").select("old", "shard").distinct().collect()  # at most old x new rows
     affected = {m[k] for m in moves for k in ("old", "shard")}
@@ -122,12 +135,23 @@ def rewrite_affected(spark: SparkSession, folders: dict[int, str], placed: DataF
         return dict(folders)
     kept = {i: path for i, path in folders.items() if i not in affected}
     target, columns = fresh_dir(spark, purpose), spark.read.parquet(next(iter(folders.values()))).columns
-    parts = [spark.read.parquet(path).withColumn("__old", F.lit(i)) for i, path in folders.items() if i in affected]
+    place = {"__file": F.col("_metadata.file_path"), "__index": F.col("_metadata.row_index")}
+    parts = [spark.read.parquet(path).withColumns(place | {"__old": F.lit(i)}) for i, path in folders.items() if i in affected]
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
-    plan = placed.select(F.col("doc_id").alias("__id"), F.col("old").alias("__from"), F.col("shard").alias("__shard"))
-    (rows.join(plan, (F.col("doc_id") == F.col("__id")) & (F.col("__old") == F.col("__from"))).select(*columns, "__shard")
-     .write.partitionBy("__shard").parquet(target))
+    named = [f"__key{k}" for k in range(len(keys))]
+    nth = lambda old, by, *order: F.row_number().over(Window.partitionBy(old, *by).orderBy(*order))
+    plan = placed.filter(F.col("old").isin(sorted(affected))).select(
+        *(F.col(k).alias(name) for k, name in zip(keys, named)), F.col("old").alias("__from"), F.col("shard").alias("__shard"))
+    plan = plan.withColumn("__place", nth("__from", named, "__shard"))
+    rows = rows.withColumn("__nth", nth("__old", keys, "__file", "__index"))
+    same = (F.col("__old") == F.col("__from")) & (F.col("__nth") == F.col("__place"))
+    for k, name in zip(keys, named):
+        same = same & F.col(k).eqNullSafe(F.col(name))
+    rows.join(plan, same).select(*columns, "__shard").write.partitionBy("__shard").parquet(target)
+    before, written = sum(part.count() for part in parts), spark.read.parquet(target).count()
+    if not before == written == plan.count():
+        raise ValueError(f"{before} rows of the affected shards, {plan.count()} placements, {written} rows written")
     filled = placed.filter(F.col("shard").isin(sorted(affected))).select("shard").distinct().collect()
     return kept | {r["shard"]: f"{target}/__shard={r['shard']}" for r in filled}

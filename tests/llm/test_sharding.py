@@ -73,6 +73,31 @@ def test_only_affected_shards_are_written(spark):
     assert sharding.rewrite_affected(spark, folders, still) == folders
 
 
+def test_null_and_repeated_ids_stay_whole(spark):
+    rows = [(None if k % 5 == 0 else k // 3, 0 if k < 200 else k % 3, 100) for k in range(300)]
+    folders = {}
+    for i in range(3):
+        folders[i] = fresh_dir(spark, "shards")
+        spark.createDataFrame([(d, f"text {k}") for k, (d, o, _) in enumerate(rows) if o == i], "doc_id long, text string").write.parquet(folders[i])
+    placed = resharded(spark, rows, 3, 3).localCheckpoint()
+    after = sharding.rewrite_affected(spark, folders, placed)
+    written = {j: spark.read.parquet(f).collect() for j, f in after.items()}
+    assert sorted(r["text"] for found in written.values() for r in found) == sorted(f"text {k}" for k in range(300))
+    wanted = Counter((r["shard"], r["doc_id"]) for r in placed.collect())
+    assert Counter((j, r["doc_id"]) for j, found in written.items() for r in found) == wanted
+
+
+def test_the_query_rewrites_every_row(spark, hard, monkeypatch):
+    after, rewrite = {}, sharding.rewrite_affected
+    monkeypatch.setattr(sharding, "rewrite_affected", lambda *a, **k: after.update(rewrite(*a, **k)))
+    path = fresh_dir(spark, "sf")
+    hard.write.parquet(f"{path}/documents.parquet")
+    placed = Counter((r["shard"], r["doc_id"], r["size"]) for r in sharding.op10_reshard(spark, path).collect())
+    rows = [(j, r) for j, f in after.items() for r in spark.read.parquet(f).collect()]
+    assert Counter((j, r["doc_id"], len((r["text"] or "").encode()) + 16) for j, r in rows) == placed
+    assert Counter(r["text"] for _, r in rows) == Counter(r["text"] for r in hard.collect())
+
+
 def test_hard_rows(spark, hard, nothing):
     path = fresh_dir(spark, "sf")
     hard.write.parquet(f"{path}/documents.parquet")
