@@ -4,7 +4,7 @@ A page is cut into blocks at block-level tags.  The first pass decides what it c
 sidebars, notices, adverts, forms and comments are boilerplate, as are blocks that are mostly links; long blocks with many
 stop words and few links are text.  Everything else (short blocks, long blocks with few stop words) stays open.  In the
 second pass open blocks inherit the label of the nearest decided blocks of their part of the page.  A part is an article or
-main element, or the page outside of those; where an article decides nothing by itself, its blocks are text.
+main element, or the page outside of those; where a part has no block that is decided to be text, its open blocks are.
 
 Defined results: a null or empty page has an empty text; unclosed, crossed and unknown tags are allowed; an unclosed script,
 style or comment runs to the end of the page; repeated rows are extracted each; an empty table gives an empty table.
@@ -86,17 +86,22 @@ class Block:
         return " ".join(html.unescape("".join(self.pieces)).split())
 
 
-def _hints(attrs: str) -> tuple[set[str], bool]:
-    """The words of class, id and role, and whether the element is hidden."""
+def _hints(attrs: str) -> tuple[set[str], set[str], bool]:
+    """The words of class, id and role, those of names that are all furniture words, and whether the element is hidden."""
     words: set[str] = set()
+    whole: set[str] = set()
     hidden = bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", re.sub(r"\"[^\"]*\"|'[^']*'", '""', attrs)))
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), a or b or c
         if name in ("class", "id", "role"):
-            words.update(w.lower() for w in _NAME_PARTS.findall(value))
+            for token in value.split():
+                told = {w.lower() for w in _NAME_PARTS.findall(token)}
+                words |= told
+                if told <= FURNITURE_WORDS:
+                    whole |= told
         elif name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             hidden = True
-    return words, hidden
+    return words, whole, hidden
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -160,7 +165,7 @@ def blocks_of(page: str) -> list[Block]:
             add(" ")
         if name == "a":
             in_link = 1
-        words, hidden = _hints(attrs) if attrs else (set(), False)
+        words, whole, hidden = _hints(attrs) if attrs else (set(), set(), False)
         _, part, furniture = stack[-1]
         around = furniture
         if name in ("article", "main") and not words & COMMENT_WORDS:
@@ -169,9 +174,8 @@ def blocks_of(page: str) -> list[Block]:
                 parts += 1
                 part, furniture = parts, False
         elif name not in ("html", "body"):
-            told = words & FURNITURE_WORDS
-            if part:
-                told -= _NOT_INSIDE
+            # A wrapper around the text may be named after what it lacks or stands beside ("no-sidebar").
+            told = (words & FURNITURE_WORDS) - _NOT_INSIDE if part else whole
             furniture = furniture or name in FURNITURE_TAGS or bool(told) or (name == "header" and not part)
         furniture = furniture or hidden
         if name in BLOCK_TAGS:
@@ -200,11 +204,14 @@ def first_pass(block: Block, text: str) -> int:
     return OPEN
 
 
-def second_pass(labels: list[int], inside: bool) -> list[int]:
+def second_pass(labels: list[int]) -> list[int]:
     """Labels of the blocks of one part: an open block takes that of the nearest decided one, text where two are as near.
 
-    Without decided blocks, an article's are text, and a page's are not.
+    Where no block is decided to be text, all open ones are: short ones, and those in languages without known stop words.
     """
+    if TEXT not in labels:
+        return [TEXT if label == OPEN else label for label in labels]
+
     def nearest(order: range) -> list[tuple[int, int]]:
         label, away, out = OPEN, 0, []
         for i in order:
@@ -217,7 +224,7 @@ def second_pass(labels: list[int], inside: bool) -> list[int]:
     for label, (a, to_a), (b, to_b) in zip(labels, before, after):
         if label == OPEN:
             if a == OPEN or b == OPEN:
-                label = a or b or (TEXT if inside else BOILERPLATE)
+                label = a or b
             elif a == b or to_a == to_b:
                 label = a if a == b else TEXT
             else:
@@ -236,7 +243,7 @@ def main_text(page: str | None) -> str:
     for part in {b.part for b, _ in blocks}:
         # Furniture has been decided by its place and says nothing about its neighbours.
         members = [i for i, (b, _) in enumerate(blocks) if b.part == part and not b.furniture]
-        for i, label in zip(members, second_pass([labels[i] for i in members], part > 0)):
+        for i, label in zip(members, second_pass([labels[i] for i in members])):
             final[i] = label
     if any(b.part and final[i] == TEXT for i, (b, _) in enumerate(blocks)):
         final = [label if b.part else BOILERPLATE for (b, _), label in zip(blocks, final)]

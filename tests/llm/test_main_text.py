@@ -39,6 +39,20 @@ def test_short_articles_and_foreign_blocks_stay():
     assert main_text(f"<main><p>{PROSE}</p><p>{odd}</p></main>") == f"{PROSE}\n\n{odd.strip()}"
 
 
+def test_pages_without_article_keep_other_languages_and_short_text():
+    foreign = "Tämä on kertomus talosta, joka rakennettiin joen rannalle, ja ihmisistä, jotka asuivat siellä monta vuotta."
+    assert len(foreign) > 70 and main_text(page(f"<p>{foreign}</p>")) == foreign
+    menu = '<div><a href="/1">One</a> <a href="/2">Two</a></div>'
+    assert main_text(page(f"{menu}<h1>Runo</h1><p>{foreign}</p><ul><li>yksi</li><li>kaksi</li></ul>")) == f"Runo\n\n{foreign}\n\nyksi\n\nkaksi"
+    assert main_text("plain words only") == "plain words only"
+
+
+def test_wrappers_named_after_furniture_are_none():
+    for name in ("no-sidebar", "with-nav", "content-social"):
+        assert main_text(page(f'<div class="{name}"><p>{PROSE}</p></div>')) == PROSE
+    assert main_text(page(f'<div class="cookie-notice"><p>{MORE}</p></div><div class="sidebar"><p>{MORE}</p></div><p>{PROSE}</p>')) == PROSE
+
+
 def test_broken_markup():
     assert main_text(None) == main_text("") == main_text("   ") == ""
     assert main_text(f"<article><p>{PROSE}</article><script>never closed <p>{MORE}") == PROSE
