@@ -3,8 +3,10 @@
 Every distinct shingle set is a vertex, so exact copies cost nothing.  A set's path in a random tree is chosen by minwise
 tokens: a node picks ``BRANCHES`` of the tree's ``COORDINATES`` minwise hash functions by its own name, and sends each set to
 one child per function, named after the set's minwise value there.  A pair of likeness s stays together in a child with
-chance s, and so in some leaf of a tree with chance p = 1 - (1 - s p)^2, which is 0.9375 for s = 0.8 however deep the tree;
-``TREES`` independent trees miss a pair at the threshold with a chance below 2 in 100,000, nearer pairs with far less.
+chance s.  With fresh functions everywhere a tree would keep it together with chance p = 1 - (1 - s p)^2, which is 0.9375 for
+s = 0.8.  A path never uses a function twice and subtrees share some of the tree's functions, so depth costs a little: a
+simulation of ``branch`` at s = 0.8 (8,000 pairs) gives for all ``TREES`` trees a miss of 0.9 in 100,000 at level 2, 2.3 at
+level 5 and 2.9 at level 14, the deepest; nearer pairs are missed far less.
 
 Nodes of up to ``NODE`` sets are compared exhaustively, on 512 one-bit minwise hashes.  In larger nodes each set is compared
 with ``NODE`` others first, so that a group of any number of copies becomes one component.  Then, if at most ``NODE`` sets of
@@ -36,7 +38,8 @@ from lakesync.llm.links import components
 
 #: Words of a shingle and percentage of likeness, unless a caller says otherwise.
 WORDS, PERCENT = 5, 80
-TREES, COORDINATES, BRANCHES, FIRST_DEPTH = 4, 16, 2, 2
+#: A tree has several times as many functions as levels, so that its subtrees hardly share any and paths do not run out.
+TREES, COORDINATES, BRANCHES, FIRST_DEPTH, DEEPEST = 4, 48, 2, 2, 14
 #: Sets that are compared with each other at most, in a node.
 NODE = 64
 LOOKS = 256
@@ -134,11 +137,11 @@ def branch(node: np.ndarray, used: np.ndarray, tree: np.ndarray, least: np.ndarr
 
 
 _SET = ["rep", "n", *SKETCH]
-_PATH = "node long, state int, " + ", ".join(f"{c} long" for c in _SET)
+_PATH = "node long, state long, " + ", ".join(f"{c} long" for c in _SET)
 
 
 def _rows_of(node, used, tree, columns) -> pa.RecordBatch:
-    state = (tree.astype(np.int64) << COORDINATES | used).astype(np.int32)
+    state = tree.astype(np.int64) << COORDINATES | used
     return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(state), *columns], ["node", "state", *_SET])
 
 
@@ -217,12 +220,12 @@ def compare_nodes(paths: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([kind, np.full(len(large), 2)]).astype(np.int32)), pa.array(np.concatenate([rep[i], rep[large]])),
                  pa.array(np.concatenate([rep[j], rep[large]])), pa.array(np.concatenate([none, node[large]])),
-                 pa.array(np.concatenate([none, state[large]]).astype(np.int32))], ["kind", "a", "b", "node", "state"])
+                 pa.array(np.concatenate([none, state[large]]))], ["kind", "a", "b", "node", "state"])
             kept = [x[-(NODE + 1):] for x in now]
 
     # A node is one run of one task, whatever its size; rows of it are narrow and only pass through.
     dealt = paths.repartition("node").sortWithinPartitions("node", "rep")
-    return dealt.mapInArrow(run, "kind int, a long, b long, node long, state int")
+    return dealt.mapInArrow(run, "kind int, a long, b long, node long, state long")
 
 
 def _bit_map(ids: DataFrame) -> np.ndarray:
@@ -323,7 +326,7 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         looks = nodes.agg(F.sum(F.col("rows").cast("double") * F.col("others"))).first()[0] or 0
         rows = materialise(named.join(nodes.drop("rows"), "node").join(reps, "rep"), "near-large")
         depth += 1
-        last = depth > COORDINATES - BRANCHES or looks <= LOOKS * sets
+        last = depth > min(DEEPEST, COORDINATES - BRANCHES) or looks <= LOOKS * sets
         if rows.isEmpty():
             break
         of = _merged(of, _settled(rows if last else rows.filter(F.col("others") <= NODE), docs, words, percent))

@@ -103,3 +103,25 @@ def test_hard_rows(hard, nothing):
     kept = near_dedup.kept_documents(hard)
     assert kept.columns == hard.columns and sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([1, 3, 4, 5, 6, 7, 7, None, 9], key=str)
     assert near_dedup.near_components(nothing).count() == 0 and near_dedup.kept_documents(nothing).count() == 0
+
+
+def test_deep_trees_keep_pairs_together():
+    """The share of pairs at likeness 0.8 that no node of the deepest level of one tree holds; paths are followed while they are shared."""
+    rng = np.random.default_rng(5)
+    pairs = 1000
+    least = rng.integers(0, 2**32, (pairs, near_dedup.TREES * near_dedup.COORDINATES), np.uint32)
+    agree = rng.random(least.shape) < 0.8
+    other = np.where(agree, least, ~least)
+    of, node, used = np.arange(pairs), rng.integers(0, 2**63, pairs).astype(np.uint64), np.zeros(pairs, np.int64)
+    for _ in range(14):
+        tree = np.zeros(len(of), np.int64)
+        both = zip(near_dedup.branch(node, used, tree, least[of]), near_dedup.branch(node, used, tree, other[of]))
+        found = [(of[a == b], a[a == b], now[a == b]) for (a, now), (b, _) in both]
+        of, node, used = (np.concatenate(x) for x in zip(*found))
+        # Some shared nodes of a pair stand for the others.
+        order = np.lexsort((node, of))
+        of, node, used = of[order], node[order], used[order]
+        place = np.arange(len(of)) - np.searchsorted(of, of)
+        of, node, used = of[place < 32], node[place < 32], used[place < 32]
+    missed = 1 - len(np.unique(of)) / pairs
+    assert missed ** near_dedup.TREES < 1e-3
