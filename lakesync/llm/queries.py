@@ -8,7 +8,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakesync.llm import bpe, line_rules, main_text, mixing, near_dedup, order_minhash, ppm, sharding, toxicity, transcripts
+from lakesync.llm import (
+    bpe, collocations, line_rules, main_text, mixing, near_dedup, order_minhash, ppm, ranked_search, sharding, toxicity, transcripts,
+    url_rules,
+)
 from lakesync.session import set_runtime_defaults
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,8 +27,12 @@ _QUERIES: dict[str, Query] = {
     "op8_order_minhash": order_minhash.op8_order_minhash,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_reshard": sharding.op10_reshard,
+    "op11_collocations": collocations.op11_collocations,
+    "op12_url_rules": url_rules.op12_url_rules,
+    "op13_ranked_search": ranked_search.op13_ranked_search,
 }
-_ORACLES = {"op5_line_rules": line_rules.SQL5, "op9_mix_sources": mixing.SQL9}
+_ORACLES = {"op5_line_rules": line_rules.SQL5, "op9_mix_sources": mixing.SQL9,
+            "op11_collocations": collocations.SQL11, "op12_url_rules": url_rules.SQL12, "op13_ranked_search": ranked_search.SQL13}
 
 
 def _with_defaults(function: Query) -> Query:
