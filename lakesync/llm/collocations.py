@@ -36,7 +36,9 @@ MIN_COUNT = 10
 #: A pair goes where a triple around it has at least this percentage of its count.
 COVERED_PERCENT = 50
 TOP = 2000
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
+#: Rows of one Arrow batch that a task hands back.
+OUT_ROWS = 1 << 15
 #: Bits of a sieve, whatever the corpus; 16 MB.
 SIEVE_BITS = 1 << 27
 #: Positions of one of Spark's bitmaps.
@@ -114,12 +116,12 @@ def _counter(order: int, sieve):
     """For mapInArrow over (lang, text as bytes): rows (lang, w1 .., f), counted by blocks of one language."""
     names = ["lang", *WORDS[:order], "f"]
 
-    def counted(lang: str, texts: list[bytes]) -> pa.RecordBatch | None:
+    def counted(lang: str, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
         bits = None if sieve is None else sieve.value
         places, counts = _count_block(b"\n".join(texts).lower(), lang, order, bits)
-        if not len(counts):
-            return None
-        return pa.RecordBatch.from_arrays([pa.repeat(lang, len(counts)), *places, pa.array(counts, pa.int64())], names)
+        for at in range(0, len(counts), OUT_ROWS):
+            f = pa.array(counts[at:at + OUT_ROWS], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(f)), *(p.slice(at, OUT_ROWS) for p in places), f], names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[list[bytes], int]] = {}
@@ -134,16 +136,13 @@ def _counter(order: int, sieve):
                 if held[lang][1] >= BLOCK_BYTES:
                     texts, size = held.pop(lang)
                     total -= size
-                    if (out := counted(lang, texts)) is not None:
-                        yield out
+                    yield from counted(lang, texts)
                 elif total >= 4 * BLOCK_BYTES:  # many languages at once
                     for name, (texts, _) in held.items():
-                        if (out := counted(name, texts)) is not None:
-                            yield out
+                        yield from counted(name, texts)
                     held, total = {}, 0
         for lang, (texts, _) in held.items():
-            if (out := counted(lang, texts)) is not None:
-                yield out
+            yield from counted(lang, texts)
 
     return count
 
