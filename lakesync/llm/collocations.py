@@ -18,9 +18,11 @@ result, ties are ranked by the phrase's bytes.  A very long text is a block of i
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -88,8 +90,8 @@ def _passes(sieve: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (sieve[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
 
 
-def _count_block(data: bytes, lang: str, order: int, sieve: np.ndarray | None) -> tuple[list[pa.Array], np.ndarray]:
-    """The distinct phrases of ``order`` words that pass the sieve, one array for each place, and their counts."""
+def _count_block(data: bytes, lang: str, order: int, sieve: np.ndarray | None) -> tuple[pa.Array, np.ndarray]:
+    """The distinct phrases of ``order`` words that pass the sieve, their words joined by spaces, and their counts."""
     words, ids, piece = _tokens(data)
     n = max(len(words), 1)
     if order == 1:
@@ -109,19 +111,19 @@ def _count_block(data: bytes, lang: str, order: int, sieve: np.ndarray | None) -
             heads, head = np.unique(ids[at] * n + ids[at + 1], return_inverse=True)
             codes, counts = np.unique(head * n + ids[at + 2], return_counts=True)
             places = [heads[codes // n] // n, heads[codes // n] % n, codes % n]
-    return [words.take(pa.array(p)).cast(pa.string()) for p in places], counts
+    taken = [words.take(pa.array(p)) for p in places]
+    joined = taken[0] if order == 1 else pc.binary_join_element_wise(*taken, pa.scalar(b" ", taken[0].type))
+    return joined.cast(pa.string()), counts
 
 
 def _counter(order: int, sieve):
-    """For mapInArrow over (lang, text as bytes): rows (lang, w1 .., f), counted by blocks of one language."""
-    names = ["lang", *WORDS[:order], "f"]
-
+    """For mapInArrow over (lang, text as bytes): rows (lang, phrase, f), counted by blocks of one language."""
     def counted(lang: str, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
         bits = None if sieve is None else sieve.value
-        places, counts = _count_block(b"\n".join(texts).lower(), lang, order, bits)
+        phrases, counts = _count_block(b"\n".join(texts).lower(), lang, order, bits)
         for at in range(0, len(counts), OUT_ROWS):
             f = pa.array(counts[at:at + OUT_ROWS], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(f)), *(p.slice(at, OUT_ROWS) for p in places), f], names)
+            yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(f)), phrases.slice(at, OUT_ROWS), f], ["lang", "phrase", "f"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[list[bytes], int]] = {}
@@ -148,24 +150,25 @@ def _counter(order: int, sieve):
 
 
 def phrase_counts(docs: DataFrame, order: int, sieve=None) -> DataFrame:
-    """(lang, w1 .., f) of the phrases of ``order`` words; the phrases that the sieve rules out are left out."""
+    """(lang, phrase, f) of the phrases of ``order`` words; the phrases that the sieve rules out are left out."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), text_or_empty().cast("binary").alias("text"))
-    schema = "lang string, " + "".join(f"{w} string, " for w in WORDS[:order]) + "f long"
-    return texts.mapInArrow(_counter(order, sieve), schema).groupBy("lang", *WORDS[:order]).agg(F.sum("f").alias("f"))
+    return texts.mapInArrow(_counter(order, sieve), "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
 def _slots_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lang, places = batch.column(0).to_pylist(), [c.to_pylist() for c in batch.columns[1:]]
-        hashes = [np.fromiter((xxhash.xxh3_64_intdigest(w.encode(), xxhash.xxh32_intdigest(x.encode())) for x, w in zip(lang, p, strict=True)),
+        lang, places = batch.column(0).to_pylist(), list(zip(*(p.encode().split(b" ") for p in batch.column(1).to_pylist()), strict=True))
+        hashes = [np.fromiter((xxhash.xxh3_64_intdigest(w, xxhash.xxh32_intdigest(x.encode())) for x, w in zip(lang, p, strict=True)),
                               np.uint64, len(lang)) for p in places]
+        if not hashes:
+            continue
         slots = _slots(hashes[0] if len(hashes) == 1 else _pair_hashes(*hashes))
         yield pa.RecordBatch.from_arrays([pa.array(slots)], ["slot"])
 
 
-def sieve_of(phrases: DataFrame, order: int):
+def sieve_of(phrases: DataFrame):
     """A broadcast array with one bit for every hash of ``phrases``; SIEVE_BITS / BITMAP rows of 4 KB reach the driver at most."""
-    slots = phrases.select("lang", *WORDS[:order]).mapInArrow(_slots_of, "slot long")
+    slots = phrases.select("lang", "phrase").mapInArrow(_slots_of, "slot long")
     maps = slots.groupBy(F.expr(f"slot div {BITMAP}").alias("part")).agg(F.bitmap_construct_agg(F.col("slot") % BITMAP).alias("bits"))
     sieve = np.zeros(SIEVE_BITS // 8, np.uint8)
     for row in maps.toLocalIterator():
@@ -181,12 +184,12 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT) -> tuple[DataF
     stream, shorter = [], words.filter(F.col("f") >= min_count)
     stream.append(shorter)
     for order in (2, 3):
-        longer = phrase_counts(docs, order, sieve_of(shorter, order - 1)).filter(F.col("f") >= min_count)
+        longer = phrase_counts(docs, order, sieve_of(shorter)).filter(F.col("f") >= min_count)
         shorter = materialise(longer, f"phrases-{order}")
         stream.append(shorter)
-    none = {w: F.lit(None).cast("string") for w in WORDS}
-    full = [part.withColumns({w: c for w, c in none.items() if w not in part.columns}).select("lang", *WORDS, "f") for part in stream]
-    return full[0].unionByName(full[1]).unionByName(full[2]), totals
+    parts = F.split("phrase", " ")
+    every = reduce(DataFrame.unionByName, stream)
+    return every.select("lang", *(F.get(parts, F.lit(k)).alias(w) for k, w in enumerate(WORDS)), "f"), totals
 
 
 def _walk(key2: int, key3: int, count: int):
