@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lakesync.operators.extract import last_named
 from lakesync.operators.relational import asof_join
 from lakesync.operators.shape import decode_text
+from lakesync.workspace import fresh_dir
 
 OPERATIONS = {"I": "insert", "U": "update", "D": "delete"}
 
@@ -21,20 +22,66 @@ def lsn_position(lsn: Column) -> Column:
     return F.shiftleft(half(1), 32) + half(2)
 
 
+#: So many versions of relations, with their column lists, are sent to every task at most.
+SMALL_VERSIONS = 200_000
+
+
 def bind_relations(
     changes: DataFrame, relations: DataFrame, take: Sequence[str], at: str = "position", tie: str = "position",
-    hot_rows: int | None = None, slices: int | None = None,
+    hot_rows: int | None = None, slices: int | None = None, small_versions: int | None = None,
 ) -> DataFrame:
-    """Each change with the latest relation definition at or before it; an unknown relation fails."""
-    bound = asof_join(
-        changes, relations, ["relation_id"], at, at, take, tie, tie, hot_rows=hot_rows, slices=slices
-    )
+    """Each change with the latest relation definition at or before it; an unknown relation fails.
+
+    Definitions are few beside changes.  Where they are counted to be, tasks look them up and changes are not shuffled;
+    otherwise both are sorted together.
+    """
+    spark, limit = changes.sparkSession, SMALL_VERSIONS if small_versions is None else small_versions
+    path = fresh_dir(spark, "relation-versions")
+    relations.write.parquet(path)
+    stored = spark.read.schema(relations.schema).parquet(path)
+    if stored.count() <= limit:
+        bound = _look_up(changes, stored, take, at, tie)
+    else:
+        bound = asof_join(changes, stored, ["relation_id"], at, at, take, tie, tie, hot_rows=hot_rows, slices=slices)
     unknown = F.raise_error(
         F.concat(F.lit("change before its relation was defined: "), F.col("relation_id").cast("string"))
     ).cast(bound.schema[take[0]].dataType)
     return bound.withColumn(take[0], F.coalesce(F.col(take[0]), unknown))
 
 
+def _look_up(changes: DataFrame, relations: DataFrame, take: Sequence[str], at: str, tie: str) -> DataFrame:
+    """As-of join with versions that fit into every task.
+
+    The log is cut into as many equal stretches as there are versions on average; a version stands in every stretch it is
+    valid in, so that a change meets only a few, found by equality.  All versions together stand in no more places than twice
+    their number.
+    """
+    last = F.max_by(F.struct(*take), F.col(tie)).alias("__take")
+    versions = relations.groupBy("relation_id", F.col(at).alias("__from")).agg(last)
+    facts = versions.agg(F.min("__from").alias("low"), F.max("__from").alias("high"), F.count("*").alias("n"),
+                         F.count_distinct("relation_id").alias("relations")).first()
+    if not facts.n:
+        nothing = {name: F.lit(None).cast(relations.schema[name].dataType) for name in take}
+        return changes.withColumns(nothing)
+    stretches = max(1, facts.n // facts.relations)
+    width = max(1, -(-(facts.high - facts.low + 1) // stretches))
+
+    def stretch(place: Column) -> Column:
+        return F.greatest(F.lit(0), F.least(F.lit(stretches - 1), F.floor((place - F.lit(facts.low)) / F.lit(width)))).cast("int")
+
+    ordered = Window.partitionBy("relation_id").orderBy("__from")
+    spans = versions.withColumn("__next", F.lead("__from").over(ordered))
+    to = F.coalesce(stretch(F.col("__next") - 1), F.lit(stretches - 1))
+    placed = spans.withColumn("__stretch", F.explode(F.sequence(stretch(F.col("__from")), F.greatest(to, stretch(F.col("__from"))))))
+    known = F.broadcast(placed.withColumnRenamed("relation_id", "__relation"))  # counted above
+    here = F.col(at)
+    fits = (
+        (F.col("relation_id") == F.col("__relation")) & (stretch(here) == F.col("__stretch"))
+        & (here >= F.col("__from")) & (F.col("__next").isNull() | (here < F.col("__next")))
+    )
+    return changes.join(known, fits, "left").select(*changes.columns, *(F.col("__take")[name].alias(name) for name in take))
+
+
 CELLS = "array<struct<kind:string,text:string>>"
 
 
@@ -109,23 +156,21 @@ def cdc_events(bound: DataFrame, columns: Mapping[str, str], keep: Sequence[str]
     return opened.select(*keep, *out)
 
 
-def fold_changes(events: DataFrame, keys: Sequence[str], columns: Sequence[str], position: str, op: str = "op") -> DataFrame:
-    """One row per key: the newest event, the newest delete, and the newest value sent of each column with its position."""
+def change_folds(events: DataFrame, columns: Sequence[str], position: str, op: str = "op") -> list[Column]:
+    """Aggregates over the events of a key: the newest event, the newest delete, and the newest value sent of each column
+    with its position."""
     at, dead = F.col(position), F.col(op) == "delete"
     folds = [F.max(at).alias("__at"), F.max_by(op, at).alias("__op"), F.max(F.when(dead, at)).alias("__dead")]
     for name in columns:
         sent = ~dead & F.col(f"{name}_set") if f"{name}_set" in events.columns else ~dead
         when = F.when(sent, at)
         folds += [F.max_by(F.col(name), when).alias(name), F.max(when).alias(f"__at_{name}")]
-    return events.groupBy(*keys).agg(*folds)
+    return folds
 
 
-def merge_folds(folds: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Folds of several parts of a log as one fold."""
-    merged = [F.max("__at").alias("__at"), F.max_by("__op", "__at").alias("__op"), F.max("__dead").alias("__dead")]
-    for name in columns:
-        merged += [F.max_by(name, f"__at_{name}").alias(name), F.max(f"__at_{name}").alias(f"__at_{name}")]
-    return folds.groupBy(*keys).agg(*merged)
+def fold_changes(events: DataFrame, keys: Sequence[str], columns: Sequence[str], position: str, op: str = "op") -> DataFrame:
+    """One row per key with the folds of its events."""
+    return events.groupBy(*keys).agg(*change_folds(events, columns, position, op))
 
 
 def current_rows(folded: DataFrame, keys: Sequence[str], columns: Sequence[str], position: str, op: str = "op") -> DataFrame:

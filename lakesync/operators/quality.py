@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import base64
+import itertools
 import json
+import math
+import os
+import re
 from collections.abc import Mapping, Sequence
 from urllib.parse import quote, quote_plus
 
@@ -63,23 +67,59 @@ def secret_forms(value: str) -> list[str]:
     return list(dict.fromkeys(forms))
 
 
+_PLAIN = re.compile(r"[A-Za-z0-9\x80-\U0010ffff]")
+#: A choice between more than so many characters is made by classes of characters first.
+FEW = 8
+
+
+def _literal(text: str) -> str:
+    return "".join(c if _PLAIN.match(c) else "\\" + c for c in text)
+
+
+def choice_pattern(words: Sequence[str]) -> str:
+    """A regular expression that matches the longest of ``words`` at a place.
+
+    Words with a common beginning share it, so that a place in a text costs a few comparisons however many words there are.
+    """
+    begin = os.path.commonprefix(words)
+    rest = sorted({w[len(begin):] for w in words})
+    ends_here, rest = rest[0] == "", [w for w in rest if w]
+    if not rest:
+        return _literal(begin)
+    by_first = {c: [w for w in group] for c, group in itertools.groupby(rest, key=lambda w: w[0])}
+    firsts = list(by_first)
+    size = len(firsts) if len(firsts) <= FEW else math.ceil(math.sqrt(len(firsts)))
+    options = []
+    for at in range(0, len(firsts), size):
+        some = firsts[at:at + size]
+        inner = "|".join(choice_pattern(by_first[c]) for c in some)
+        options.append(inner if size == len(firsts) else f"(?=[{''.join(map(_literal, some))}])(?:{inner})")
+    return f"{_literal(begin)}(?:{'|'.join(options)}){'?' if ends_here else ''}"
+
+
 def scan_secrets(df: DataFrame, text: str, secrets: Mapping[str, str]) -> DataFrame:
     """Rows whose whole text contains a known secret in any of its forms, with the names of those found.
 
-    The secrets are one array literal that every row goes through, so the plan does not grow with the list; blank values
-    never match.
+    All forms are looked for in one walk over the text, whatever their number: at every place the longest form that begins
+    there is found, and with it those that are its beginning.  Blank values never match.
     """
     known = {name: value for name, value in secrets.items() if value.strip()}
     if not known:
         return df.withColumn("found", F.expr("array()").cast("array<string>")).where("false")
-    listed = []
-    for name, value in sorted(known.items()):
-        # A form that holds another one is found wherever that one is.
+    names: dict[str, set[str]] = {}
+    for name, value in known.items():
         forms = secret_forms(value)
-        listed.append({"name": name, "forms": [f for f in forms if not any(g != f and g in f for g in forms)]})
-    literal = F.from_json(F.lit(json.dumps(listed)), "array<struct<name:string,forms:array<string>>>")
-    leaked = F.filter(literal, lambda s: F.exists(s["forms"], lambda form: F.contains(F.col(text), form)))
-    return df.withColumn("found", F.transform(leaked, lambda s: s["name"])).where(F.size("found") > 0)
+        # A form that holds another one is found wherever that one is.
+        for form in forms:
+            if not any(other != form and other in form for other in forms):
+                names.setdefault(form, set()).add(name)
+    # Names of every form and of the forms it begins with.
+    within = {form: sorted(set().union(*(names[form[:k]] for k in range(1, len(form) + 1) if form[:k] in names))) for form in names}
+    listed = F.from_json(F.lit(json.dumps(within)), "map<string,array<string>>")
+    hits = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(f"(?=({choice_pattern(sorted(names))}))"), F.lit(1)))
+    marked = df.withColumn("__forms", hits).where(F.size("__forms") > 0)
+    found = F.array_sort(F.array_distinct(F.flatten(F.transform("__forms", lambda f: F.element_at(listed, f)))))
+    return marked.withColumn("found", found).drop("__forms")
 
 
 def mask_sensitive(df: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from operator import and_
 
 from pyspark.sql import DataFrame, functions as F
 
+from lakesync.workspace import fresh_dir
 from lakesync.operators.ordered import with_last, with_running_total
 
 
@@ -54,7 +55,10 @@ def range_counts(points: DataFrame, ranges: DataFrame, at: str, low: str, high:
         marks.select("__x", F.lit(1).alias("__side"), "__n")
     ).withColumn("__all", F.lit(0))
     counted = with_running_total(both, ["__all"], ["__x", "__side"], {"__below": F.col("__n")}, all_hot=True)
-    below = counted.where(F.col("__side") == 0).select("__x", "__below")
+    # Written once: both ends of a range are looked up in it.
+    path = fresh_dir(points.sparkSession, "range-counts")
+    counted.where(F.col("__side") == 0).select("__x", "__below").write.parquet(path)
+    below = points.sparkSession.read.parquet(path)
     lower = below.select(F.col("__x").alias("__l"), F.col("__below").alias("__b_low"))
     upper = below.select(F.col("__x").alias("__h"), F.col("__below").alias("__b_high"))
     joined = ranges.join(lower, F.col(low) == F.col("__l"), "left").join(upper, F.col(high) == F.col("__h"), "left")

@@ -163,26 +163,6 @@ def latest_raw(raw: DataFrame, cursor: str, kind: str) -> DataFrame:
     return latest_per_key(raw, ["_sync_primary_key"], raw_order(raw, cursor, kind))
 
 
-def merge_winners(kept: DataFrame, new: DataFrame, cursor: str, kind: str) -> DataFrame:
-    """Winners after new envelopes arrived.
-
-    The new rows are reduced to their own winners.  A kept row stays unless a newer one has its key, and a new winner is
-    added unless a kept one is newer; the second join needs no more of the kept rows than key and order.  Spark broadcasts
-    the new winners where they are small, and then the kept rows are not shuffled.
-    """
-    key = "_sync_primary_key"
-
-    def placed(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.col(key), F.struct(*raw_order(df, cursor, kind)).alias(name))
-
-    best = latest_raw(new, cursor, kind)
-    older = kept.withColumn("__old", F.struct(*raw_order(kept, cursor, kind))).join(placed(best, "__new"), key, "left")
-    newer = best.withColumn("__new", F.struct(*raw_order(best, cursor, kind))).join(placed(kept, "__old"), key, "left")
-    stay = older.where(F.col("__new").isNull() | (F.col("__old") >= F.col("__new"))).select(*kept.columns)
-    come = newer.where(F.col("__old").isNull() | (F.col("__new") > F.col("__old"))).select(*best.columns)
-    return stay.unionByName(come, allowMissingColumns=True)
-
-
 def version_history(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int | None = None,
     slices: int | None = None,

@@ -21,10 +21,10 @@ _RUN_ON_FILES = "spark.sql.runSQLOnFiles"
 
 def register_views(store: TableStore) -> list[str]:
     """Every table with a plain name becomes a view; a table without any rows is skipped."""
-    views = []
-    for name in store.names():
+    views, log = [], store.log()
+    for name in store.names(log):
         if IDENTIFIER.match(name) and not name.startswith("_"):
-            table = store.read(name)
+            table = store.read(name, log)
             if not table.isEmpty():
                 table.createOrReplaceTempView(name)
                 views.append(name)
@@ -74,8 +74,33 @@ def has_top_level_limit(text: str) -> bool:
     return re.search(r"(?i)(?<![A-Za-z0-9_.])limit\s+(all\b|[0-9])", flat) is not None
 
 
-def query(spark: SparkSession, text: str, limit: int = 0) -> DataFrame:
-    """Run a checked query; the limit applies only when the query has none of its own."""
+_RECURSION = re.compile(r"(?i)\bwith\s+recursive\b")
+_LEVEL = re.compile(r"(?i)\bmax\s+recursion\s+level\s+([0-9]+)")
+_LEVEL_LIMIT, _ROW_LIMIT = "spark.sql.cteRecursionLevelLimit", "spark.sql.cteRecursionRowLimit"
+
+
+def check_recursion(text: str, max_depth: int) -> None:
+    """A recursive query needs a bound on its depth, and none of its own goes beyond it."""
+    words = bare(text)
+    if not _RECURSION.search(words):
+        return
+    if max_depth <= 0:
+        raise ValueError("a recursive query needs max_depth")
+    stated = max((int(level) for level in _LEVEL.findall(words)), default=0)
+    if stated > max_depth:
+        raise ValueError(f"the query asks for {stated} levels, more than the {max_depth} that are allowed")
+
+
+def query(spark: SparkSession, text: str, limit: int = 0, max_depth: int = 0) -> DataFrame:
+    """Run a checked query; the limit applies only when the query has none of its own.
+
+    Recursive queries run with ``max_depth`` only: deeper data fails the query, it is not cut off.  The bound is a setting of
+    the session, since plans run later; the number of rows is not limited.
+    """
+    check_recursion(text, max_depth)
+    if max_depth > 0:
+        spark.conf.set(_LEVEL_LIMIT, max_depth)
+        spark.conf.set(_ROW_LIMIT, -1)
     result = analyzed(spark, text)
     return result.limit(limit) if limit > 0 and not has_top_level_limit(text) else result
 

@@ -8,11 +8,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Row, functions as F, types as T
 
 from lakesync.functions.cursor import cursor_kind
+from lakesync.operators.mapping import SchemaMapper, map_schema
 from lakesync.operators.sync import (
-    StreamSpec, SyncMode, accept_from, check_stream, enrich, latest_raw, max_cursor, merge_winners, parse_mode,
-    raw_envelope,
+    StreamSpec, SyncMode, accept_from, check_stream, enrich, latest_per_key, latest_raw, max_cursor, parse_mode, raw_envelope,
+    raw_order,
 )
-from lakesync.sources.tables import LIVE_RECORDS, RECORDS, Change, StreamState, TableStore
+from lakesync.sources import buckets
+from lakesync.sources.tables import BUCKETED, LIVE_BUCKETED, RECORDS, Change, StreamState, TableStore
 
 DEFAULT_BATCH_ROWS = 1000
 
@@ -47,16 +49,20 @@ def accepted_rows(source: DataFrame, spec: StreamSpec, mode: SyncMode, prior: St
 
 def run_sync(
     store: TableStore, source: DataFrame, spec: StreamSpec, mode: str | SyncMode, run_id: str,
-    run_at: str, batch_rows: int = DEFAULT_BATCH_ROWS,
+    run_at: str, batch_rows: int = DEFAULT_BATCH_ROWS, mapper: SchemaMapper | None = None,
+    bucket_rows: int | None = None,
 ) -> RunResult:
     """Land ``source`` and publish the final table; nothing is visible unless all of it worked.
 
+    ``mapper`` turns the source's columns into those that land; key and cursor are named as they land.
+
     New rows are shaped and written to raw history in one pass without a shuffle.  Deduplicated modes publish the winners of
     all raw history: kept winners cover the history up to the commit that wrote them, and what was landed since, by runs of
     any mode, is merged into them.  Counts come from the written files, so repeated tasks cannot inflate them.
     """
     mode = mode if isinstance(mode, SyncMode) else parse_mode(mode)
     check_stream(spec, mode)
+    source = map_schema(source, mapper) if mapper else source
     log = store.log()
     store.check_new(run_id, log)
     prior = store.stream_state(spec.name, log)
@@ -79,16 +85,12 @@ def run_sync(
     changes = [Change(raw_table(spec), raw_path, raw.schema, mode.overwrite, facts.n)]
 
     # The final table is a view of files that are written anyway: raw history,
-    # or the winners of it.
+    # or the winners of it, in buckets of which a run writes those that its keys fall into.
     final = Change(spec.table or spec.name, raw_path, raw.schema, mode.overwrite, facts.n, RECORDS)
     if mode.deduped:
-        best = winners(store, spec, kind, log, history, landed, overwrite=mode.overwrite)
-        best_path = store.stage(winners_table(spec), run_id, best)
-        counts = store.read_paths([best_path], best.schema).agg(
-            F.count("*").alias("all"), F.count_if(~F.col("_sync_deleted")).alias("live")
-        ).first()
-        changes.append(Change(winners_table(spec), best_path, best.schema, True, counts["all"]))
-        final = Change(spec.table or spec.name, best_path, best.schema, True, counts["live"], LIVE_RECORDS)
+        version, schema = publish_winners(store, spec, kind, run_id, log, history, landed, facts.n, mode.overwrite, bucket_rows)
+        changes.append(Change(winners_table(spec), version.path, schema, True, version.rows, BUCKETED))
+        final = Change(spec.table or spec.name, version.path, schema, True, version.live, LIVE_BUCKETED)
     changes.append(final)
 
     cursor = later_cursor(store, prior.cursor, facts.cursor, text_kind(source, spec, kind))
@@ -99,24 +101,41 @@ def run_sync(
     )
 
 
-def winners(
-    store: TableStore, spec: StreamSpec, kind: str | None, log: list[Row], history: list[tuple[int, Row]], landed: DataFrame,
-    overwrite: bool,
-) -> DataFrame:
-    """Winners of the raw history (number of the commit, change) and the rows just landed."""
-    if overwrite:
-        return latest_raw(landed, spec.cursor, kind)
-    kept = store.numbered(winners_table(spec), log)
+def publish_winners(
+    store: TableStore, spec: StreamSpec, kind: str | None, run_id: str, log: list[Row], history: list[tuple[int, Row]],
+    landed: DataFrame, n_landed: int, overwrite: bool, bucket_rows: int | None = None,
+) -> tuple[buckets.Version, T.StructType]:
+    """Stage the winners of the raw history (number of the commit, change) and of the rows just landed.
+
+    Winners stand in buckets of their key.  Where the kept ones cover the history up to a commit, only what came since is
+    reduced to its own winners, and only the buckets those fall into are read and written again.
+    """
+    path, key = store.fresh(winners_table(spec), run_id), ["_sync_primary_key"]
+    live = ~F.col("_sync_deleted")
+    kept = [] if overwrite else store.numbered(winners_table(spec), log)
     covered = kept[-1][0] if kept else 0
     # Winners from before the history began (it was overwritten since) are of no use.
-    if covered and not (history and history[0][1].action == "replace" and history[0][0] > covered):
-        since = [change for number, change in history if number > covered]
-    else:
-        kept, since = [], [change for _, change in history]
+    usable = covered and not (history and history[0][1].action == "replace" and history[0][0] > covered)
+    since = [] if overwrite else [change for number, change in history if not usable or number > covered]
     new = landed.unionByName(store.read_changes(since), allowMissingColumns=True) if since else landed
-    if not kept:
-        return latest_raw(new, spec.cursor, kind)
-    return merge_winners(store.read(winners_table(spec), log), new, spec.cursor, kind)
+    best = latest_raw(new, spec.cursor, kind)
+    if not usable:
+        rows = n_landed + sum(change.rows for change in since)
+        return buckets.write_version(best, key, path, rows, live, bucket_rows), best.schema
+    old = kept[-1][1]
+    schema = store.schema_of([old], best.schema)
+    best.write.parquet(f"{path}/delta")
+    delta = store.read_paths([f"{path}/delta"], best.schema)
+
+    def merge(rows: DataFrame, by: list[str]) -> DataFrame:
+        return latest_per_key(rows, [*by, *key], raw_order(rows, spec.cursor, kind))
+
+    return buckets.change_version(buckets.load_version(store.spark, old.path), schema, aligned(delta, schema), key, path, merge, live, bucket_rows), schema
+
+
+def aligned(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Rows with all fields of a merged schema, nested ones too; missing ones are null."""
+    return map_schema(df, lambda _: schema)
 
 
 def text_kind(source: DataFrame, spec: StreamSpec, kind: str | None) -> str:

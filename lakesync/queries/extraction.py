@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lakesync.functions.values import first_non_blank
-from lakesync.operators import extract
+from lakesync.operators import extract, mapping
 from lakesync.operators.sync import latest_per_key
 from lakesync.queries.registry import query, table
 
@@ -332,12 +332,38 @@ def scalar_array_rows(spark, sf_dir):
 
 
 @query("attribute_value_unwrap", """
+    SELECT 'part ' || p_partkey AS pk, CAST(p_size AS VARCHAR) AS size, p_size > 25 AS big,
+           CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS brand, CAST(p_retailprice AS VARCHAR) AS price,
+           CASE WHEN p_partkey % 5 = 0 THEN 'deep ' || p_size END AS deep,
+           CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_name || '=' || (p_size > 10) || ',' || p_type || '=-' END AS tags,
+           CASE WHEN p_partkey % 7 = 0 THEN '{"k":"' || p_size || '"}' WHEN p_partkey % 7 = 1 THEN 'true' ELSE p_brand END AS mixed
+    FROM part
+""")
+def attribute_value_unwrap(spark, sf_dir):
+    """Nothing is declared: the columns, nested maps and lists are found in the bodies."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    brand = F.when(key % 2 == 0, text('{"S":"', F.col("p_brand"), '"}')).otherwise('{"NULL":true}')
+    deep = F.when(key % 5 == 0, text(',"more.of it":{"M":{"deep":{"M":{"it\'s":{"S":"deep ', size, '"}}}}}')).otherwise("")
+    tags = F.when(key % 3 == 0, "").otherwise(text(
+        '{"M":{"name":{"S":"', F.col("p_name"), '"},"flag":{"BOOL":', size > 10, '}}},7,{"M":{"name":{"S":"', F.col("p_type"), '"},"no":5}}'))
+    mixed = F.when(key % 7 == 0, text('{"M":{"k":{"N":"', size, '"}}}')).when(key % 7 == 1, '{"BOOL":true}').otherwise(text('{"S":"', F.col("p_brand"), '"}'))
+    body = text(
+        '{"pk":{"S":"part ', key, '"},"size":{"N":"', size, '"},"big":{"BOOL":', size > 25, '},"info":{"M":{"brand":', brand,
+        ',"price":{"N":"', F.col("p_retailprice"), '"}', deep, '}},"tags":{"L":[', tags, ']},"mixed":', mixed, "}",
+    )
+    rows = mapping.unwrap_found(table(spark, sf_dir, "part").select(body.alias("body")))
+    each = F.transform("tags", lambda t: F.concat(t["name"], F.lit("="), F.coalesce(t["flag"].cast("string"), F.lit("-"))))
+    return rows.select("pk", "size", "big", "info.brand", "info.price", F.col("info")["more.of it"]["deep"]["it's"].alias("deep"),
+                       F.array_join(each, ",").alias("tags"), "mixed")
+
+
+@query("attribute_value_declared", """
     SELECT 'part ' || p_partkey AS pk, CAST(p_size AS VARCHAR) AS size, p_size > 25 AS big,
            CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS brand, p_retailprice AS price,
            p_name || ',' || p_type AS tags
     FROM part
 """)
-def attribute_value_unwrap(spark, sf_dir):
+def attribute_value_declared(spark, sf_dir):
     nested = F.when(F.col("p_partkey") % 2 == 0, text('{"S":"', F.col("p_brand"), '"}')).otherwise('{"NULL":true}')
     body = text(
         '{"pk":{"S":"part ', F.col("p_partkey"), '"},"size":{"N":"', F.col("p_size"), '"},"big":{"BOOL":', F.col("p_size") > 25,

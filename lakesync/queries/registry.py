@@ -18,7 +18,7 @@ _oracles: dict[str, str] = {}
 
 MODULES = (
     "sources", "extraction", "shaping", "schemas", "syncing", "relational", "scoring", "quality",
-    "writing", "changes", "ledgers", "streams", "flagship",
+    "writing", "changes", "ledgers", "streams", "hooks", "flagship",
 )
 
 

@@ -304,6 +304,30 @@ def sql_cte_subquery(spark, sf_dir):
     return guarded.query(spark, _CTE)
 
 
+_CHAIN = """
+    WITH RECURSIVE steps AS (
+        SELECT o_custkey, o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS price,
+               lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS previous,
+               lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS following
+        FROM orders),
+    chain AS (
+        SELECT o_custkey, o_orderkey, previous, CAST(1 AS BIGINT) AS depth, CAST(price AS DECIMAL(28,2)) AS spent FROM steps WHERE following IS NULL
+        UNION ALL
+        SELECT s.o_custkey, s.o_orderkey, s.previous, c.depth + 1, CAST(c.spent + s.price AS DECIMAL(28,2))
+        FROM chain c JOIN steps s ON s.o_orderkey = c.previous AND s.o_custkey = c.o_custkey)
+    SELECT o_custkey, o_orderkey, depth, CAST(spent AS DOUBLE) AS spent FROM chain
+"""
+
+
+@query("sql_recursive_chain", _CHAIN)
+def sql_recursive_chain(spark, sf_dir):
+    """From the last order of each customer back to the first: as deep as the customer with most orders."""
+    orders = table(spark, sf_dir, "orders")
+    orders.createOrReplaceTempView("orders")
+    most = orders.groupBy("o_custkey").count().agg(F.max("count").alias("n")).first().n or 0
+    return guarded.query(spark, _CHAIN, max_depth=most + 1)
+
+
 @query("expr_null_nan", """
     SELECT event_id, coalesce(CASE WHEN event_id % 3 <> 0 THEN value END, -1) AS filled, event_id % 3 = 0 AS is_missing,
            event_id % 5 = 0 AS is_nan, event_id % 7 = 0 AND event_id % 5 <> 0 AS is_inf

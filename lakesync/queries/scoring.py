@@ -98,21 +98,30 @@ def score_validate(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
+# The words in the SQL are written out, so that the lists of the operator are checked too.
 @query("route_requests", """
-    SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN 'ml' WHEN 3 THEN 'simple_query' ELSE 'data_analysis' END AS task,
-           CASE conv_id % 4 WHEN 0 THEN 0.6::DOUBLE WHEN 3 THEN 0.5::DOUBLE ELSE 0.55::DOUBLE END AS confidence,
-           CASE conv_id % 4 WHEN 0 THEN 'forecast,random forest,churn' WHEN 1 THEN 'compare,growth,rolling'
-               WHEN 2 THEN 'join,contributor,share of,top contributors' ELSE '' END AS key_indicators
-    FROM conversations
+    WITH r AS (SELECT conv_id, turn, lower(coalesce(text, '') || CASE conv_id % 4 WHEN 0 THEN ' Forecast churn with a random forest'
+                   WHEN 1 THEN ' Compare growth, rolling by month' WHEN 2 THEN ' JOIN the share of top contributors' ELSE '' END) AS t FROM conversations),
+    h AS (SELECT conv_id, turn, list_filter(['train', 'predict', 'prediction', 'forecast', 'classify', 'classification', 'regression',
+              'cluster', 'clustering', 'segment customers', 'anomaly', 'accuracy', 'precision', 'recall', 'f1', 'cross-validation',
+              'feature importance', 'logistic', 'random forest', 'naive bayes', 'svm', 'decision tree', 'neural network', 'churn',
+              'recommend', 'recommendation', 'propensity'], lambda w: contains(t, w)) AS ml,
+          list_filter(['correlat', 'trend', 'cohort', 'distribution', 'group by', 'aggregate', 'average over', 'compare', 'comparison',
+              'percentile', 'growth', 'retention', 'funnel', 'join', 'across tables', 'month over month', 'year over year', 'breakdown',
+              'rolling', 'moving average', 'bus factor', 'concentration', 'gini', 'contribution', 'contributor', 'key people',
+              'key contributors', 'share of', 'top contributors'], lambda w: contains(t, w)) AS an FROM r)
+    SELECT conv_id, turn, CASE WHEN len(ml) > 0 THEN 'ml' WHEN len(an) > 0 THEN 'data_analysis' ELSE 'simple_query' END AS task,
+           CASE WHEN len(ml) > 0 THEN 0.6::DOUBLE WHEN len(an) > 0 THEN 0.55::DOUBLE ELSE 0.5::DOUBLE END AS confidence,
+           array_to_string(CASE WHEN len(ml) > 0 THEN ml ELSE an END, ',') AS key_indicators
+    FROM h
 """)
 def route_requests(spark, sf_dir):
+    """The texts as they are, three in four with a sentence added that holds listed words."""
     kind = F.col("conv_id") % 4
     tail = (
         F.when(kind == 0, " Forecast churn with a random forest").when(kind == 1, " Compare growth, rolling by month")
         .when(kind == 2, " JOIN the share of top contributors").otherwise("")
     )
-    # The texts without their words, so that only the added ones can be found.
-    rest = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\p{L}\p{N}]", "z")
-    talks = table(spark, sf_dir, "conversations").withColumn("request", F.concat(rest, tail))
+    talks = table(spark, sf_dir, "conversations").withColumn("request", F.concat(F.coalesce("text", F.lit("")), tail))
     routed = score.route_requests(talks, "request")
     return routed.select("conv_id", "turn", "task", "confidence", F.array_join("key_indicators", ",").alias("key_indicators"))

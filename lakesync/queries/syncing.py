@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from lakesync.functions.values import iso_micros, is_deleted
-from lakesync.operators import sync
+from lakesync.operators import digests, sync
 from lakesync.operators.sync import StreamSpec
+from lakesync.plans.history import read_history, run_history
 from lakesync.plans.sync_run import RunResult, run_sync
 from lakesync.queries.registry import query, table
 from lakesync.queries.sources import ISO, RUN_AT
@@ -83,23 +84,30 @@ MODES_IN_TURN = (
 
 
 @query("sync_mode_switch", """
-    SELECT 'history' AS state, o_custkey, strftime(max(o_orderdate), '%Y-%m-%d') AS newest FROM orders
-    WHERE o_orderdate < TIMESTAMP '1996-01-01' GROUP BY o_custkey
+    WITH bounds AS (SELECT epoch(min(o_orderdate))::BIGINT AS low, epoch(max(o_orderdate))::BIGINT AS high FROM orders),
+    parts AS (SELECT o_custkey, o_orderdate, (epoch(o_orderdate)::BIGINT - low) * 6 // (high - low + 1) AS part FROM orders, bounds)
+    SELECT 'history' AS state, o_custkey, strftime(max(o_orderdate), '%Y-%m-%d') AS newest FROM parts WHERE part <= 3 GROUP BY o_custkey
     UNION ALL
-    SELECT 'overwritten', o_custkey, strftime(max(o_orderdate), '%Y-%m-%d') FROM orders
-    WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1998-01-01' GROUP BY o_custkey
+    SELECT 'overwritten', o_custkey, strftime(max(o_orderdate), '%Y-%m-%d') FROM parts WHERE part >= 4 GROUP BY o_custkey
+    UNION ALL
+    SELECT 'landed', part, CAST(count(*) AS VARCHAR) FROM parts GROUP BY part
 """)
 def sync_mode_switch(spark, sf_dir):
-    """One year of orders per run, each run in another mode; deduplicated runs publish winners of all raw history."""
+    """All orders, a sixth of their time per run, each run in another mode; deduplicated runs publish winners of all raw
+    history.  Every order lands once."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    seconds = F.unix_timestamp("o_orderdate")
+    low, high = orders.agg(F.min(seconds), F.max(seconds)).first()
+    part = F.expr(f"(unix_timestamp(o_orderdate) - {low or 0}) * {len(MODES_IN_TURN)} div {(high or 0) - (low or 0) + 1}")
     store, spec, states = TableStore(spark, fresh_dir(spark, "store")), StreamSpec("orders", ("o_custkey",), "o_orderdate"), []
+    landed = []
     for k, mode in enumerate(MODES_IN_TURN):
-        year = orders.where(F.year("o_orderdate") == 1992 + k)
-        run_sync(store, year, spec, mode, f"run{k}", f"2024-02-0{k + 1}T00:00:00.000000Z")
+        run = run_sync(store, orders.where(part == k), spec, mode, f"run{k}", f"2024-02-0{k + 1}T00:00:00.000000Z")
+        landed.append(("landed", k, str(run.records_transformed)))
         if k in (3, 5):
             newest = F.date_format("o_orderdate", "yyyy-MM-dd").alias("newest")
             states.append(store.read("orders").select(F.lit("history" if k == 3 else "overwritten").alias("state"), "o_custkey", newest))
-    return states[0].unionByName(states[1])
+    return states[0].unionByName(states[1]).unionByName(spark.createDataFrame(landed, states[0].schema))
 
 
 @query("sync_schema_change", """
@@ -276,6 +284,40 @@ def sync_history_scd2(spark, sf_dir):
     )
 
 
+@query("sync_history_incremental", f"""
+    SELECT user_id, event_id, strftime(ts, '{ISO}') AS valid_from,
+           strftime(lead(ts) OVER w, '{ISO}') AS valid_to, lead(ts) OVER w IS NULL AS is_current
+    FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+""")
+def sync_history_incremental(spark, sf_dir):
+    """The same history in three runs that overlap; a run touches the open versions of its own keys only."""
+    events, store = table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), TableStore(spark, fresh_dir(spark, "store"))
+    days = [F.to_timestamp_ntz(F.lit(day)) for day in ("2024-01-10", "2024-01-20")]
+    at = F.col("ts")
+    for k, rows in enumerate((events.where(at < days[0]), events.where((at >= days[0]) & (at < days[1])), events.where(at >= days[1]))):
+        run_history(store, rows, "events", ["user_id"], ["ts", "event_id"], f"run{k}")
+    history = read_history(store, "events", ["ts", "event_id"])
+    return history.select(
+        "user_id", "event_id", iso_micros(F.col("valid_from")).alias("valid_from"),
+        iso_micros(F.col("valid_to")).alias("valid_to"), "is_current",
+    )
+
+
+@query("changed_rows_by_digest", """
+    SELECT o_orderkey, CASE WHEN o_orderkey % 331 = 0 THEN 'new' WHEN o_orderkey % 331 = 1 THEN 'deleted' ELSE 'changed' END AS row_state,
+           CASE WHEN o_orderkey % 331 <> 1 THEN sha256('o_custkey=' || o_custkey || ';o_orderkey=' || o_orderkey || ';o_orderstatus="' || o_orderstatus || '";') END AS source_signature
+    FROM orders WHERE o_orderkey % 331 IN (0, 1) OR o_orderkey % 337 = 0
+""")
+def changed_rows_by_digest(spark, sf_dir):
+    """Orders against a snapshot in which one in a hundred stands otherwise; equal buckets are not read."""
+    key, columns = F.col("o_orderkey"), ["o_orderkey", "o_custkey", "o_orderstatus"]
+    orders = table(spark, sf_dir, "orders").select(*columns)
+    was = orders.where(key % 331 != 0).withColumn("o_custkey", F.when(key % 337 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")))
+    snapshot = digests.take_snapshot(was, ["o_orderkey"], columns, fresh_dir(spark, "snapshot"), bucket_rows=2000)
+    changed = digests.changes_since(snapshot, orders.where(key % 331 != 1))
+    return changed.select("o_orderkey", "row_state", "source_signature")
+
+
 @query("row_signatures_unchanged", """
     SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'new' WHEN o_orderkey % 10 = 1 THEN 'deleted'
                             WHEN o_orderkey % 7 = 0 THEN 'changed' ELSE 'unchanged' END AS row_state,

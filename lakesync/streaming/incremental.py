@@ -2,33 +2,21 @@
 
 What a micro-batch writes stands under the batch number, so a batch that is run
 again after a failure replaces its own rows.  Appended batches are the result.
-Deduplicated and change streams keep a state: each batch is merged into the
-state of the batch before it, so no batch reads more than its own files and
-that state, and neither does a later drain.
+Deduplicated and change streams keep one row per key in the state store (see
+``keyed``), so a batch costs what its own keys cost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, types as T
 
-from lakesync.operators.cdc import current_rows, fold_changes, merge_folds
-from lakesync.operators.sync import latest_per_key
-
-BATCH = "_batch"
-
-
-def file_stream(spark: SparkSession, path: str, schema: T.StructType, form: str = "parquet",
-                max_files: int = 1000) -> DataFrame:
-    return spark.readStream.schema(schema).format(form).option("maxFilesPerTrigger", max_files).load(path)
-
-
-def drain(stream: DataFrame, checkpoint: str, land: Callable[[DataFrame, int], None]) -> None:
-    """Process all files that are there now, then stop."""
-    query = stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    query.start().awaitTermination()
+from lakesync.operators.cdc import change_folds, current_rows
+from lakesync.streaming import keyed
+from lakesync.streaming.files import BATCH, drain, file_stream
 
+__all__ = ["change_stream", "file_stream", "incremental_append", "incremental_deduped", "land_batches"]
 
 def land_batches(
     stream: DataFrame, target: str, checkpoint: str, shape: Callable[[DataFrame], DataFrame]
@@ -52,57 +40,16 @@ def incremental_append(
     ).drop(BATCH)
 
 
-def fold_batches(
-    stream: DataFrame, target: str, checkpoint: str, schema: T.StructType, fold: Callable[[DataFrame | None, DataFrame], DataFrame]
-) -> DataFrame:
-    """The state after all files that are there now: ``fold(state, batch)`` of each micro-batch in turn.
-
-    States are tables of their own, numbered like the batches; the two newest are kept, so a batch that is run again finds
-    the one it started from.
-    """
-    spark = stream.sparkSession
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
-    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def numbers() -> list[int]:
-        if not files.exists(root):
-            return []
-        return sorted(int(status.getPath().getName().partition("=")[2]) for status in files.listStatus(root))
-
-    def state(below: int | None = None) -> DataFrame | None:
-        found = [n for n in numbers() if below is None or n < below]
-        return spark.read.schema(schema).parquet(f"{target}/{BATCH}={found[-1]}") if found else None
-
-    def land(batch: DataFrame, number: int) -> None:
-        fold(state(number), batch).write.mode("overwrite").parquet(f"{target}/{BATCH}={number}")
-        for old in [n for n in numbers() if n < number][:-1]:
-            files.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/{BATCH}={old}"), True)
-
-    drain(stream, checkpoint, land)
-    final = state()
-    return spark.createDataFrame([], schema) if final is None else final
-
-
 def incremental_deduped(
     stream: DataFrame, target: str, checkpoint: str, keys: list[str], order: list[str], deleted: Column
 ) -> DataFrame:
     """Latest row per key across all batches; winners are kept with the deleted ones, which stay deleted."""
-    def fold(kept: DataFrame | None, batch: DataFrame) -> DataFrame:
-        best = latest_per_key(batch, keys, [F.col(o) for o in order])
-        return best if kept is None else latest_per_key(kept.unionByName(best), keys, [F.col(o) for o in order])
-
-    return fold_batches(stream, target, checkpoint, stream.schema, fold).where(~deleted)
+    return keyed.latest_rows(stream, keys, order, target, checkpoint).where(~deleted)
 
 
 def change_stream(
     stream: DataFrame, target: str, checkpoint: str, keys: list[str], columns: list[str], position: str
 ) -> DataFrame:
     """Current table from a stream of change events; the state is the folded log, deleted keys included."""
-    def fold(kept: DataFrame | None, batch: DataFrame) -> DataFrame:
-        part = fold_changes(batch, keys, columns, position)
-        return part if kept is None else merge_folds(kept.unionByName(part), keys, columns)
-
-    spark = stream.sparkSession
-    schema = fold_changes(spark.createDataFrame([], stream.schema), keys, columns, position).schema
-    nullable = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
-    return current_rows(fold_batches(stream, target, checkpoint, nullable, fold), keys, columns, position)
+    folds = change_folds(stream, columns, position)
+    return current_rows(keyed.keyed(stream, keys, folds, target, checkpoint), keys, columns, position)

@@ -13,7 +13,7 @@ QUERIES, ORACLES = all_queries(), all_oracles()
 # Operators that pair all rows with all rows.
 FORBIDDEN_NODES = ("CartesianProduct", "BroadcastNestedLoopJoin")
 # Queries whose feature is Python code per batch.
-PYTHON_QUERIES = {"record_hook_map", "redact_json_text", "cdc_events"}
+PYTHON_QUERIES = {"record_hook_map", "redact_json_text"}
 
 
 def plan_of(frame):
