@@ -18,7 +18,7 @@ def numbers(forbidden):
     stands in here so that it travels to the workers."""
     class Numbers(StreamHook):
         def schema(self, options):
-            return T.StructType.fromDDL("slice bigint, n bigint")
+            return T.StructType([T.StructField("slice", T.LongType()), T.StructField("n", T.LongType())])
 
         def takes(self, bound, options):
             return bound.column == "slice"
