@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +16,8 @@ SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 OTHER_SPACE = r"[\t\n\x0B\f\r]"
 #: Hex digits of a hash key that name its bucket: 4096 buckets in each group.
 BUCKET_DIGITS = 3
+#: Text that a task works on at once.
+BATCH_BYTES = 4 << 20
 
 
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
@@ -68,5 +74,28 @@ def running_totals(df: DataFrame, group: list[str], key: str, size: str, ties: l
     )
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def cut_by_bytes(batch: pa.RecordBatch, column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``most`` bytes of text, or of one longer text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    begin, held = 0, 0
+    for at, size in enumerate(sizes.tolist()):
+        if at > begin and held + size > most:
+            yield batch.slice(begin, at - begin)
+            begin, held = at, 0
+        held += size
+    if begin < len(batch):
+        yield batch.slice(begin)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

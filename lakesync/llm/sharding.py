@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections import deque
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakesync.llm.common import hash_key, materialise, running_totals, text_or_empty
@@ -87,11 +87,12 @@ def reshard(rows: DataFrame, old_shards: int, new_shards: int) -> DataFrame:
     sizes = {r["old"]: r["bytes"] for r in rows.groupBy("old").agg(F.sum("size").alias("bytes")).collect()}
     plan = transfer_plan(rows.sparkSession, sizes, old_shards, new_shards).withColumnRenamed("old", "__old")
     middle = F.col("before") + F.floor(F.col("size") / 2)
-    placed = running_totals(rows, ["old"], "key", "size", ["doc_id", "size"]).drop("slot")
+    ties = [c for c in ("doc_id", "size", "__row") if c in rows.columns]
+    placed = running_totals(rows, ["old"], "key", "size", ties).drop("slot")
     # At most old x new rows, a number fixed by the parameters.
     moved = placed.join(F.broadcast(plan), (F.col("old") == F.col("__old")) & (middle >= F.col("from_byte")) & (middle < F.col("to_byte")))
     moved = materialise(moved.withColumn("shard", F.col("new")).drop("__old", "new", "from_byte", "to_byte", "before"), "reshard-plan")
-    return running_totals(moved, ["shard"], "key", "size", ["doc_id", "size"]).drop("before")
+    return running_totals(moved, ["shard"], "key", "size", ties).drop("before")
 
 
 def old_shard(source: str, shards: int = OLD_SHARDS):
@@ -99,27 +100,63 @@ def old_shard(source: str, shards: int = OLD_SHARDS):
     return (F.crc32(F.coalesce(F.col(source).cast("string"), F.lit("")).cast("binary")) % shards).cast("int")
 
 
-def lay_out(docs: DataFrame) -> tuple[DataFrame, dict[int, str]]:
-    """The documents in their old shards, with a number of its own (``__row``) for each row; and the folder of each shard."""
+def order_key() -> Column:
+    """The place of a row within its old shard, by hash of id and text; rows equal in both follow by ``__row``."""
+    return hash_key(F.col("doc_id"), F.md5(text_or_empty().cast("binary")))
+
+
+def lay_out(docs: DataFrame) -> DataFrame:
+    """The documents in their old shards (``__at``), with a number of its own (``__row``) for each row."""
     path = fresh_dir(docs.sparkSession, "old-shards")
-    docs.withColumns({"__row": F.monotonically_increasing_id(), "__at": old_shard("source")}).write.partitionBy("__at").parquet(path)
-    laid = docs.sparkSession.read.schema(docs.select("*", F.lit(0).cast("long").alias("__row"), F.lit(0).alias("__at")).schema).parquet(path)
-    return laid, {r["__at"]: f"{path}/__at={r['__at']}" for r in laid.select("__at").distinct().collect()}  # at most OLD_SHARDS
+    numbered = docs.withColumns({"__row": F.monotonically_increasing_id(), "__at": old_shard("source")})
+    numbered.write.option("compression", "zstd").partitionBy("__at").parquet(path)
+    return docs.sparkSession.read.schema(docs.select("*", F.lit(0).cast("long").alias("__row"), F.lit(0).alias("__at")).schema).parquet(path)
 
 
 def op10_reshard(spark, sf_dir: str) -> DataFrame:
-    laid, folders = lay_out(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    laid = lay_out(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     text = text_or_empty()
     rows = laid.select(
         "__row", "doc_id", F.col("__at").alias("old"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"), hash_key(F.col("doc_id")).alias("key"))
+        F.crc32(text.cast("binary")).alias("text_crc32"), order_key().alias("key"))
     placed = materialise(reshard(rows, OLD_SHARDS, NEW_SHARDS), "reshard-slots")
-    rewrite_affected(spark, folders, placed, keys=("__row",))
+    rewrite_blocks(laid, placed)
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"), F.col("old").alias("old_shard"))
 
 
+def rewrite_blocks(laid: DataFrame, placed: DataFrame) -> tuple[str, set[int]]:
+    """Write the shards that gain or lose rows; the folder they are in, and which old shards stay as they are.
+
+    Every old shard was cut into blocks of neighbouring rows, so a row's shard follows from its place alone: the first place
+    of each block (at most old x new rows) goes to all tasks, and the files of affected shards are read and written once,
+    without a shuffle.  Another number of rows than before is an error; the old files stay valid until the caller switches over.
+    """
+    spark = laid.sparkSession
+    place = F.struct("key", "__row")
+    blocks = placed.groupBy("old", "shard").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).collect()
+    affected = {b[k] for b in blocks if b["old"] != b["shard"] for k in ("old", "shard")}
+    target = fresh_dir(spark, "reshard")
+    if not affected:
+        return target, {b["old"] for b in blocks}
+    ends: dict[int, list] = {}
+    for b in sorted(blocks, key=lambda b: (b["old"], b["first"])):
+        ends.setdefault(b["old"], []).append(b)
+    listed = [(old, b["shard"], b["first"], after["first"] if after else None)
+              for old, row in ends.items() if old in affected for b, after in zip(row, [*row[1:], None])]
+    borders = spark.createDataFrame(listed, "__old int, __shard int, __first struct<key:string,__row:long>, __next struct<key:string,__row:long>")
+    here = F.struct(order_key().alias("key"), F.col("__row").alias("__row"))
+    rows = laid.filter(F.col("__at").isin(sorted(affected))).withColumn("__place", here)
+    within = (F.col("__at") == F.col("__old")) & (F.col("__place") >= F.col("__first")) & (F.col("__next").isNull() | (F.col("__place") < F.col("__next")))
+    moved = rows.join(F.broadcast(borders), within).drop("__place", "__first", "__next", "__old", "__at", "__row")
+    moved.write.option("compression", "zstd").partitionBy("__shard").parquet(target)
+    before, written = sum(b["n"] for b in blocks if b["old"] in affected), spark.read.parquet(target).count()
+    if before != written:
+        raise ValueError(f"{before} rows of the affected shards, {written} rows written")
+    return target, {b["old"] for b in blocks} - affected
+
+
 def rewrite_affected(spark: SparkSession, folders: dict[int, str], placed: DataFrame, purpose: str = "reshard",
                      keys: tuple[str, ...] = ("doc_id",)) -> dict[int, str]:
     """New folders of the shards that gain or lose rows; the others keep theirs.

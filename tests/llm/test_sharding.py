@@ -2,7 +2,10 @@ import itertools
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from lakesync.llm import sharding
+from lakesync.llm.common import materialise
 from lakesync.workspace import fresh_dir
 from hard_rows import hard, nothing  # noqa: F401
 
@@ -79,7 +82,7 @@ def test_null_and_repeated_ids_stay_whole(spark):
     for i in range(3):
         folders[i] = fresh_dir(spark, "shards")
         spark.createDataFrame([(d, f"text {k}") for k, (d, o, _) in enumerate(rows) if o == i], "doc_id long, text string").write.parquet(folders[i])
-    placed = resharded(spark, rows, 3, 3).localCheckpoint()
+    placed = materialise(resharded(spark, rows, 3, 3), "t")
     after = sharding.rewrite_affected(spark, folders, placed)
     written = {j: spark.read.parquet(f).collect() for j, f in after.items()}
     assert sorted(r["text"] for found in written.values() for r in found) == sorted(f"text {k}" for k in range(300))
@@ -88,14 +91,19 @@ def test_null_and_repeated_ids_stay_whole(spark):
 
 
 def test_the_query_rewrites_every_row(spark, hard, monkeypatch):
-    after, rewrite = {}, sharding.rewrite_affected
-    monkeypatch.setattr(sharding, "rewrite_affected", lambda *a, **k: after.update(rewrite(*a, **k)))
+    after, rewrite = [], sharding.rewrite_blocks
+    monkeypatch.setattr(sharding, "rewrite_blocks", lambda laid, placed: after.append((laid, *rewrite(laid, placed))))
     path = fresh_dir(spark, "sf")
-    hard.write.parquet(f"{path}/documents.parquet")
-    placed = Counter((r["shard"], r["doc_id"], r["size"]) for r in sharding.op10_reshard(spark, path).collect())
-    rows = [(j, r) for j, f in after.items() for r in spark.read.parquet(f).collect()]
-    assert Counter((j, r["doc_id"], len((r["text"] or "").encode()) + 16) for j, r in rows) == placed
-    assert Counter(r["text"] for _, r in rows) == Counter(r["text"] for r in hard.collect())
+    more = hard.unionByName(hard).withColumn("source", F.coalesce("source", F.lit("b")))
+    more.write.parquet(f"{path}/documents.parquet")
+    first, again = (sorted(tuple(r) for r in sharding.op10_reshard(spark, path).drop("grown_shard").na.fill(-1).collect()) for _ in (0, 1))
+    assert first == again
+    laid, target, stay = after[0]
+    placed = Counter((r[4], r[0], r[1]) for r in first)
+    rows = [(r["__shard"], r) for r in spark.read.parquet(target).collect()] + [(r["__at"], r) for r in laid.collect() if r["__at"] in stay]
+    assert Counter((j, -1 if r["doc_id"] is None else r["doc_id"], len((r["text"] or "").encode()) + 16) for j, r in rows) == placed
+    assert Counter(r["text"] for _, r in rows) == Counter(r["text"] for r in more.collect())
+    assert set(spark.read.parquet(target).columns) == {*hard.columns, "__shard"}
 
 
 def test_hard_rows(spark, hard, nothing):
