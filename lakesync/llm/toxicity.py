@@ -58,13 +58,19 @@ HELD_OUT_PARTS, HELD_OUT = 3, 1
 KEPT = 200_000
 #: Texts whose terms are found together.
 TOGETHER = 128
+#: Parts in which the sample's terms come to the driver.
+PARTS = 16
 
 _WORD = re.compile(r"[^\W\d_]+")
 _MASK = (1 << HASH_BITS) - 1
 
 
-def term(stem: np.ndarray, level: int) -> np.ndarray:
-    return (stem + level * 0x9E3779) & _MASK
+#: What a level adds to the hash of a stem.
+STEP = 0x9E3779
+
+
+def term(stem: np.ndarray, level: int | np.ndarray) -> np.ndarray:
+    return (stem + level * STEP) & _MASK
 
 
 class Terms(dict):
@@ -72,19 +78,21 @@ class Terms(dict):
 
     def __init__(self, known: bytes | None = None) -> None:
         super().__init__()
-        self.number = None
+        self.number = self.stems = None
         if known is not None:
             terms = np.frombuffer(known, "<i4")
             self.number = np.full(_MASK + 1, -1, np.int32)
             self.number[terms] = np.arange(len(terms), dtype=np.int32)
+            stems = np.zeros(_MASK + 1, np.uint8)
+            for level in LEVELS:
+                stems[(terms.astype(np.int64) - level * STEP) & _MASK] = 1
+            self.stems = stems.tobytes()
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= KEPT:
             self.clear()
-        stems = [word + "$", *(word[:n] for n in BEGINNINGS if len(word) >= n)]
-        found = tuple(zlib.crc32(x.encode()) & _MASK for x in stems)
-        if self.number is not None:
-            found = tuple(x for x in found if any(self.number[term(x, level)] >= 0 for level in LEVELS))
+        stems = [zlib.crc32(f"{word}$".encode()) & _MASK, *(zlib.crc32(word[:n].encode()) & _MASK for n in BEGINNINGS if len(word) >= n)]
+        found = tuple(stems if self.stems is None else [x for x in stems if self.stems[x]])
         self[word] = found
         return found
 
@@ -99,14 +107,21 @@ class Terms(dict):
         widths = np.fromiter(map(len, words), np.int64, len(words))
         stems = np.fromiter(chain.from_iterable(words), np.int64, int(widths.sum()))
         row = np.repeat(np.repeat(np.arange(len(sizes)), sizes), widths)
-        keys, where = np.unique(row << HASH_BITS | stems, return_inverse=True)
-        times = np.bincount(where, np.repeat(np.array(times, np.int64), widths), len(keys))
-        found = [(keys[times >= level] >> HASH_BITS, term(keys[times >= level] & _MASK, level)) for level in LEVELS]
-        row, terms = (np.concatenate(x) for x in zip(*found))
+        # Text, stem and count in one number, so that one sort brings a text's equal stems together.  More than the highest
+        # level of one word counts as that level.
+        few = np.minimum(np.repeat(np.array(times, np.int64), widths), LEVELS[-1])
+        packed = np.sort((row << HASH_BITS | stems) << 2 | few)
+        keys = packed >> 2
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        count = np.add.reduceat(packed & 3, first) if len(first) else first
+        row, stem = keys[first] >> HASH_BITS, keys[first] & _MASK
+        terms = term(stem[:, None], np.array(LEVELS)[None, :])
+        there = count[:, None] >= np.array(LEVELS)[None, :]
         if self.number is not None:
             terms = self.number[terms].astype(np.int64)
-            row, terms = row[terms >= 0], terms[terms >= 0]
-        keys = np.unique(row << HASH_BITS | terms)
+            there &= terms >= 0
+        keys = np.sort((row[:, None] << HASH_BITS | terms)[there])
+        keys = keys[np.diff(keys, prepend=-1) != 0]  # levels of different stems may share a hash
         return (keys & _MASK).astype(np.int32), np.searchsorted(keys >> HASH_BITS, np.arange(len(sizes) + 1))
 
 
@@ -121,16 +136,20 @@ class Machine:
 
     def __init__(self, bias: float, weights: np.ndarray, factors: np.ndarray) -> None:
         self.bias, self.weights, self.factors = bias, weights, factors
+        self._own = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_own": None}
 
     def margins(self, terms: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Scores before the logistic function; row r has the terms from starts[r] to starts[r + 1]."""
+        if self._own is None:  # what a term adds by itself, and the factors beside it
+            self._own = np.column_stack([self.weights - 0.5 * (self.factors ** 2).sum(1), self.factors])
         out = np.full(len(starts) - 1, self.bias)
         filled = np.flatnonzero(np.diff(starts))
         if len(filled):
-            at = starts[filled]
-            out[filled] += np.add.reduceat(self.weights[terms] - 0.5 * (self.factors[terms] ** 2).sum(1), at)
-            for f in range(FACTORS):
-                out[filled] += 0.5 * np.add.reduceat(self.factors[terms, f], at) ** 2
+            sums = np.add.reduceat(self._own[terms], starts[filled], axis=0)
+            out[filled] += sums[:, 0] + 0.5 * (sums[:, 1:] ** 2).sum(1)
         return out
 
     def probabilities(self, terms: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -150,14 +169,17 @@ def fit(rows: list, labels: np.ndarray, n_terms: int, seed: int = 7) -> Machine:
     rng = np.random.default_rng(seed)
     model = Machine(0.0, np.zeros(n_terms), rng.normal(0, 0.02, (n_terms, FACTORS)))
     sum_b, sum_w, sum_v = 1e-6, np.full(n_terms, FIRST_W), np.full((n_terms, FACTORS), FIRST_V)
+    rows = [np.asarray(r, np.int32) for r in rows]
     sizes, number = np.array([len(r) for r in rows], np.int64), np.zeros(n_terms, np.int32)
     for _ in range(EPOCHS):
         order = rng.permutation(len(rows))
         for k in range(0, len(order), BATCH):
             picked = order[k: k + BATCH]
-            terms = np.concatenate([np.asarray(rows[i], np.int64) for i in picked])
-            used = np.flatnonzero(np.bincount(terms, minlength=n_terms))
+            terms = np.concatenate([rows[i] for i in picked])
+            used = np.sort(terms)
+            used = used[np.diff(used, prepend=-1) != 0]
             number[used] = np.arange(len(used), dtype=np.int32)
+            at = np.repeat(np.arange(len(picked)), sizes[picked])
             where = number[terms]
             # The machine of the terms of this batch.
             part = Machine(model.bias, model.weights[used], model.factors[used])
@@ -173,7 +195,7 @@ def fit(rows: list, labels: np.ndarray, n_terms: int, seed: int = 7) -> Machine:
             model.bias -= RATE * wrong.sum() / np.sqrt(sum_b)
             if not len(terms):
                 continue
-            pull = lambda by: np.bincount(where, np.repeat(by, sizes[picked]), len(used))
+            pull = lambda by: np.bincount(where, by[at], len(used))
             grad_w = pull(wrong)
             grad_v = np.stack([pull(wrong * sums[f]) for f in range(FACTORS)], 1) + (DECAY - grad_w[:, None]) * part.factors
             grad_w += DECAY * part.weights
@@ -209,9 +231,27 @@ def model_terms(sample: DataFrame, known: bytes) -> DataFrame:
             for found, starts in terms_of(batch.column("text").to_pylist(), terms):
                 some, at = batch.slice(at, len(starts) - 1), at + len(starts) - 1
                 lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(found))
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("toxic"), lists], ["doc_id", "toxic", "terms"])
+                yield pa.RecordBatch.from_arrays([some.column(c) for c in ("doc_id", "hash", "toxic")] + [lists], ["doc_id", "hash", "toxic", "terms"])
+
+    return sample.mapInArrow(run, f"doc_id {dict(sample.dtypes)['doc_id']}, hash long, toxic int, terms array<int>")
+
 
-    return sample.mapInArrow(run, f"doc_id {dict(sample.dtypes)['doc_id']}, toxic int, terms array<int>")
+def collected(found: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
+    """The terms of each row and the labels, in the order of ids and texts; a part at a time, so that little stands twice."""
+    ids, hashes, labels, rows = [], [], [], []
+    for k in range(PARTS):
+        part = found.filter(F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)) == k).toArrow().combine_chunks()
+        if len(part):
+            lists = part.column("terms").combine_chunks()
+            at, values = lists.offsets.to_numpy(), lists.values.to_numpy().copy()
+            ids += part.column("doc_id").to_pylist()
+            hashes.append(part.column("hash").to_numpy())
+            labels.append(part.column("toxic").to_numpy())
+            rows += [values[a:b] for a, b in zip(at, at[1:])]
+        del part
+    hashes = np.concatenate([np.zeros(0, np.int64), *hashes])
+    order = sorted(range(len(rows)), key=lambda i: (ids[i], hashes[i]))
+    return [rows[i] for i in order], np.concatenate([np.zeros(0), *labels]).astype(float)[order]
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[Machine, bytes]:
@@ -228,14 +268,13 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Machine, bytes]:
     drawn = [marks.filter(F.col("toxic") == k).orderBy(F.xxhash64("__id"), "__id").limit(MAX_ROWS) for k in (0, 1)]
     drawn = materialise(drawn[0].union(drawn[1]), "toxicity-sample")
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    sample = texts.join(F.broadcast(drawn), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "toxic")  # 2 x MAX_ROWS ids
+    sample = texts.join(F.broadcast(drawn), F.col("doc_id") == F.col("__id"))  # 2 x MAX_ROWS ids
+    sample = sample.select("doc_id", F.xxhash64("text").alias("hash"), "text", "toxic")
     terms = choose_terms(sample)
-    found = model_terms(sample, terms).toArrow().combine_chunks()
-    ids, lists = found.column("doc_id").to_pylist(), found.column("terms").combine_chunks()
-    at, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-    rows = [values[a:b] for a, b in zip(at, at[1:])]
-    order = sorted(range(len(rows)), key=lambda i: (ids[i], rows[i].tobytes()))
-    machine = fit([rows[i] for i in order], found.column("toxic").to_numpy().astype(float)[order], len(terms) // 4)
+    rows, marked = collected(materialise(model_terms(sample, terms), "toxicity-terms"))
+    machine = fit(rows, marked, len(terms) // 4)
+    del rows
+    pa.default_memory_pool().release_unused()
     # The sample holds the labels in other shares than the corpus; the bias takes that back.
     machine.bias += float(np.log(toxic / clean) - np.log(min(toxic, MAX_ROWS) / min(clean, MAX_ROWS)))
     return machine, terms
@@ -262,4 +301,4 @@ def op3_toxicity(spark, sf_dir: str) -> DataFrame:
 def accepted_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not predicted toxic, unchanged."""
     machine, terms = train(docs, labels)
-    return docs.withColumn("__score", score(F.col("text"), machine, terms)).filter(F.col("__score") < THRESHOLD).select(*docs.columns)
+    return docs.filter(score(F.col("text"), machine, terms) < THRESHOLD)
