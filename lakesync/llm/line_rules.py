@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakesync.llm.common import SPACES, materialise, split_words, text_or_empty
+from lakesync.llm.common import SPACES, free_names, materialise, split_words, text_or_empty
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -117,15 +117,15 @@ def kept_documents(docs: DataFrame) -> DataFrame:
 
     The verdict depends on host and text only, so it joins on them; there is one row for each distinct text of a host.
     """
-    verdicts = judge(docs).filter("kept").groupBy(F.struct("source").alias("__host"), F.col("doc").alias("__doc")).agg(
-        F.first("removed_lines").alias("__removed"))
-    keyed = docs.withColumn("__host", F.struct("source")).withColumn("__doc", F.xxhash64(text_or_empty()))
-    joined = keyed.join(verdicts, ["__host", "__doc"])
-    text = F.when(F.size("__removed") > 0, without_lines(text_or_empty(), F.col("__removed"))).otherwise(F.col("text"))
-    joined = joined.withColumn("text", text)
+    host, doc, gone = free_names(docs, "__host", "__doc", "__removed")
+    verdicts = judge(docs).filter("kept").groupBy(F.struct("source").alias(host), F.col("doc").alias(doc)).agg(
+        F.first("removed_lines").alias(gone))
+    keyed = docs.withColumn(host, F.struct("source")).withColumn(doc, F.xxhash64(text_or_empty()))
+    joined, cut = keyed.join(verdicts, [host, doc]), F.size(gone) > 0
+    changed = {"text": F.when(cut, without_lines(text_or_empty(), F.col(gone))).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.size("__removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return joined.select(*docs.columns)
+        changed["n_chars"] = F.when(cut, F.length(changed["text"]).cast("long")).otherwise(F.col("n_chars"))
+    return joined.withColumns(changed).select(*docs.columns)
 
 
 def op5_line_rules(spark, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakesync.llm.common import hash_key, materialise, running_totals, text_or_empty, word_count
+from lakesync.llm.common import free_names, hash_key, materialise, running_totals, text_or_empty, word_count
 
 #: A source's target stops at so many times its size.
 MAX_EPOCHS = 3
@@ -63,10 +63,11 @@ def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int =
     )
 
 
-def sized_documents(docs: DataFrame) -> DataFrame:
-    """The narrow table that is mixed: the texts themselves are never shuffled."""
+def sized_documents(docs: DataFrame, *row: str) -> DataFrame:
+    """The narrow table that is mixed: the texts themselves are never shuffled.  ``row`` columns tell equal rows apart."""
     text = text_or_empty()
-    return docs.select("doc_id", "source", word_count(text).alias("size"), hash_key(F.col("doc_id")).alias("key"))
+    key = hash_key(F.col("doc_id"), F.md5(text.cast("binary")), *(F.col(r) for r in row))
+    return docs.select("doc_id", "source", word_count(text).alias("size"), key.alias("key"), *row)
 
 
 def op9_mix_sources(spark, sf_dir: str) -> DataFrame:
@@ -76,26 +77,20 @@ def op9_mix_sources(spark, sf_dir: str) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with the columns of ``docs``.
+    """The documents of the mix, each row as often as it is taken, with the columns of ``docs``.
 
-    Which rows are taken depends on id, source, text length and position in key order only, so rows equal in doc_id and
-    source share one row of the plan; the plan joins on those two and on the size.
+    Rows are numbered in a table of their own first, so that equal ones are taken one by one.
     """
-    sized = materialise(sized_documents(docs), "mix-sizes")
-    plan = mix(sized).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("__taken"), F.count(F.lit(1)).alias("__rows"))
-    plan = plan.filter("__taken > 0").select(
-        F.col("doc_id").alias("__id"), F.col("source").alias("__of"), F.col("size").alias("__size"), "__taken", "__rows")
-    keyed = docs.withColumn("__words", word_count(text_or_empty()))
-    joined = keyed.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__of"))
-                        & (F.col("__words") == F.col("__size")))
-    # Rows that share id, source and size also share the copies: the average, rounded up.
-    times = F.ceil(F.col("__taken") / F.col("__rows")).cast("int")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    row, copy = free_names(docs, "__row", "__copy")
+    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    plan = mix(materialise(sized_documents(numbered, row), "mix-sizes")).filter("copies > 0").select(row, F.col("copies").cast("int").alias(copy))
+    repeated = numbered.join(plan, row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy))))
+    return repeated.select(*docs.columns)
 
 
 SQL9 = r"""
     WITH d AS (SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0b\f\r]+'), lambda x: x <> ''))::BIGINT AS size,
-                      md5(coalesce(doc_id::VARCHAR, chr(0))) AS k FROM documents),
+                      md5(coalesce(doc_id::VARCHAR, chr(0)) || chr(31) || md5(coalesce(text, ''))) AS k FROM documents),
     s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
     w AS (SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM s),
     l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (ORDER BY 3.0::DOUBLE * source_size / weight, source NULLS LAST

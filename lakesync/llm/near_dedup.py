@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakesync.llm.common import materialise
+from lakesync.llm.common import free_names, materialise, text_or_empty
 from lakesync.llm.links import components
 
 #: Words of a shingle and percentage of likeness, unless a caller says otherwise.
@@ -389,6 +389,16 @@ def op2_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents of which no smaller id is a near duplicate, with the columns of ``docs``."""
-    gone = near_components(docs, words, percent).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    """The documents of which no smaller id is a near duplicate, with the columns of ``docs``; rows of one id and text once."""
+    gone_id, same_text, times, of_id, of_text = free_names(docs, "__gone", "__text", "__times", "__id", "__same")
+    gone = near_components(docs, words, percent).filter("not kept").select(F.col("doc_id").alias(gone_id)).distinct()
+    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col(gone_id), "left_anti").withColumn(same_text, F.xxhash64(text_or_empty()))
+    repeats = materialise(
+        docs.groupBy(F.col("doc_id").alias(of_id), F.xxhash64(text_or_empty()).alias(of_text)).agg(F.count(F.lit(1)).alias(times))
+        .filter(F.col(times) > 1).drop(times), "repeated-rows")
+    if repeats.isEmpty():
+        return kept.drop(same_text)
+    # Rows that stand once, nearly all of them, are not shuffled for it.
+    same = F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.col(same_text) == F.col(of_text))
+    first = kept.join(repeats, same, "left_semi").dropDuplicates(["doc_id", same_text])
+    return kept.join(repeats, same, "left_anti").unionByName(first).drop(same_text)

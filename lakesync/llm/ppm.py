@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakesync.llm.common import fold_of, materialise
+from lakesync.llm.common import cut_by_bytes, fold_of, materialise
 
 #: Bytes of the longest context.
 ORDER = 5
@@ -111,7 +111,7 @@ def counts(training: DataFrame) -> DataFrame:
             tables[kind] = None
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(n.astype(np.int64))], ["kind", "key", "n"])
 
-        for batch in filter(len, batches):
+        for batch in (part for whole in batches for part in cut_by_bytes(whole, "text")):
             texts = [(t.as_py() or "").encode().lower() for t in batch.column("text")]
             for grams, _ in pieces(texts):
                 tables[0] = _added(tables[0], grams)
@@ -241,7 +241,7 @@ def score(docs: DataFrame, training: Column, most: int = FREQUENT, bits: int = S
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram_table, word_table = tables.value
         hashes, row = WordHashes(), (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
-        for batch in filter(len, batches):
+        for batch in (part for whole in batches for part in cut_by_bytes(whole, "text")):
             texts = [(t.as_py() or "").encode().lower() for t in batch.column("text")]
             logp, rest = np.zeros(len(texts)), ([], [])
             for grams, of in pieces(texts):

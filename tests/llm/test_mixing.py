@@ -67,3 +67,20 @@ def test_hard_rows(hard, nothing):
     assert mixed.columns == hard.columns
     assert sum(len((r["text"] or "").split()) for r in mixed.collect()) >= sum(r["taken"] for r in rows)
     assert mixing.mix(mixing.sized_documents(nothing)).count() == 0 and mixing.mixed_documents(nothing).count() == 0
+
+
+def test_equal_rows_are_taken_one_by_one(spark):
+    """Fifty equal rows at a target between whole numbers of copies, and a column that the stage might use itself."""
+    rows = [(1, "w " * 10, "a", "x")] * 50 + [(k, "v " * 10, "b", "y") for k in range(100, 130)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __row string")
+    mixed = mixing.mixed_documents(docs)
+    target = {r["source"]: r["target"] for r in mixing.mix(mixing.sized_documents(docs)).select("source", "target").distinct().collect()}
+    assert mixed.columns == docs.columns and {r["__row"] for r in mixed.collect()} == {"x", "y"}
+    for source, n in mixed.groupBy("source").count().collect():
+        assert abs(10 * n - target[source]) <= 5
+
+
+def test_rows_without_id_are_spread(spark):
+    docs = spark.createDataFrame([(None, f"text {k} " * (k % 7 + 1), "a") for k in range(3000)], "doc_id long, text string, source string")
+    keys = mixing.sized_documents(docs).groupBy(F.substring("key", 1, 2)).count()
+    assert keys.count() > 200 and keys.agg(F.max("count")).first()[0] < 40

@@ -36,7 +36,21 @@ def test_run_on_hard_and_empty_tables(spark, hard, nothing):
         assert {r["doc_id"] for r in rows} <= {1, 2, None} and bool(rows) == (docs is hard)
 
 
-def test_all_ten_operators_are_registered():
+def test_all_operators_are_registered():
     names = list(queries.all_queries())
-    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 14)]
     assert set(queries.all_oracles()) <= set(names)
+
+
+def test_equal_rows_of_one_id_stay_once(spark):
+    """Ninety rows, three ids; and columns of names that stages use inside stay as they are."""
+    texts = [" ".join(f"{w}{k}" for w in ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven")) for k in range(3)]
+    names = ("__score", "__host", "__doc", "__removed", "__words", "__copy", "__gone", "__text", "__id", "__row")
+    rows = [(k % 3, texts[k % 3], "s", *(f"{n}{k % 3}" for n in names)) for k in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    labels = fresh_dir(spark, "sf")
+    spark.createDataFrame([(0, 0)], "doc_id long, toxic int").write.parquet(f"{labels}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = materialise(stage(spark, docs, labels), "t")
+        assert all(r[n] == f"{n}{r['doc_id']}" for r in docs.collect() for n in names), name
+        assert docs.count() == (90 if name in ("toxicity", "quality rules") else 3), name
