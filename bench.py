@@ -11,7 +11,6 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
 import time
 
 
@@ -61,9 +60,10 @@ def timed(spark, run, sf_dir: str) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    shared = tempfile.mkdtemp(prefix="bench-")  # one machine: driver and tasks share it
+    # Tables that jobs write go below this folder where it is given, else below the warehouse.
+    shared = {"spark.checkpoint.dir": os.environ["BENCH_SHARED_DIR"]} if os.environ.get("BENCH_SHARED_DIR") else {}
     spark = build_session(
-        "bench", f"local[{cpus}]", **{"spark.checkpoint.dir": shared, "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "12g",
+        "bench", f"local[{cpus}]", **shared, **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "12g",
            "spark.sql.files.openCostInBytes": "1m"}
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -7,6 +7,8 @@ operators' modules define; additional columns are passed through.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from lakesync.llm import bpe, line_rules, mixing, near_dedup, toxicity
@@ -39,12 +41,22 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encoded(docs, bpe.read_tokenizer(spark))
 
 
+def _with_defaults(stage):
+    """The stage under the session defaults that queries run with."""
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        set_runtime_defaults(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("quality rules", apply_quality_rules),
-    ("near duplicates", drop_near_duplicates),
-    ("mixing", mix_sources),
-    ("tokens", tokenise),
+    ("toxicity", _with_defaults(drop_toxic)),
+    ("quality rules", _with_defaults(apply_quality_rules)),
+    ("near duplicates", _with_defaults(drop_near_duplicates)),
+    ("mixing", _with_defaults(mix_sources)),
+    ("tokens", _with_defaults(tokenise)),
 ]
 
 #: A trained classifier, set similarity and BPE are beyond SQL; tests/llm holds the stages against brute force instead.
@@ -53,7 +65,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over the documents of ``sf_dir``."""
-    set_runtime_defaults(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
