@@ -1,13 +1,17 @@
 """Main text of web pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags.  The first pass decides what it can: blocks in menus, headers, footers,
-sidebars, notices, adverts, forms and comments are boilerplate, as are blocks that are mostly links; long blocks with many
-stop words and few links are text.  Everything else (short blocks, long blocks with few stop words) stays open.  In the
-second pass open blocks inherit the label of the nearest decided blocks of their part of the page.  A part is an article or
-main element, or the page outside of those; where a part has no block that is decided to be text, its open blocks are.
+sidebars, notices, adverts, forms and comments are boilerplate; long blocks with many stop words and few links are text.
+Runs of blocks that are mostly links are boilerplate unless other blocks stand around them, or before them at the end of an
+article (linked sentences, lists of sources); headings are not judged by links.  Everything else (short blocks, long blocks
+with few stop words) stays open.  In the second pass open blocks inherit the label of the nearest decided blocks of their
+part of the page.  A part is an article or main element, or the page outside of those; where a part has no block that is
+decided to be text, its open blocks are.
 
 Defined results: a null or empty page has an empty text; unclosed, crossed and unknown tags are allowed; an unclosed script,
-style or comment runs to the end of the page; repeated rows are extracted each; an empty table gives an empty table.
+style or comment runs to the end of the page; very long pages are extracted whole, one at a time; an open block between two
+decided ones that are as near is text; repeated rows are extracted each; an empty table gives an empty table; other columns
+of the input, also such as ``text``, are not looked at.
 """
 
 from __future__ import annotations
@@ -53,11 +57,17 @@ newsletter notice notices notification overlay pager pagination popup promo prom
 reply respond search share sharing sidebar signup skip skyscraper social sponsor sponsored subscribe subscription syndication
 teaser toolbar topbar widget widgets complementary contentinfo
 """.split())
-#: Of these, the ones that hold inside an article as well as around one; a header inside an article is its headline.
+#: Words that may stand beside them in the name of a piece of furniture ("share-bar", but not "share-price").
+PLACE_WORDS = frozenset("""
+area articles bar block body box button buttons container form google group icons inline inner item items js link links list mid
+panel posts row section site slot stories text top unit wp wrap wrapper
+""".split())
+#: Furniture words that tell nothing inside an article; a header there is its headline.
 _NOT_INSIDE = frozenset({"header", "masthead", "search", "skip", "legal"})
 COMMENT_WORDS = frozenset({"comment", "comments", "reply", "replies", "respond", "disqus"})
 
-#: Shorter blocks are open, blocks with a larger share of link characters are boilerplate, with more stop words text.
+HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
+#: Shorter blocks are open, blocks with a larger share of link characters are links, with more stop words text.
 SHORT = 70
 MAX_LINK_DENSITY = 0.5
 MIN_STOP_DENSITY = 0.2
@@ -69,39 +79,43 @@ _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
 _WORD = re.compile(r"[^\W\d_]+")
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
-OPEN, TEXT, BOILERPLATE = 0, 1, 2
+OPEN, TEXT, BOILERPLATE, LINKS = 0, 1, 2, 3
 
 
 class Block:
     """Text of the page between two block-level tags, with its links and the part of the page it belongs to."""
 
-    __slots__ = ("pieces", "linked", "part", "furniture", "breaks")
+    __slots__ = ("pieces", "linked", "part", "furniture", "heading", "breaks")
 
-    def __init__(self, part: int, furniture: bool) -> None:
+    def __init__(self, part: int, furniture: bool, heading: bool) -> None:
         self.pieces: list[str] = []
         self.linked = 0
-        self.part, self.furniture, self.breaks = part, furniture, 0
+        self.part, self.furniture, self.heading, self.breaks = part, furniture, heading, 0
 
     def text(self) -> str:
         return " ".join(html.unescape("".join(self.pieces)).split())
 
 
 def _hints(attrs: str) -> tuple[set[str], set[str], bool]:
-    """The words of class, id and role, those of names that are all furniture words, and whether the element is hidden."""
+    """The words of class, id and role, the furniture words of names of furniture, and whether the element is hidden.
+
+    A name tells furniture if it has a furniture word and no words but those and ``PLACE_WORDS``: a wrapper may be named after
+    what it lacks or stands beside ("no-sidebar"), a section after what it is about ("social-history").
+    """
     words: set[str] = set()
-    whole: set[str] = set()
+    furniture: set[str] = set()
     hidden = bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", re.sub(r"\"[^\"]*\"|'[^']*'", '""', attrs)))
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), a or b or c
         if name in ("class", "id", "role"):
             for token in value.split():
-                told = {w.lower() for w in _NAME_PARTS.findall(token)}
+                told = {w.lower() for w in _NAME_PARTS.findall(token) if len(w) > 1}
                 words |= told
-                if told <= FURNITURE_WORDS:
-                    whole |= told
+                if told - PLACE_WORDS <= FURNITURE_WORDS:
+                    furniture |= told - PLACE_WORDS
         elif name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             hidden = True
-    return words, whole, hidden
+    return words, furniture, hidden
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -109,7 +123,7 @@ def blocks_of(page: str) -> list[Block]:
     # Open elements: name, the part they open (or that of their parent), whether they are furniture.
     stack: list[tuple[str, int, bool]] = [("", 0, False)]
     parts, in_link, at = 0, 0, 0
-    found = [Block(0, False)]
+    found = [Block(0, False, False)]
 
     def add(piece: str) -> None:
         if piece:
@@ -121,9 +135,9 @@ def blocks_of(page: str) -> list[Block]:
 
     def cut() -> None:
         if found[-1].pieces:
-            found.append(Block(stack[-1][1], stack[-1][2]))
+            found.append(Block(stack[-1][1], stack[-1][2], stack[-1][0] in HEADINGS))
         else:
-            found[-1].part, found[-1].furniture = stack[-1][1], stack[-1][2]
+            found[-1].part, found[-1].furniture, found[-1].heading = stack[-1][1], stack[-1][2], stack[-1][0] in HEADINGS
 
     while True:
         token = _TOKEN.search(page, at)
@@ -165,7 +179,7 @@ def blocks_of(page: str) -> list[Block]:
             add(" ")
         if name == "a":
             in_link = 1
-        words, whole, hidden = _hints(attrs) if attrs else (set(), set(), False)
+        words, named, hidden = _hints(attrs) if attrs else (set(), set(), False)
         _, part, furniture = stack[-1]
         around = furniture
         if name in ("article", "main") and not words & COMMENT_WORDS:
@@ -174,8 +188,7 @@ def blocks_of(page: str) -> list[Block]:
                 parts += 1
                 part, furniture = parts, False
         elif name not in ("html", "body"):
-            # A wrapper around the text may be named after what it lacks or stands beside ("no-sidebar").
-            told = (words & FURNITURE_WORDS) - _NOT_INSIDE if part else whole
+            told = named - _NOT_INSIDE if part else named
             furniture = furniture or name in FURNITURE_TAGS or bool(told) or (name == "header" and not part)
         furniture = furniture or hidden
         if name in BLOCK_TAGS:
@@ -191,11 +204,11 @@ def blocks_of(page: str) -> list[Block]:
             cut()
 
 
-def first_pass(block: Block, text: str) -> int:
-    if block.furniture or "©" in text and len(text) < 3 * SHORT:
-        return BOILERPLATE
-    if block.linked > MAX_LINK_DENSITY * len(text):
+def _label(block: Block, text: str, last: bool) -> int:
+    if "©" in text and len(text) < 3 * SHORT and (last or not block.part):
         return BOILERPLATE
+    if block.linked > MAX_LINK_DENSITY * len(text) and not block.heading:
+        return LINKS
     if len(text) < SHORT:
         return OPEN
     words = _WORD.findall(text.lower())
@@ -204,6 +217,22 @@ def first_pass(block: Block, text: str) -> int:
     return OPEN
 
 
+def first_pass(blocks: list[tuple[Block, str]]) -> list[int]:
+    """Labels of the blocks of one part that are no furniture: text, boilerplate or open."""
+    labels = [_label(b, t, i == len(blocks) - 1) for i, (b, t) in enumerate(blocks)]
+    at = 0
+    while at < len(labels):
+        end = at + 1
+        if labels[at] == LINKS:
+            while end < len(labels) and labels[end] == LINKS:
+                end += 1
+            after = labels[end] != BOILERPLATE if end < len(labels) else blocks[at][0].part > 0
+            stays = at > 0 and labels[at - 1] != BOILERPLATE and after
+            labels[at:end] = [OPEN if stays else BOILERPLATE] * (end - at)
+        at = end
+    return labels
+
+
 def second_pass(labels: list[int]) -> list[int]:
     """Labels of the blocks of one part: an open block takes that of the nearest decided one, text where two are as near.
 
@@ -238,12 +267,14 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     blocks = [(b, t) for b in blocks_of(page) if (t := b.text())]
-    labels = [first_pass(b, t) for b, t in blocks]
     final = [BOILERPLATE] * len(blocks)
-    for part in {b.part for b, _ in blocks}:
+    members: dict[int, list[int]] = {}
+    for i, (b, _) in enumerate(blocks):
         # Furniture has been decided by its place and says nothing about its neighbours.
-        members = [i for i, (b, _) in enumerate(blocks) if b.part == part and not b.furniture]
-        for i, label in zip(members, second_pass([labels[i] for i in members])):
+        if not b.furniture:
+            members.setdefault(b.part, []).append(i)
+    for inside in members.values():
+        for i, label in zip(inside, second_pass(first_pass([blocks[i] for i in inside]))):
             final[i] = label
     if any(b.part and final[i] == TEXT for i, (b, _) in enumerate(blocks)):
         final = [label if b.part else BOILERPLATE for (b, _), label in zip(blocks, final)]

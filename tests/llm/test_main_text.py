@@ -53,6 +53,27 @@ def test_wrappers_named_after_furniture_are_none():
     assert main_text(page(f'<div class="cookie-notice"><p>{MORE}</p></div><div class="sidebar"><p>{MORE}</p></div><p>{PROSE}</p>')) == PROSE
 
 
+def test_article_text_named_or_linked_like_furniture_stays():
+    keeps = (f'<article><div class="no-sidebar"><p>{PROSE}</p></div></article>', f'<main><section class="related-work"><p>{PROSE}</p></section></main>',
+             f'<article><section id="social-history"><p>{PROSE}</p></section></article>', f'<article><p class="share-price">{PROSE}</p></article>')
+    assert [main_text(page(html)) for html in keeps] == [PROSE] * 4
+    assert main_text(page(f'<article><h1><a href="/x">A headline</a></h1><p>{PROSE}</p></article>')) == f"A headline\n\n{PROSE}"
+    assert main_text(page(f'<div><h1><a href="/x">A headline</a></h1><p>{PROSE}</p></div>')) == f"A headline\n\n{PROSE}"
+    linked = f'<article><p>{PROSE}</p><p>See <a href="/s">the whole story of the house by the river</a>.</p><p>{MORE}</p></article>'
+    assert main_text(page(linked)) == f"{PROSE}\n\nSee the whole story of the house by the river.\n\n{MORE}"
+    sources = f'<p>{PROSE}</p><h2>Sources</h2><ul><li><a href="/1">First book</a></li><li><a href="/2">Second book</a></li></ul>'
+    assert main_text(page(f"<article>{sources}</article>")) == f"{PROSE}\n\nSources\n\nFirst book\n\nSecond book"
+    assert main_text(page(f"<article><p>© is the sign of a right.</p><p>{PROSE}</p><p>© 2020 somebody</p></article>")) == f"© is the sign of a right.\n\n{PROSE}"
+
+
+def test_furniture_inside_articles_goes():
+    menu = '<ul><li><a href="/1">Home</a></li><li><a href="/2">News</a></li></ul>'
+    for name in ("share-bar", "related-posts", "ad-slot", "social-links", "newsletter box", "commentList"):
+        assert main_text(page(f'<article><p>{PROSE}</p><div class="{name}"><p>{MORE}</p></div></article>')) == PROSE
+    assert main_text(page(f"<main>{menu}<p>{PROSE}</p></main>")) == PROSE
+    assert main_text(page(f"<div>{menu}</div><p>{PROSE}</p><div>{menu}</div>")) == PROSE
+
+
 def test_broken_markup():
     assert main_text(None) == main_text("") == main_text("   ") == ""
     assert main_text(f"<article><p>{PROSE}</article><script>never closed <p>{MORE}") == PROSE
