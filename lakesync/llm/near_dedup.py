@@ -12,14 +12,16 @@ Nodes of up to ``NODE`` sets are compared exhaustively, on 512 one-bit minwise h
 with ``NODE`` others first, so that a group of any number of copies becomes one component.  Then, if at most ``NODE`` sets of
 a node are outside its largest component, those are compared with all others, which settles the node; else it is branched
 again.  Once that comparison costs no more than ``LOOKS`` looks at each set of the corpus for all nodes together, all are
-settled.  What the sketches let pass is confirmed on the full shingle sets.
+settled.  Nodes with the same largest component are settled as one where that costs less, since a family fills many nodes
+with the same sets.  What the sketches let pass is confirmed on the full shingle sets.
 
 Data flow: texts are read where they lie and never shuffled as a whole.  Paths are narrow rows; the sets that pairs are
 confirmed on are computed for the rows of a bounded bit map only.
 
-Defined results: a null text has no shingles; a document without shingles is linked with nothing; rows that share an id are
+Defined results: a null text has no shingles; very long texts are taken whole; of equally likely partners the one with the
+smaller place in its node's order is confirmed first, which changes no component; a document without shingles is linked with nothing; rows that share an id are
 one document, linked by whatever any of them is linked by; rows without an id get no component and are kept; an empty table
-gives an empty table.
+gives an empty table; other columns, whatever their names, are not looked at, and come back unchanged from ``kept_documents``.
 """
 
 from __future__ import annotations
@@ -43,11 +45,15 @@ TREES, COORDINATES, BRANCHES, FIRST_DEPTH, DEEPEST = 4, 48, 2, 2, 14
 #: Sets that are compared with each other at most, in a node.
 NODE = 64
 LOOKS = 256
+#: Rows of a run that a node of twice as many is cut into.
+RUN = 1024
 #: Sets that a task holds while the other sets of their node pass by.
 BLOCK = 256
 #: Bits of a sketch, and how many of them must agree: 461 do at a likeness of 0.8, with a deviation of 6.8.
 BITS, MIN_AGREEING = 512, 426
 SKETCH = [f"b{k}" for k in range(BITS // 64)]
+#: Large nodes up to this number are made known to every task.
+BROADCAST_ROWS = 200_000
 #: Size of the bit map of ids whose sets are computed for confirmation.
 MAP_BITS = 1 << 25
 #: Words whose hashes a task keeps.
@@ -180,20 +186,21 @@ def compare_nodes(paths: DataFrame, percent: int) -> DataFrame:
     """Compare the sets of each node; rows (kind, a, b, node, state).
 
     kind 0: a likely pair, the likeliest earlier partner of ``b``; kind 1: another likely pair of a small node; kind 2: ``a`` belongs to a
-    node of more than NODE sets.  Rows arrive sorted by node and set.  Each is compared with the NODE rows before it, so a
-    task holds a batch and NODE more rows at a time, however large the node is.
+    node of more than NODE sets.  Rows arrive sorted by node, run and set.  Each is compared with the NODE rows before it in its run, so
+    a task holds a batch and NODE more rows at a time, however large the node is.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
         for batch in filter(len, batches):
-            new = [batch.column(c).to_numpy() for c in ("node", "state", *_SET)]
+            new = [batch.column(c).to_numpy() for c in ("node", "state", "run", *_SET)]
             old = 0 if kept is None else len(kept[0])
             now = new if kept is None else [np.concatenate(x) for x in zip(kept, new)]
-            node, state, rep, n, *bits = now
+            node, state, part, rep, n, *bits = now
             left, right, unlike, back = [], [], [], []
             for k in range(1, min(NODE, len(node) - 1) + 1):
                 # The row k places ahead, for those that are new in this batch.
-                i = np.flatnonzero(node[max(old - k, 0): len(node) - k] == node[max(old - k, 0) + k:]) + max(old - k, 0)
+                low = max(old - k, 0)
+                i = np.flatnonzero((node[low: len(node) - k] == node[low + k:]) & (part[low: len(node) - k] == part[low + k:])) + low
                 if not len(i):
                     break
                 back.append(i + k if k == NODE else i[:0])
@@ -210,7 +217,7 @@ def compare_nodes(paths: DataFrame, percent: int) -> DataFrame:
             kind = np.concatenate([[0], (j[1:] == j[:-1]).astype(int)])[: len(j)]
             beyond = np.concatenate(back) if back else np.zeros(0, int)
             # The first NODE rows of a large node are known to be in one when its next row comes.
-            starts = beyond[node[beyond - NODE - 1] != node[beyond]] if len(beyond) else beyond
+            starts = beyond[(node[beyond - NODE - 1] != node[beyond]) | (part[beyond - NODE - 1] != part[beyond])] if len(beyond) else beyond
             starts = np.union1d(starts, beyond[beyond == NODE]) if len(beyond) else beyond
             large = np.unique(np.concatenate([beyond, *(starts - m for m in range(1, NODE + 1))])) if len(beyond) else beyond
             # Large nodes are settled or branched later, so one likely partner of each of their sets is enough here.
@@ -223,8 +230,12 @@ def compare_nodes(paths: DataFrame, percent: int) -> DataFrame:
                  pa.array(np.concatenate([none, state[large]]))], ["kind", "a", "b", "node", "state"])
             kept = [x[-(NODE + 1):] for x in now]
 
-    # A node is one run of one task, whatever its size; rows of it are narrow and only pass through.
-    dealt = paths.repartition("node").sortWithinPartitions("node", "rep")
+    # Large nodes are cut into runs by hash; every run is large enough to tell that its node is.
+    sizes = paths.groupBy("node").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") >= 2 * RUN)
+    sizes = materialise(sizes.select("node", F.floor(F.col("rows") / RUN).cast("int").alias("runs")), "near-sizes")
+    run_of = F.coalesce(F.pmod(F.xxhash64("rep"), F.col("runs")), F.lit(0).cast("long"))
+    dealt = paths.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, "node", "left").withColumn("run", run_of)
+    dealt = dealt.repartition("node", "run").sortWithinPartitions("node", "run", "rep").select("node", "state", "run", *_SET)
     return dealt.mapInArrow(run, "kind int, a long, b long, node long, state long")
 
 
@@ -323,16 +334,20 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         nodes = shares.groupBy("node").agg(F.sum("rows").alias("rows"), F.max("rows").alias("most"), F.max_by("component", "rows").alias("main"))
         nodes = nodes.filter("rows > most").select("node", "main", "rows", (F.col("rows") - F.col("most")).alias("others"))
         nodes = materialise(nodes, "near-nodes")
-        looks = nodes.agg(F.sum(F.col("rows").cast("double") * F.col("others"))).first()[0] or 0
-        rows = materialise(named.join(nodes.drop("rows"), "node").join(reps, "rep"), "near-large")
-        depth += 1
-        last = depth > min(DEEPEST, COORDINATES - BRANCHES) or looks <= LOOKS * sets
+        rows = materialise(named.join(nodes, "node"), "near-large")
         if rows.isEmpty():
             break
-        of = _merged(of, _settled(rows if last else rows.filter(F.col("others") <= NODE), docs, words, percent))
+        depth += 1
+        groups = materialise(_together(rows), "near-groups")
+        looks = groups.agg(F.sum(F.least("looks", "looks_together"))).first()[0] or 0
+        last = depth > min(DEEPEST, COORDINATES - BRANCHES) or looks <= LOOKS * sets
         if last:
+            of = _merged(of, _settled(_regrouped(rows, groups), docs, words, percent))
             break
-        found = materialise(compare_nodes(next_paths(rows.filter(F.col("others") > NODE)), percent), "near-compared")
+        few = rows.filter(F.col("others") <= NODE)
+        of = _merged(of, _settled(_regrouped(few, _together(few)), docs, words, percent))
+        deeper = rows.filter(F.col("others") > NODE).select("node", "state", "rep").join(reps, "rep")
+        found = materialise(compare_nodes(next_paths(deeper), percent), "near-compared")
         rest = found.filter("kind < 2")
     reached = members.select("doc_id", "n_shingles", "rep").join(of.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
@@ -340,27 +355,44 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     return reached.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _together(rows: DataFrame) -> DataFrame:
+    """For each main component: what its nodes cost one by one, what they cost as one, and how many others that one has."""
+    alone = rows.select("node", "main", (F.col("rows").cast("double") * F.col("others")).alias("looks")).distinct()
+    alone = alone.groupBy("main").agg(F.sum("looks").alias("looks"))
+    merged = rows.select("main", "rep", "component").distinct().groupBy("main").agg(
+        F.count(F.lit(1)).cast("double").alias("rows"), F.count_if(F.col("component") != F.col("main")).alias("others_together"))
+    return alone.join(merged, "main").select("main", "looks", (F.col("rows") * F.col("others_together")).alias("looks_together"), "others_together")
+
+
+def _regrouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of nodes, those with one main component as one node where that costs no more; all pairs of a node stay in one."""
+    as_one = F.col("looks_together") <= F.col("looks")
+    return rows.join(groups, "main").select(
+        as_one.alias("as_one"), F.when(as_one, F.col("main")).otherwise(F.col("node")).alias("node"), "rep", "component", "main",
+        F.when(as_one, F.col("others_together")).otherwise(F.col("others")).alias("others")).distinct()
+
+
 def _settled(rows: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The links (a, b) in nodes between sets outside the largest component and sets of other components.
 
-    ``rows``: node, rep, component, the node's main component and the number of others.  The others of a node come first, in
+    ``rows``: as_one and node (the key of a node), rep, component, the main component and the number of others.  These come first, in
     blocks of ``BLOCK`` at most, and stay in memory while all sets of the node pass by and are compared on full sets.  So a
     set travels once per node and block, no pair is a row, and only links come out.
     """
-    rows = rows.select("node", "rep", "component", "main", F.ceil(F.col("others") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.select("as_one", "node", "rep", "component", "main", F.ceil(F.col("others") / BLOCK).cast("int").alias("blocks"))
     sets = _sets_of(rows.select(F.col("rep").alias("id")), docs, words).select(F.col("id").alias("rep"), "shingles")
     held = rows.filter("component <> main").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("side", F.lit(0))
     passing = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(1))
-    columns = ["node", "block", "side", "rep", "component"]
+    columns = ["as_one", "node", "block", "side", "rep", "component"]
     dealt = held.select(*columns).union(passing.select(*columns)).join(sets, "rep").select(*columns, "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, reps, comps, parts, ready = None, [], [], [], None
         for batch in batches:
             a, b = [], []
-            for node, block, side, rep, comp, raw in zip(*(batch.column(c).to_pylist() for c in (*columns, "shingles"))):
-                if (node, block) != at:
-                    at, reps, comps, parts, ready = (node, block), [], [], [], None
+            for as_one, node, block, side, rep, comp, raw in zip(*(batch.column(c).to_pylist() for c in (*columns, "shingles"))):
+                if (as_one, node, block) != at:
+                    at, reps, comps, parts, ready = (as_one, node, block), [], [], [], None
                 found = np.frombuffer(raw, np.uint64)
                 if side == 0:
                     reps.append(rep)
@@ -380,7 +412,7 @@ def _settled(rows: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
                 b += np.maximum(ids[near], rep).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    ordered = dealt.repartition("node", "block").sortWithinPartitions("node", "block", "side", "rep")
+    ordered = dealt.repartition("as_one", "node", "block").sortWithinPartitions("as_one", "node", "block", "side", "rep")
     return materialise(ordered.mapInArrow(run, "a long, b long").distinct(), "near-links")
 
 

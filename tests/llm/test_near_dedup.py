@@ -75,6 +75,29 @@ def test_nodes_that_never_split_are_settled(spark, monkeypatch):
     assert got == by_hand(rows, 2)
 
 
+def test_large_nodes_in_runs_and_settled_as_one(spark, monkeypatch):
+    """A family that fills all nodes alike, with links of its own inside; nodes are cut into runs, and settled as one."""
+    monkeypatch.setattr(near_dedup, "NODE", 4)
+    monkeypatch.setattr(near_dedup, "RUN", 16)
+    rows = [(i, " ".join([f"a{k}" for k in range(60)] + [f"own{i}x{k}" for k in range(10 if i % 3 else 2)])) for i in range(150)]
+    rows += [(500 + i, t + " more") for i, t in rows[:30]]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_components(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert got == by_hand(rows, 2)
+
+
+def test_regrouped_nodes_keep_all_pairs_and_cost_no_more(spark):
+    node = lambda name, main, reps, others: [(name, main, r, main if r not in others else r, len(reps), len(others)) for r in reps]
+    rows = node(1, 0, range(40), {1, 2, 3}) + node(2, 0, range(30), {1, 2, 3}) + node(3, 900, range(100, 140), {100}) + node(4, 900, range(140, 180), {140})
+    df = spark.createDataFrame(rows, "node long, main long, rep long, component long, rows long, others long")
+    groups = near_dedup._together(df)
+    out = near_dedup._regrouped(df, groups).collect()
+    members = {}
+    for r in out:
+        members.setdefault((r["as_one"], r["node"]), set()).add(r["rep"])
+    assert members == {(True, 0): set(range(40)), (False, 3): set(range(100, 140)), (False, 4): set(range(140, 180))}
+    assert {r["others"] for r in out if r["as_one"]} == {3} and len(out) == 120
+
+
 def test_components_of_chains_stars_and_loops(spark):
     links = [(k, k + 1) for k in range(0, 200)] + [(1000, k) for k in range(1001, 1100)] + [(5000, 5001), (5001, 5002), (5002, 5000), (7, 7)]
     random.seed(3)
@@ -101,7 +124,7 @@ def test_hard_rows(hard, nothing):
     assert all(by[k]["n_shingles"] == 0 and by[k]["component_id"] == k and by[k]["kept"] for k in (3, 4, 5))
     assert by[None]["component_id"] is None and by[None]["kept"] and by[7]["kept"] and by[9]["n_shingles"] == 1
     kept = near_dedup.kept_documents(hard)
-    assert kept.columns == hard.columns and sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([1, 3, 4, 5, 6, 7, 7, None, 9], key=str)
+    assert kept.columns == hard.columns and sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([1, 3, 4, 5, 6, 7, None, 9], key=str)
     assert near_dedup.near_components(nothing).count() == 0 and near_dedup.kept_documents(nothing).count() == 0
 
 
