@@ -52,7 +52,7 @@ BLOCK = 256
 #: Bits of a sketch, and how many of them must agree: 461 do at a likeness of 0.8, with a deviation of 6.8.
 BITS, MIN_AGREEING = 512, 426
 SKETCH = [f"b{k}" for k in range(BITS // 64)]
-#: Large nodes up to this number are made known to every task.
+#: Large nodes up to this number (16 bytes each) are made known to every task; more are joined.
 BROADCAST_ROWS = 200_000
 #: Size of the bit map of ids whose sets are computed for confirmation.
 MAP_BITS = 1 << 25
@@ -182,6 +182,29 @@ def next_paths(rows: DataFrame) -> DataFrame:
     return rows.select("node", "state", *_SET, "least").mapInArrow(run, _PATH)
 
 
+def _with_runs(paths: DataFrame) -> DataFrame:
+    """Add ``run``: large nodes are cut into runs by hash; every run is large enough to tell that its node is."""
+    sizes = paths.groupBy("node").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") >= 2 * RUN)
+    sizes = materialise(sizes.select("node", F.floor(F.col("rows") / RUN).cast("long").alias("runs")), "near-sizes")
+    known = sizes.count()
+    if not known:
+        return paths.withColumn("run", F.lit(0).cast("long"))
+    if known > BROADCAST_ROWS:
+        run = F.coalesce(F.pmod(F.xxhash64("rep"), F.col("runs")), F.lit(0).cast("long"))
+        return paths.join(sizes, "node", "left").withColumn("run", run)
+    table = sizes.orderBy("node").toArrow()
+    large = paths.sparkSession.sparkContext.broadcast((table["node"].to_numpy(), table["runs"].to_numpy()))
+
+    @F.pandas_udf("long")
+    def run_of(node: pd.Series, rep: pd.Series) -> pd.Series:
+        names, runs = large.value
+        at = np.minimum(np.searchsorted(names, node.to_numpy()), len(names) - 1)
+        dealt = mixed(rep.to_numpy().astype(np.int64).view(np.uint64) * _M1) % runs[at].astype(np.uint64)
+        return pd.Series(np.where(names[at] == node.to_numpy(), dealt.astype(np.int64), 0))
+
+    return paths.withColumn("run", run_of("node", "rep"))
+
+
 def compare_nodes(paths: DataFrame, percent: int) -> DataFrame:
     """Compare the sets of each node; rows (kind, a, b, node, state).
 
@@ -230,12 +253,7 @@ def compare_nodes(paths: DataFrame, percent: int) -> DataFrame:
                  pa.array(np.concatenate([none, state[large]]))], ["kind", "a", "b", "node", "state"])
             kept = [x[-(NODE + 1):] for x in now]
 
-    # Large nodes are cut into runs by hash; every run is large enough to tell that its node is.
-    sizes = paths.groupBy("node").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") >= 2 * RUN)
-    sizes = materialise(sizes.select("node", F.floor(F.col("rows") / RUN).cast("int").alias("runs")), "near-sizes")
-    run_of = F.coalesce(F.pmod(F.xxhash64("rep"), F.col("runs")), F.lit(0).cast("long"))
-    dealt = paths.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, "node", "left").withColumn("run", run_of)
-    dealt = dealt.repartition("node", "run").sortWithinPartitions("node", "run", "rep").select("node", "state", "run", *_SET)
+    dealt = _with_runs(paths).repartition("node", "run").sortWithinPartitions("node", "run", "rep").select("node", "state", "run", *_SET)
     return dealt.mapInArrow(run, "kind int, a long, b long, node long, state long")
 
 
