@@ -13,6 +13,9 @@ from lakesync.operators.writeback import map_fields, plan_hash
 from lakesync.workspace import fresh_dir
 
 EXPIRY = dt.timedelta(hours=24)
+#: Actions that take rows away at the destination, and what has to be typed to run a plan of them.
+DESTRUCTIVE_ACTIONS = frozenset({"delete", "remove", "truncate", "replace"})
+DESTRUCTIVE = "destructive"
 
 
 @dataclass(frozen=True)
@@ -27,6 +30,7 @@ class ReversePlan:
     expires_at: dt.datetime
     token_hash: str | None
     status: str = "planned"
+    challenge: str = ""
 
 
 def token_digest(token: str) -> str:
@@ -35,12 +39,13 @@ def token_digest(token: str) -> str:
 
 def make_plan(
     rows: DataFrame, plan_id: str, source_table: str, action: str, mappings: Mapping[str, str],
-    settings: Mapping[str, str], token: str, now: dt.datetime, max_rows: int = 0,
+    settings: Mapping[str, str], token: str, now: dt.datetime, max_rows: int = 0, challenge: str | None = None,
 ) -> ReversePlan:
     """Fingerprint the mapped rows and open the plan for approval.
 
     ``max_rows`` is a safety limit a caller may give: more rows refuse the plan
-    rather than being cut off.
+    rather than being cut off.  ``challenge`` is a word that has to be typed
+    when the plan is run; destructive actions have one of their own.
     """
     if not mappings:
         raise ValueError("a plan maps at least one field")
@@ -50,10 +55,16 @@ def make_plan(
     return ReversePlan(
         plan_id, source_table, action or "upsert", dict(mappings), dict(settings), found.row_count,
         found.plan_hash, now + EXPIRY, token_digest(token),
+        challenge=challenge_of(action) if challenge is None else challenge.strip(),
     )
 
 
-def approve(plan: ReversePlan, token: str, now: dt.datetime) -> None:
+def challenge_of(action: str) -> str:
+    return DESTRUCTIVE if action.strip().lower() in DESTRUCTIVE_ACTIONS else ""
+
+
+def approve(plan: ReversePlan, token: str, now: dt.datetime, confirmation: str = "") -> None:
+    """Refuse a plan that may not run; nothing is read or used up before all checks have passed."""
     if plan.status != "planned":
         raise ValueError(f"plan {plan.plan_id!r} cannot run: it is {plan.status}")
     if now > plan.expires_at:
@@ -62,6 +73,8 @@ def approve(plan: ReversePlan, token: str, now: dt.datetime) -> None:
         raise ValueError("the approval token was used before")
     if token_digest(token) != plan.token_hash:
         raise ValueError("this is not the approval token of the plan")
+    if plan.challenge and confirmation.strip() != plan.challenge:
+        raise ValueError(f"action {plan.action!r} needs the confirmation {plan.challenge!r}, typed out")
 
 
 RowSink = Callable[[Iterator[Row]], None]
@@ -69,7 +82,7 @@ RowSink = Callable[[Iterator[Row]], None]
 
 def run_plan(
     plan: ReversePlan, rows: DataFrame, token: str, now: dt.datetime, sink: RowSink,
-    save: Callable[[ReversePlan], None],
+    save: Callable[[ReversePlan], None], confirmation: str = "",
 ) -> ReversePlan:
     """Check, re-read, compare and send; every change of status is saved before the next step.
 
@@ -78,7 +91,7 @@ def run_plan(
     twice by approval.  ``sink`` runs per partition and must itself be safe to
     repeat, because a lost task is run again.
     """
-    approve(plan, token, now)
+    approve(plan, token, now, confirmation)
     path = fresh_dir(rows.sparkSession, "plan_rows")
     mapped = map_fields(rows, plan.mappings)
     mapped.write.parquet(path)

@@ -132,6 +132,20 @@ def test_plan_runs_once(spark):
         run_plan(done, frame, "token", NOW, list, saved.append)
 
 
+def test_destructive_plans_need_a_typed_word(spark):
+    frame, saved, sent = contacts(spark, (1, "a", "x")), [], []
+    plan = make_plan(frame, "p1", "contacts", "delete", {"email": "mail"}, {"to": "crm"}, "token", NOW)
+    assert plan.challenge == "destructive" and plan_of(frame).challenge == ""
+    for typed in ("", "yes", "Destructive"):
+        with pytest.raises(ValueError, match="needs the confirmation"):
+            run_plan(plan, frame, "token", NOW, sent.append, saved.append, typed)
+    assert not saved and not sent
+    assert run_plan(plan, frame, "token", NOW, list, saved.append, " destructive ").status == "executed"
+    own = plan_of(frame, challenge="crm")
+    with pytest.raises(ValueError, match="'crm'"):
+        run_plan(own, frame, "token", NOW, list, saved.append)
+
+
 def test_changed_rows_invalidate(spark):
     saved, plan = [], plan_of(contacts(spark, (1, "a", "x"), (1, "a", "x")))
     with pytest.raises(ValueError, match="not those the plan"):
