@@ -16,6 +16,7 @@ texts; rows without an id come first; a table of one row is its own next documen
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,8 +28,9 @@ K = 2
 BINS = 32
 PICKED = 2
 POSITION_BITS = 30
-#: Documents of a block of neighbours: about 4 times the root of their number, so many at most.
-MAX_BLOCK = 32768
+#: Documents of a block of neighbours, up to a billion documents; from there on there are so many borders and blocks grow.
+BLOCK = 1024
+MAX_BORDERS = 1 << 20
 _LOW = (1 << POSITION_BITS) - 1
 
 
@@ -102,44 +104,53 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(equal / either.cast("double"))
 
 
-def _blocks(ids: DataFrame) -> tuple[Column, DataFrame]:
-    """The block of a row, and one small row per block: its first row and the block before it (the last one's: the first's).
+def _borders(ids: DataFrame) -> list[tuple[int | None, int]]:
+    """The first (doc_id, __hash) of each block, in order.
 
-    A block is a range of 2^n ids with a bounded mean number of rows, and 2^n distinct ids at most.
+    The narrow pairs are range-sorted and every n-th of them begins a block, so blocks have n rows at most whatever the ids:
+    gaps, missing ids and repeats make none larger.  There are ``MAX_BORDERS`` of them at most beside one per task of the sort.
     """
-    rows, low, high = ids.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
-    low, high = low or 0, high or 0
-    wanted = min(MAX_BLOCK, 4 * math.isqrt(rows) + 1)
-    bits = max(0, math.ceil(math.log2(max(1, (high - low + 1) * wanted / max(rows, 1)))))
-    block = F.coalesce(F.shiftright("doc_id", bits), F.lit((low >> bits) - 1))
-    first = F.min(F.struct("doc_id", "__hash"))
-    firsts = materialise(ids.groupBy(block.alias("__block")).agg(first.alias("f")).select("__block", "f.*"), "block-firsts")
-    # The block before: within a run of 4096 block numbers, else the last of the run before, of which there are few.
-    run = F.shiftright("__block", 12)
-    lasts = firsts.groupBy(run.alias("__run")).agg(F.max("__block").alias("__last"))
-    end = firsts.agg(F.max("__block")).first()[0]
-    lasts = lasts.withColumn("__last", F.lag("__last", 1, end).over(Window.orderBy("__run")))
-    inside = F.lag("__block").over(Window.partitionBy("__run").orderBy("__block"))
-    linked = firsts.withColumn("__run", run).withColumn("__inside", inside).join(lasts, "__run")
-    return block, materialise(linked.select(F.coalesce("__inside", "__last").alias("__before"), F.col("doc_id").alias("__id"),
-                                            F.col("__hash").alias("__of")), "block-links")
+    pairs = materialise(ids.select(F.col("doc_id").cast("long").alias("d"), F.col("__hash").alias("h")), "block-pairs")
+    size = max(BLOCK, -(-pairs.count() // MAX_BORDERS))
+    order = [F.col("d").asc_nulls_first(), F.col("h"), F.col("row")]  # equal pairs are told apart, so that they split too
+    ordered = pairs.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # within its task
+    firsts = ordered.withColumn("place", place).filter(F.col("place") % size == 0).select("d", "h").collect()
+    return sorted(((r["d"], r["h"]) for r in firsts), key=lambda b: (b[0] is not None, b[0] or 0, b[1]))
 
 
 def with_next(docs: DataFrame, ids: DataFrame, carried: list[str]) -> DataFrame:
     """Add ``next``, a struct of the carried columns of the next row by id; after the last row comes the first.
 
-    ``docs`` has doc_id and __hash, like ``ids``.  Rows are dealt out by block and sorted inside; the first row of each
-    block goes to the block before it as well, as the neighbour of its last row.  So texts are shuffled once.
+    ``docs`` has doc_id and __hash, like ``ids``.  A row finds its block by binary search among the borders.  Rows are dealt
+    out by block and sorted inside; those that equal the border of their block go to the block before it as well, as the
+    neighbour of its last row.  So texts are shuffled once and joined with nothing.  Equal rows that fill several blocks are
+    spread over them; within such blocks each is its neighbour's next.
     """
-    block, links = _blocks(ids)
-    here = F.struct(block.alias("block"), F.lit(False).alias("visits"))
-    before = F.struct(F.col("__before").alias("block"), F.lit(True).alias("visits"))
-    is_first = F.col("__before").isNotNull()
-    placed = docs.join(links, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__of")), "left")
+    borders = _borders(ids)
+    listed = F.from_json(F.lit(json.dumps([{"d": d, "h": h} for d, h in borders])), "array<struct<d:bigint,h:bigint>>")
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(max(1, len(borders).bit_length())))))
+    own = F.struct(F.col("doc_id").cast("long").alias("d"), F.col("__hash").alias("h"))
+
+    def found(holds) -> Column:
+        """The number of borders, from the first on, for which the comparison with the row holds."""
+        return F.aggregate(steps, F.lit(0), lambda n, s: F.when(holds(F.get(listed, n + s - 1)), n + s).otherwise(n))
+
+    low, high = F.col("__low"), F.col("__high")
+    is_first = high > low
+    block = F.when(is_first, low + F.pmod(F.xxhash64("__row"), F.greatest(high - low, F.lit(1))).cast("int")).otherwise(low - 1)
+    here = F.struct(F.col("__block").alias("block"), F.lit(False).alias("visits"))
+    before = F.struct(F.pmod(F.col("__block") - 1, F.lit(max(1, len(borders)))).alias("block"), F.lit(True).alias("visits"))
+    placed = (
+        docs.withColumn("__row", F.monotonically_increasing_id())
+        .withColumn("__low", found(lambda border: border < own))
+        .withColumn("__high", F.when(F.get(listed, low) == own, found(lambda border: border <= own)).otherwise(low))
+        .withColumn("__block", block)
+    )
     dealt = placed.withColumn("__at", F.explode(F.when(is_first, F.array(here, before)).otherwise(F.array(here))))
     ordered = Window.partitionBy("__at.block").orderBy("__at.visits", F.col("doc_id").asc_nulls_first(), "__hash")
-    following = dealt.withColumn("next", F.lead(F.struct(*carried)).over(ordered))
-    return following.filter(~F.col("__at.visits")).drop("__at", "__before", "__id", "__of")
+    following = dealt.drop("__row", "__low", "__high", "__block").withColumn("next", F.lead(F.struct(*carried)).over(ordered))
+    return following.filter(~F.col("__at.visits")).drop("__at")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 import hashlib
 
+from pyspark.sql import functions as F
+
 from lakesync.llm import order_minhash
 from hard_rows import hard, nothing  # noqa: F401
 
@@ -17,6 +19,47 @@ def test_neighbours_and_edited_texts(spark):
         assert same.setdefault(" ".join(text.split()), rows[doc]["fingerprint"]) == rows[doc]["fingerprint"]
 
 
+def test_blocks_do_not_depend_on_ids(spark, monkeypatch):
+    monkeypatch.setattr(order_minhash, "BLOCK", 32)
+    wide = [(k, f"wide {k} text") for k in range(300)] + [(1 << 60, "far away")]
+    lost = [(None, f"no id {k}") for k in range(200)]
+    equal = [(77, "the same row again")] * 150 + [(78, f"one id, text {k}") for k in range(90)]
+    docs = wide + lost + equal
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    read = df.select("doc_id", F.col("text").alias("__text"), F.xxhash64("text").alias("__hash"))
+    borders = order_minhash._borders(read.select("doc_id", "__hash"))
+    assert len(borders) >= len(docs) / 32
+    followed = order_minhash.with_next(read, read.select("doc_id", "__hash"), ["doc_id", "__hash", "__text"]).collect()
+    key = lambda d, h: (d is not None, d or 0, h)
+    ordered = sorted(key(r["doc_id"], r["__hash"]) for r in read.collect())
+    assert sorted((key(r["doc_id"], r["__hash"]), key(r["next"]["doc_id"], r["next"]["__hash"])) for r in followed) == sorted(
+        zip(ordered, ordered[1:] + ordered[:1]))
+
+
+def plain_signature(spark, text):
+    """Order MinHash with loops and dictionaries; only the hash function is Spark's."""
+    def hashed(*values):
+        return spark.range(1).select(F.xxhash64(*(F.lit(v) if isinstance(v, str) else F.lit(v).cast(t) for v, t in values))).first()[0]
+
+    low, words = (1 << 30) - 1, [hashed((w, "string")) for w in text.split()]
+    kmers = [hashed(*((h, "long") for h in words[i:i + 2])) & ~low for i in range(max(len(words) - 1, min(1, len(words))))]
+    seen, parts = {}, {}
+    for at, h in enumerate(kmers):
+        n = seen[h] = seen.get(h, -1) + 1
+        number = hashed(((h % (1 << 64)) >> 30, "long"), (n, "int")) & ~low
+        parts.setdefault((number % (1 << 64)) >> 59, []).append((number, at, (number % (1 << 64)) >> 30))
+    out = [None] * 32
+    for part, found in parts.items():
+        picked = sorted(sorted(found)[:2], key=lambda f: f[1])
+        out[part] = hashed(*((f[2], "long") for f in picked)) & 0xFFFFFFFF
+    return out
+
+
+def test_signature_against_plain_loops(spark):
+    texts = ["a b c a b c a b d", "one", "", "x y " * 3 + "z", " ".join(f"w{k % 5}" for k in range(12))]
+    assert signatures(spark, texts) == [plain_signature(spark, t) for t in texts]
+
+
 def signatures(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     return [r["s"] for r in order_minhash.add_signature(df, "t", "s").orderBy("i").collect()]
