@@ -1,14 +1,18 @@
 """Quality rules on lines that many documents of a host share.
 
 Lines are normalised (lower case, without regard to white space, digit runs as 0) and hashed.  For every host the number
-of distinct documents with a line is counted; a text that occurs many times counts once, so copies are left to the
-near-duplicate stage.  Lines in more than ``MAX_SHARE`` of a host's distinct documents, and in ``MIN_DOCS`` of them at
-least, are removed.  A document is rejected where the removal leaves too little of it (``is_depleted``) or a base rule
-fails.  Everything is a DataFrame expression: windows are hashed and sorted inside the row, lines are grouped by hash with
-partial counts, and the texts are not shuffled.
+of distinct documents with a line is counted; a text that occurs many times counts once.  So do, all together, the texts of
+a host that are made of shared lines (less than ``MIN_LEFT_PERCENT`` of their characters stand in lines of their own, which
+fewer than ``MIN_DOCS`` documents have): near copies of each other are such texts, and they do not prove a line to be
+boilerplate; they are left to the near-duplicate stage.  Lines in more than ``MAX_SHARE_PERCENT`` of a host's documents
+counted like that, or in ``MAX_DOCS`` of them whatever the host's size, and in ``MIN_DOCS`` of them at least, are removed.
+A document is rejected where the removal leaves too little of it (``is_depleted``) or a base rule fails.  Everything is a
+DataFrame expression: windows are hashed and sorted inside the row, lines are grouped by hash with partial counts, and the
+texts are not shuffled.
 
 Defined results: a null text has no words and fails the base rule; a null host is a host of its own; repeated rows get the
-same verdict; an empty table gives an empty table; other columns of the input are not looked at.
+same verdict; a very long text is read whole, like any other; there are no ties, since limits are compared and nothing is
+ranked; an empty table gives an empty table; other columns of the input, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -22,9 +26,10 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-#: A line is removed where it is in more than this percentage of a host's distinct documents ...
+#: A line is removed where it is in more than this percentage of a host's distinct documents, or in so many of them ...
 MAX_SHARE_PERCENT = 5
-#: ... and in so many of them at least.
+MAX_DOCS = 100
+#: ... and in so many of them at least.  Lines of so many documents are shared lines.
 MIN_DOCS = 10
 #: A document is depleted with less than this percentage of its lines' characters left.
 MIN_LEFT_PERCENT = 20
@@ -77,28 +82,50 @@ def measures(docs: DataFrame) -> DataFrame:
     )
 
 
+def _chars(lines: Column) -> Column:
+    return F.aggregate(lines, F.lit(0).cast("long"), lambda total, x: total + x["chars"])
+
+
+def _without(removed: str) -> Column:
+    """The characters of the lines that are not in the array ``removed``, which may be null."""
+    left = F.filter("lines", lambda x: ~F.array_contains(F.col(removed), x["line"]))
+    return F.when(F.col(removed).isNull(), _chars(F.col("lines"))).otherwise(_chars(left))
+
+
+def shared_lines(measured: DataFrame) -> DataFrame:
+    """(host, doc, lines, made_of): the lines of each distinct document that MIN_DOCS documents of its host have, and whether
+    it is made of such lines.  Documents without shared lines have no row."""
+    lines = measured.select("host", "doc", F.explode("lines.line").alias("line")).distinct()
+    counts = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs_in")).filter(F.col("docs_in") >= MIN_DOCS)
+    sets = lines.join(counts.select("host", "line"), ["host", "line"]).groupBy("host", "doc").agg(F.collect_set("line").alias("shared"))
+    made_of = _without("shared") * 100 < _chars(F.col("lines")) * MIN_LEFT_PERCENT
+    return measured.join(sets, ["host", "doc"]).groupBy("host", "doc").agg(F.first("shared").alias("lines"), F.max(made_of).alias("made_of"))
+
+
 def common_lines(measured: DataFrame) -> DataFrame:
     """(host, line, doc) of the lines above the limits, for each distinct document that has them."""
-    host = F.struct("source").alias("host")
-    lines = measured.select(host, "doc", F.explode("lines.line").alias("line")).distinct()
-    counts = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs_in")).filter(F.col("docs_in") >= MIN_DOCS)
-    hosts = measured.select(host, "doc").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("docs_of"))
-    above = F.col("docs_in") * 100 > F.col("docs_of") * MAX_SHARE_PERCENT
-    return lines.join(counts.join(hosts, "host").filter(above).select("host", "line"), ["host", "line"])
+    shared = materialise(shared_lines(measured), "line-shared")
+    # Documents made of shared lines count as one.
+    made_of = F.sum(F.col("made_of").cast("long"))
+    counted = F.count(F.lit(1)) - made_of + F.least(made_of, F.lit(1))
+    spare = shared.filter("made_of").groupBy("host").agg((F.count(F.lit(1)) - 1).alias("spare"))
+    hosts = measured.select("host", "doc").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
+    hosts = hosts.join(spare, "host", "left").select("host", (F.col("docs") - F.coalesce("spare", F.lit(0))).alias("docs_of"))
+    lines = shared.select("host", "doc", "made_of", F.explode("lines").alias("line"))
+    counts = lines.groupBy("host", "line").agg(counted.alias("docs_in")).filter(F.col("docs_in") >= MIN_DOCS)
+    above = (F.col("docs_in") * 100 > F.col("docs_of") * MAX_SHARE_PERCENT) | (F.col("docs_in") >= MAX_DOCS)
+    return lines.drop("made_of").join(counts.join(hosts, "host").filter(above).select("host", "line"), ["host", "line"])
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, source, doc, the measures, base_failed, removed_lines (hashes), line_chars, chars_left and kept."""
     measured = materialise(measures(docs), "line-measures").withColumn("host", F.struct("source"))
     removed = common_lines(measured).groupBy("host", "doc").agg(F.sort_array(F.collect_set("line")).alias("removed_lines"))
-    none = F.array().cast("array<bigint>")
-    long = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda total, x: total + x["chars"])
-    left = F.filter("lines", lambda x: ~F.array_contains(F.col("removed_lines"), x["line"]))
     return (
         measured.join(removed, ["host", "doc"], "left")
-        .withColumn("removed_lines", F.coalesce("removed_lines", none))
-        .withColumn("line_chars", long(F.col("lines")))
-        .withColumn("chars_left", F.when(F.size("removed_lines") > 0, long(left)).otherwise(F.col("line_chars")))
+        .withColumn("line_chars", _chars(F.col("lines")))
+        .withColumn("chars_left", _without("removed_lines"))
+        .withColumn("removed_lines", F.coalesce("removed_lines", F.array().cast("array<bigint>")))
         .withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT))
         .withColumn("is_depleted", F.col("chars_left") * 100 < F.col("line_chars") * MIN_LEFT_PERCENT)
         .withColumn("kept", ~F.col("base_failed") & ~F.col("is_depleted"))
@@ -148,10 +175,17 @@ SQL5 = r"""
     n AS (SELECT doc_id, source, t, trim(x, E' \t\n\x0b\f\r') AS line, length(x) AS chars
           FROM (SELECT doc_id, source, t, unnest(list_filter(string_split(regexp_replace(lower(t), '[0-9]+', '0', 'g'), chr(10)),
                                                              lambda x: regexp_matches(x, '[^ \t\n\x0b\f\r]'))) AS x FROM d)),
-    f AS (SELECT source, line, count(DISTINCT t) AS docs_in FROM n GROUP BY source, line),
-    h AS (SELECT source, count(DISTINCT t) AS docs_of FROM d GROUP BY source),
+    s AS (SELECT source, line FROM n GROUP BY source, line HAVING count(DISTINCT t) >= 10),
+    j AS (SELECT n.source, n.t, n.line, n.chars, s.line IS NOT NULL AS is_shared
+          FROM (SELECT DISTINCT doc_id, source, t, line, sum(chars) OVER (PARTITION BY doc_id, line) AS chars FROM n) n
+          LEFT JOIN s ON n.source IS NOT DISTINCT FROM s.source AND n.line = s.line),
+    u AS (SELECT source, t, coalesce(sum(chars) FILTER (NOT is_shared), 0) * 100 < sum(chars) * 20 AS made_of FROM j GROUP BY source, t),
+    f AS (SELECT j.source, line, count(DISTINCT j.t) FILTER (NOT made_of) + max(made_of::INT) AS docs_in
+          FROM j JOIN u ON j.source IS NOT DISTINCT FROM u.source AND j.t = u.t WHERE is_shared GROUP BY j.source, line),
+    h AS (SELECT d.source, count(DISTINCT d.t) FILTER (NOT coalesce(made_of, false)) + max(coalesce(made_of, false)::INT) AS docs_of
+          FROM d LEFT JOIN u ON d.source IS NOT DISTINCT FROM u.source AND d.t = u.t GROUP BY d.source),
     m AS (SELECT f.source, line FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source
-          WHERE docs_in >= 10 AND docs_in * 100 > docs_of * 5),
+          WHERE docs_in >= 10 AND (docs_in * 100 > docs_of * 5 OR docs_in >= 100)),
     o AS (SELECT doc_id, sum(chars)::BIGINT AS lost FROM n JOIN m ON n.source IS NOT DISTINCT FROM m.source AND n.line = m.line GROUP BY doc_id),
     b AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[ 	
 

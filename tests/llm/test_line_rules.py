@@ -44,6 +44,30 @@ def test_copies_count_once(spark):
     assert line_rules.kept_documents(docs).count() == 50
 
 
+def pages(spark, rows):
+    return spark.createDataFrame([(k, text, "h") for k, text in enumerate(rows)], "doc_id long, text string, source string")
+
+
+def sentence(k, n=12):
+    return " ".join("".join("abcdefghij"[int(d)] for d in str(1000 + 17 * k + j)) for j in range(n))
+
+
+def test_near_copies_count_once(spark):
+    lines = [sentence(1000 + j) for j in range(8)]
+    copies = ["\n".join([*lines[:j % 8], sentence(5000 + j), *lines[j % 8 + 1:]]) for j in range(20)]
+    others = [f"{sentence(9000 + k)}\n{sentence(20000 + k)}" for k in range(130)]
+    kept = {r["doc_id"]: r["text"] for r in line_rules.kept_documents(pages(spark, copies + others)).collect()}
+    assert kept == dict(enumerate(copies + others))
+
+
+def test_lines_beyond_the_absolute_limit_go(spark):
+    own = [sentence(100 * k) for k in range(4000)]
+    above, below = "all rights of this page are reserved", "read more about it"
+    rows = [text + ("\n" + above if k < 100 else "\n" + below if k < 199 else "") for k, text in enumerate(own)]
+    kept = {r["doc_id"]: r["text"] for r in line_rules.kept_documents(pages(spark, rows)).collect()}
+    assert [kept[k] for k in range(4000)] == own[:100] + rows[100:]
+
+
 def test_extra_columns_stay(hard):
     kept = line_rules.kept_documents(hard)
     assert kept.columns == hard.columns and {r["doc_id"] for r in kept.select("doc_id").collect()} == {1, 2, None}
