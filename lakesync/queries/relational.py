@@ -304,12 +304,13 @@ def sql_cte_subquery(spark, sf_dir):
     return guarded.query(spark, _CTE)
 
 
-_CHAIN = """
-    WITH RECURSIVE steps AS (
+_STEPS = """
         SELECT o_custkey, o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS price,
                lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS previous,
                lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS following
-        FROM orders),
+        FROM orders"""
+
+_WALK = """
     chain AS (
         SELECT o_custkey, o_orderkey, previous, CAST(1 AS BIGINT) AS depth, CAST(price AS DECIMAL(28,2)) AS spent FROM steps WHERE following IS NULL
         UNION ALL
@@ -318,14 +319,29 @@ _CHAIN = """
     SELECT o_custkey, o_orderkey, depth, CAST(spent AS DOUBLE) AS spent FROM chain
 """
 
+_CHAIN = f"""
+    WITH RECURSIVE steps AS ({_STEPS}),{_WALK}"""
+
+#: Rows of a part of the steps, which every level of the recursion reads as it lies.
+_PART_ROWS = 250_000
+
 
 @query("sql_recursive_chain", _CHAIN)
 def sql_recursive_chain(spark, sf_dir):
-    """From the last order of each customer back to the first: as deep as the customer with most orders."""
+    """From the last order of each customer back to the first: as deep as the customer with most orders.
+
+    Every level joins all steps, so they are written once, and kept dealt and sorted by the keys of that join for as long as
+    the session has room; a level then sorts and shuffles the orders of its own depth only.
+    """
     orders = table(spark, sf_dir, "orders")
     orders.createOrReplaceTempView("orders")
-    most = orders.groupBy("o_custkey").count().agg(F.max("count").alias("n")).first().n or 0
-    return guarded.query(spark, _CHAIN, max_depth=most + 1)
+    size = orders.groupBy("o_custkey").count().agg(F.max("count").alias("most"), F.sum("count").alias("rows")).first()
+    path = fresh_dir(spark, "chain-steps")  # a new path each time, so nothing kept is taken for another table's steps
+    guarded.query(spark, _STEPS).write.parquet(path)
+    parts = (size.rows or 0) // _PART_ROWS + 1
+    keys = ("o_orderkey", "o_custkey")
+    spark.read.parquet(path).repartition(parts, *keys).sortWithinPartitions(*keys).persist().createOrReplaceTempView("steps")
+    return guarded.query(spark, f"WITH RECURSIVE {_WALK}", max_depth=(size.most or 0) + 1)
 
 
 @query("expr_null_nan", """

@@ -67,3 +67,22 @@ def test_entry_runs(spark):
     # Optional parts may add to both.
     assert all_queries().keys() <= entry.queries().keys() and all_oracles().keys() <= entry.oracle_sql().keys()
     assert entry.oracle_sql().keys() <= entry.queries().keys()
+
+
+def write_orders(spark, folder, rows):
+    lines = ", ".join(f"({k}, {c}, {price}D, timestamp'2024-01-{day:02d}')" for k, c, price, day in rows)
+    spark.sql(f"SELECT * FROM VALUES {lines} AS o(o_orderkey, o_custkey, o_totalprice, o_orderdate)").write.mode(
+        "overwrite").parquet(f"{folder}/orders.parquet")
+
+
+def test_levels_of_a_chain_read_steps_that_are_computed_once(spark, tmp_path, rows):
+    folder = str(tmp_path)
+    write_orders(spark, folder, [(1, 7, 10, 1), (2, 7, 20, 2), (3, 7, 30, 3), (4, 8, 5, 1), (5, "null", 9, 1), ("null", 8, 6, 2)])
+    chain = QUERIES["sql_recursive_chain"](spark, folder)
+    plan = chain._jdf.queryExecution().optimizedPlan().toString()
+    assert "UnionLoop" in plan and "InMemoryRelation" in plan and "Window" not in plan
+    assert rows(chain) == sorted([(7, 3, 1, 30.0), (7, 2, 2, 50.0), (7, 1, 3, 60.0), (8, 4, 1, 5.0), (8, None, 1, 6.0), (8, 4, 2, 11.0),
+                                  (None, 5, 1, 9.0)], key=repr)
+    # Other rows at the same place.
+    write_orders(spark, folder, [(1, 7, 1, 2), (2, 7, 2, 1)])
+    assert rows(QUERIES["sql_recursive_chain"](spark, folder)) == [(7, 1, 1, 1.0), (7, 2, 2, 3.0)]
