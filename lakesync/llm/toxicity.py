@@ -24,9 +24,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -74,7 +74,7 @@ def term(stem: np.ndarray, level: int | np.ndarray) -> np.ndarray:
 
 
 class Terms(dict):
-    """Maps a word to the hashes of its stems and keeps what it has seen; with ``known`` terms, only stems of those."""
+    """Maps a word to a number and keeps the stems of what it has seen; with ``known`` terms, only stems of those."""
 
     def __init__(self, known: bytes | None = None) -> None:
         super().__init__()
@@ -87,40 +87,53 @@ class Terms(dict):
             for level in LEVELS:
                 stems[(terms.astype(np.int64) - level * STEP) & _MASK] = 1
             self.stems = stems.tobytes()
+        self.forget()
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= KEPT:
-            self.clear()
+    def forget(self) -> None:
+        """Drop all words; their stems stand one after the other, those of word k from ends[k] to ends[k + 1]."""
+        self.clear()
+        self.flat, self.ends = array("i"), array("q", [0])
+
+    def __missing__(self, word: str) -> int:
         stems = [zlib.crc32(f"{word}$".encode()) & _MASK, *(zlib.crc32(word[:n].encode()) & _MASK for n in BEGINNINGS if len(word) >= n)]
-        found = tuple(stems if self.stems is None else [x for x in stems if self.stems[x]])
-        self[word] = found
+        self.flat.extend(stems if self.stems is None else [x for x in stems if self.stems[x]])
+        self.ends.append(len(self.flat))
+        found = self[word] = len(self)
         return found
 
     def of(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """The sorted terms of each text, one after the other, and where they start; their numbers in the model if there is one."""
-        words, times, sizes = [], [], []
+        if len(self) >= KEPT:
+            self.forget()
+        words, times, sizes = array("q"), array("q"), []
         for text in texts:
             counts = Counter(_WORD.findall((text or "").lower()))
             words.extend(map(self.__getitem__, counts))
             times.extend(counts.values())
             sizes.append(len(counts))
-        widths = np.fromiter(map(len, words), np.int64, len(words))
-        stems = np.fromiter(chain.from_iterable(words), np.int64, int(widths.sum()))
+        words, times, ends = np.asarray(words), np.asarray(times), np.asarray(self.ends)
+        widths = ends[words + 1] - ends[words]
+        until = np.cumsum(widths)
+        total = int(until[-1]) if len(until) else 0
+        stems = np.asarray(self.flat)[np.arange(total) + np.repeat(ends[words + 1] - until, widths)].astype(np.int64)
         row = np.repeat(np.repeat(np.arange(len(sizes)), sizes), widths)
         # Text, stem and count in one number, so that one sort brings a text's equal stems together.  More than the highest
         # level of one word counts as that level.
-        few = np.minimum(np.repeat(np.array(times, np.int64), widths), LEVELS[-1])
+        few = np.minimum(np.repeat(times, widths), LEVELS[-1])
         packed = np.sort((row << HASH_BITS | stems) << 2 | few)
         keys = packed >> 2
         first = np.flatnonzero(np.diff(keys, prepend=-1))
         count = np.add.reduceat(packed & 3, first) if len(first) else first
-        row, stem = keys[first] >> HASH_BITS, keys[first] & _MASK
-        terms = term(stem[:, None], np.array(LEVELS)[None, :])
-        there = count[:, None] >= np.array(LEVELS)[None, :]
-        if self.number is not None:
-            terms = self.number[terms].astype(np.int64)
-            there &= terms >= 0
-        keys = np.sort((row[:, None] << HASH_BITS | terms)[there])
+        keys, found = keys[first], []
+        for level in LEVELS:  # few stems reach the higher ones
+            there = np.flatnonzero(count >= level) if level > 1 else slice(None)
+            rows, terms = keys[there] & ~_MASK, term(keys[there] & _MASK, level)
+            if self.number is not None:
+                terms = self.number[terms]
+                here = np.flatnonzero(terms >= 0)
+                rows, terms = rows[here], terms[here].astype(np.int64)
+            found.append(rows | terms)
+        keys = np.sort(np.concatenate(found))
         keys = keys[np.diff(keys, prepend=-1) != 0]  # levels of different stems may share a hash
         return (keys & _MASK).astype(np.int32), np.searchsorted(keys >> HASH_BITS, np.arange(len(sizes) + 1))
 
@@ -170,41 +183,42 @@ def fit(rows: list, labels: np.ndarray, n_terms: int, seed: int = 7) -> Machine:
     model = Machine(0.0, np.zeros(n_terms), rng.normal(0, 0.02, (n_terms, FACTORS)))
     sum_b, sum_w, sum_v = 1e-6, np.full(n_terms, FIRST_W), np.full((n_terms, FACTORS), FIRST_V)
     rows = [np.asarray(r, np.int32) for r in rows]
-    sizes, number = np.array([len(r) for r in rows], np.int64), np.zeros(n_terms, np.int32)
+    # Places are 64-bit numbers, as numpy's indexing and counting would otherwise convert them each time.
+    sizes, number = np.array([len(r) for r in rows], np.int64), np.zeros(n_terms, np.intp)
     for _ in range(EPOCHS):
         order = rng.permutation(len(rows))
         for k in range(0, len(order), BATCH):
             picked = order[k: k + BATCH]
             terms = np.concatenate([rows[i] for i in picked])
             used = np.sort(terms)
-            used = used[np.diff(used, prepend=-1) != 0]
-            number[used] = np.arange(len(used), dtype=np.int32)
-            at = np.repeat(np.arange(len(picked)), sizes[picked])
-            where = number[terms]
+            used = used[np.diff(used, prepend=-1) != 0].astype(np.intp)
+            number[used] = np.arange(len(used))
+            where = number.take(terms)
             # The machine of the terms of this batch.
-            part = Machine(model.bias, model.weights[used], model.factors[used])
+            part = Machine(model.bias, model.weights.take(used), model.factors.take(used, 0))
             filled, starts = np.flatnonzero(sizes[picked]), np.cumsum(sizes[picked]) - sizes[picked]
+            starts = starts[filled]
             margins, sums = np.full(len(picked), part.bias), np.zeros((FACTORS, len(picked)))
             if len(filled):
-                margins[filled] += np.add.reduceat((part.weights - 0.5 * (part.factors ** 2).sum(1))[where], starts[filled])
+                margins[filled] += np.add.reduceat((part.weights - 0.5 * (part.factors ** 2).sum(1)).take(where), starts)
                 for f in range(FACTORS):
-                    sums[f, filled] = np.add.reduceat(part.factors[:, f].copy()[where], starts[filled])
+                    sums[f, filled] = np.add.reduceat(part.factors[:, f].copy().take(where), starts)
                 margins += 0.5 * (sums ** 2).sum(0)
             wrong = (1 / (1 + np.exp(-np.clip(margins, -40, 40))) - labels[picked]) / len(picked)
             sum_b += wrong.sum() ** 2
             model.bias -= RATE * wrong.sum() / np.sqrt(sum_b)
             if not len(terms):
                 continue
-            pull = lambda by: np.bincount(where, by[at], len(used))
+            pull = lambda by: np.bincount(where, np.repeat(by, sizes[picked]), len(used))
             grad_w = pull(wrong)
             grad_v = np.stack([pull(wrong * sums[f]) for f in range(FACTORS)], 1) + (DECAY - grad_w[:, None]) * part.factors
             grad_w += DECAY * part.weights
-            sum_w[used] += grad_w ** 2
-            sum_v[used] += grad_v ** 2
-            rate = RATE / np.sqrt(sum_w[used])
+            now_w, now_v = sum_w.take(used) + grad_w ** 2, sum_v.take(used, 0) + grad_v ** 2
+            sum_w[used], sum_v[used] = now_w, now_v
+            rate = RATE / np.sqrt(now_w)
             moved = part.weights - rate * grad_w
             model.weights[used] = np.sign(moved) * np.maximum(np.abs(moved) - SPARSE * rate, 0)
-            model.factors[used] -= RATE * grad_v / np.sqrt(sum_v[used])
+            model.factors[used] = part.factors - RATE * grad_v / np.sqrt(now_v)
     return model
 
 

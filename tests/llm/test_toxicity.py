@@ -82,3 +82,30 @@ def test_hard_rows(spark, hard, nothing):
     assert toxicity.accepted_documents(hard, none).count() == hard.count()
     assert toxicity.accepted_documents(hard, odd).columns == hard.columns
     assert toxicity.accepted_documents(nothing, odd).count() == 0
+
+
+def test_terms_equal_plain_counts_whatever_words_are_kept(monkeypatch):
+    monkeypatch.setattr(toxicity, "KEPT", 20)
+    random.seed(5)
+    texts = [None, "", "1 2"] + [" ".join(random.choice(["spam", "spams", "spamming", f"w{chr(97 + k % 26)}rd"]) for k in range(n)) for n in range(60)]
+
+    def by_hand(text):
+        times = {}
+        for word in (text or "").split():
+            if word.isalpha():
+                for stem in [f"{word}$", *(word[:n] for n in toxicity.BEGINNINGS if len(word) >= n)]:
+                    times.setdefault(zlib.crc32(stem.encode()) & toxicity._MASK, []).append(word)
+        found = set()
+        for stem, words in times.items():
+            found |= {(stem + level * toxicity.STEP) & toxicity._MASK for level in toxicity.LEVELS if level <= len(words)}
+        return sorted(found)
+
+    terms = toxicity.Terms()
+    for _ in range(2):
+        for k in range(0, len(texts), 7):
+            found, starts = terms.of(texts[k: k + 7])
+            assert [found[a:b].tolist() for a, b in zip(starts, starts[1:])] == [by_hand(t) for t in texts[k: k + 7]]
+            assert isinstance(terms["spam"], int) and len(terms.ends) == len(terms) + 1  # numbers, not lists of stems of each word
+    known = np.array(sorted({t for text in texts for t in by_hand(text)})[::2], "<i4")
+    found, starts = toxicity.Terms(known.tobytes()).of(texts)
+    assert [known[found[a:b]].tolist() for a, b in zip(starts, starts[1:])] == [[t for t in by_hand(text) if t in known] for text in texts]
