@@ -58,6 +58,8 @@ BROADCAST_ROWS = 200_000
 MAP_BITS = 1 << 25
 #: Words whose hashes a task keeps.
 KEPT = 200_000
+#: Hash functions that are applied to a text's shingles together; a divisor of BITS.
+AT_ONCE = 128
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -95,12 +97,21 @@ def shingle_set(text: str | None, words: int, hashes: WordHashes) -> np.ndarray:
 def minwise(shingles: np.ndarray) -> np.ndarray:
     """The BITS minwise values of a set, of 32 bits each."""
     least = np.full(BITS, np.iinfo(np.uint32).max, np.uint32)
-    for at in range(0, len(shingles), 1024):
-        part = (shingles[at: at + 1024] >> np.uint64(32)).astype(np.uint32)
-        placed = (part[None, :] ^ _SEEDS[:, None]) * _FACTORS[:, None]
-        placed ^= placed >> np.uint32(15)
-        placed *= np.uint32(0x2C1B3C6D)
-        least = np.minimum(least, placed.min(1))
+    if not len(shingles):
+        return least
+    high = (shingles >> np.uint64(32)).astype(np.uint32)
+    # A few hash functions and shingles at a time, in two tables that are used again and again.
+    placed, moved = np.empty((2, AT_ONCE, min(len(high), 1024)), np.uint32)
+    for at in range(0, len(high), 1024):
+        part = high[None, at: at + 1024]
+        x, y = placed[:, : part.shape[1]], moved[:, : part.shape[1]]
+        for k in range(0, BITS, AT_ONCE):
+            np.bitwise_xor(part, _SEEDS[k: k + AT_ONCE, None], out=x)
+            np.multiply(x, _FACTORS[k: k + AT_ONCE, None], out=x)
+            np.right_shift(x, np.uint32(15), out=y)
+            np.bitwise_xor(x, y, out=x)
+            np.multiply(x, np.uint32(0x2C1B3C6D), out=x)
+            np.minimum(least[k: k + AT_ONCE], x.min(1), out=least[k: k + AT_ONCE])
     return least
 
 
@@ -390,6 +401,27 @@ def _regrouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
         F.when(as_one, F.col("others_together")).otherwise(F.col("others")).alias("others")).distinct()
 
 
+class Shingles:
+    """Sets by their shingles, to count what another set shares with each of them by looking up its own shingles only."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.sizes = np.array([len(s) for s in sets])
+        every = np.concatenate(sets)
+        order = np.argsort(every, kind="stable")
+        self.owners = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.names, first = np.unique(every[order], return_index=True)
+        self.ends = np.append(first, len(every))
+
+    def shared(self, found: np.ndarray) -> np.ndarray:
+        """How many of the distinct shingles ``found`` each set has."""
+        at = np.minimum(np.searchsorted(self.names, found), len(self.names) - 1)
+        at = at[self.names[at] == found]
+        widths = self.ends[at + 1] - self.ends[at]
+        until = np.cumsum(widths)
+        places = np.arange(int(widths.sum())) + np.repeat(self.ends[at + 1] - until, widths)
+        return np.bincount(self.owners[places], minlength=len(self.sizes))
+
+
 def _settled(rows: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The links (a, b) in nodes between sets outside the largest component and sets of other components.
 
@@ -412,19 +444,19 @@ def _settled(rows: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
                 if (as_one, node, block) != at:
                     at, reps, comps, parts, ready = (as_one, node, block), [], [], [], None
                 found = np.frombuffer(raw, np.uint64)
+                if not len(found):  # another row of the id; it is linked with nothing
+                    continue
                 if side == 0:
                     reps.append(rep)
                     comps.append(comp)
                     parts.append(found)
                     continue
                 if ready is None and parts:
-                    sizes = np.array([len(p) for p in parts])
-                    ready = (np.concatenate(parts), np.repeat(np.arange(len(parts)), sizes), sizes, np.array(reps), np.array(comps))
+                    ready = (Shingles(parts), np.array(reps), np.array(comps))
                 if ready is None:
                     continue
-                every, of, sizes, ids, own = ready
-                place = np.minimum(np.searchsorted(found, every), len(found) - 1)
-                common = np.bincount(of[found[place] == every], minlength=len(sizes))
+                every, ids, own = ready
+                common, sizes = every.shared(found), every.sizes
                 near = (100 * common >= percent * (sizes + len(found) - common)) & (own != comp)
                 a += np.minimum(ids[near], rep).tolist()
                 b += np.maximum(ids[near], rep).tolist()

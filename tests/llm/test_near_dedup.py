@@ -148,3 +148,27 @@ def test_deep_trees_keep_pairs_together():
         of, node, used = of[place < 32], node[place < 32], used[place < 32]
     missed = 1 - len(np.unique(of)) / pairs
     assert missed ** near_dedup.TREES < 1e-3
+
+
+def test_shared_shingles_are_counted_by_those_of_the_passing_set():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (1, 7, 40, 80, 80)]
+    held = near_dedup.Shingles(sets)
+    for found in [*sets, np.array([99], np.uint64), np.array([0, 59, 10**18], np.uint64)]:
+        assert held.shared(found).tolist() == [len(np.intersect1d(found, s)) for s in sets]
+        assert held.sizes.tolist() == [len(s) for s in sets]
+
+
+@pytest.mark.parametrize("at_once", [near_dedup.AT_ONCE, 64])
+def test_minwise_values_equal_those_of_one_function_at_a_time(monkeypatch, at_once):
+    monkeypatch.setattr(near_dedup, "AT_ONCE", at_once)
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 1023, 1024, 2500):
+        shingles = rng.integers(0, 2**63, n).astype(np.uint64)
+        found = near_dedup.minwise(shingles)
+        for k in (0, 63, 64, 200, near_dedup.BITS - 1):
+            least = 2**32 - 1
+            for x in (shingles >> np.uint64(32)).tolist():
+                y = (x ^ int(near_dedup._SEEDS[k])) * int(near_dedup._FACTORS[k]) % 2**32
+                least = min(least, (y ^ y >> 15) * 0x2C1B3C6D % 2**32)
+            assert found[k] == least
