@@ -9,8 +9,9 @@ and the tokens are those that applying the merges in order would give.
 
 Decoding keeps the bytes of all tokens in one string; a table of offsets says where each token starts.
 
-Every task reads the vocabulary from a broadcast of fixed size (that of the tokenizer file).  Encoded pieces are kept per
-task, up to ``KEPT`` of them, since words repeat; the table is emptied when it is full.
+Every task reads the vocabulary from a broadcast of fixed size (that of the tokenizer file).  Encoded pieces of up to
+``KEPT_CHARS`` characters are kept per task, up to ``KEPT`` of them, since words repeat; the table is emptied when it is full.
+Pairs have a table of fixed size, in which a pair takes the place of another.
 
 Defined results: a null text is empty and has no tokens; repeated rows are encoded each; an empty table gives an empty
 table; text that is not valid in the vocabulary does not exist, because every byte is a token.
@@ -21,6 +22,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -30,10 +32,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakesync.llm.common import giving_back
+
 #: Fixed value: the pattern of the tokenizer's pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces and pairs that a task keeps at once.
-KEPT = 200_000
+#: Pieces that a task keeps at once, and the characters of the longest; longer ones hardly repeat.
+KEPT = 131_072
+KEPT_CHARS = 32
+#: Places of the table of pairs (8 bytes each); a power of two.
+PAIRS = 1 << 18
 
 
 def shown_bytes() -> dict[str, int]:
@@ -79,7 +86,8 @@ class Encoder:
         self.automaton.make_automaton()
         # The longest token that is a proper prefix of a token, -1 for single bytes.
         self.shorter = [next((rank[token[:n]] for n in range(len(token) - 1, 0, -1) if token[:n] in rank), -1) for token in ranked]
-        self.fits: dict[tuple[int, int], bool] = {}
+        # Twice the number of a pair and its answer, at the pair's place; -1 where none has been.
+        self.fits = array("q", [-1]) * PAIRS
 
     def fit(self, left: int, right: int) -> bool:
         """Whether the merges keep two neighbouring tokens apart.
@@ -87,9 +95,6 @@ class Encoder:
         Undo the younger token's merge again and again, and look at the two parts that touch: had a pair of such parts a
         merge older than the one just undone, the bytes would have been merged across the border first.
         """
-        known = self.fits.get((left, right))
-        if known is not None:
-            return known
         a, b, before = left, right, len(self.sizes)
         answer = None
         while answer is None:
@@ -111,14 +116,14 @@ class Encoder:
                     before, inner = a, self.halves[a][1]
                     answer = True if inner == a else None
                     a = inner
-        if len(self.fits) >= KEPT:
-            self.fits.clear()
-        self.fits[left, right] = answer
+        pair = left * len(self.sizes) + right
+        self.fits[(pair ^ pair >> 18) & (PAIRS - 1)] = pair << 1 | answer
         return answer
 
     def encode(self, piece: bytes) -> bytes:
         """The ids of a piece as little-endian unsigned 32-bit integers."""
-        size, sizes, shorter = len(piece), self.sizes, self.shorter
+        size, sizes, shorter, fits = len(piece), self.sizes, self.shorter, self.fits
+        tokens, last = len(sizes), PAIRS - 1
         longest = list(piece)  # a byte's rank is its value
         for end, token in self.automaton.iter(piece.decode("latin-1")):
             start = end + 1 - sizes[token]
@@ -133,12 +138,18 @@ class Encoder:
                 token = chosen.pop()
                 at -= sizes[token]
                 token = shorter[token]
-            elif not closed[at + sizes[token]] and (not chosen or self.fit(chosen[-1], token)):
-                chosen.append(token)
-                at += sizes[token]
-                token = longest[at] if at < size else -1
             else:
-                token = shorter[token]
+                fitting = not closed[at + sizes[token]]
+                if fitting and chosen:
+                    pair = chosen[-1] * tokens + token
+                    known = fits[(pair ^ pair >> 18) & last]
+                    fitting = known & 1 if known >> 1 == pair else self.fit(chosen[-1], token)
+                if fitting:
+                    chosen.append(token)
+                    at += sizes[token]
+                    token = longest[at] if at < size else -1
+                else:
+                    token = shorter[token]
         return self.ids[chosen].tobytes()
 
 
@@ -158,9 +169,11 @@ class Codec(dict):
         self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in ordered])]).astype(np.int64)
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= KEPT:
-            self.clear()
-        found = self[piece] = self.encoder.encode(piece.encode())
+        found = self.encoder.encode(piece.encode())
+        if len(piece) <= KEPT_CHARS:
+            if len(self) >= KEPT:
+                self.clear()
+            self[piece] = found
         return found
 
     def encode(self, text: str) -> bytes:
@@ -193,7 +206,7 @@ def encoded(docs: DataFrame, tokenizer_json: str, with_ids: bool = True) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(content.value)
-        for batch in batches:
+        for batch in giving_back(batches):
             ids, counts, hashes, back = [], [], [], []
             for text in batch.column("text"):
                 found = codec.encode(text.as_py() or "")

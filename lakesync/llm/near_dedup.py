@@ -26,16 +26,16 @@ gives an empty table; other columns, whatever their names, are not looked at, an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakesync.llm.common import free_names, materialise, text_or_empty
+from lakesync.llm.common import free_names, giving_back, materialise, text_or_empty
 from lakesync.llm.links import components
 
 #: Words of a shingle and percentage of likeness, unless a caller says otherwise.
@@ -119,7 +119,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n_shingles, two hashes of the set, longs of sketch bits, and the minwise values that trees choose from."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in giving_back(batches):
             sizes, bits, values, names = [], [], [], []
             for text in batch.column("text"):
                 found = shingle_set(text.as_py(), words, hashes)
@@ -154,16 +154,21 @@ def branch(node: np.ndarray, used: np.ndarray, tree: np.ndarray, least: np.ndarr
 
 
 _SET = ["rep", "n", *SKETCH]
-_PATH = "node long, state long, " + ", ".join(f"{c} long" for c in _SET)
+_PATH = "node long, state long, run long, " + ", ".join(f"{c} long" for c in _SET)
 
 
-def _rows_of(node, used, tree, columns) -> pa.RecordBatch:
-    state = tree.astype(np.int64) << COORDINATES | used
-    return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(state), *columns], ["node", "state", *_SET])
+def _rows_of(node, used, tree, columns, large) -> pa.RecordBatch:
+    state, run, node = tree.astype(np.int64) << COORDINATES | used, np.zeros(len(node), np.int64), node.view(np.int64)
+    if large is not None:
+        names, runs = large.value
+        at = np.minimum(np.searchsorted(names, node), len(names) - 1)
+        dealt = mixed(columns[0].to_numpy().astype(np.int64).view(np.uint64) * _M1) % runs[at].astype(np.uint64)
+        run = np.where(names[at] == node, dealt.astype(np.int64), 0)
+    return pa.RecordBatch.from_arrays([pa.array(node), pa.array(state), pa.array(run), *columns], ["node", "state", "run", *_SET])
 
 
-def first_paths(reps: DataFrame) -> DataFrame:
-    """The nodes of every set after the first levels of all trees."""
+def first_paths(reps: DataFrame, large: Broadcast | None = None) -> DataFrame:
+    """The nodes of every set after the first levels of all trees; with the runs of ``large`` nodes, if any, else run 0."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in filter(len, batches):
             least = np.frombuffer(b"".join(batch.column("least").to_pylist()), "<u4").reshape(len(batch), -1)
@@ -174,13 +179,13 @@ def first_paths(reps: DataFrame) -> DataFrame:
                 for _ in range(FIRST_DEPTH):
                     level = [child for node, used in level for child in branch(node, used, tree, least)]
                 for node, used in level:
-                    yield _rows_of(node, used, tree, columns)
+                    yield _rows_of(node, used, tree, columns, large)
 
     return reps.select(*_SET, "least").mapInArrow(run, _PATH)
 
 
-def next_paths(rows: DataFrame) -> DataFrame:
-    """The children of rows (a path and its set's minwise values)."""
+def next_paths(rows: DataFrame, large: Broadcast | None = None) -> DataFrame:
+    """The children of rows (a path and its set's minwise values), with runs as above."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in filter(len, batches):
             least = np.frombuffer(b"".join(batch.column("least").to_pylist()), "<u4").reshape(len(batch), -1)
@@ -188,36 +193,31 @@ def next_paths(rows: DataFrame) -> DataFrame:
             state = batch.column("state").to_numpy().astype(np.int64)
             tree, used = state >> COORDINATES, state & ((1 << COORDINATES) - 1)
             for child, now in branch(node, used, tree, least):
-                yield _rows_of(child, now, tree, [batch.column(c) for c in _SET])
+                yield _rows_of(child, now, tree, [batch.column(c) for c in _SET], large)
 
     return rows.select("node", "state", *_SET, "least").mapInArrow(run, _PATH)
 
 
-def _with_runs(paths: DataFrame) -> DataFrame:
-    """Add ``run``: large nodes are cut into runs by hash; every run is large enough to tell that its node is."""
+def _with_runs(paths_of: Callable, rows: DataFrame) -> DataFrame:
+    """Paths with ``run``: large nodes are cut into runs by hash; every run is large enough to tell that its node is.
+
+    The runs are given out by the function that makes the paths: one by one after it would keep a second Python worker a task.
+    """
+    paths = paths_of(rows)
     sizes = paths.groupBy("node").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") >= 2 * RUN)
     sizes = materialise(sizes.select("node", F.floor(F.col("rows") / RUN).cast("long").alias("runs")), "near-sizes")
     known = sizes.count()
     if not known:
-        return paths.withColumn("run", F.lit(0).cast("long"))
+        return paths
     if known > BROADCAST_ROWS:
         run = F.coalesce(F.pmod(F.xxhash64("rep"), F.col("runs")), F.lit(0).cast("long"))
-        return paths.join(sizes, "node", "left").withColumn("run", run)
+        return paths.drop("run").join(sizes, "node", "left").withColumn("run", run)
     table = sizes.orderBy("node").toArrow()
-    large = paths.sparkSession.sparkContext.broadcast((table["node"].to_numpy(), table["runs"].to_numpy()))
+    return paths_of(rows, rows.sparkSession.sparkContext.broadcast((table["node"].to_numpy(), table["runs"].to_numpy())))
 
-    @F.pandas_udf("long")
-    def run_of(node: pd.Series, rep: pd.Series) -> pd.Series:
-        names, runs = large.value
-        at = np.minimum(np.searchsorted(names, node.to_numpy()), len(names) - 1)
-        dealt = mixed(rep.to_numpy().astype(np.int64).view(np.uint64) * _M1) % runs[at].astype(np.uint64)
-        return pd.Series(np.where(names[at] == node.to_numpy(), dealt.astype(np.int64), 0))
 
-    return paths.withColumn("run", run_of("node", "rep"))
-
-
-def compare_nodes(paths: DataFrame, percent: int) -> DataFrame:
-    """Compare the sets of each node; rows (kind, a, b, node, state).
+def compare_nodes(paths_of: Callable, rows: DataFrame, percent: int) -> DataFrame:
+    """Compare the sets of each node of the paths that ``paths_of`` makes of ``rows``; rows (kind, a, b, node, state).
 
     kind 0: a likely pair, the likeliest earlier partner of ``b``; kind 1: another likely pair of a small node; kind 2: ``a`` belongs to a
     node of more than NODE sets.  Rows arrive sorted by node, run and set.  Each is compared with the NODE rows before it in its run, so
@@ -264,38 +264,35 @@ def compare_nodes(paths: DataFrame, percent: int) -> DataFrame:
                  pa.array(np.concatenate([none, state[large]]))], ["kind", "a", "b", "node", "state"])
             kept = [x[-(NODE + 1):] for x in now]
 
-    dealt = _with_runs(paths).repartition("node", "run").sortWithinPartitions("node", "run", "rep").select("node", "state", "run", *_SET)
+    dealt = _with_runs(paths_of, rows).repartition("node", "run").sortWithinPartitions("node", "run", "rep").select("node", "state", "run", *_SET)
     return dealt.mapInArrow(run, "kind int, a long, b long, node long, state long")
 
 
-def _bit_map(ids: DataFrame) -> np.ndarray:
-    """A bit map of hashed ids, of fixed size: it only spares work, so a full one does no harm."""
+def _bit_map(ids: DataFrame) -> DataFrame:
+    """The words that are not 0 of a bit map of hashed ids, of fixed size: it only spares work, so a full one does no harm."""
     at = F.pmod(F.xxhash64("id"), F.lit(MAP_BITS))
-    words = ids.select(at.alias("at")).groupBy(F.floor(F.col("at") / 64).cast("int").alias("word")).agg(
+    words = ids.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(
         F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits"))
-    out = np.zeros(MAP_BITS // 64, np.int64)
-    for batch in words.toArrow().to_batches():
-        out[batch.column("word").to_numpy()] = batch.column("bits").to_numpy()
-    return out.view(np.uint64)
+    return materialise(words, "near-marks")
 
 
 def _sets_of(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """(id, shingles) of the documents with these ids, and of a few others: texts are read where they lie."""
-    marked = docs.sparkSession.sparkContext.broadcast(_bit_map(ids.distinct()))
+    """(id, shingles) of the documents with these ids, and of a few others: texts are read where they lie.
 
-    @F.pandas_udf("boolean")
-    def wanted(hashes: pd.Series) -> pd.Series:
-        at = hashes.to_numpy()
-        return pd.Series((marked.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
+    Spark looks the bits up itself, so that a task has one Python worker, not one for the bits and one for the sets.
+    """
+    marked = F.broadcast(_bit_map(ids.distinct()))  # MAP_BITS / 64 rows at most
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in giving_back(batches):
             found = [shingle_set(t.as_py(), words, hashes).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], ["id", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter("id is not null")
-    return texts.filter(wanted(F.pmod(F.xxhash64("id"), F.lit(MAP_BITS)))).mapInArrow(sets, "id long, shingles binary")
+    texts = texts.withColumn("at", F.pmod(F.xxhash64("id"), F.lit(MAP_BITS))).join(marked, F.shiftright("at", 6) == F.col("word"))
+    texts = texts.filter("(shiftright(bits, cast(at % 64 as int)) & 1L) = 1").select("id", "text")
+    return texts.mapInArrow(sets, "id long, shingles binary")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -346,7 +343,7 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         _SET), "near-sets")
 
     sets = reps.count()
-    found = materialise(compare_nodes(first_paths(reps), percent), "near-compared")
+    found = materialise(compare_nodes(first_paths, reps, percent), "near-compared")
     pairs = found.filter("kind < 2").groupBy("a", "b").agg(F.min("kind").alias("kind"))
     checked = pairs.filter("kind = 0").select("a", "b")
     of = materialise(components(confirm(checked, docs, words, percent)), "near-components")
@@ -376,7 +373,7 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         few = rows.filter(F.col("others") <= NODE)
         of = _merged(of, _settled(_regrouped(few, _together(few)), docs, words, percent))
         deeper = rows.filter(F.col("others") > NODE).select("node", "state", "rep").join(reps, "rep")
-        found = materialise(compare_nodes(next_paths(deeper), percent), "near-compared")
+        found = materialise(compare_nodes(next_paths, deeper, percent), "near-compared")
         rest = found.filter("kind < 2")
     reached = members.select("doc_id", "n_shingles", "rep").join(of.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))

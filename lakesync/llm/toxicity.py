@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakesync.llm.common import fold_of, materialise
+from lakesync.llm.common import fold_of, giving_back, materialise
 
 HASH_BITS = 24
 #: Documents of each label that the machine is fitted on.
@@ -73,20 +73,40 @@ def term(stem: np.ndarray, level: int | np.ndarray) -> np.ndarray:
     return (stem + level * STEP) & _MASK
 
 
+def bit_map(terms: np.ndarray) -> np.ndarray:
+    """A bit for each of 2**HASH_BITS terms, set for the sorted ``terms``."""
+    bits, words = np.zeros((_MASK + 1) >> 6, "<u8"), terms >> 6
+    first = np.flatnonzero(np.diff(words, prepend=-1))
+    if len(first):
+        bits[words[first]] = np.bitwise_or.reduceat(np.uint64(1) << (terms & 63).astype(np.uint64), first)
+    return bits
+
+
+class Places:
+    """The numbers of a sorted set of terms, found in a bit map of all terms and the counts before each of its words."""
+
+    def __init__(self, terms: np.ndarray) -> None:
+        self.bits = bit_map(terms)
+        self.before = (np.cumsum(np.bitwise_count(self.bits), dtype=np.int32) - np.bitwise_count(self.bits)).astype(np.int32)
+
+    def of(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``terms`` are in the set, and the numbers of those."""
+        word, bit = terms >> 6, np.uint64(1) << (terms & 63).astype(np.uint64)
+        bits = self.bits[word]
+        there = np.flatnonzero(bits & bit)
+        return there, self.before[word[there]] + np.bitwise_count(bits[there] & (bit[there] - np.uint64(1)))
+
+
 class Terms(dict):
     """Maps a word to a number and keeps the stems of what it has seen; with ``known`` terms, only stems of those."""
 
     def __init__(self, known: bytes | None = None) -> None:
         super().__init__()
-        self.number = self.stems = None
+        self.places = self.stems = None
         if known is not None:
             terms = np.frombuffer(known, "<i4")
-            self.number = np.full(_MASK + 1, -1, np.int32)
-            self.number[terms] = np.arange(len(terms), dtype=np.int32)
-            stems = np.zeros(_MASK + 1, np.uint8)
-            for level in LEVELS:
-                stems[(terms.astype(np.int64) - level * STEP) & _MASK] = 1
-            self.stems = stems.tobytes()
+            self.places = Places(terms)
+            self.stems = bit_map(np.sort(np.concatenate([(terms.astype(np.int64) - level * STEP) & _MASK for level in LEVELS]))).tobytes()
         self.forget()
 
     def forget(self) -> None:
@@ -96,7 +116,7 @@ class Terms(dict):
 
     def __missing__(self, word: str) -> int:
         stems = [zlib.crc32(f"{word}$".encode()) & _MASK, *(zlib.crc32(word[:n].encode()) & _MASK for n in BEGINNINGS if len(word) >= n)]
-        self.flat.extend(stems if self.stems is None else [x for x in stems if self.stems[x]])
+        self.flat.extend(stems if self.stems is None else [x for x in stems if self.stems[x >> 3] >> (x & 7) & 1])
         self.ends.append(len(self.flat))
         found = self[word] = len(self)
         return found
@@ -128,10 +148,9 @@ class Terms(dict):
         for level in LEVELS:  # few stems reach the higher ones
             there = np.flatnonzero(count >= level) if level > 1 else slice(None)
             rows, terms = keys[there] & ~_MASK, term(keys[there] & _MASK, level)
-            if self.number is not None:
-                terms = self.number[terms]
-                here = np.flatnonzero(terms >= 0)
-                rows, terms = rows[here], terms[here].astype(np.int64)
+            if self.places is not None:
+                here, terms = self.places.of(terms)
+                rows, terms = rows[here], terms.astype(np.int64)
             found.append(rows | terms)
         keys = np.sort(np.concatenate(found))
         keys = keys[np.diff(keys, prepend=-1) != 0]  # levels of different stems may share a hash
@@ -299,7 +318,7 @@ def score(text: Column, machine: Machine, terms: bytes) -> Column:
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         lookup = Terms(terms)
-        for texts in batches:
+        for texts in giving_back(batches):
             yield pd.Series(np.concatenate([np.zeros(0), *(machine.probabilities(*found) for found in terms_of(texts.to_list(), lookup))]))
 
     return run(text.cast("string"))

@@ -51,3 +51,11 @@ def test_hard_rows(hard, nothing, library):
     assert sorted(r["decoded_sha256"] for r in rows) == sorted(hashlib.sha256(t.encode()).hexdigest() for t in texts)
     assert all(hashlib.sha256(r["ids"]).hexdigest() == r["ids_sha256"] and len(r["ids"]) == 4 * r["n_tokens"] for r in rows)
     assert bpe.encoded(nothing, content).count() == 0
+
+
+def test_tables_stay_small(library, monkeypatch):
+    monkeypatch.setattr(bpe, "PAIRS", 4)
+    codec = bpe.Codec(bpe.load_vocabulary(bpe.read_tokenizer(None)))
+    text = "unbelievably intertwined mispronunciations " * 20 + "\u6f22\u5b57xyzzy" * 40 + " " + "qzx" * 500
+    assert ids(codec, text) == library.encode(text, add_special_tokens=False).ids
+    assert len(codec.encoder.fits) == 4 and max(map(len, codec)) <= bpe.KEPT_CHARS

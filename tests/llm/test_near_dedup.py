@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from lakesync.llm import near_dedup
+from lakesync.llm.common import materialise
 from lakesync.llm.links import components
 from hard_rows import hard, nothing  # noqa: F401
 
@@ -172,3 +173,31 @@ def test_minwise_values_equal_those_of_one_function_at_a_time(monkeypatch, at_on
                 y = (x ^ int(near_dedup._SEEDS[k])) * int(near_dedup._FACTORS[k]) % 2**32
                 least = min(least, (y ^ y >> 15) * 0x2C1B3C6D % 2**32)
             assert found[k] == least
+
+
+def test_a_task_has_one_python_worker(spark, capsys):
+    """Workers that wait on one another in a task stay in memory for all later stages."""
+    docs = spark.createDataFrame([(k, f"some words of text {k}") for k in range(20)] + [(None, "x"), (3, None)], "doc_id long, text string")
+    ids = spark.createDataFrame([(3,), (5,), (19,), (77,)], "id long")
+    sets = near_dedup._sets_of(ids, docs, 2)
+    assert {r["id"] for r in sets.collect()} >= {3, 5, 19} and sets.filter("id = 3").count() == 2 and sets.count() < 10
+    reps = near_dedup.sketches(docs.filter("doc_id is not null"), 2).selectExpr("doc_id as rep", "n_shingles as n", *near_dedup.SKETCH, "least")
+    large = spark.sparkContext.broadcast((np.array([1]), np.array([2])))
+    with_runs = near_dedup.first_paths(materialise(reps, "t"), large)
+    for df in (sets, with_runs):
+        df.explain()
+        plan = capsys.readouterr().out.split("Initial Plan")[0]
+        assert sum(plan.count(x) for x in ("MapInArrow", "ArrowEvalPython", "BatchEvalPython")) == 1
+
+
+def test_large_nodes_get_their_runs(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "RUN", 4)
+    docs = spark.createDataFrame([(k, "the same words in every text " + "again " * (k % 3)) for k in range(60)], "doc_id long, text string")
+    reps = materialise(near_dedup.sketches(docs, 2).selectExpr("doc_id as rep", "n_shingles as n", *near_dedup.SKETCH, "least"), "t")
+    dealt = near_dedup._with_runs(near_dedup.first_paths, reps)
+    sizes = {}
+    for r in dealt.select("node", "run").collect():
+        sizes.setdefault(r["node"], []).append(r["run"])
+    assert all(0 <= run < max(1, len(runs) // 4) for runs in sizes.values() for run in runs)
+    assert all(len(set(runs)) > 1 for runs in sizes.values() if len(runs) >= 16)
+    assert {(r["rep"], r["node"]) for r in dealt.collect()} == {(r["rep"], r["node"]) for r in near_dedup.first_paths(reps).collect()}

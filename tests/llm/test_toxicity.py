@@ -109,3 +109,17 @@ def test_terms_equal_plain_counts_whatever_words_are_kept(monkeypatch):
     known = np.array(sorted({t for text in texts for t in by_hand(text)})[::2], "<i4")
     found, starts = toxicity.Terms(known.tobytes()).of(texts)
     assert [known[found[a:b]].tolist() for a, b in zip(starts, starts[1:])] == [[t for t in by_hand(text) if t in known] for text in texts]
+
+
+def test_places_are_bits(spark):
+    rng = np.random.default_rng(3)
+    known = np.unique(np.concatenate([rng.integers(0, 1 << toxicity.HASH_BITS, 5000), [0, (1 << toxicity.HASH_BITS) - 1]])).astype("<i4")
+    places = toxicity.Places(known)
+    asked = np.concatenate([rng.permutation(known), rng.integers(0, 1 << toxicity.HASH_BITS, 5000)]).astype(np.int64)
+    there, numbers = places.of(asked)
+    plain = {t: k for k, t in enumerate(known.tolist())}
+    assert [(i, plain[t]) for i, t in enumerate(asked.tolist()) if t in plain] == list(zip(there.tolist(), numbers.tolist()))
+    lookup = toxicity.Terms(known.tobytes())
+    held = sum(x.nbytes for x in (lookup.places.bits, lookup.places.before)) + len(lookup.stems)
+    assert held <= 6 << 20  # 80 MB with a number and a byte for each term
+    assert len(toxicity.Places(known[:0]).of(asked)[0]) == 0
